@@ -1,0 +1,4 @@
+"""Every query of the engine, with DuckDB SQL for the same rows where SQL can express it."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
