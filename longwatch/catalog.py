@@ -1,4 +1,607 @@
 """Every query of the engine, with DuckDB SQL for the same rows where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from longwatch.functions import horizon, pricing, text, urls
+from longwatch.operators import bench, chunks, corpora, evalmatch, findings, grounding, recovery, report, scope, segment
+from longwatch.plans import scan
+from longwatch.sources import convert
+from longwatch.streaming import arrivals
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+c = F.col
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """SQL that gives literal rows."""
+
+    def lit(x) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x).upper()
+        if isinstance(x, list):
+            return "[" + ", ".join(map(lit, x)) + "]"
+        return repr(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
+
+
+# ---- token estimates, modes and costs
+
+TOKENS_SQL = "CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) + 3) // 4 END"
+
+
+@query(f"SELECT lang, count(*) AS n_docs, sum(length(text))::BIGINT AS chars, sum({TOKENS_SQL})::BIGINT AS tokens FROM documents GROUP BY lang")
+def token_estimate_by_lang(spark, sf):
+    size = F.length("text")
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(size).alias("chars"), F.sum(text.estimate_tokens(size)).alias("tokens"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_sha256, length(text) AS char_count FROM documents")
+def document_identity(spark, sf):
+    return corpora.document_identity(table(spark, sf, "documents"))
+
+
+SMALL = ("local-small", "local", "small")
+
+
+def _models(spark):
+    return scan.configs(spark, (*scan.CONFIGS, SMALL)).withColumn("window", F.when(c("provider") == "local", 24000).otherwise(c("window")))
+
+
+CONFIG_SQL = """configs(config_id, provider, model, context, in_cents, out_cents) AS (VALUES
+  ('openai-mini', 'openai', 'gpt-4.1-mini', 1000000, 40, 160), ('openai-luna', 'openai', 'gpt-6-luna', 1050000, 10, 50), ('anthropic-sonnet', 'anthropic', 'claude-sonnet-4-5', 200000, 300, 1500),
+  ('gemini-flash', 'gemini', 'gemini-3.6-flash', 1000000, 150, 750), ('local-small', 'local', 'small', 24000, NULL, NULL))"""
+
+
+@query(f"""WITH {CONFIG_SQL}, d AS (SELECT doc_id, ({TOKENS_SQL})::BIGINT AS tokens FROM documents)
+SELECT doc_id, config_id, tokens, CASE WHEN tokens <= context - 16384 - 6000 THEN 'whole_document' ELSE 'section_aware' END AS mode FROM d CROSS JOIN configs""")
+def plan_mode_by_config(spark, sf):
+    return scan.document_modes(table(spark, sf, "documents"), _models(spark)).select("doc_id", "config_id", "tokens", "mode")
+
+
+def _costed(spark, sf):
+    rows = scan.request_costs(scan.document_modes(table(spark, sf, "documents"), _models(spark)))
+    rate_in, rate_out = pricing.rates(c("provider"), c("model"), c("input_tokens"), c("input_rate"), c("output_rate"))
+    cents = lambda r: F.round(r * 100).cast("long")
+    return rows.withColumn("units", c("input_tokens") * cents(rate_in) + c("output_tokens") * cents(rate_out))
+
+
+COSTED_SQL = f"""WITH {CONFIG_SQL}, d AS (SELECT doc_id, ({TOKENS_SQL})::BIGINT + 6000 AS input_tokens FROM documents),
+costed AS (SELECT doc_id, config_id, input_tokens, 4096 AS output_tokens,
+  (input_tokens * CASE WHEN model = 'gpt-6-luna' AND input_tokens > 272000 THEN 20 ELSE in_cents END
+   + 4096 * CASE WHEN model = 'gpt-6-luna' AND input_tokens > 272000 THEN 75 ELSE out_cents END)::BIGINT AS units FROM d CROSS JOIN configs)
+"""
+
+
+@query(COSTED_SQL + """SELECT config_id, count(*) AS n_docs, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+CASE WHEN count(units) = count(*) THEN sum(units)::BIGINT END AS hundredths_of_micro_usd, count(units) AS priced FROM costed GROUP BY config_id""")
+def plan_cost_by_config(spark, sf):
+    """Totals by configuration: a whole price only where every document has one."""
+    total = F.when(F.count("units") == F.count("*"), F.sum("units"))
+    return _costed(spark, sf).groupBy("config_id").agg(F.count("*").alias("n_docs"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), total.alias("hundredths_of_micro_usd"), F.count("units").alias("priced"))
+
+
+@query(COSTED_SQL + """SELECT doc_id, max(units) FILTER (WHERE config_id = 'anthropic-sonnet') AS "anthropic-sonnet", max(units) FILTER (WHERE config_id = 'gemini-flash') AS "gemini-flash",
+max(units) FILTER (WHERE config_id = 'local-small') AS "local-small", max(units) FILTER (WHERE config_id = 'openai-luna') AS "openai-luna", max(units) FILTER (WHERE config_id = 'openai-mini') AS "openai-mini" FROM costed GROUP BY doc_id""")
+def plan_pivot(spark, sf):
+    return bench.pivot_costs(_costed(spark, sf).withColumn("usd", c("units")), ["anthropic-sonnet", "gemini-flash", "local-small", "openai-luna", "openai-mini"])
+
+
+MODELS = [("openai", "gpt-4.1-mini"), ("OpenAI", "GPT-4.1-mini-2025"), ("openai", "gpt-4.1"), ("openai", "gpt-6-luna"), ("gemini", "gemini-3.5-flash-lite-x"), ("gemini", "gemini-3.5-flash-lite"), ("gemini", "gemini-2.5-pro-exp"), ("anthropic", "claude-9"), ("ollama", "gpt-oss:120b")]
+
+
+@query(f"""WITH m AS ({values(MODELS, 'provider, model')}), p AS ({values([(i, *r) for i, r in enumerate(pricing.PRICES)], 'ord, p, pm, input_rate, output_rate')})
+SELECT provider, model, input_rate::DOUBLE AS input_rate, output_rate::DOUBLE AS output_rate FROM (
+  SELECT m.*, p.input_rate, p.output_rate, row_number() OVER (PARTITION BY m.provider, m.model ORDER BY coalesce(lower(m.model) <> p.pm, true), p.ord) AS n
+  FROM m LEFT JOIN p ON lower(m.provider) = p.p AND starts_with(lower(m.model), p.pm)) WHERE n = 1""")
+def pricing_prefix_lookup(spark, sf):
+    return pricing.with_prices(spark.createDataFrame(MODELS, "provider string, model string"))
+
+
+@query("""SELECT tokens, CASE WHEN tokens > 272000 THEN 'luna_long' ELSE 'luna_short' END AS tier,
+CASE WHEN tokens > 272000 THEN tokens * 20 + 1000 * 75 ELSE tokens * 10 + 1000 * 50 END AS units FROM (VALUES (0::BIGINT), (271999), (272000), (272001), (1000000)) t(tokens)""")
+def long_context_tier(spark, sf):
+    rows = spark.createDataFrame([(0,), (271999,), (272000,), (272001,), (1000000,)], "tokens long")
+    model = F.lit("openai"), F.lit("gpt-6-luna")
+    i, o = pricing.rates(*model, c("tokens"), F.lit(None).cast("double"), F.lit(None).cast("double"))
+    tier = pricing.pricing_tier(*model, c("tokens"), F.lit(None).cast("double"))
+    return rows.select("tokens", tier.alias("tier"), (c("tokens") * F.round(i * 100).cast("long") + 1000 * F.round(o * 100).cast("long")).alias("units"))
+
+
+@query(f"SELECT doc_id, tokens + 6000 + 4096 AS planned, tokens + 6000 + 4096 <= 12000 AS within_budget FROM (SELECT doc_id, ({TOKENS_SQL})::BIGINT AS tokens FROM documents)")
+def budget_guard(spark, sf):
+    planned = pricing.request_input_tokens(text.estimate_tokens(F.length("text"))) + pricing.WHOLE_DOCUMENT_OUTPUT
+    return table(spark, sf, "documents").select("doc_id", planned.alias("planned"), (planned <= 12000).alias("within_budget"))
+
+
+# ---- identity, URLs and formats
+
+IDS = [
+    ("RFC5905", "ietf", "RFC5905"), ("rfc 868", "ietf", "RFC868"), ("5905", "ietf", "RFC5905"), ("draft-ietf-ntp-something-01", "ietf", "draft-ietf-ntp-something-01"),
+    ("TS 23.501", "3gpp", "3GPP TS 23.501"), ("3GPP TS 33.501 V18.1.0", "3gpp", "3GPP TS 33.501 V18.1.0"), ("ETSI TS 103 246-1", "etsi", "ETSI TS 103 246-1"), ("EN 302 637-2", "etsi", "ETSI EN 302 637-2"),
+    ("ECMA-404", "ecma", "ECMA-404"), ("ecma 262", "ecma", "ECMA-262"), ("hr-time", "w3c", "hr-time-3"), ("https://www.w3.org/TR/hr-time-3/", "w3c", "hr-time-3"), ("OpenFormula", "oasis", "OpenFormula"),
+    ("SP-800-57pt1r5", "nist", "SP-800-57pt1r5"), ("SP 800-57", "nist", None), ("FIPS 140-3", "nist", "FIPS-140-3"), ("IEEE 1588", "ieee", "IEEE 1588"), ("ITU-T  X.680", "itu-t", "ITU-T X.680"), ("ISO 8601", "iso", "ISO 8601"),
+    ("TESTDOC", None, "TESTDOC"),
+]
+
+
+@query(f"""SELECT raw, CASE
+  WHEN regexp_matches(x, '^(rfc)?\\s*[0-9]+$') OR starts_with(x, 'draft-') THEN 'ietf'
+  WHEN (starts_with(x, 'etsi') OR regexp_matches(x, '^(ts|tr|en|es|eg|gs|gr|sr)\\s+[0-9]')) AND (regexp_matches(x, '\\b[0-9]{{3}}\\s+[0-9]{{3}}\\b') OR starts_with(x, 'etsi') OR regexp_matches(x, '^(en|es|eg|gs|gr|sr)\\b')) THEN 'etsi'
+  WHEN starts_with(x, '3gpp') OR regexp_matches(x, '^(ts|tr)\\s*[0-9]{{1,2}}\\.[0-9]{{2,4}}') THEN '3gpp' WHEN starts_with(x, 'ieee') THEN 'ieee' WHEN starts_with(x, 'itu') THEN 'itu-t'
+  WHEN starts_with(x, 'nist') OR starts_with(x, 'fips') OR regexp_matches(x, '^sp[-\\s]*800') THEN 'nist' WHEN starts_with(x, 'iso') THEN 'iso' WHEN starts_with(x, 'ecma') THEN 'ecma'
+  WHEN starts_with(x, 'w3c') OR contains(x, '/tr/') OR regexp_matches(x, '^(hr-time|html|dom|fetch|url|encoding|webidl)(-[0-9]+)?$') THEN 'w3c'
+  WHEN starts_with(x, 'oasis') OR contains(x, 'openformula') THEN 'oasis' END AS corpus
+FROM (SELECT raw, lower(trim(raw)) AS x FROM ({values(IDS, 'raw, corpus, id')}))""")
+def detect_corpus(spark, sf):
+    return spark.createDataFrame([(i[0],) for i in IDS], "raw string").select("raw", corpora.detect_corpus(c("raw")).alias("corpus"))
+
+
+@query(values([(raw, corpus or "generic", own) for raw, corpus, own in IDS], "raw, corpus, id"))
+def normalize_ids(spark, sf):
+    rows = spark.createDataFrame([(i[0],) for i in IDS], "raw string").withColumn("corpus", F.coalesce(corpora.detect_corpus(c("raw")), F.lit("generic")))
+    return rows.select("raw", "corpus", corpora.normal_id(c("corpus"), c("raw")).alias("id"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[^?#]*') AS redacted, regexp_matches(url, '^https?://[^/?#]*/+[^/?#]+/+[^/?#]') OR regexp_matches(regexp_extract(url, '^[^?#]*'), '[.]html?$') AS is_document FROM pages")
+def url_redact(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.redact_url(c("url")).alias("redacted"), urls.is_document_url(c("url")).alias("is_document"))
+
+
+URLS = [
+    ("https://tools.ietf.org/html/rfc5905#section-1", "https://www.rfc-editor.org/rfc/rfc5905.txt", None, "https://tools.ietf.org/html/rfc5905"),
+    ("https://datatracker.ietf.org/doc/rfc0868/", "https://www.rfc-editor.org/rfc/rfc868.txt", None, "https://datatracker.ietf.org/doc/rfc0868/"),
+    ("https://www.rfc-editor.org/rfc/pdfrfc/rfc8610.txt.pdf", "https://www.rfc-editor.org/rfc/pdfrfc/rfc8610.txt.pdf", "https://www.rfc-editor.org/rfc/rfc8610.txt", "https://www.rfc-editor.org/rfc/pdfrfc/rfc8610.txt.pdf"),
+    ("https://user:pw@Example.com:8443/a?token=x", "https://user:pw@Example.com:8443/a?token=x", None, "https://example.com:8443/a"), ("", "", None, "<unparseable-url>"),
+]
+
+
+@query(values(URLS, "url, rewritten, twin, redacted"))
+def url_rewrite(spark, sf):
+    rows = spark.createDataFrame([(u[0],) for u in URLS], "url string")
+    return rows.select("url", urls.rewrite_url(c("url")).alias("rewritten"), urls.text_twin(c("url")).alias("twin"), urls.redact_url(c("url")).alias("redacted"))
+
+
+FILES = [("a/b.TXT", None, "", "text"), ("spec.tar.gz", None, "", "tar"), ("x.docx", None, "", "docx"), ("noext", "text/html; charset=utf-8", "", "html"), ("noext", None, "%PDF-1.7", "pdf"), ("noext", None, "PK..word/document.xml", "docx"), ("noext", None, "PK....", "zip"), ("noext", None, "plain words", "text"), ("noext", None, "", "unknown")]
+
+
+@query(values(FILES, "name, content_type, data, kind"))
+def media_type_detect(spark, sf):
+    rows = spark.createDataFrame([f[:3] for f in FILES], "name string, content_type string, data string")
+    return rows.withColumn("kind", urls.media_type(c("name"), c("content_type"), c("data").cast("binary")))
+
+
+@query()
+def html_to_text(spark, sf):
+    return convert.html_pages(table(spark, sf, "pages"))
+
+
+NAMES = [("report.json",), ("a/b c.txt",), ("..",), ("CON",), ("ok-1_2.md",), ("über.txt",)]
+
+
+@query(f"""SELECT raw, CASE WHEN regexp_full_match(raw, '[A-Za-z0-9][A-Za-z0-9._-]{{0,119}}') AND NOT regexp_matches(lower(raw), '^(con|prn|aux|nul|com[0-9]|lpt[0-9])([.].*)?$') AND raw NOT LIKE '%.' THEN raw
+ELSE coalesce(nullif(regexp_replace(regexp_replace(raw, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'unnamed') || '-' || substr(sha256(raw), 1, 12) END AS safe FROM ({values(NAMES, 'raw')})""")
+def safe_filenames(spark, sf):
+    return spark.createDataFrame(NAMES, "raw string").select("raw", text.safe_filename(c("raw")).alias("safe"))
+
+
+# ---- grounding
+
+FORM_SQL = r"trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+FORMS_SQL = f"WITH d AS (SELECT doc_id, {FORM_SQL.format('text')} AS s FROM documents), b AS (SELECT item_id, {FORM_SQL.format('text')} AS q FROM benchmark WHERE length({FORM_SQL.format('text')}) >= 16)\n"
+
+
+@query(FORMS_SQL + "SELECT doc_id, item_id FROM d JOIN b ON contains(s, q)")
+def quote_containment(spark, sf):
+    return grounding.quote_pairs(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("SELECT doc_id, item_id, ((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text))::INTEGER AS n_spans, CASE WHEN (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) = 1 THEN instr(d.text, b.text) - 1 END AS span_start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def quote_span_counts(spark, sf):
+    """Exact spans of the quotes that the candidate join found."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    pairs = grounding.quote_pairs(docs, items).join(docs.select("doc_id", c("text").alias("source")), "doc_id").join(items.select("item_id", c("text").alias("quote")), "item_id")
+    return grounding.quote_spans(pairs, flexible=False).where("n_spans > 0").select("doc_id", "item_id", "n_spans", "span_start")
+
+
+@query(FORMS_SQL + """, e AS (SELECT doc_id, item_id, q FROM documents JOIN b ON doc_id % 40 = item_id % 40)
+SELECT e.doc_id, item_id AS finding_id, contains(s, q) AS source_verified, 'Matched ' || (CASE WHEN contains(s, q) THEN 1 ELSE 0 END) || ' of 1 evidence quote(s) in analyzed document text.' AS detail FROM e JOIN d USING (doc_id)""")
+def source_verification(spark, sf):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark").where(F.length(text.quote_form(c("text"))) >= 16)
+    evidence = docs.join(items.select("item_id", c("text").alias("quote")), c("doc_id") % 40 == c("item_id") % 40).select("doc_id", c("item_id").alias("finding_id"), F.lit("all").alias("section_id"), "quote")
+    return grounding.verify_sources(evidence, docs.select("doc_id", F.lit("all").alias("section_id"), "text"))
+
+
+# ---- sections, scope and chunks
+
+
+def _turns(spark, sf):
+    """Conversations as documents: a turn is a section."""
+    t = table(spark, sf, "conversations")
+    return t.select(
+        c("conv_id").alias("doc_id"), c("turn").cast("int").alias("ord"), F.concat(F.lit("s-"), "turn").alias("id"), c("role").alias("title"), "text", F.lit(1).alias("level"),
+        F.lit(0).alias("start_char"), F.length("text").alias("end_char"), F.lit(None).cast("string").alias("parent_id"),
+    )
+
+
+SCOPED_SQL = """WITH r AS (SELECT conv_id AS doc_id, turn AS ord, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+e AS (SELECT doc_id, count(*) AS eligible_sections, sum(length(text)) AS eligible_chars FROM r GROUP BY doc_id),
+t AS (SELECT doc_id, ord, n, length(text) AS full_chars, CASE WHEN n = 1 THEN least(length(text), 600, 480) ELSE length(text) END AS chars FROM r),
+w AS (SELECT *, sum(chars) OVER p AS sc, sum((chars + 3) // 4) OVER p AS st FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY ord)),
+k AS (SELECT *, n <= 5 AND (n = 1 OR (sc <= 600 AND st <= 120)) AS inside FROM w)
+"""
+
+
+def _scoped(spark, sf):
+    return scope.apply_scope(_turns(spark, sf), max_sections=5, max_chars=600, max_input_tokens=120)
+
+
+@query(SCOPED_SQL + "SELECT doc_id, ord, chars FROM k WHERE inside")
+def scope_caps(spark, sf):
+    return _scoped(spark, sf).select("doc_id", c("ord").cast("long").alias("ord"), F.length("text").cast("long").alias("chars"))
+
+
+@query(SCOPED_SQL + """SELECT doc_id, eligible_sections, eligible_chars::BIGINT AS eligible_chars, count(*) FILTER (WHERE inside) AS analyzed_sections, (sum(chars) FILTER (WHERE inside))::BIGINT AS analyzed_chars,
+bool_or(NOT inside OR chars < full_chars) AS truncated, least(100.0, 100.0 * (sum(chars) FILTER (WHERE inside)) / eligible_chars)::DOUBLE AS coverage_percent FROM k JOIN e USING (doc_id) GROUP BY doc_id, eligible_sections, eligible_chars""")
+def scope_counters(spark, sf):
+    return scope.scope_counters(_turns(spark, sf), _scoped(spark, sf)).select("doc_id", "eligible_sections", "eligible_chars", "analyzed_sections", "analyzed_chars", "truncated", "coverage_percent")
+
+
+PACK_SQL = """WITH RECURSIVE s AS (
+  SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, 's-' || turn AS id,
+         length(role) + length(text) + length('--- SECTION ref=S0001 ---') + 1 + length('section_title: ') + 1 + length('text:') + 1 + 1 + length('--- END SECTION ref=S0001 ---') AS size FROM conversations
+), f AS (
+  SELECT doc_id, n, id, size, 0 AS chunk, 1 AS k, size AS body FROM s WHERE n = 1
+  UNION ALL
+  SELECT s.doc_id, s.n, s.id, s.size, CASE WHEN x.new THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN x.new THEN 1 ELSE f.k + 1 END, CASE WHEN x.new THEN s.size ELSE f.body + 1 + s.size END
+  FROM f JOIN s ON s.doc_id = f.doc_id AND s.n = f.n + 1,
+  LATERAL (SELECT f.k >= 3 OR 16384 + 6000 + (FRAME + (f.body + 1 + s.size) + 2 * length((f.body + 1 + s.size)::VARCHAR) + length((f.k + 1)::VARCHAR) + 3) // 4 > 22684 AS new) x
+)
+""".replace("FRAME", str(len("UNTRUSTED_DATA kind=section_chunk chars=\ndocument_id: \ntitle: \nsection_summary: \nsection_count: \ntext:\n\nUNTRUSTED_DATA_END chars=")))
+
+
+def _packed(spark, sf):
+    return chunks.pack(_turns(spark, sf), window=22684, cap=3)
+
+
+@query(PACK_SQL + "SELECT doc_id, id, format('S{:04d}', n) AS ref, chunk::BIGINT AS chunk_index FROM f")
+def section_chunk_packing(spark, sf):
+    return _packed(spark, sf).select("doc_id", "id", "ref", "chunk_index")
+
+
+@query(PACK_SQL + """SELECT doc_id, chunk::BIGINT AS chunk_index, sections, (6000 + (FRAME + body + 2 * length(body::VARCHAR) + length(sections::VARCHAR) + 3) // 4)::BIGINT AS est_in, least(16384, 1500 * sections)::BIGINT AS est_out
+FROM (SELECT doc_id, chunk, count(*) AS sections, (sum(size) + count(*) - 1)::BIGINT AS body FROM f GROUP BY doc_id, chunk)""".replace("FRAME", str(len("UNTRUSTED_DATA kind=section_chunk chars=\ndocument_id: \ntitle: \nsection_summary: \nsection_count: \ntext:\n\nUNTRUSTED_DATA_END chars="))))
+def chunk_requests(spark, sf):
+    return chunks.requests(_packed(spark, sf)).select("doc_id", "chunk_index", "sections", "est_in", "est_out")
+
+
+ENVELOPE_SQL = r"""WITH b AS (SELECT conv_id AS doc_id, count(*) AS k, string_agg(format('--- SECTION ref=S{:04d} ---', n) || chr(10) || 'section_title: ' || role || chr(10) || 'text:' || chr(10) || text || chr(10) || format('--- END SECTION ref=S{:04d} ---', n), chr(10) ORDER BY n) AS body
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id)
+SELECT doc_id, sha256('UNTRUSTED_DATA kind=section_chunk chars=' || length(body) || chr(10) || 'document_id: ' || doc_id || chr(10) || 'title: ' || chr(10) || 'section_summary: ' || chr(10) || 'section_count: ' || k || chr(10) || 'text:' || chr(10) || body || chr(10) || 'UNTRUSTED_DATA_END chars=' || length(body)) AS envelope_sha256 FROM b"""
+
+
+@query(ENVELOPE_SQL)
+def role_envelope(spark, sf):
+    packed = chunks.pack(_turns(spark, sf), window=10**9, cap=10**6)
+    return chunks.request_text(packed).select("doc_id", F.sha2("text", 256).alias("envelope_sha256"))
+
+
+@query("SELECT doc_id, l[1:len(l) // 2] AS left_half, l[len(l) // 2 + 1:] AS right_half FROM (SELECT conv_id AS doc_id, list('s-' || turn ORDER BY turn) AS l FROM conversations GROUP BY conv_id)")
+def bisect_ranges(spark, sf):
+    rows = _turns(spark, sf).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "id")))["id"].alias("l"))
+    left, right = chunks.halves(c("l"))
+    return rows.select("doc_id", left.alias("left_half"), right.alias("right_half"))
+
+
+def _numbered(spark, sf):
+    """Documents whose lines head sections: a number and 60 characters, the rest of the line below."""
+    made = F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.substring(x, 1, 60), F.lit("\n"), F.substring(x, F.lit(61), F.length(x)), F.lit("\n")))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(made, "").alias("text"))
+
+
+@query()
+def numbered_sections(spark, sf):
+    return segment.numbered_sections(_numbered(spark, sf)).select("doc_id", "ord", "id", "title", "level", "start_char", "end_char")
+
+
+@query()
+def clause_sections(spark, sf):
+    return segment.clause_sections(_numbered(spark, sf)).select("doc_id", "ord", "id", "title", "level", "start_char", "end_char")
+
+
+@query(r"""SELECT doc_id, section_count, annex_count, tiny_section_count, sentence_like_title_count, chars,
+NOT ((section_count >= 40 AND tiny_section_count >= section_count * 0.25 AND chars / section_count < 300) OR (section_count >= 20 AND sentence_like_title_count >= section_count * 0.15) OR (section_count >= 15 AND annex_count >= section_count * 0.35)
+  OR (chars >= 5000 AND section_count >= 80 AND chars / section_count < 180) OR (section_count BETWEEN 5 AND 40 AND sentence_like_title_count >= 3 AND sentence_like_title_count >= section_count * 0.2)) AS ok
+FROM (SELECT conv_id AS doc_id, count(*) AS section_count, 0::BIGINT AS annex_count, count(*) FILTER (WHERE length(trim(text)) < 40) AS tiny_section_count,
+  count(*) FILTER (WHERE regexp_matches(substr(text, 1, 60), '[.;,]\s*$') OR regexp_matches(substr(text, 1, 60), ',\s+[a-z]')) AS sentence_like_title_count, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id)""")
+def section_health(spark, sf):
+    return segment.parse_health(_turns(spark, sf).withColumn("title", F.substring("text", 1, 60)))
+
+
+IDS_IN_ORDER = [("s-1", "s-1"), ("s-1", "s-1--3"), ("s-1--2", "s-1--2"), ("s-1", "s-1--4"), ("", "section"), ("s-2", "s-2"), (" ", "section--2")]
+
+
+@query(values([(k, u) for k, (_, u) in enumerate(IDS_IN_ORDER)], "ord, id"))
+def unique_section_ids(spark, sf):
+    rows = spark.createDataFrame([("d", k, i[0]) for k, i in enumerate(IDS_IN_ORDER)], "doc_id string, ord int, id string")
+    return segment.with_unique_ids(rows).select("ord", "id")
+
+
+LINES = [("1\tScope\t25", True), ("4.2.1 General ........ 45", True), ("1 Scope", False), ("4.2.1 General", False), ("Clause 3 Terms   12", True), ("Annex A   12", False), ("", False)]
+
+
+@query(values(LINES, "line, toc"))
+def toc_line_flags(spark, sf):
+    return spark.createDataFrame([(x[0],) for x in LINES], "line string").select("line", text.is_toc_line(c("line")).alias("toc"))
+
+
+# ---- horizons
+
+
+@query("""SELECT w::INTEGER AS width, (-(1::HUGEINT << (w - 1)))::VARCHAR AS smin, ((1::HUGEINT << (w - 1)) - 1)::VARCHAR AS smax, ((1::HUGEINT << w) - 1)::VARCHAR AS umax FROM range(1, 65) t(w)""")
+def integer_bounds(spark, sf):
+    return horizon.bounds_table(spark).where("width <= 64").select("width", "smin", "smax", "umax")
+
+
+WIDTHS, SCALES = (8, 16, 24, 31, 32, 40, 48, 64), {"seconds": 1_000_000, "milliseconds": 1_000, "days": 86_400_000_000}
+
+
+@query(f"""WITH x AS (SELECT w, s, k, u, m, epoch_us(e::TIMESTAMP) AS base, CASE WHEN s THEN (1::HUGEINT << (w - 1)) ELSE (1::HUGEINT << w) END AS past
+FROM (VALUES {', '.join(f'({w})' for w in WIDTHS)}) a(w), (VALUES (true), (false)) b(s), (VALUES {', '.join(f"('{k}', '{e}')" for k, e in horizon.EPOCHS.items())}) c(k, e), (VALUES {', '.join(f"('{u}', {m}::HUGEINT)" for u, m in SCALES.items())}) d(u, m))
+SELECT w AS width_bits, s AS signed, k AS epoch_kind, u AS unit, CASE WHEN base + (past - 1) * m BETWEEN -62135596800000000 AND 253402300799999999 THEN (base + (past - 1) * m)::VARCHAR END AS last_micros,
+CASE WHEN base + past * m BETWEEN -62135596800000000 AND 253402300799999999 THEN (base + past * m)::VARCHAR END AS end_micros FROM x""")
+def horizon_instants(spark, sf):
+    rows = [(w, s, k, None, u, None, None, None) for w in WIDTHS for s in (True, False) for k in horizon.EPOCHS for u in SCALES]
+    made = horizon.validate(spark.createDataFrame(rows, "width_bits int, signed boolean, epoch_kind string, epoch timestamp, unit string, ticks_per_second double, claim_value string, claim_precision string"))
+    return made.select("width_bits", "signed", "epoch_kind", "unit", F.unix_micros("horizon.last").cast("string").alias("last_micros"), F.unix_micros("horizon.first_out_of_range").cast("string").alias("end_micros"))
+
+
+CLAIMS = [
+    # width, signed, epoch_kind, unit, ticks, claim, precision -> status, consistent
+    (32, True, "unix", "seconds", None, "2038-01-19", "day", "verified", True), (32, True, "unix", "seconds", None, "2038-01-20", "day", "contradicted", False),
+    (32, True, "unix", "seconds", None, "2038-01-19T03:14:07Z", "instant", "verified", True), (32, True, "unix", "seconds", None, "2038-01-19T03:14:08+00:00", "instant", "verified", True),
+    (32, True, "unix", "seconds", None, "2038", "year", "verified", None), (32, False, "ntp", "seconds", None, "2036-02-07", "day", "verified", True), (32, None, "unix", "seconds", None, "2106-02-07", "day", "ambiguous_signedness", True),
+    (32, None, "unix", "seconds", None, "2001-01-01", "day", "ambiguous_signedness", False), (None, True, "unix", "seconds", None, None, None, "insufficient_parameters", None), (129, True, "unix", "seconds", None, None, None, "error", None),
+    (32, True, "other", "seconds", None, None, None, "insufficient_parameters", None), (32, True, None, None, None, None, None, "verified", None), (32, True, None, None, None, "2038-01-19", "day", "insufficient_parameters", None),
+    (32, True, "unix", "fortnights", None, None, None, "unsupported", None), (32, True, "unix", "ticks", None, None, None, "insufficient_parameters", None), (16, False, "unix", "ticks", 1000.0, None, None, "verified", None),
+    (128, False, "unix", "seconds", None, "2038-01-19", "day", "insufficient_parameters", None),
+]
+
+
+@query(values([(k, *x[7:]) for k, x in enumerate(CLAIMS)], "k, status, claim_consistent"))
+def horizon_claims(spark, sf):
+    rows = [(k, x[0], x[1], x[2], None, x[3], x[4], x[5], x[6]) for k, x in enumerate(CLAIMS)]
+    made = horizon.validate(spark.createDataFrame(rows, "k int, width_bits int, signed boolean, epoch_kind string, epoch timestamp, unit string, ticks_per_second double, claim_value string, claim_precision string"))
+    return made.select("k", "horizon.status", "horizon.claim_consistent")
+
+
+@query("""SELECT label, day::VARCHAR AS day, day = CASE label WHEN 'y2036' THEN DATE '2036-02-07' WHEN 'y2038' THEN DATE '2038-01-19' ELSE DATE '2106-02-07' END AS matches
+FROM (VALUES ('y2036'), ('y2038'), ('y2106')) a(label), (VALUES (DATE '2036-02-07'), (DATE '2038-01-19'), (DATE '2038-01-18'), (DATE '2106-02-07')) b(day)""")
+def rollover_check(spark, sf):
+    rows = [(label, d) for label in horizon.ROLLOVERS for d in ("2036-02-07", "2038-01-19", "2038-01-18", "2106-02-07")]
+    return spark.createDataFrame(rows, "label string, day string").withColumn("matches", horizon.rollover_matches(c("label"), c("day").cast("date")))
+
+
+DATED = [("wraps on 2038-01-19", ["y2038"], "verified"), ("y2038 is 2038-02-01", [], "failed"), ("in 2036-02-07 only", [], "verified"), ("2038-01-19 and 2038-01-19", [], None), ("2038-13-01", ["y2038"], None), ("1999-01-01", ["y2036"], None), ("2037-12-31 or 2038-01-19", ["y2038"], "verified")]
+
+
+@query(values([(t, s) for t, _, s in DATED], "text, status"))
+def iso_date_status(spark, sf):
+    return spark.createDataFrame([x[:2] for x in DATED], "text string, domains array<string>").select("text", horizon.dated_status(c("text"), c("domains")).alias("status"))
+
+
+@query("""SELECT event_id, (CASE WHEN h > 0 THEN h || 'h ' ELSE '' END) || (CASE WHEN h > 0 OR m > 0 THEN m || 'm ' ELSE '' END) || (t % 600) // 10 || '.' || t % 10 || 's' AS shown
+FROM (SELECT event_id, t, t // 36000 AS h, t % 36000 // 600 AS m FROM (SELECT event_id, floor(greatest(value * 100, 0.0) * 10 + 0.5)::BIGINT AS t FROM events))""")
+def duration_format(spark, sf):
+    return table(spark, sf, "events").select("event_id", horizon.duration(c("value") * 100).alias("shown"))
+
+
+# ---- findings
+
+
+def _findings(spark, sf):
+    """Findings made of document ids."""
+    pick = lambda name, k: F.element_at(F.array(*map(F.lit, findings.VOCABULARIES[name])), (c("doc_id") % k + 1).cast("int"))
+    return table(spark, sf, "documents").select(
+        "doc_id", pick("finding_type", 6).alias("finding_type"), pick("severity", 5).alias("severity"), pick("disposition", 5).alias("disposition"), pick("validation_status", 4).alias("validation_status"),
+        (c("doc_id") % 3 == 0).alias("source_verified"), pick("scope_relevance", 4).alias("scope_relevance"),
+    )
+
+
+LISTS = {k: "[" + ", ".join(f"'{v}'" for v in findings.VOCABULARIES[k]) + "]" for k in ("severity", "disposition", "validation_status", "scope_relevance", "assurance_status")}
+STATUS_SQL = f"""SELECT CASE WHEN d = 'rejected' THEN 'rejected' WHEN d = 'accepted' THEN 'human_confirmed' WHEN d = 'needs_review' THEN 'deferred' WHEN v = 'verified' THEN 'deterministically_validated'
+WHEN s THEN 'source_verified' ELSE 'candidate' END AS value FROM (SELECT {LISTS['disposition']}[doc_id % 5 + 1] AS d, {LISTS['validation_status']}[doc_id % 4 + 1] AS v, doc_id % 3 = 0 AS s FROM documents)"""
+
+
+@query(f"SELECT (list_position({LISTS['assurance_status']}, value) - 1)::INTEGER AS ord, value, count(*) AS n FROM ({STATUS_SQL}) GROUP BY value")
+def assurance_status_counts(spark, sf):
+    status = findings.assurance_status(c("disposition"), c("validation_status"), c("source_verified"))
+    return findings.counts(_findings(spark, sf).withColumn("status", status), "status", "assurance_status")
+
+
+@query(f"SELECT (list_position({LISTS['scope_relevance']}, value) - 1)::INTEGER AS ord, value, count(*) AS n FROM (SELECT {LISTS['scope_relevance']}[doc_id % 4 + 1] AS value FROM documents) GROUP BY value")
+def findings_by_scope(spark, sf):
+    return findings.counts(_findings(spark, sf), "scope_relevance", "scope_relevance")
+
+
+@query(f"SELECT (row_number() OVER (ORDER BY value) - 1)::INTEGER AS ord, value, count(*) AS n FROM (SELECT {LISTS['disposition']}[doc_id % 5 + 1] AS value FROM documents) GROUP BY value")
+def findings_by_disposition(spark, sf):
+    return findings.counts(_findings(spark, sf), "disposition")
+
+
+@query("""SELECT conv_id AS doc_id, position, printf('F-%03d', row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN position % 7 = 3 THEN NULL ELSE 100 - position END ASC NULLS LAST, position)) AS id FROM (SELECT conv_id, turn AS position FROM conversations)""")
+def renumber_findings(spark, sf):
+    """Findings in reverse order of their sections; one in seven names an unknown section."""
+    t = table(spark, sf, "conversations")
+    own = t.select(c("conv_id").alias("doc_id"), c("turn").alias("position"), F.when(c("turn") % 7 == 3, "nowhere").otherwise(F.concat(F.lit("s-"), "turn")).alias("section_id"), F.lit("").alias("id"))
+    sections = t.select(c("conv_id").alias("doc_id"), F.concat(F.lit("s-"), "turn").alias("id"), (100 - c("turn")).alias("ord"))
+    return findings.renumber(own, sections).select("doc_id", "position", "id")
+
+
+GOLD = [("d", 0, "E1", "explicit_defect", "s-1", "wraps"), ("d", 1, "E2", "implied_assumption", "s-1", "wraps"), ("d", 2, "E3", "explicit_defect", "s-9", None), ("d", 3, "E4", "time_assurance_gap", None, None)]
+FOUND = [("d", 0, "F-001", "implied_assumption", "s-1", ["the counter wraps"]), ("d", 1, "F-002", "explicit_defect", "s-1.2", ["it wraps too"]), ("d", 2, "F-003", "explicit_defect", "s-3", [])]
+MATCHED = [("E1", "F-002", True, "matched", True), ("E2", "F-001", True, "matched", True), ("E3", None, False, "evidence constraints; section failed", None), ("E4", None, False, "type mismatch (no evidence constraints)", None)]
+
+
+@query(values(MATCHED, "expected_id, matched_finding_id, matched, reason, type_agreement"))
+def eval_match(spark, sf):
+    labels = spark.createDataFrame(GOLD, "doc_id string, ord int, id string, finding_type string, section_id_contains string, quote_contains string")
+    return evalmatch.match_findings(labels, spark.createDataFrame(FOUND, "doc_id string, idx int, id string, finding_type string, section_id string, quotes array<string>")).drop("doc_id")
+
+
+ITEM = '{"finding_type": "Explicit_Defect ", "title": "t", "description": "d", "severity": "high", "confidence": "low", "domains": ["y2038", "Y2038", "epoch"], "evidence": [{"quote": "q"}], "machine_interpretation": "m", "scope_relevance": "core", "scope_rationale": "r"%s}'
+RESPONSES = [
+    ("ok", '{"findings": [' + ITEM % "" + "]}", 1, None, None), ("fenced", "<think>x</think>```json\n" + '{"findings": []}' + "\n```", 0, None, None), ("comma", '{"findings": [],}', 0, None, None),
+    ("twice", '{"findings": [], "findings": []}', 0, "duplicate_key", False), ("nan", '{"findings": [NaN]}', 0, "number", False), ("prose", 'Here: {"findings": []}', 0, "json", True), ("list", "[]", 0, "root", True),
+    ("extra", '{"findings": [' + ITEM % ', "x": 1' + "]}", 0, "unexpected_field", True), ("width", '{"findings": [' + ITEM % ', "time_representation": {"width_bits": 3200}' + "]}", 0, "invalid_field", False),
+    ("boolean", '{"findings": [' + ITEM % ', "time_representation": {"width_bits": true}' + "]}", 0, "invalid_field", True), ("one_bad", '{"findings": [' + ITEM % "" + ", 1]}", 0, "not_an_object", True),
+]
+
+
+@query(values([(r[0], *r[2:]) for r in RESPONSES], "doc_id, n, error, repairable"))
+def strict_responses(spark, sf):
+    rows = spark.createDataFrame([(r[0], 0, r[1]) for r in RESPONSES], "doc_id string, request int, content string")
+    return findings.parse_responses(rows).select("doc_id", F.size("findings").alias("n"), "error", "repairable")
+
+
+@query("SELECT event_id, true AS ok, json_keys(props) AS keys FROM events")
+def json_props_strict(spark, sf):
+    """Strict decoding of event properties; the keys in order."""
+    return table(spark, sf, "events").select("event_id", findings.strictly_json("props").alias("ok"), F.json_object_keys("props").alias("keys"))
+
+
+# ---- reports, bench and recovery
+
+
+def _runs(spark, sf):
+    d = c("doc_id")
+    return table(spark, sf, "documents").select(
+        d.alias("run_id"), (d % 7).alias("analysis_request_count"), (d % 3).alias("repair_request_count"), (d % 7 + d % 3 + F.when(d % 11 == 0, 1).otherwise(0)).alias("total_request_count"), (d % 5).alias("recovery_request_count"),
+        F.when(d % 4 == 0, "partial").otherwise("complete").alias("analysis_status"), F.when(d % 6 == 0, F.array(F.lit("a"), F.lit("a"))).when(d % 4 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("failed_section_ids"),
+        (d % 2 == 0).alias("coverage_complete"), (d % 100).alias("analyzed_chars"), (d % 10).alias("failed_chars"), F.lit(100).alias("eligible_chars"),
+        F.when(d % 9 == 0, "whole_document").otherwise("section_aware").alias("analysis_mode"), F.when(d % 9 < 2, "whole_document").otherwise("section_chunks").alias("request_batching"),
+    )
+
+
+@query("""WITH r AS (SELECT doc_id AS d FROM documents)
+SELECT d AS run_id, 'total_is_sum' AS rule FROM r WHERE d % 11 = 0 UNION ALL SELECT d, 'repairs_within_analysis' FROM r WHERE d % 3 > d % 7
+UNION ALL SELECT d, 'recovery_within_total' FROM r WHERE d % 5 > d % 7 + d % 3 + CASE WHEN d % 11 = 0 THEN 1 ELSE 0 END UNION ALL SELECT d, 'partial_has_failures' FROM r WHERE (d % 4 = 0) <> (d % 6 = 0 OR d % 4 = 0)
+UNION ALL SELECT d, 'partial_is_not_complete' FROM r WHERE d % 4 = 0 AND d % 2 = 0 UNION ALL SELECT d, 'failed_ids_are_unique' FROM r WHERE d % 6 = 0
+UNION ALL SELECT d, 'chars_add_up' FROM r WHERE d % 100 + d % 10 > 100 UNION ALL SELECT d, 'whole_document_is_one_request' FROM r WHERE (d % 9 = 0) <> (d % 9 < 2)""")
+def report_invariants(spark, sf):
+    return report.violations(_runs(spark, sf))
+
+
+def _reported(spark, sf):
+    base = _findings(spark, sf)
+    runs = base.select(c("doc_id").alias("run_id"), "doc_id")
+    own = base.select(c("doc_id").alias("run_id"), F.lit(0).alias("ord"), F.lit("F-001").alias("id"), F.lit("Counter *wraps*").alias("title"), F.lit("It wraps.").alias("description"), *[x for x in base.columns if x != "doc_id"],
+                      F.lit("high").alias("confidence"), F.array(F.struct(F.lit("a `quote`").alias("quote"))).alias("evidence"))
+    return runs, own
+
+
+@query()
+def report_markdown(spark, sf):
+    return report.report_markdown(*_reported(spark, sf))
+
+
+@query(f"""SELECT doc_id AS run_id, doc_id AS json_doc, {LISTS['severity']}[doc_id % 5 + 1] AS json_severity FROM documents""")
+def report_json(spark, sf):
+    """Reports as JSON, read back. (K1)"""
+    made = report.report_json(*_reported(spark, sf))
+    get = lambda path: F.get_json_object("json", path)
+    return made.select("run_id", get("$.doc_id").cast("long").alias("json_doc"), get("$.findings[0].severity").alias("json_severity"))
+
+
+@query(r"""SELECT doc_id, length(regexp_replace(text, '\bsk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g')) AS chars, regexp_matches(text, '\bsk-[A-Za-z0-9_-]{8,}') AS had_key FROM documents""")
+def secret_redaction(spark, sf):
+    shown = F.regexp_replace("text", text.SECRETS[-1][0], text.SECRETS[-1][1])
+    return table(spark, sf, "documents").select("doc_id", F.length(shown).cast("long").alias("chars"), (shown != c("text")).alias("had_key"))
+
+
+@query("""SELECT lang, count(*) AS n, count(quality) AS quality_known, sum(quality)::BIGINT AS quality_sum, count(quality) = count(*) AS quality_complete FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
+def metric_completeness(spark, sf):
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), *bench.metric(c("quality"), "quality"))
+
+
+@query("""SELECT conv_id AS k, sum(turn)::BIGINT AS input_tokens, sum(length(text))::BIGINT AS output_tokens, sum(CASE WHEN conv_id % 3 = 0 THEN NULL ELSE turn END)::BIGINT AS reasoning_tokens,
+count(*) FILTER (WHERE turn % 2 = 0) AS primary_requests, count(*) FILTER (WHERE turn % 2 = 1) AS repair_requests FROM conversations GROUP BY conv_id""")
+def usage_totals(spark, sf):
+    t = table(spark, sf, "conversations")
+    rows = t.select(c("conv_id").alias("k"), c("turn").alias("input_tokens"), F.length("text").alias("output_tokens"), F.when(c("conv_id") % 3 != 0, c("turn")).alias("reasoning_tokens"), (c("turn") % 2 + 1).alias("attempt"))
+    return bench.usage_totals(rows, "k")
+
+
+PLANNED = [("b1", "c1", None), ("b1", "c2", "forced"), ("b2", "c1", None)]
+PRIOR = [("b1", "c1", "done", 2), ("b1", "c2", "done", 1), ("b9", "c9", "done", 1)]
+
+
+@query(f"SELECT p.bench_id, p.config_id, coalesce(p.status, q.status) AS status, q.attempts FROM ({values(PLANNED, 'bench_id, config_id, status')}) p LEFT JOIN ({values(PRIOR, 'bench_id, config_id, status, attempts')}) q USING (bench_id, config_id)")
+def manifest_merge(spark, sf):
+    planned, prior = spark.createDataFrame(PLANNED, "bench_id string, config_id string, status string"), spark.createDataFrame(PRIOR, "bench_id string, config_id string, status string, attempts int")
+    return bench.merge_manifest(planned, prior)
+
+
+JOBS = [("b1", "c1", "m1"), ("b1", "c2", "m2"), ("b2", "c1", "m1"), ("b2", "c2", "m2"), ("b3", "c1", "m1")]
+ARTEFACTS = [("b1", "c1", True, True, "m1"), ("b1", "c2", True, False, "m2"), ("b2", "c1", True, True, "other"), ("b2", "c2", False, True, None)]
+
+
+@query(f"""SELECT j.bench_id, j.config_id, CASE WHEN coalesce(a.has_json, false) AND j.model <> a.model THEN 'model' END AS mismatch,
+CASE WHEN NOT coalesce(a.has_json, false) THEN CASE WHEN coalesce(a.has_markdown, false) THEN 'conflict' ELSE 'run' END WHEN j.model <> a.model THEN 'conflict' WHEN a.has_markdown THEN 'skip' ELSE 'render' END AS decision
+FROM ({values(JOBS, 'bench_id, config_id, model')}) j LEFT JOIN ({values(ARTEFACTS, 'bench_id, config_id, has_json, has_markdown, model')}) a USING (bench_id, config_id)""")
+def resume_classify(spark, sf):
+    jobs, found = spark.createDataFrame(JOBS, "bench_id string, config_id string, model string"), spark.createDataFrame(ARTEFACTS, "bench_id string, config_id string, has_json boolean, has_markdown boolean, model string")
+    return bench.classify(jobs, found, ("model",)).select("bench_id", "config_id", "mismatch", "decision")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def planned_minus_done(spark, sf):
+    return bench.remaining(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"]).select("doc_id", "lang")
+
+
+TRIED = [(0, 0, 7, "split"), (1, 0, 3, "succeeded"), (2, 4, 7, "split"), (3, 4, 5, "split"), (4, 4, 4, "succeeded"), (5, 5, 5, "failed"), (6, 6, 7, "succeeded"), (7, 8, 8, "succeeded")]
+
+
+@query(values(TRIED, "step, lo, hi, outcome"))
+def recovery_attempts(spark, sf):
+    ranges = spark.createDataFrame([("d", 0, 7), ("d", 8, 8)], "doc_id string, lo int, hi int")
+    bad = spark.createDataFrame([("d", 5, "invalid_model_output")], "doc_id string, section int, error string")
+    return recovery.recover(ranges, bad).select("step", "lo", "hi", "outcome")
+
+
+@query()
+def section_plan(spark, sf):
+    """Section-aware plans of conversations with prices and a budget."""
+    return scan.plan_sections(_turns(spark, sf), scan.configs(spark), window=128_000, max_cost_usd=0.05)
+
+
+# ---- extension
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, sf):
+    out = arrivals.windowed_counts(table(spark, sf, "events"))
+    return out.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
