@@ -1,12 +1,17 @@
 """Queries of the training-data operators, with DuckDB SQL where SQL can express them."""
 
-from longwatch.llm import mixing, pieces, quality, simhash, suffix
+from longwatch.llm import chat, digest, embeddings, mixing, passages, pieces, quality, simhash, suffix, urls
 
 QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_water_filling": mixing.op2_water_filling,
+    "op3_url_rules": urls.op3_url_rules,
     "op4_simhash_bk_trees": simhash.op4_simhash_bk_trees,
+    "op5_nn_descent": embeddings.op5_nn_descent,
+    "op6_collinear_chains": passages.op6_collinear_chains,
     "op7_sentencepiece_dropout": pieces.op7_sentencepiece_dropout,
     "op8_suffix_array_dedup": suffix.op8_suffix_array_dedup,
+    "op9_canonical_digest": digest.op9_canonical_digest,
     "op10_quality_votes": quality.op10_quality_votes,
 }
-ORACLE = {"op2_water_filling": mixing.OP2_SQL}
+ORACLE = {"op1_chat_formatting": chat.OP1_SQL, "op2_water_filling": mixing.OP2_SQL}

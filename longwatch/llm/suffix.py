@@ -21,14 +21,13 @@ third of all documents share is a few rows for each batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from longwatch.llm.blocks import BATCH, ROWS, SHARDS, block_rows, by_id, by_shard, by_value, by_value_rows, dealt, first_texts, found_for, grouped_texts, join_blocks, pack, per_document, shard_of, unpack
 from longwatch.llm.common import read, shuffle_width
 
 LENGTH = 50
@@ -37,10 +36,6 @@ _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes hashed at a time, so that long texts take bounded memory.
 _PART = 1 << 20
-#: Bytes of text from which a batch's runs are sent on.
-_BATCH = 1 << 25
-#: Shards for each shuffle partition; a task works on one shard at a time.
-_SHARDS = 8
 #: In the transform: no symbol precedes, or it is not inserted yet. Never a byte of UTF-8.
 _NONE = 255
 _CHECK = 32
@@ -107,72 +102,6 @@ def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
-
-
-def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    n, at, out = len(data) // width, 0, []
-    for k in kinds:
-        out.append(np.frombuffer(data, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
-
-
-def _by_value(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stable order, starts of the equal stretches in that order)."""
-    order = np.argsort(values, kind="stable")
-    there = values[order]
-    return order, np.flatnonzero(np.r_[True, there[1:] != there[:-1]]) if len(there) else np.zeros(0, np.int64)
-
-
-def _batches(batches, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], list]]:
-    """Regroups (_id, _row, _data, _state, _found?) rows as (id, nth, bytes, flags) until they hold enough bytes; ordered by id."""
-    rows, held = [], 0
-
-    def done():
-        rows.sort(key=lambda r: r[:2])
-        ids, nths, data, flags = zip(*rows, strict=True)
-        return np.array(ids, np.int64), np.array(nths, np.int32), list(data), list(flags)
-
-    for b in batches:
-        flags = b.column(4).to_pylist() if b.num_columns > 4 else [None] * b.num_rows
-        for i, state, x, f in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(2), flags, strict=True):
-            x = x.as_py() or b""
-            rows.append((i, state["nth"], x, _of(f, state["nth"])))
-            held += len(x)
-            if held >= most:
-                yield done()
-                rows, held = [], 0
-    if rows:
-        yield done()
-
-
-def _of(found: list[dict] | None, nth: int) -> list[bytes]:
-    return [f["data"] for f in found or [] if f["nth"] == nth]
-
-
-def _rows(out: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "id", "nth", "data"])
-
-
-_ROWS = "shard long, id long, nth int, data binary"
-
-
-def _split(values: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(value, its rows) for each distinct value; rows keep their order."""
-    order, begin = _by_value(values)
-    for i, x in zip(begin, np.split(rows[order], begin[1:]), strict=False):
-        yield values[order[i]], x
-
-
-def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return (h % np.uint64(shards)).astype(np.int64)
-
-
 def _announce(length: int, shards: int):
     """First pass: each batch names its minimizers, once each, to their shards.
 
@@ -182,74 +111,41 @@ def _announce(length: int, shards: int):
     """
 
     def run(batches):
-        for ids, nths, data, _ in _batches(batches, _BATCH):
+        for ids, nths, data, _ in grouped_texts(batches, BATCH):
             parts = [runs(x, length)[0] for x in data]
             h = np.concatenate(parts)
             if not len(h):
                 continue
             doc = np.repeat(np.arange(len(ids)), [len(p) for p in parts])
             number = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts])
-            order, begin = _by_value(h)
+            order, begin = by_value(h)
             size = np.diff(np.r_[begin, len(order)])
             least, last = doc[order[begin]], doc[order[begin + size - 1]]
             known = np.empty(len(h), bool)
             known[order] = np.repeat(least != last, size)
             out = []
             rows = np.flatnonzero(known)
-            for k, x in _split(doc[rows], rows):
-                out.append((shards + int(ids[k]) % shards, int(ids[k]), int(nths[k]), _pack(number[x])))
+            for k, x in by_value_rows(doc[rows], rows):
+                out.append((shards + int(ids[k]) % shards, int(ids[k]), int(nths[k]), pack(number[x])))
             first = np.zeros(len(h), bool)
             first[order[begin]] = True
             rows = np.flatnonzero(first | ~known)  # all runs of a document whose minimizers no other in the batch has
-            for s, x in _split(_shard_of(h[rows], shards), rows):
-                out.append((int(s), 0, 0, _pack(h[x], ids[doc[x]], nths[doc[x]], number[x], known[x])))
-            yield _rows(out)
-
-    return run
-
-
-def _by_shard(work, shards: int):
-    """Runs work over the blocks of one shard at a time; rows come sorted by shard."""
-
-    def run(batches):
-        now, held = None, []
-        for b in batches:
-            for s, i, nth, x in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
-                if s >= shards:
-                    yield _rows([(0, i, nth, x.as_py())])
-                    continue
-                if s != now and held:
-                    yield work(held)
-                    held = []
-                now = s
-                held.append(x.as_py())
-        if held:
-            yield work(held)
+            for s, x in by_value_rows(shard_of(h[rows], shards), rows):
+                out.append((int(s), 0, 0, pack(h[x], ids[doc[x]], nths[doc[x]], number[x], known[x])))
+            yield block_rows(out)
 
     return run
 
 
-def _joined(blocks: list[bytes], *kinds) -> list[np.ndarray]:
-    return [np.concatenate(x) for x in zip(*(_unpack(b, *kinds) for b in blocks), strict=True)]
-
-
-def _per_document(ids: np.ndarray, nths: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """One row with the packed columns for each document."""
-    order = np.lexsort((nths, ids))
-    i, n = ids[order], nths[order]
-    begin = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (n[1:] != n[:-1])]) if len(i) else np.zeros(0, np.int64)
-    return _rows([(0, int(ids[x[0]]), int(nths[x[0]]), _pack(*(c[x] for c in columns))) for x in np.split(order, begin[1:]) if len(x)])
-
-
 def _shared(blocks: list[bytes]) -> pa.RecordBatch:
     """Run numbers, by document, of the minimizers that occur in two documents."""
-    h, ids, nths, number, known = _joined(blocks, np.uint64, np.int64, np.int32, np.int32, bool)
-    order, begin = _by_value(h)
+    h, ids, nths, number, known = join_blocks(blocks, np.uint64, np.int64, np.int32, np.int32, bool)
+    order, begin = by_value(h)
     size = np.diff(np.r_[begin, len(order)])
     i, n = ids[order], nths[order]
     differ = (np.minimum.reduceat(i, begin) != np.maximum.reduceat(i, begin)) | (np.minimum.reduceat(n, begin) != np.maximum.reduceat(n, begin))
     rows = order[np.repeat(differ, size) & ~known[order]]
-    return _per_document(ids[rows], nths[rows], number[rows])
+    return per_document(ids[rows], nths[rows], number[rows])
 
 
 def _matrix(data: bytes, begin: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -289,12 +185,12 @@ def _cut_runs(length: int, shards: int):
     width = 2 * length - _GRAM
 
     def run(batches):
-        for ids, nths, data, flags in _batches(batches, _BATCH):
+        for ids, nths, data, flags in grouped_texts(batches, BATCH):
             parts = []
             for k, found in enumerate(flags):
                 if found:
                     h, begin, windows = runs(data[k], length)
-                    pick = np.unique(np.concatenate([_unpack(f, np.int32)[0] for f in found]))
+                    pick = np.unique(np.concatenate([unpack(f, np.int32)[0] for f in found]))
                     size = windows[pick] + length - 1
                     parts.append((h[pick], np.full(len(pick), k), begin[pick], size, _matrix(data[k], begin[pick], size, width)))
             if not parts:
@@ -304,12 +200,12 @@ def _cut_runs(length: int, shards: int):
             least = doc[first][of]
             later = ids[doc] > ids[least]
             out = []
-            for k, x in _split(doc[later], np.flatnonzero(later)):
-                out.append((shards + int(ids[k]) % shards, int(ids[k]), int(nths[k]), _pack(begin[x], size[x] - length + 1)))
+            for k, x in by_value_rows(doc[later], np.flatnonzero(later)):
+                out.append((shards + int(ids[k]) % shards, int(ids[k]), int(nths[k]), pack(begin[x], size[x] - length + 1)))
             own = np.flatnonzero(~later)
-            for s, x in _split(_shard_of(h[own], shards), own):
-                out.append((int(s), 0, 0, _pack(ids[doc[x]], nths[doc[x]], begin[x], size[x].astype(np.uint8), row[x])))
-            yield _rows(out)
+            for s, x in by_value_rows(shard_of(h[own], shards), own):
+                out.append((int(s), 0, 0, pack(ids[doc[x]], nths[doc[x]], begin[x], size[x].astype(np.uint8), row[x])))
+            yield block_rows(out)
 
     return run
 
@@ -384,7 +280,7 @@ def _promising(row: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
     h ^= h >> np.uint64(32)
     real = np.arange(h.shape[1])[None, :] >= (width - size)[:, None]
     of = np.repeat(np.arange(len(row)), real.sum(1))
-    order, begin = _by_value(h[real])
+    order, begin = by_value(h[real])
     if not len(order):
         return np.zeros(len(row), bool)
     low, high = np.minimum.reduceat(of[order], begin), np.maximum.reduceat(of[order], begin)
@@ -404,7 +300,7 @@ def _repeats(length: int):
 
     def work(blocks: list[bytes]) -> pa.RecordBatch:
         kinds = (np.int64, np.int32, np.int64, np.uint8, np.dtype((np.uint8, width)))
-        ids, nths, begin, size, row = _joined(blocks, *kinds)
+        ids, nths, begin, size, row = join_blocks(blocks, *kinds)
         size = size.astype(np.int64)
         first, of = _distinct(row, size)
         least = np.full(len(first), np.iinfo(np.int64).max)
@@ -423,7 +319,7 @@ def _repeats(length: int):
         edges = np.diff(np.pad(covered, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         a, b = np.nonzero(edges == 1), np.nonzero(edges == -1)
         rows = a[0]
-        return _per_document(ids[rows], nths[rows], begin[rows] + a[1], b[1] - a[1])
+        return per_document(ids[rows], nths[rows], begin[rows] + a[1], b[1] - a[1])
 
     return work
 
@@ -432,7 +328,7 @@ def removed_runs(n: int, found: list[bytes] | None, length: int) -> tuple[np.nda
     """(starts, ends) of the maximal runs of bytes under the found windows."""
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start, count = _joined(found, np.int64, np.int64)
+    start, count = join_blocks(found, np.int64, np.int64)
     edge = np.zeros(n + 2, np.int32)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + count + length - 1, -1)
@@ -449,7 +345,7 @@ def _finish(length: int, characters: bool):
                 if state["whole"] and len(x) >= length:
                     s, e = np.array([0]), np.array([len(x)])
                 else:
-                    s, e = removed_runs(len(x), [] if state["whole"] else _of(found, state["nth"]), length)
+                    s, e = removed_runs(len(x), [] if state["whole"] else found_for(found, state["nth"]), length)
                 sizes.append(len(x))
                 starts.append(s.tolist())
                 ends.append(e.tolist())
@@ -476,26 +372,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if length < 2 * _GRAM or 2 * length - _GRAM > 254:
         raise ValueError(f"length must be from {2 * _GRAM} to {(254 + _GRAM) // 2}")
-    shards = shuffle_width(docs.sparkSession) * _SHARDS
+    shards = shuffle_width(docs.sparkSession) * SHARDS
     other = [c for c in docs.columns if c not in (text_col, "n_bytes", "starts", "ends", "kept")]
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    data = F.col(text_col).cast("binary")
-    rows = docs.select(own.alias("_id"), F.struct(*[docs[c] for c in other]).alias("_row"), data.alias("_data"), F.sha2(F.coalesce(data, F.lit(b"")), 256).alias("_sum"))
-    # of equal texts, only that of the least id is looked at; of texts that share an id, each has a number
-    pairs = rows.select("_id", "_sum").distinct()
-    least = pairs.groupBy("_sum").agg(F.min("_id").alias("_least"))
-    pairs = pairs.join(least, "_sum").groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_sum", (F.col("_least") < F.col("_id")).alias("whole")))).alias("_texts"))
-    # every join is on _id alone, so that one shuffle of the texts serves all three passes
-    nth = F.array_position(F.col("_texts._sum"), F.col("_sum")).cast("int")
-    state = F.struct(nth.alias("nth"), F.element_at("_texts.whole", nth).alias("whole"))
-    base = rows.join(pairs.hint("shuffle_hash"), "_id").select("_id", "_row", "_data", state.alias("_state"))
+    base = first_texts(docs, id_col, text_col, other)
     lone = base.where(~F.col("_state.whole"))
-    named = lone.mapInArrow(_announce(length, shards), _ROWS)
-    flags = _dealt(named).mapInArrow(_by_shard(_shared, shards), _ROWS)
-    picked = lone.join(_by_id(flags).hint("shuffle_hash"), "_id").select("_id", "_row", "_data", "_state", "_found")
-    sent = picked.mapInArrow(_cut_runs(length, shards), _ROWS)
-    found = _dealt(sent).mapInArrow(_by_shard(_repeats(length), shards), _ROWS)
-    done = base.join(_by_id(found).hint("shuffle_hash"), "_id", "left").select("_id", "_row", "_data", "_state", "_found")
+    named = lone.mapInArrow(_announce(length, shards), ROWS)
+    flags = dealt(named).mapInArrow(by_shard(_shared, shards), ROWS)
+    picked = lone.join(by_id(flags).hint("shuffle_hash"), "_id").select("_id", "_row", "_data", "_state", "_found")
+    sent = picked.mapInArrow(_cut_runs(length, shards), ROWS)
+    found = dealt(sent).mapInArrow(by_shard(_repeats(length), shards), ROWS)
+    done = base.join(by_id(found).hint("shuffle_hash"), "_id", "left").select("_id", "_row", "_data", "_state", "_found")
     longs = T.ArrayType(T.LongType())
     new = [("n_bytes", T.LongType()), ("starts", longs), ("ends", longs), ("kept", T.BinaryType())]
     schema = T.StructType([done.schema["_row"], *[T.StructField(name, kind) for name, kind in new]])
@@ -503,14 +389,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(*[F.col("_row")[c].alias(c) for c in other], "n_bytes", "starts", "ends", "kept")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("shard").sortWithinPartitions("shard")
-
-
-def _by_id(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("nth", "data")).alias("_found"))
-
-
 def op8_suffix_array_dedup(spark, sf_dir) -> DataFrame:
     rows = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
