@@ -105,9 +105,9 @@ def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
 def _announce(length: int, shards: int):
     """First pass: each batch names its minimizers, once each, to their shards.
 
-    Below shards: (minimizer, id, nth, run's number, known) blocks. From shards
-    on: run numbers of one document, of minimizers that occur in two documents
-    of this batch.
+    Below shards: (minimizer, id, nth, known) blocks, one row for each
+    minimizer of the batch. From shards on: minimizers of one document that
+    occur in two documents of this batch.
     """
 
     def run(batches):
@@ -117,35 +117,45 @@ def _announce(length: int, shards: int):
             if not len(h):
                 continue
             doc = np.repeat(np.arange(len(ids)), [len(p) for p in parts])
-            number = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts])
             order, begin = by_value(h)
             size = np.diff(np.r_[begin, len(order)])
-            least, last = doc[order[begin]], doc[order[begin + size - 1]]
-            known = np.empty(len(h), bool)
-            known[order] = np.repeat(least != last, size)
+            of = doc[order]
+            shared = of[begin] != of[begin + size - 1]
             out = []
-            rows = np.flatnonzero(known)
+            fresh = np.r_[True, of[1:] != of[:-1]]
+            fresh[begin] = True
+            rows = order[np.repeat(shared, size) & fresh]
             for k, x in by_value_rows(doc[rows], rows):
-                out.append((shards + int(ids[k]) % shards, int(ids[k]), int(nths[k]), pack(number[x])))
-            first = np.zeros(len(h), bool)
-            first[order[begin]] = True
-            rows = np.flatnonzero(first | ~known)  # all runs of a document whose minimizers no other in the batch has
-            for s, x in by_value_rows(shard_of(h[rows], shards), rows):
-                out.append((int(s), 0, 0, pack(h[x], ids[doc[x]], nths[doc[x]], number[x], known[x])))
+                out.append((shards + int(ids[k]) % shards, int(ids[k]), int(nths[k]), pack(_high(h[x]))))
+            first, known = order[begin], shared
+            near = np.argsort(first, kind="stable")  # by document, so that a block's ids and zeros compress
+            first, known = first[near], known[near]
+            for s, x in by_value_rows(shard_of(h[first], shards), np.arange(len(first))):
+                r = first[x]
+                out.append((int(s), 0, 0, pack(_high(h[r]), _low(h[r]), ids[doc[r]], nths[doc[r]], known[x])))
             yield block_rows(out)
 
     return run
 
 
+def _high(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _low(h: np.ndarray) -> np.ndarray:
+    """With the high half, 48 bits of a minimizer: where these meet by chance, a run is looked at in vain."""
+    return (h >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
 def _shared(blocks: list[bytes]) -> pa.RecordBatch:
-    """Run numbers, by document, of the minimizers that occur in two documents."""
-    h, ids, nths, number, known = join_blocks(blocks, np.uint64, np.int64, np.int32, np.int32, bool)
-    order, begin = by_value(h)
+    """Minimizers, by document, that occur in two documents."""
+    high, low, ids, nths, known = join_blocks(blocks, np.uint32, np.uint16, np.int64, np.int32, bool)
+    order, begin = by_value(high.astype(np.uint64) << np.uint64(16) | low)
     size = np.diff(np.r_[begin, len(order)])
     i, n = ids[order], nths[order]
     differ = (np.minimum.reduceat(i, begin) != np.maximum.reduceat(i, begin)) | (np.minimum.reduceat(n, begin) != np.maximum.reduceat(n, begin))
     rows = order[np.repeat(differ, size) & ~known[order]]
-    return per_document(ids[rows], nths[rows], number[rows])
+    return per_document(ids[rows], nths[rows], high[rows])
 
 
 def _matrix(data: bytes, begin: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -190,7 +200,7 @@ def _cut_runs(length: int, shards: int):
             for k, found in enumerate(flags):
                 if found:
                     h, begin, windows = runs(data[k], length)
-                    pick = np.unique(np.concatenate([unpack(f, np.int32)[0] for f in found]))
+                    pick = np.flatnonzero(np.isin(_high(h), np.concatenate([unpack(f, np.uint32)[0] for f in found])))
                     size = windows[pick] + length - 1
                     parts.append((h[pick], np.full(len(pick), k), begin[pick], size, _matrix(data[k], begin[pick], size, width)))
             if not parts:
