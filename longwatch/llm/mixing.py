@@ -92,7 +92,7 @@ def _draw(seed: int) -> Column:
 def _take(state: DataFrame, left: DataFrame, k: int) -> DataFrame:
     """Takes rows that fit, in the order of draw, as long as their sum does; in parts, so that no task gets a whole source."""
     left = left.select(F.col("source").alias("s"), "left")
-    fits = F.col("taken_at").isNull() & (F.col("words") <= F.col("left"))
+    fits = F.col("taken_at").isNull() & (F.col("left") > 0) & (F.col("words") <= F.col("left"))
     state = state.join(left, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("add", F.when(fits, F.col("words")).otherwise(0))
     parts = state.groupBy(F.col("source").alias("s"), F.col("part").alias("p")).agg(F.sum("add").alias("sum"))
     upto = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
