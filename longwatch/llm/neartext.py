@@ -4,12 +4,13 @@ At a Jaccard similarity of 0.8 two SimHashes differ in some ten of their 64
 bits, too many for shards by equal bit blocks. Here a tree shard holds the
 documents that share the least shingle hash of one of a few hash ranges; two
 documents at the threshold share none with a chance of about 0.2 ** 6. Shards
-with more documents than one tree may hold are routed again by a second least
-hash, and what is still larger is split into trees that are each searched for
-all documents of the shard. In a tree, a search within a wide radius follows
-only the edges within it; a small signature ranks the pairs found, and a
-spanning forest of the likeliest is sent on. The exact similarity of those
-pairs decides.
+with more documents than one tree may hold are split into trees that are each
+searched for all documents of the shard. In a tree, a search within a wide
+radius follows only the edges within it; a small signature ranks the pairs
+found, and a spanning forest of the likeliest is checked exactly. What those
+links leave apart is then compared signature by signature within its shard,
+whatever the radius, and every likely pair between two components is checked
+exactly too: a pair that is refuted hides no other.
 """
 
 from __future__ import annotations
@@ -25,12 +26,17 @@ from longwatch.llm.simhash import TREE, Forest, shingle_hashes, simhash
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 18
-#: Signature pairs below the threshold by this much are not checked exactly.
-SLACK = 0.1
+#: Deviations of its estimate by which a pair that is not checked exactly is below the threshold.
+SLACK = 4.5
+#: Likely pairs that a document sends in the first round after the forest; each later round has so many times more.
+MOST = 16
 _RANGES = 6
 _BINS = 256
-_EMPTY = 0xFFFF
+#: Bins that are compared first.
+_FIRST = 32
+_EMPTY = 0xFF
 _PAIRS = 1 << 21
+_ROWS = 512
 
 
 def _sketch(text: str, shingle: int) -> tuple[int, bytes, list[int]]:
@@ -40,7 +46,7 @@ def _sketch(text: str, shingle: int) -> tuple[int, bytes, list[int]]:
     at = np.searchsorted(u, np.arange(_BINS, dtype=np.uint64) << np.uint64(56))
     there = np.append(u, np.uint64(0))[at]
     full = (at < len(u)) & ((there >> np.uint64(56)) == np.arange(_BINS))
-    sign = np.where(full, there % np.uint64(_EMPTY), _EMPTY).astype(np.uint16)
+    sign = np.where(full, there % np.uint64(_EMPTY), _EMPTY).astype(np.uint8)
     range_of = (u >> np.uint64(8)) % np.uint64(_RANGES)
     keys = [int(x.min()) for k in range(_RANGES) if len(x := u[range_of == k])]
     return simhash(h), sign.tobytes(), keys
@@ -60,10 +66,15 @@ def _sketches(shingle: int):
     return run
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of rows of signatures."""
+def likeness(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated Jaccard similarity of rows of signatures, and the bins that it rests on."""
     either = ((a != _EMPTY) | (b != _EMPTY)).sum(1)
-    return ((a == b) & (a != _EMPTY)).sum(1) / np.maximum(either, 1)
+    return ((a == b) & (a != _EMPTY)).sum(1) / np.maximum(either, 1), either
+
+
+def floor(similarity: float, bins: np.ndarray) -> np.ndarray:
+    """The estimate from so many bins that a pair with the similarity reaches but for a chance of some 1 in 300,000."""
+    return similarity - SLACK * np.sqrt(similarity * (1 - similarity) / np.maximum(bins, 1))
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -84,7 +95,7 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nda
     return np.array(kept, np.int64)
 
 
-def _shard(ids, fps, signs, group, member, radius: int, least: float):
+def _shard(ids, fps, signs, group, member, radius: int, similarity: float):
     members = np.flatnonzero(member)
     codes, tree_group = np.unique(group[members], return_inverse=True)
     forest = Forest(fps[members], tree_group)
@@ -103,8 +114,8 @@ def _shard(ids, fps, signs, group, member, radius: int, least: float):
         a, b = a[ok], b[ok]
         for i in range(0, len(a), 1 << 16):
             x, y = a[i:i + (1 << 16)], b[i:i + (1 << 16)]
-            w = likeness(signs[x], signs[y])
-            good = w >= least
+            w, bins = likeness(signs[x], signs[y])
+            good = w >= floor(similarity, bins)
             found.append((x[good], y[good], w[good]))
             held += int(good.sum())
         if held > _PAIRS:
@@ -115,33 +126,105 @@ def _shard(ids, fps, signs, group, member, radius: int, least: float):
     return ids[a], ids[b]
 
 
-def _search(radius: int, least: float):
+def _rest(ids, signs, roots, begin: int, end: int, member, similarity: float, most: int):
+    """Likely pairs of a tree's members with its rows in other components, in blocks; whether a row had more than it may send."""
+    members = np.flatnonzero(member[begin:end]) + begin
+    whole, none = signs[members], (signs[members] == _EMPTY)
+    for i in range(begin, end, _ROWS):
+        rows = np.arange(i, min(i + _ROWS, end))
+        for k in range(0, len(members), 4096):
+            to = members[k:k + 4096]
+            same = np.zeros((len(rows), len(to)), np.uint8)
+            for j in range(_FIRST):
+                same += signs[rows, j][:, None] == whole[k:k + 4096, j][None, :]
+            empty = (signs[rows, :_FIRST] == _EMPTY).astype(np.float32) @ none[k:k + 4096, :_FIRST].T.astype(np.float32)
+            bins = _FIRST - empty
+            likely = (same - empty >= floor(similarity, bins) * bins) & (roots[rows][:, None] != roots[to][None, :])
+            likely &= ~member[rows][:, None] | (rows[:, None] < to[None, :])
+            q, node = np.nonzero(likely)
+            a, b, w = [], [], []
+            for at in range(0, len(q), 1 << 16):
+                x, y = rows[q[at:at + (1 << 16)]], to[node[at:at + (1 << 16)]]
+                v, n = likeness(signs[x], signs[y])
+                good = v >= floor(similarity, n)
+                a.append(x[good])
+                b.append(y[good])
+                w.append(v[good])
+            if not a:
+                continue
+            a, b, w = np.concatenate(a), np.concatenate(b), np.concatenate(w)
+            order = np.lexsort((-w, a))
+            first = np.searchsorted(a[order], a[order])
+            keep = order[np.arange(len(a)) - first < most]
+            yield ids[a[keep]], ids[b[keep]], len(keep) < len(a)
+
+
+def _numbered(t: pa.Table) -> np.ndarray:
+    shard, number = t["shard"].to_numpy(), t["tree"].to_numpy()
+    return np.cumsum(np.r_[False, (shard[1:] != shard[:-1]) | (number[1:] != number[:-1])])
+
+
+def _whole_trees(batches):
+    """Tables of whole trees from rows that are sorted by shard and tree."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        t = pa.Table.from_batches(held)
+        shard, number = t["shard"].to_numpy(), t["tree"].to_numpy()
+        other = np.flatnonzero((shard != shard[-1]) | (number != number[-1]))
+        if len(other) and other[-1] >= 4096:
+            yield t.slice(0, other[-1] + 1)
+            held = t.slice(other[-1] + 1).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _signs(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sign"].to_pylist()), np.uint8).reshape(-1, _BINS)
+
+
+def _search(radius: int, similarity: float):
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        for t in _whole_trees(batches):
+            a, b = _shard(t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64), _signs(t), _numbered(t), t["member"].to_numpy(), radius, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-        def done(t: pa.Table):
-            shard, number = t["shard"].to_numpy(), t["tree"].to_numpy()
-            group = np.cumsum(np.r_[False, (shard[1:] != shard[:-1]) | (number[1:] != number[:-1])])
-            signs = np.frombuffer(b"".join(t["sign"].to_pylist()), np.uint16).reshape(-1, _BINS)
-            a, b = _shard(t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64), signs, group, t["member"].to_numpy(), radius, least)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return run
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            t = pa.Table.from_batches(held)
-            shard, number = t["shard"].to_numpy(), t["tree"].to_numpy()
-            other = np.flatnonzero((shard != shard[-1]) | (number != number[-1]))
-            if len(other) and other[-1] >= 4096:
-                yield done(t.slice(0, other[-1] + 1))
-                held = t.slice(other[-1] + 1).to_batches()
-        if held:
-            yield done(pa.Table.from_batches(held))
+
+def _compare(similarity: float, most: int):
+    """(shard, a, b) of likely pairs between components; a row without a and b marks a shard that has more of them."""
+
+    def run(batches):
+        for t in _whole_trees(batches):
+            ids, signs, roots, member, group = t["id"].to_numpy(), _signs(t), t["root"].to_numpy(), t["member"].to_numpy(), _numbered(t)
+            begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            shards = t["shard"].to_numpy()
+            out, held = [], 0
+            for i, j in zip(begin, [*begin[1:], len(ids)], strict=True):
+                if (roots[i:j] == roots[i]).all():
+                    continue
+                more = False
+                for a, b, cut_off in _rest(ids, signs, roots, i, j, member, similarity, most):
+                    out.append((np.full(len(a), shards[i]), np.minimum(a, b), np.maximum(a, b)))
+                    more, held = more or cut_off, held + len(a)
+                    if held > 1 << 16:
+                        yield _rows(out)
+                        out, held = [], 0
+                if more:
+                    yield pa.RecordBatch.from_arrays([pa.array([shards[i]]), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names=["shard", "a", "b"])
+            yield _rows(out)
 
     return run
 
 
+def _rows(out: list) -> pa.RecordBatch:
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shard", "a", "b"])
+
+
 def _routed(rows: DataFrame, tree: int) -> DataFrame:
     """(id, shard, n): the shards of each document that hold others too; large ones are routed by a second hash."""
     one = rows.select("id", "keys", F.explode("keys").alias("shard"))
@@ -190,6 +273,15 @@ def _links(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["a", "b", "set"])
 
 
+def _exact(lone: DataFrame, likely: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have the exact similarity."""
+    ends = likely.select(F.col("a").alias("id"), "a", "b").union(likely.select(F.col("b").alias("id"), "a", "b"))
+    ends = ends.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("ends"))
+    shingles, compare = _verify(shingle, similarity)
+    sets = lone.join(ends.hint("shuffle_hash"), "id").select("text", "ends").mapInArrow(shingles, "a long, b long, set binary")
+    return sets.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
+
+
 def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """(id, component_id) for each distinct non-null id that shares a group with a lesser id.
 
@@ -212,14 +304,27 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = F.pmod(F.xxhash64("id"), F.col("trees")).cast("int")
     spread = routed.select("shard", "id", "fp", "sign", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
     asked = spread.select("shard", "tree", "id", "fp", "sign", (F.col("own") == F.col("tree")).alias("member"))
-    asked = asked.repartition("shard", "tree").sortWithinPartitions("shard", "tree")
-    likely = cut(asked.mapInArrow(_search(radius, similarity - SLACK), "a long, b long").distinct())
-    ends = likely.select(F.col("a").alias("id"), "a", "b").union(likely.select(F.col("b").alias("id"), "a", "b"))
-    ends = ends.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("ends"))
-    shingles, compare = _verify(shingle, similarity)
-    sets = lone.join(ends.hint("shuffle_hash"), "id").select("text", "ends").mapInArrow(shingles, "a long, b long, set binary")
-    links = sets.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
-    return components(links.union(copies)).where("node != root").select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+    trees = asked.repartition("shard", "tree").sortWithinPartitions("shard", "tree")
+    likely = cut(trees.mapInArrow(_search(radius, similarity), "a long, b long").distinct())
+    links = cut(_exact(lone, likely, shingle, similarity).union(copies))
+    most = MOST
+    while True:
+        roots = components(links)
+        placed = routed.select("shard", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("shard", "id", F.coalesce("root", "id").alias("root"))
+        apart = placed.groupBy("shard").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("shard")
+        rows = asked.drop("fp").join(placed.join(apart, "shard"), ["shard", "id"])
+        if most > MOST:
+            rows = rows.join(left, "shard")
+        rows = rows.repartition("shard", "tree").sortWithinPartitions("shard", "tree")
+        found = cut(rows.mapInArrow(_compare(similarity, most), "shard long, a long, b long"))
+        likely = cut(found.where("a is not null").select("a", "b").distinct())
+        exact = _exact(lone, likely, shingle, similarity)
+        links = cut(links.union(exact))
+        left = cut(found.where("a is null").select("shard").distinct())
+        if left.isEmpty():
+            break
+        most *= MOST
+    return components(links).where("node != root").select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -139,6 +139,25 @@ def test_near_texts_against_brute_force(spark):
         assert [got.get(k, k) for k in range(len(texts))] == label
 
 
+def test_refuted_pairs_hide_no_link(spark):
+    r = random.Random(31)
+    base = words(404, 32, 10**6).split()
+    texts = []
+    for _ in range(150):
+        t = base[:]
+        for at in r.sample(range(5, 399), r.choice((4, 5))):
+            t[at] = f"z{r.randrange(10**9)}"
+        texts.append(" ".join(t))
+    sets = [set(map(int, simhash.shingle_hashes(t, 5))) for t in texts]
+    label = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    for _ in range(len(texts)):
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x.doc_id: x.component_id for x in neartext.near_text_groups(docs(spark, [(k, t, None) for k, t in enumerate(texts)])).collect()}
+    assert [got.get(k, k) for k in range(len(texts))] == label
+
+
 # ---- suffix dedup
 
 
