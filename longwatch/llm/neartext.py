@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,28 +40,27 @@ _PAIRS = 1 << 21
 _ROWS = 512
 
 
-def _sketch(text: str, shingle: int) -> tuple[int, bytes, list[int]]:
-    """(SimHash, signature, least shingle hash of each range) of a text."""
-    h = shingle_hashes(text, shingle)
-    u = np.unique(h)
+def _sketch(text: str, shingle: int) -> tuple[int, bytes, list[int], bytes | None]:
+    """(SimHash, signature, least shingle hash of each range, digest) of the set of a text's shingles."""
+    u = np.unique(shingle_hashes(text, shingle))
     at = np.searchsorted(u, np.arange(_BINS, dtype=np.uint64) << np.uint64(56))
     there = np.append(u, np.uint64(0))[at]
     full = (at < len(u)) & ((there >> np.uint64(56)) == np.arange(_BINS))
     sign = np.where(full, there % np.uint64(_EMPTY), _EMPTY).astype(np.uint8)
     range_of = (u >> np.uint64(8)) % np.uint64(_RANGES)
     keys = [int(x.min()) for k in range(_RANGES) if len(x := u[range_of == k])]
-    return simhash(h), sign.tobytes(), keys
+    return simhash(u), sign.tobytes(), keys, xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None
 
 
 def _sketches(shingle: int):
     def run(batches):
         for b in batches:
             made = [_sketch(x, shingle) for x in texts(b.column(1))]
-            fp, sign, keys = zip(*made, strict=True) if made else ((), (), ())
+            fp, sign, keys, same = zip(*made, strict=True) if made else ((), (), (), ())
             keys = [np.array(k, np.uint64).view(np.int64) for k in keys]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sign, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "fp", "sign", "keys"],
+                [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sign, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(same, pa.binary())],
+                names=["id", "fp", "sign", "keys", "same"],
             )
 
     return run
@@ -225,15 +225,11 @@ def _rows(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shard", "a", "b"])
 
 
-def _routed(rows: DataFrame, tree: int) -> DataFrame:
-    """(id, shard, n): the shards of each document that hold others too; large ones are routed by a second hash."""
-    one = rows.select("id", "keys", F.explode("keys").alias("shard"))
+def _routed(rows: DataFrame) -> DataFrame:
+    """(id, shard, n): the shards of each document that hold others too."""
+    one = rows.select("id", F.explode("keys").alias("shard")).distinct()
     sizes = one.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    one = one.join(sizes, "shard")
-    large = one.where(F.col("n") > tree).select("id", "shard", F.explode(F.array_remove("keys", F.col("shard"))).alias("second"))
-    large = large.select("id", F.xxhash64("shard", "second").alias("shard"))
-    sizes = large.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    return one.where(F.col("n") <= tree).select("id", "shard", "n").union(large.join(sizes, "shard").select("id", "shard", "n"))
+    return one.join(sizes, "shard").select("id", "shard", "n")
 
 
 def _verify(shingle: int, similarity: float):
@@ -299,8 +295,12 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = summed.join(least, "sum").where("least < id").select(F.col("id").alias("a"), F.col("least").alias("b"))
     first = summed.join(least, "sum").where("least = id").select("id").distinct()
     lone = rows.join(first.hint("shuffle_hash"), "id")
-    sketches = cut(lone.mapInArrow(_sketches(shingle), "id long, fp long, sign binary, keys array<bigint>"))
-    routed = _routed(sketches, tree).join(sketches.drop("keys"), "id").withColumn("trees", F.ceil(F.col("n") / tree).cast("int"))
+    sketches = cut(lone.mapInArrow(_sketches(shingle), "id long, fp long, sign binary, keys array<bigint>, same binary"))
+    least = sketches.where("same is not null").groupBy("same").agg(F.min("id").alias("least"))
+    sketches = sketches.join(least, "same")
+    copies = copies.union(sketches.where("least < id").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    sketches = cut(sketches.where("least = id").drop("same", "least"))
+    routed = _routed(sketches).join(sketches.drop("keys"), "id").withColumn("trees", F.ceil(F.col("n") / tree).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("trees")).cast("int")
     spread = routed.select("shard", "id", "fp", "sign", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
     asked = spread.select("shard", "tree", "id", "fp", "sign", (F.col("own") == F.col("tree")).alias("member"))

@@ -158,6 +158,24 @@ def test_refuted_pairs_hide_no_link(spark):
     assert [got.get(k, k) for k in range(len(texts))] == label
 
 
+def test_sets_and_not_counts_decide(spark, monkeypatch):
+    monkeypatch.setattr(neartext, "MOST", 2, raising=False)
+    rows = []
+    for k in range(12):
+        w = words(300, 40 + k, 10**6).split()
+        line = w[100:114]
+        rows += [(2 * k, " ".join(w + line)), (2 * k + 1, " ".join(w + line * 500))]
+    rows += [(100 + k, ("a", "A")[k & 1] + " " * (1 + k // 2) + "b") for k in range(12)]
+    for k in range(60):
+        w = [f"s{k}x{i}" for i in range(9)]
+        rows += [(200 + 2 * k, " ".join(w)), (201 + 2 * k, " ".join(w[:8]))]
+    sets = {i: set(map(int, simhash.shingle_hashes(t, 5))) for i, t in rows}
+    want = {2 * k + 1: 2 * k for k in range(12)} | {100 + k: 100 for k in range(1, 12)} | {201 + 2 * k: 200 + 2 * k for k in range(60)}
+    assert all(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 for a, b in want.items())
+    for tree in (4096, 4):
+        assert {x.doc_id: x.component_id for x in neartext.near_text_groups(docs(spark, [(*x, None) for x in rows]), tree=tree).collect()} == want
+
+
 # ---- suffix dedup
 
 
