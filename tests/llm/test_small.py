@@ -279,6 +279,17 @@ def test_passages_of_50_words_are_found(spark):
     assert got == {(2 * k + 1, 2 * k) for k in range(30)}
 
 
+@pytest.mark.parametrize("length, step", [(60, 10), (60, 8), (80, 8)])
+def test_fuzzy_passages_are_found(spark, length, step):
+    rows = []
+    for k in range(40):
+        p = words(length, 5000 + k, 10**6).split()
+        q = [w if (i + 1) % step else f"c{k}x{i}" for i, w in enumerate(p)]
+        rows += [(2 * k, f"{words(30, 6000 + k, 10**6)} {' '.join(p)} {words(30, 7000 + k, 10**6)}", None), (2 * k + 1, f"{words(40, 8000 + k, 10**6)} {' '.join(q)} {words(20, 9000 + k, 10**6)}", None)]
+    got = {(r.doc_id, r.source) for r in passages.shared_passages(docs(spark, rows)).collect()}
+    assert got == {(2 * k + 1, 2 * k) for k in range(40)}
+
+
 # ---- tokens
 
 
