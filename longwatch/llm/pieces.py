@@ -3,10 +3,12 @@
 A merge-type (BPE) model joins neighbouring symbols, the best-scored piece
 first and the leftmost of equals. With dropout, each candidate that comes off
 the agenda is skipped if a keyed hash of it falls below the rate; the key holds
-the seed and the variant of the place in the document, so that reruns agree and
-documents differ. Characters without a piece become byte pieces. A piece never
-reaches over a space that follows another character, nor over a line end, so
-words are segmented one by one and kept in a bounded cache.
+the seed, the document, the word's place in it and the candidate, so that reruns
+agree while each occurrence of a word is drawn anew. Characters without a piece
+become byte pieces. A piece never reaches over a space that follows another
+character, nor over a line end, so words are segmented one by one. The agenda
+of a word is kept in a bounded cache up to each skip, as what is asked next
+depends on the skips alone; whether to skip is never kept.
 """
 
 from __future__ import annotations
@@ -26,11 +28,8 @@ from longwatch.llm.common import read, texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 SEED = 7
-#: Segmentations that a word can take; a run of words has one of them.
-VARIANTS = 2
-_RUN = 64
-#: Words that a Python worker keeps, and as many again that it kept before.
-_CACHE = 240_000
+#: Agendas that a Python worker keeps, and as many again that it kept before.
+_CACHE = 100_000
 _SHORT = 48
 _NEVER = float("inf")
 _A, _B, _M, _64 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 2**64 - 1
@@ -40,6 +39,30 @@ _LITERAL = "\ufffe\ufffe"
 _WORDS = re.compile(r" *[^ \n]+|\n| +")
 
 
+def _mixed(x):
+    """64 bits that hang on all bits of x: a number, or an array of them."""
+    if isinstance(x, int):
+        x = (x ^ x >> 32) * _M & _64
+        x = (x ^ x >> 29) * _A & _64
+        return x ^ x >> 32
+    x = (x ^ x >> np.uint64(32)) * np.uint64(_M)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(_A)
+    return x ^ x >> np.uint64(32)
+
+
+class Path:
+    """The candidates that a word's agenda gives up if those numbered in drops are skipped, and the ids at its end."""
+
+    __slots__ = ("steps", "ids", "drops", "after")
+
+    def __init__(self, steps: bytes, ids: bytes, drops: tuple[int, ...]):
+        self.steps, self.ids, self.drops, self.after = steps, ids, drops, {}
+
+
+#: Stands for the path of a word that is too long to be kept.
+_NO_PATH = Path(b"", b"", ())
+
+
 class Pieces:
     """The pieces of a merge-type model: what can merge, and the bytes of each id."""
 
@@ -83,11 +106,24 @@ class Pieces:
         A candidate that comes off the agenda is dropped if its hash under the
         key is below the bound; it comes back only if one of its sides changes.
         """
+        return self._segment(word, (lambda x: _mixed(key ^ x) < below) if below else None)
+
+    def path(self, word: str, drops: tuple[int, ...] = ()) -> Path:
+        steps: list[int] = []
+
+        def skip(x: int) -> bool:
+            steps.append(x)
+            return len(steps) - 1 in drops
+
+        ids = self._segment(word, skip)
+        return Path(array("Q", steps).tobytes(), ids, drops)
+
+    def _segment(self, word: str, skip) -> bytes:
         symbols = list(word) if _SPACE not in word else [_LITERAL if c == _SPACE else c for c in word]
         symbols = [_SPACE if c == " " else c for c in symbols]
-        return self.ids((self._short if len(symbols) <= _SHORT else self._long)(symbols, key, below))
+        return self.ids((self._short if len(symbols) <= _SHORT else self._long)(symbols, skip))
 
-    def _short(self, symbols: list[str], key: int, below: int) -> list[str]:
+    def _short(self, symbols: list[str], skip) -> list[str]:
         """The agenda of a short word is a list with a place for each pair of neighbours."""
         score, id_ = self.score.get, self.id
         start = list(range(len(symbols)))
@@ -98,7 +134,7 @@ class Pieces:
                 break
             i = agenda.index(best)
             joined = symbols[i] + symbols[i + 1]
-            if below and (key ^ (start[i] * _A + id_[joined] * _B)) * _M & _64 < below:
+            if skip and skip(start[i] * _A + id_[joined] * _B & _64):
                 agenda[i] = _NEVER
                 continue
             symbols[i] = joined
@@ -109,7 +145,7 @@ class Pieces:
                 agenda[i - 1] = score(symbols[i - 1] + joined, _NEVER)
         return symbols
 
-    def _long(self, symbols: list[str], key: int, below: int) -> list[str]:
+    def _long(self, symbols: list[str], skip) -> list[str]:
         """The agenda of a long word is a heap; candidates whose sides have changed are passed over."""
         score, n = self.score, len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -120,7 +156,7 @@ class Pieces:
             k = after[i]
             if symbols[i] is None or k >= n or symbols[i] + symbols[k] != joined:
                 continue
-            if below and (key ^ (i * _A + self.id[joined] * _B)) * _M & _64 < below:
+            if skip and skip(i * _A + self.id[joined] * _B & _64):
                 continue
             symbols[i], symbols[k] = joined, None
             after[i] = j = after[k]
@@ -140,41 +176,80 @@ class Pieces:
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int):
-        self.pieces, self.rate, self.seed = pieces, rate, seed
-        self.variants = variants if rate > 0 else 1
-        self.below = int(rate * 2**64)
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def _add(self, variant: int, word: str) -> bytes:
-        """Ids of a word that the newer cache lacks; a full cache becomes the older one."""
-        out = self.older[variant].get(word)
-        if out is None:
-            key = xxhash.xxh64_intdigest(f"{self.seed} {variant} {word}") if self.below else 0
-            out = self.pieces.segment(word, key, self.below)
-        if len(word) <= _SHORT:
-            if len(self.known[variant]) >= _CACHE // self.variants:
-                self.older[variant], self.known[variant] = self.known[variant], {}
-            self.known[variant][word] = out
+    """Encodes texts; draw numbers independent encodings of the same text."""
+
+    def __init__(self, pieces: Pieces, rate: float, seed: int, draw: int = 0):
+        self.pieces, self.seed, self.draw = pieces, seed, draw
+        self.below = min(int(rate * 2**64), _64)
+        self.known: dict[str, Path] = {}
+        self.older: dict[str, Path] = {}
+        self.held = 0
+
+    def _add(self, word: str) -> Path:
+        """The path of a word that the newer cache lacks; a full cache becomes the older one."""
+        out = self.older.get(word) or self.pieces.path(word)
+        if self.held >= _CACHE:
+            self.older, self.known, self.held = self.known, {}, 0
+        self.known[word] = out
+        self.held += 1 + len(out.after)
         return out
 
+    def _dropped(self, word: str, path: Path, first: int, key: int) -> bytes:
+        """Ids of a word whose first skip on its path without any is known."""
+        below = self.below
+        while True:
+            then = path.after.get(first)
+            if then is None:
+                then = self.pieces.path(word, (*path.drops, first))
+                if self.held < _CACHE:
+                    path.after[first] = then
+                    self.held += 1
+            path = then
+            steps = memoryview(path.steps).cast("Q")
+            for first in range(first + 1, len(steps)):
+                if _mixed(key ^ steps[first]) < below:
+                    break
+            else:
+                return path.ids
+
     def encode(self, text: str, key: str) -> np.ndarray:
-        """16-bit ids of a text; key (the document) picks the variant of each run of words."""
+        """16-bit ids of a text; key is the document."""
         if not text:
             return np.zeros(0, np.uint16)
-        out, run, variant = [], 0, 0
-        at = xxhash.xxh64_intdigest(f"{self.seed} {key}")
         words = _WORDS.findall(" " + text)
-        for i in range(0, len(words), _RUN):
-            variant = (at + run * 0x9E3779B1 >> 16) % self.variants
-            run += 1
-            get = self.known[variant].get
-            out += [get(w) or self._add(variant, w) for w in words[i:i + _RUN]]
+        get = self.known.get
+        paths, long = [], []
+        for w in words:
+            if len(w) > _SHORT:
+                long.append(len(paths))
+                paths.append(_NO_PATH)
+                continue
+            p = get(w)
+            if p is None:
+                p = self._add(w)
+                get = self.known.get
+            paths.append(p)
+        out = [p.ids for p in paths]
+        if not self.below:
+            for i in long:
+                out[i] = self.pieces.segment(words[i])
+        else:
+            doc = xxhash.xxh64_intdigest(f"{self.seed} {self.draw} {key}")
+            keys = _mixed(np.uint64(doc) ^ _mixed(np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(_B)))
+            steps = [p.steps for p in paths]
+            size = np.fromiter(map(len, steps), np.int64, len(steps)) >> 3
+            word = np.repeat(np.arange(len(words)), size)
+            hit = np.flatnonzero(_mixed(np.frombuffer(b"".join(steps), np.uint64) ^ keys[word]) < np.uint64(self.below))
+            at, first = np.unique(word[hit], return_index=True)
+            nth = hit[first] - (np.cumsum(size) - size)[at]
+            for i, j, k in zip(at.tolist(), nth.tolist(), keys[at].tolist(), strict=True):
+                out[i] = self._dropped(words[i], paths[i], j, k)
+            for i in long:
+                out[i] = self.pieces.segment(words[i], int(keys[i]), self.below)
         return np.frombuffer(b"".join(out), np.uint16)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE, seed: int = SEED, draw: int = 0, ids: bool = True) -> DataFrame:
     """The given rows, for the text: n_chars, n_tokens, tokens (ids, if wanted), tokens_sha256 (of the 16-bit
     little-endian ids), decoded_sha256 (of the decoded ids in UTF-8) and lossless (whether they give the text).
 
@@ -190,7 +265,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kinds = {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "string": pa.string(), "boolean": pa.bool_()}
 
     def run(batches):
-        encoder = Encoder(held.value, rate, seed, variants)
+        encoder = Encoder(held.value, rate, seed, draw)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

@@ -331,6 +331,26 @@ def test_tokens_edges(edge, none):
     assert pieces.encode_documents(none).count() == 0
 
 
+def test_each_occurrence_is_drawn_anew():
+    e = pieces.Encoder(MODEL, 0.1, 7, 2)
+    word = " internationalization"
+    assert len({e.encode(word, str(k)).tobytes() for k in range(300)}) > 4
+    same = e.encode(word * 300, "1")
+    whole = MODEL.segment(word, 0, 0)
+    assert same.tobytes() != whole * 300 and e.encode(word * 300, "1").tolist() == same.tolist()
+
+
+def test_kept_agendas_give_the_keyed_skips(monkeypatch):
+    for cache in (100_000, 20):
+        monkeypatch.setattr(pieces, "_CACHE", cache)
+        e = pieces.Encoder(MODEL, 0.3, 7, 2)
+        ws = pieces._WORDS.findall(" " + words(200, 18) + " antidisestablishmentarianism unbelievable internationalization" * 20)
+        got = e.encode("".join(ws)[1:], "5")
+        doc = np.uint64(pieces.xxhash.xxh64_intdigest("7 2 5"))
+        keys = pieces._mixed(doc ^ pieces._mixed(np.arange(1, len(ws) + 1, dtype=np.uint64) * np.uint64(pieces._B))).tolist()
+        assert got.tobytes() == b"".join(MODEL.segment(w, k, e.below) for w, k in zip(ws, keys, strict=True))
+
+
 # ---- mixing
 
 
