@@ -9,7 +9,9 @@ of it is DataFrame functions; judging URLs takes no shuffle.
 
 from __future__ import annotations
 
+import math
 import string
+from itertools import product
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -22,10 +24,6 @@ SUPPORT = 0.002
 #: Examples that a rule must rest on, however few there are in all.
 LEAST = 25
 CONFIDENCE = 0.5
-#: Tokens of a URL that enter mining, those that go with the mark most; all tokens enter matching.
-ITEMS = 12
-#: Mined rules to keep at most, the most confident first.
-RULES = 1000
 _MARK = "bad"
 
 
@@ -60,33 +58,43 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda t: F.length(t) > 2))
 
 
-def mine_rules(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, items: int = ITEMS, most: int = RULES) -> list[tuple[list[str], float]]:
-    """Rules (tokens, confidence) from (tokens, bad) rows; at most so many, which bounds what is collected.
+def mine_rules(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[list[str], float]]:
+    """All rules (tokens, confidence) from (tokens, bad) rows that no rule of fewer tokens covers.
 
     Support is a share of all examples, LEAST of them at least. Examples without tokens or label are
-    passed over.
+    passed over. Tokens that are rules by themselves do not enter mining, as no longer rule holds one,
+    and tokens of the same examples enter as one. Found rules come one by one, the short ones first.
     """
     rows = examples.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select("tokens", "bad")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     n, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
     if not bad:
         return []
-    least = max(support * n, LEAST)
+    least = math.ceil(max(support * n, LEAST))
     if bad < least:
         return []
-    tokens = rows.select("row", "bad", F.explode("tokens").alias("token"))
-    rates = tokens.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("m")).where(F.col("n") >= least)
-    ranked = tokens.join(rates, "token").groupBy("row", "bad").agg(F.sort_array(F.collect_list(F.struct((F.col("m") / F.col("n")).alias("rate"), "n", "token")), False).alias("best"))
-    sets = ranked.select(F.concat(F.slice("best.token", 1, items), F.when(F.col("bad"), F.array(F.lit(_MARK))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=confidence).fit(sets)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_MARK)))
-    top = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join(F.sort_array("antecedent"), " ")).limit(most).collect()
-    kept: list[tuple[frozenset, float]] = []
-    for r in sorted(top, key=lambda r: (len(r.antecedent), -r.confidence)):
-        have = frozenset(r.antecedent)
-        if not any(rule <= have for rule, _ in kept):
-            kept.append((have, r.confidence))
-    return [(sorted(rule), c) for rule, c in kept]
+    tokens = rows.select("row", "bad", F.explode(F.array_distinct("tokens")).alias("token"))
+    rates = tokens.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("m"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("y"))
+    rates = cut(rates.where(F.col("m") >= least).withColumn("c", F.col("m") / F.col("n")))
+    kept: dict[frozenset, float] = {frozenset([r.token]): r.c for r in rates.where(F.col("c") >= confidence).toLocalIterator()}
+    alike = cut(rates.where(F.col("c") < confidence).groupBy("n", "m", "x", "y").agg(F.min("token").alias("token"), F.sort_array(F.collect_list("token")).alias("all")))
+    sets = tokens.join(alike.select("token"), "token").groupBy("row", "bad").agg(F.collect_list(F.concat(F.lit("t"), "token")).alias("items"))
+    sets = cut(sets.select(F.concat("items", F.when(F.col("bad"), F.array(F.lit(_MARK))).otherwise(F.array().cast("array<string>"))).alias("items")))
+    count = sets.count()
+    if count:
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / count, minConfidence=confidence).fit(sets)
+        found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_MARK))).select("antecedent", "confidence")
+        longer: dict[frozenset, float] = {}
+        under: dict[str, list[frozenset]] = {}
+        for r in found.orderBy(F.size("antecedent"), F.array_join(F.sort_array("antecedent"), " ")).toLocalIterator():
+            have = frozenset(t[1:] for t in r.antecedent)
+            if have and not any(rule <= have for t in have for rule in under.get(t, ())):
+                longer[have] = r.confidence
+                under.setdefault(min(have), []).append(have)
+        if longer:
+            same = {r.token: r.all for r in alike.toLocalIterator()}
+            kept |= {frozenset(one): c for rule, c in longer.items() for one in product(*(same[t] for t in rule))}
+    return sorted(((sorted(rule), c) for rule, c in kept.items()), key=lambda r: (len(r[0]), -r[1], r[0]))
 
 
 def matches(tokens: Column, rules: list[tuple[list[str], float]], rates: dict[str, float] | None = None) -> Column:
