@@ -441,6 +441,19 @@ def test_long_conversations_are_the_whole_rendering(spark):
     assert [x.nth for x in got if x.loss_start is not None] == [k for k, t in enumerate(turns) if t[0] == "assistant"]
 
 
+def test_rewriting_far_back_is_seen(spark):
+    def template(turns):
+        return "".join(f"[{r}]{'' if k == 0 and len(turns) > 30 else t}" for k, (r, t) in enumerate(turns))
+
+    turns = [("user", f"text {k}") for k in range(40)]
+    rows = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    out = ""
+    for x in chat.format_conversations(rows, template, lambda s: None).orderBy("nth").collect():
+        assert (x.rewritten > 0) == (x.nth == 30)
+        out = out[:x.start] + x.span
+    assert out == template(turns)
+
+
 @pytest.mark.parametrize("text", ["", "\\", "\\\\###", "####", "\\</turn>", "a</turn></turn>", "\n### user: x</turn>\n"])
 def test_escapes(text):
     span = chat.turn_template([("r:\\ ###", text)])
@@ -481,6 +494,14 @@ def test_mined_rules(spark):
     assert urls.judge(pages.limit(0), labels).count() == 0
 
 
+def test_one_site_does_not_crowd_out_others(spark):
+    rows = [([f"a{i}" for i in range(30)] + ["z"], True)] * 80 + [([f"c{i}" for i in range(20)] + ["z"], k < 30) for k in range(80)]
+    rows += [(["x", "y", "z"], k < 50) for k in range(60)] + [(["x", "z"], False)] * 150 + [(["y", "z"], False)] * 150
+    got = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    assert [r for r, _ in got] == [[f"a{i}"] for i in sorted(range(30), key=str)] + [["x", "y"]]
+    assert dict((tuple(r), c) for r, c in got)["x", "y"] == pytest.approx(50 / 60)
+
+
 def test_rules_need_all_tokens(spark):
     rules = [(["a", "b"], 1.0), (["c"], 1.0)]
     rows = spark.createDataFrame([(["a"], False), (["b", "a"], True), (["c", "x"], True), ([], False)], "t array<string>, want boolean")
