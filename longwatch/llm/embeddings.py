@@ -2,11 +2,13 @@
 
 A neighbour graph starts from exact neighbours inside random sign buckets and
 is refined by joins of neighbours of neighbours: each vector compares its
-neighbours and those that have it as neighbour with one another. A sampled
-audit against brute force tells whether threshold links are missing; lists are
-then made longer and refined again. A list that is full of links is saturated:
-it is enlarged to its whole component, whose pairs are compared exactly, block
-by block, so that every link in it is counted without being sent.
+neighbours and those that have it as neighbour with one another. A list that is
+full of links is saturated, so each vector has a second list of the nearest
+vectors outside its component: a link in it joins two components, and then
+makes room. Rounds go on, with new buckets each, until none joins components
+and a sampled audit against brute force, averaged over vectors, passes; if none
+does, all vectors are compared block by block. The pairs of a component are
+compared exactly in blocks, so every link in it is counted without being sent.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longwatch.llm.common import components, cut, read
+from longwatch.llm.neartext import spanning
 
 THRESHOLD = 0.9
 LIST = 8
@@ -101,9 +104,12 @@ def _start(size: int):
                     s = x @ x.T
                     np.fill_diagonal(s, -2)
                     k = min(size, len(x) - 1)
-                    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    own = ids[part]
-                    yield _pairs(np.repeat(own, k), own[near].ravel(), np.take_along_axis(s, near, 1).ravel())
+                    own, root = ids[part], t["root"].to_numpy()[part]
+                    for side in (s, np.where(root[:, None] != root[None, :], s, -2)):
+                        near = np.argpartition(-side, k - 1, axis=1)[:, :k]
+                        sim = np.take_along_axis(side, near, 1).ravel()
+                        good = sim > -1.5
+                        yield _pairs(np.repeat(own, k)[good], own[near].ravel()[good], sim[good])
         yield _none()
 
     return run
@@ -112,7 +118,7 @@ def _start(size: int):
 def _refine(batches):
     """Pairs of the members of each centre that would enter one of their lists."""
     for t, group in _groups(batches, "w"):
-        ids, floor = t["id"].to_numpy(), t["floor"].to_numpy()
+        ids, inner, outer, root = (t[c].to_numpy() for c in ("id", "inner", "outer", "root"))
         x = _unit(t["vec"]) if len(set(t["dim"].to_pylist())) == 1 else None
         begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         us, vs, ss = [], [], []
@@ -120,7 +126,7 @@ def _refine(batches):
             y = x[i:j] if x is not None else _unit(t["vec"].slice(i, j - i))
             s = y @ y.T
             np.fill_diagonal(s, -2)
-            a, b = np.nonzero(s > floor[i:j][:, None])
+            a, b = np.nonzero(s > np.where(root[i:j][:, None] == root[i:j][None, :], inner[i:j][:, None], outer[i:j][:, None]))
             us.append(ids[i + a])
             vs.append(ids[i + b])
             ss.append(s[a, b])
@@ -133,15 +139,17 @@ def _refine(batches):
     yield _none()
 
 
-def _best(pairs: DataFrame, size: int) -> DataFrame:
-    """The first size neighbours of each vector, by similarity and then id."""
+def _best(pairs: DataFrame, roots: DataFrame, size: int) -> DataFrame:
+    """The first size neighbours of each vector inside its component, and as many outside, by similarity and then id."""
     pairs = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    order = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
+    pairs = pairs.join(roots.select(F.col("id").alias("u"), F.col("root").alias("_u")), "u").join(roots.select(F.col("id").alias("v"), F.col("root").alias("_v")), "v")
+    pairs = pairs.select("u", "v", "sim", (F.col("_u") != F.col("_v")).alias("out"))
+    order = Window.partitionBy("u", "out").orderBy(F.desc("sim"), "v")
     return pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size)
 
 
-def _sign_buckets(vectors: DataFrame, n: int) -> DataFrame:
-    """(bucket, id, vec) for each table of random hyperplanes."""
+def _sign_buckets(vectors: DataFrame, n: int, turn: int) -> DataFrame:
+    """(bucket, id, vec, root) for each table of random hyperplanes; each turn has its own."""
     bits = max(0, int(np.ceil(np.log2(max(1, n / _BUCKET)))))
 
     def run(batches):
@@ -149,14 +157,14 @@ def _sign_buckets(vectors: DataFrame, n: int) -> DataFrame:
             for dim in sorted(set(b.column(1).to_pylist())):
                 rows = b.filter(pa.compute.equal(b.column(1), dim))
                 x = _unit(rows.column(2))
-                planes = np.random.default_rng([_SEED, dim]).standard_normal((dim, max(1, bits) * _TABLES))
+                planes = np.random.default_rng([_SEED, dim, turn]).standard_normal((dim, max(1, bits) * _TABLES))
                 signs = (x @ planes > 0).reshape(len(x), _TABLES, -1)
                 code = (signs * (1 << np.arange(signs.shape[2]))).sum(2) if bits else np.zeros((len(x), _TABLES), np.int64)
                 for k in range(_TABLES):
                     bucket = (dim * _TABLES + k) * (1 << 40) + code[:, k]
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), rows.column(0), rows.column(2)], names=["bucket", "id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), rows.column(0), rows.column(2), rows.column(3)], names=["bucket", "id", "vec", "root"])
 
-    return vectors.select("id", "dim", "vec").mapInArrow(run, "bucket long, id long, vec binary")
+    return vectors.select("id", "dim", "vec", "root").mapInArrow(run, "bucket long, id long, vec binary, root long")
 
 
 def _descend(graph: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
@@ -165,15 +173,15 @@ def _descend(graph: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
     back = graph.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size)
     around = graph.select(F.col("u").alias("w"), F.col("v").alias("id")).union(back.select(F.col("v").alias("w"), F.col("u").alias("id")))
     around = around.union(graph.select(F.col("u").alias("w"), F.col("u").alias("id"))).distinct()
-    floor = graph.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") >= size, F.min("sim")).otherwise(F.lit(-1.5)).alias("floor"))
-    known = vectors.join(floor, "id", "left").select("id", "dim", "vec", F.coalesce("floor", F.lit(-1.5)).alias("floor"))
+    last = lambda side: F.when(F.count_if(side) >= size, F.min(F.when(side, F.col("sim")))).otherwise(F.lit(-1.5))
+    floors = graph.groupBy(F.col("u").alias("id")).agg(last(~F.col("out")).alias("inner"), last(F.col("out")).alias("outer"))
+    known = vectors.join(floors, "id", "left").select("id", "dim", "vec", "root", F.coalesce("inner", F.lit(-1.5)).alias("inner"), F.coalesce("outer", F.lit(-1.5)).alias("outer"))
     asked = around.join(known, "id").repartition("w").sortWithinPartitions("w")
-    better = asked.select("w", "id", "dim", "vec", "floor").mapInArrow(_refine, "u long, v long, sim double")
-    return _best(graph.select("u", "v", "sim").union(better), size)
+    return asked.select("w", "id", "dim", "vec", "root", "inner", "outer").mapInArrow(_refine, "u long, v long, sim double")
 
 
 def _audit(vectors: DataFrame, roots: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the links of a seeded sample, by brute force over all vectors, whose ends share a component."""
+    """Share of the links of a seeded sample, by brute force over all vectors, whose ends share a component, averaged over the vectors."""
     placed = vectors.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "dim", "vec", F.coalesce("root", "id").alias("root"))
     drawn = placed.orderBy(F.xxhash64(F.lit(_SEED), "id"), "id").limit(sample).collect()  # bounded by sample
     by_dim: dict[int, list] = {}
@@ -182,18 +190,39 @@ def _audit(vectors: DataFrame, roots: DataFrame, threshold: float, sample: int)
     queries = {d: (np.array([r.id for r in rows]), np.array([r.root for r in rows]), _unit(pa.array([bytes(r.vec) for r in rows]))) for d, rows in by_dim.items()}
 
     def run(batches):
-        true = found = 0
+        true, found = {}, {}
         for b in batches:
             for dim, (qid, qroot, q) in queries.items():
                 rows = b.filter(pa.compute.equal(b.column(1), dim))
                 if rows.num_rows:
                     hit = (q @ _unit(rows.column(2)).T >= threshold) & (qid[:, None] != rows.column(0).to_numpy()[None, :])
-                    true += int(hit.sum())
-                    found += int((hit & (qroot[:, None] == rows.column(3).to_numpy()[None, :])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], names=["t", "f"])
+                    kept = hit & (qroot[:, None] == rows.column(3).to_numpy()[None, :])
+                    for q, t, f in zip(qid.tolist(), hit.sum(1).tolist(), kept.sum(1).tolist(), strict=True):
+                        true[q], found[q] = true.get(q, 0) + t, found.get(q, 0) + f
+        yield pa.RecordBatch.from_arrays([pa.array(list(true), pa.int64()), pa.array(list(true.values()), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["q", "t", "f"])
 
-    t, f = placed.mapInArrow(run, "t long, f long").agg(F.sum("t"), F.sum("f")).first()
-    return f / t if t else 1.0
+    share = placed.mapInArrow(run, "q long, t long, f long").groupBy("q").agg((F.sum("f") / F.nullif(F.sum("t"), F.lit(0))).alias("share"))
+    found = share.agg(F.avg("share")).first()[0]
+    return 1.0 if found is None else found
+
+
+def _all_links(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Links (a, b) that connect all that is linked: every two blocks of vectors are compared."""
+    blocks = max(1, -(-n // _BLOCK))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    other = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(F.least(b, own).alias("low"), F.greatest(b, own).alias("high")))
+    asked = vectors.select("id", "dim", "vec", F.explode(other).alias("p")).select("dim", "p.low", "p.high", "id", "vec")
+
+    def run(batches):
+        for t, group in _groups(batches, "dim", "low", "high"):
+            ids, begin = t["id"].to_numpy(), np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            for i, j in zip(begin, [*begin[1:], len(ids)], strict=True):
+                x = _unit(t["vec"].slice(i, j - i))
+                a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+                keep = spanning(j - i, a, b, np.zeros(len(a)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + a[keep]]), pa.array(ids[i + b[keep]])], names=["a", "b"])
+
+    return asked.repartition("dim", "low", "high").sortWithinPartitions("dim", "low", "high").mapInArrow(run, "a long, b long")
 
 
 def _count(threshold: float):
@@ -237,16 +266,28 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     n = classes.count()
     vectors = classes.select("id", "dim", "vec")
-    buckets = _sign_buckets(vectors, n).repartition("bucket").sortWithinPartitions("bucket")
-    graph = cut(_best(buckets.mapInArrow(_start(size), "u long, v long, sim double"), size))
     links = lambda g: g.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    for k in range(rounds):
-        graph = cut(_descend(graph, vectors, size))
-        roots = components(links(graph))
-        if k and _audit(vectors, roots, threshold, audit) >= RECALL:
-            break
-        if k:
+    graph, edges, state, sure = None, None, None, False
+    placed = vectors.withColumn("root", F.col("id"))
+    for k in range(2 * rounds):
+        buckets = _sign_buckets(placed, n, k).repartition("bucket").sortWithinPartitions("bucket")
+        pairs = buckets.mapInArrow(_start(size), "u long, v long, sim double")
+        if graph is not None:
+            pairs = pairs.union(_descend(graph, placed, size)).union(graph.select("u", "v", "sim"))
+        graph = cut(_best(pairs, placed, size))
+        edges = links(graph) if edges is None else edges.union(links(graph))
+        roots = components(edges)
+        placed = cut(vectors.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "dim", "vec", F.coalesce("root", "id").alias("root")))
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        graph = cut(_best(graph.select("u", "v", "sim"), placed, size))
+        before, state = state, placed.agg(F.bit_xor(F.xxhash64("id", "root"))).first()[0]
+        if before == state:
+            sure = _audit(vectors, roots, threshold, audit) >= RECALL
+            if sure:
+                break
             size *= 2
+    if not sure:
+        roots = components(_all_links(vectors, n, threshold))
     placed = classes.join(roots.withColumnRenamed("node", "id"), "id")
     sizes = placed.groupBy("root").agg(F.count("*").alias("members"))
     wide = placed.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / _BLOCK).cast("int"))

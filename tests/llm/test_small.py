@@ -543,6 +543,21 @@ def test_vectors_against_brute_force(spark):
     assert [by[1000 + k][0].n_links for k in range(7)] == [0, 0, 0, 0, 0, 1, 1] and by[1006][0].component_id == 1005
 
 
+def test_tight_groups_that_link_across_are_one(spark):
+    g = np.random.default_rng(41)
+    a, b = np.linalg.qr(g.standard_normal((64, 2)))[0].T
+    rows = []
+    for centre in (a, 0.93 * a + np.sqrt(1 - 0.93**2) * b):
+        rows += [(centre + 0.003 * g.standard_normal(64)).astype(np.float32) for _ in range(80)]
+    x = np.array(rows, float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (x @ x.T >= 0.9).all()
+    got = embeddings.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<float>")).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(159, 0)}
+    exact = embeddings.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<float>"), rounds=0).collect()
+    assert {(r.n_links, r.component_id) for r in exact} == {(159, 0)}
+
+
 def test_vectors_of_nothing(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
