@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,23 +45,67 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Links that a task reduces at a time.
+LINKS = 1 << 20
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Labels after links a-b: each item takes the least label that it reaches over them and label's pointers."""
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return label
+        low, high = np.minimum(la, lb), np.maximum(la, lb)
+        np.minimum.at(label, high, low)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def _stars(batches):
+    """Links (u, v) as links to the least node that each reaches, for so many links at a time."""
+
+    def reduced(held):
+        u, v = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = least_labels(len(nodes), at[:len(u)], at[len(u):], np.arange(len(nodes)))
+        far = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far], pa.int64()), pa.array(nodes[label[far]], pa.int64())], names=["u", "v"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= LINKS:
+            yield reduced(held)
+            held, n = [], 0
+    if n:
+        yield reduced(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: (a, b) longs in, (node, root) out, root the least node.
 
-    Alternates large-star and small-star rounds; each round is two grouped
-    minima (combined before the shuffle) and joins, and its rows never exceed
-    the edges. Nodes without an edge to another node have no row. Rows with a
-    null end are ignored.
+    Each task reduces its links to stars around least nodes, so many at a time.
+    While they still fill several tasks, large-star and small-star rounds
+    follow; each is two grouped minima (combined before the shuffle) and joins,
+    and its rows never exceed the edges. Nodes without an edge to another node
+    have no row. Rows with a null end are ignored.
     """
     spark = edges.sparkSession
-    links = (
-        edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    links = cut(links)
+    width = shuffle_width(spark)
+    real = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    links = cut(real.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).coalesce(width).mapInArrow(_stars, "u long, v long"))
     state = _digest(links)
     while state[0]:
+        tasks = -(-state[0] // LINKS)
+        links = links.coalesce(min(tasks, width)).mapInArrow(_stars, "u long, v long")
+        if tasks == 1:
+            links = cut(links)
+            break
+        links = cut(links.distinct())
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longwatch.llm.common import components, cut, read
-from longwatch.llm.neartext import spanning
 
 THRESHOLD = 0.9
 LIST = 8
@@ -33,6 +32,24 @@ _BLOCK = 1024
 _SEED = 5
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indices of a spanning forest of heaviest links."""
+    parent = list(range(n))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    kept = []
+    for k in np.argsort(-weight, kind="stable").tolist():
+        x, y = top(int(a[k])), top(int(b[k]))
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     """Rows of float32 bytes as unit vectors in double precision."""
     x = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1).astype(np.float64)

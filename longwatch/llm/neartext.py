@@ -3,18 +3,20 @@
 At a Jaccard similarity of 0.8 two SimHashes differ in some ten of their 64
 bits, too many for shards by equal bit blocks. Here a tree shard holds the
 documents that share the least shingle hash of one of a few hash ranges; two
-documents at the threshold share none with a chance of about 0.2 ** 6. Shards
-with more documents than one tree may hold are split into trees that are each
-searched for all documents of the shard. In a tree, a search within a wide
-radius follows only the edges within it; a small signature ranks the pairs
-found, and a spanning forest of the likeliest is checked exactly. What those
-links leave apart is then compared signature by signature within its shard,
-whatever the radius, and every likely pair between two components is checked
-exactly too: a pair that is refuted hides no other.
+documents at the threshold share none with a chance of about 0.2 ** 6. First
+each document is checked exactly against one other that shares three of those
+hashes, which links most copies. What these links leave apart is searched: the
+shard's documents are dealt into blocks, each block is a BK-tree that the
+shard's other blocks are searched against, and only edges within a wide radius
+are followed. A small signature drops most pairs found; the documents of the
+others meet again with their shingles, and every such pair between two
+components is checked exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,29 +28,27 @@ from longwatch.llm.simhash import TREE, Forest, shingle_hashes, simhash
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 18
+#: Bits by which two texts at the similarity differ but for a chance of some 1 in 300,000, small sets of shingles included.
+RADIUS = 26
 #: Deviations of its estimate by which a pair that is not checked exactly is below the threshold.
 SLACK = 4.5
-#: Likely pairs that a document sends in the first round after the forest; each later round has so many times more.
-MOST = 16
+#: Documents that are checked against the same one at first.
+_STAR = 1024
 _RANGES = 6
-_BINS = 256
-#: Bins that are compared first.
-_FIRST = 32
+_BINS = 128
+_SHIFT = 64 - _BINS.bit_length() + 1
 _EMPTY = 0xFF
-_PAIRS = 1 << 21
-_ROWS = 512
 
 
-def _sketch(text: str, shingle: int) -> tuple[int, bytes, list[int], bytes | None]:
-    """(SimHash, signature, least shingle hash of each range, digest) of the set of a text's shingles."""
+def _sketch(text: str, shingle: int) -> tuple[int, bytes, list[int | None], bytes | None]:
+    """(SimHash, signature, least shingle hash of each range or None, digest) of the set of a text's shingles."""
     u = np.unique(shingle_hashes(text, shingle))
-    at = np.searchsorted(u, np.arange(_BINS, dtype=np.uint64) << np.uint64(56))
+    at = np.searchsorted(u, np.arange(_BINS, dtype=np.uint64) << np.uint64(_SHIFT))
     there = np.append(u, np.uint64(0))[at]
-    full = (at < len(u)) & ((there >> np.uint64(56)) == np.arange(_BINS))
+    full = (at < len(u)) & ((there >> np.uint64(_SHIFT)) == np.arange(_BINS))
     sign = np.where(full, there % np.uint64(_EMPTY), _EMPTY).astype(np.uint8)
     range_of = (u >> np.uint64(8)) % np.uint64(_RANGES)
-    keys = [int(x.min()) for k in range(_RANGES) if len(x := u[range_of == k])]
+    keys = [int(x.min().view(np.int64)) if len(x := u[range_of == k]) else None for k in range(_RANGES)]
     return simhash(u), sign.tobytes(), keys, xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None
 
 
@@ -57,7 +57,6 @@ def _sketches(shingle: int):
         for b in batches:
             made = [_sketch(x, shingle) for x in texts(b.column(1))]
             fp, sign, keys, same = zip(*made, strict=True) if made else ((), (), (), ())
-            keys = [np.array(k, np.uint64).view(np.int64) for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sign, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(same, pa.binary())],
                 names=["id", "fp", "sign", "keys", "same"],
@@ -77,207 +76,251 @@ def floor(similarity: float, bins: np.ndarray) -> np.ndarray:
     return similarity - SLACK * np.sqrt(similarity * (1 - similarity) / np.maximum(bins, 1))
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Indices of a spanning forest of heaviest links."""
-    parent = list(range(n))
+_ASKED = "shard long, low int, high int, block int, id long, root long, fp long, sign binary, keys array<bigint>, same binary"
 
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
 
-    kept = []
-    for k in np.argsort(-weight, kind="stable").tolist():
-        x, y = top(int(a[k])), top(int(b[k]))
-        if x != y:
-            parent[x] = y
-            kept.append(k)
-    return np.array(kept, np.int64)
+def _whole_groups(batches, names=("shard", "low", "high")) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and each row's group number, from rows that are sorted by the names."""
+    held: list[pa.RecordBatch] = []
 
+    def numbered(t: pa.Table):
+        change = np.zeros(t.num_rows, bool)
+        for k in names:
+            x = t[k].to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        return t, np.cumsum(change)
 
-def _shard(ids, fps, signs, group, member, radius: int, similarity: float):
-    members = np.flatnonzero(member)
-    codes, tree_group = np.unique(group[members], return_inverse=True)
-    forest = Forest(fps[members], tree_group)
-    rows = np.flatnonzero(np.isin(group, codes))
-    found, held = [], 0
-
-    def reduce():
-        a, b, w = (np.concatenate(x) for x in zip(*found, strict=True))
-        keep = spanning(len(ids), a, b, w)
-        return [(a[keep], b[keep], w[keep])]
-
-    for q, node in forest.search(fps[rows], np.searchsorted(codes, group[rows]), radius):
-        a, b = rows[q], members[node]
-        ok = (a < b) | ~member[a]
-        ok &= ids[a] != ids[b]
-        a, b = a[ok], b[ok]
-        for i in range(0, len(a), 1 << 16):
-            x, y = a[i:i + (1 << 16)], b[i:i + (1 << 16)]
-            w, bins = likeness(signs[x], signs[y])
-            good = w >= floor(similarity, bins)
-            found.append((x[good], y[good], w[good]))
-            held += int(good.sum())
-        if held > _PAIRS:
-            found, held = reduce(), 0
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    (a, b, _), = reduce()
-    return ids[a], ids[b]
-
-
-def _rest(ids, signs, roots, begin: int, end: int, member, similarity: float, most: int):
-    """Likely pairs of a tree's members with its rows in other components, in blocks; whether a row had more than it may send."""
-    members = np.flatnonzero(member[begin:end]) + begin
-    whole, none = signs[members], (signs[members] == _EMPTY)
-    for i in range(begin, end, _ROWS):
-        rows = np.arange(i, min(i + _ROWS, end))
-        for k in range(0, len(members), 4096):
-            to = members[k:k + 4096]
-            same = np.zeros((len(rows), len(to)), np.uint8)
-            for j in range(_FIRST):
-                same += signs[rows, j][:, None] == whole[k:k + 4096, j][None, :]
-            empty = (signs[rows, :_FIRST] == _EMPTY).astype(np.float32) @ none[k:k + 4096, :_FIRST].T.astype(np.float32)
-            bins = _FIRST - empty
-            likely = (same - empty >= floor(similarity, bins) * bins) & (roots[rows][:, None] != roots[to][None, :])
-            likely &= ~member[rows][:, None] | (rows[:, None] < to[None, :])
-            q, node = np.nonzero(likely)
-            a, b, w = [], [], []
-            for at in range(0, len(q), 1 << 16):
-                x, y = rows[q[at:at + (1 << 16)]], to[node[at:at + (1 << 16)]]
-                v, n = likeness(signs[x], signs[y])
-                good = v >= floor(similarity, n)
-                a.append(x[good])
-                b.append(y[good])
-                w.append(v[good])
-            if not a:
-                continue
-            a, b, w = np.concatenate(a), np.concatenate(b), np.concatenate(w)
-            order = np.lexsort((-w, a))
-            first = np.searchsorted(a[order], a[order])
-            keep = order[np.arange(len(a)) - first < most]
-            yield ids[a[keep]], ids[b[keep]], len(keep) < len(a)
-
-
-def _numbered(t: pa.Table) -> np.ndarray:
-    shard, number = t["shard"].to_numpy(), t["tree"].to_numpy()
-    return np.cumsum(np.r_[False, (shard[1:] != shard[:-1]) | (number[1:] != number[:-1])])
-
-
-def _whole_trees(batches):
-    """Tables of whole trees from rows that are sorted by shard and tree."""
-    held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
         t = pa.Table.from_batches(held)
-        shard, number = t["shard"].to_numpy(), t["tree"].to_numpy()
-        other = np.flatnonzero((shard != shard[-1]) | (number != number[-1]))
-        if len(other) and other[-1] >= 4096:
-            yield t.slice(0, other[-1] + 1)
+        other = np.zeros(t.num_rows, bool)
+        for k in names:
+            x = t[k].to_numpy()
+            other |= x != x[-1]
+        other = np.flatnonzero(other)
+        if len(other) and other[-1] >= TREE:
+            yield numbered(t.slice(0, other[-1] + 1))
             held = t.slice(other[-1] + 1).to_batches()
     if held:
-        yield pa.Table.from_batches(held)
+        yield numbered(pa.Table.from_batches(held))
+
+
+def _likely(t: pa.Table, group: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different components within the radius whose estimate reaches the similarity's floor, each pair in one shard only."""
+    low, high, block, shard = (t[c].to_numpy() for c in ("low", "high", "block", "shard"))
+    root, fp = t["root"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+    sign = np.frombuffer(b"".join(t["sign"].to_pylist()), np.uint8).reshape(-1, _BINS)
+    given = pa.concat_arrays(x.flatten() for x in t["keys"].chunks)
+    keys, full = (np.reshape(x.to_numpy(zero_copy_only=False), (-1, _RANGES)) for x in (given.fill_null(0), given.is_valid()))
+    members = np.flatnonzero(block == low)
+    codes, tree_group = np.unique(group[members], return_inverse=True)
+    rows = np.flatnonzero((block == high) & np.isin(group, codes))
+    forest = Forest(fp[members], tree_group)
+    # equal fingerprints are one node, and one search serves all rows that have them
+    nodes = _Classes(tree_group, fp[members])
+    asks = _Classes(np.searchsorted(codes, group[rows]), fp[rows])
+    for q, node in forest.search(fp[rows][asks.first], np.searchsorted(codes, group[rows][asks.first]), radius):
+        for a, b in _expanded(asks, nodes, q, nodes.of[node]):
+            a, b = rows[a], members[b]
+            ok = (root[a] != root[b]) & ((low[a] != high[a]) | (a < b))
+            a, b = a[ok], b[ok]
+            alike = (keys[a] == keys[b]) & full[a] & full[b]
+            ok = keys[a, alike.argmax(1)] == shard[a]
+            a, b = a[ok], b[ok]
+            w, bins = likeness(sign[a], sign[b])
+            good = w >= floor(similarity, bins)
+            yield a[good], b[good]
+
+
+class _Classes:
+    """Rows of equal group and value: of gives each row's class, and rows() those of a class."""
+
+    def __init__(self, group: np.ndarray, values: np.ndarray):
+        self.order = np.lexsort((np.arange(len(values)), values, group))
+        g, v = group[self.order], values[self.order]
+        new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])] if len(v) else np.zeros(0, bool)
+        self.begin = np.flatnonzero(new)
+        self.size = np.diff(np.r_[self.begin, len(v)])
+        self.first = self.order[self.begin]
+        self.of = np.empty(len(v), np.int64)
+        self.of[self.order] = np.cumsum(new) - 1
+
+
+def _expanded(asks: _Classes, nodes: _Classes, q: np.ndarray, node: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the classes q[i] and node[i], so many at a time."""
+    wide = asks.size[q]
+    q, node, nth = np.repeat(q, wide), np.repeat(node, wide), _within(wide)
+    a = asks.order[asks.begin[q] + nth]
+    count = nodes.size[node]
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(a):
+        k = max(at + 1, int(np.searchsorted(upto, most + (int(upto[at - 1]) if at else 0), "right")))
+        n = count[at:k]
+        yield np.repeat(a[at:k], n), nodes.order[np.repeat(nodes.begin[node[at:k]], n) + _within(n)]
+        at = k
+
 
+def _within(size: np.ndarray) -> np.ndarray:
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
-def _signs(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t["sign"].to_pylist()), np.uint8).reshape(-1, _BINS)
 
+def _mark(radius: int, similarity: float):
+    """The rows that have a likely pair."""
 
-def _search(radius: int, similarity: float):
     def run(batches):
-        for t in _whole_trees(batches):
-            a, b = _shard(t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64), _signs(t), _numbered(t), t["member"].to_numpy(), radius, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for t, group in _whole_groups(batches):
+            there = np.zeros(t.num_rows, bool)
+            for a, b in _likely(t, group, radius, similarity):
+                there[a] = there[b] = True
+            yield from t.filter(pa.array(there)).to_batches()
 
     return run
 
 
-def _compare(similarity: float, most: int):
-    """(shard, a, b) of likely pairs between components; a row without a and b marks a shard that has more of them."""
+def _decide(radius: int, similarity: float):
+    """Links (a, b) of rows that also have their shingles: all that join two components."""
 
     def run(batches):
-        for t in _whole_trees(batches):
-            ids, signs, roots, member, group = t["id"].to_numpy(), _signs(t), t["root"].to_numpy(), t["member"].to_numpy(), _numbered(t)
-            begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            shards = t["shard"].to_numpy()
-            out, held = [], 0
-            for i, j in zip(begin, [*begin[1:], len(ids)], strict=True):
-                if (roots[i:j] == roots[i]).all():
-                    continue
-                more = False
-                for a, b, cut_off in _rest(ids, signs, roots, i, j, member, similarity, most):
-                    out.append((np.full(len(a), shards[i]), np.minimum(a, b), np.maximum(a, b)))
-                    more, held = more or cut_off, held + len(a)
-                    if held > 1 << 16:
-                        yield _rows(out)
-                        out, held = [], 0
-                if more:
-                    yield pa.RecordBatch.from_arrays([pa.array([shards[i]]), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names=["shard", "a", "b"])
-            yield _rows(out)
+        for t, group in _whole_groups(batches):
+            ids, sets = t["id"].to_numpy(), [np.frombuffer(x, np.uint32) for x in t["set"].to_pylist()]
+            size = np.array(list(map(len, sets)))
+            _, label = np.unique(np.stack([group, t["root"].to_numpy()]), axis=1, return_inverse=True)
+            out: list[tuple[int, int]] = []
+            for a, b in _likely(t, group, radius, similarity):
+                near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+                a, b = a[near], b[near]
+                order = np.argsort(a, kind="stable")
+                for rows in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+                    if len(rows):
+                        _join(int(a[rows[0]]), b[rows], sets, size, label, similarity, out)
+            yield _pairs([(ids[a], ids[b]) for a, b in out])
 
     return run
 
 
-def _rows(out: list) -> pa.RecordBatch:
-    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shard", "a", "b"])
+def _join(a: int, to: np.ndarray, sets: list[np.ndarray], size: np.ndarray, label: np.ndarray, similarity: float, out: list[tuple[int, int]]):
+    """Checks a row against others that are not in its component yet; label is brought up to date."""
+    for at in range(0, len(to), 256):
+        part = to[at:at + 256]
+        part = part[label[part] != label[a]]
+        if not len(part):
+            continue
+        every, own = np.concatenate([sets[b] for b in part]), sets[a]
+        there = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+        common = np.add.reduceat(there.astype(np.int64), np.cumsum(size[part]) - size[part])
+        for b in part[common >= similarity * (size[a] + size[part] - common)].tolist():
+            if label[a] != label[b]:
+                label[label == label[b]] = label[a]
+                out.append((a, b))
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for b in batches:
+            rows = [shingle_hashes(x, shingle) for x in texts(b.column(1))]
+            same = [xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array([_set(h).tobytes() for h in rows], pa.binary())], names=["id", "same", "set"])
+
+    return run
 
 
-def _routed(rows: DataFrame) -> DataFrame:
-    """(id, shard, n): the shards of each document that hold others too."""
-    one = rows.select("id", F.explode("keys").alias("shard")).distinct()
-    sizes = one.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    return one.join(sizes, "shard").select("id", "shard", "n")
+def _set(hashes: np.ndarray) -> np.ndarray:
+    return np.unique((hashes >> np.uint64(16)).astype(np.uint32))
 
 
 def _verify(shingle: int, similarity: float):
     def shingles(batches):
         for b in batches:
-            rows = [[], [], []]
-            for text, ends in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                h = np.unique((shingle_hashes(text, shingle) >> np.uint64(16)).astype(np.uint32)).tobytes()
+            rows = [[], [], [], []]
+            for i, text, ends in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), strict=True):
+                h = _set(shingle_hashes(text, shingle)).tobytes()
                 for e in ends:
-                    for column, x in zip(rows, (e["a"], e["b"], h), strict=True):
+                    for column, x in zip(rows, (e["a"], e["b"], i == e["a"], h), strict=True):
                         column.append(x)
                 if len(rows[0]) >= 256:
-                    yield _links(rows)
-                    rows = [[], [], []]
-            yield _links(rows)
+                    yield _sides(rows)
+                    rows = [[], [], [], []]
+            yield _sides(rows)
+
+    def alike(sets: tuple[list, list]) -> bool:
+        for x in sets[0]:
+            for y in sets[1]:
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common and common >= similarity * (len(x) + len(y) - common):
+                    return True
+        return False
 
     def compare(batches):
-        last = None
+        pair, sets = None, ([], [])
         for b in batches:
-            rows = [[], []]
-            for a, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if last and last[:2] == (a, c):
-                    x, y = np.frombuffer(last[2], np.uint32), np.frombuffer(x.as_py(), np.uint32)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if common and common / (len(x) + len(y) - common) >= similarity:
-                        rows[0].append(a)
-                        rows[1].append(c)
-                    last = None
-                else:
-                    last = (a, c, x.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["a", "b"])
+            out = []
+            for a, c, side, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if pair != (a, c):
+                    if alike(sets):
+                        out.append(pair)
+                    pair, sets = (a, c), ([], [])
+                sets[side].append(np.frombuffer(x.as_py(), np.uint32))
+            yield _pairs(out)
+        yield _pairs([pair] if alike(sets) else [])
 
     return shingles, compare
 
 
-def _links(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["a", "b", "set"])
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _sides(rows: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["a", "b", "side", "set"])
 
 
 def _exact(lone: DataFrame, likely: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts have the exact similarity."""
+    """Those of the pairs (a, b) of which some texts have the exact similarity."""
     ends = likely.select(F.col("a").alias("id"), "a", "b").union(likely.select(F.col("b").alias("id"), "a", "b"))
     ends = ends.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("ends"))
     shingles, compare = _verify(shingle, similarity)
-    sets = lone.join(ends.hint("shuffle_hash"), "id").select("text", "ends").mapInArrow(shingles, "a long, b long, set binary")
+    sets = lone.join(ends.hint("shuffle_hash"), "id").select("id", "text", "ends").mapInArrow(shingles, "a long, b long, side boolean, set binary")
     return sets.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
 
 
+def _first_pairs(sketches: DataFrame) -> DataFrame:
+    """(a, b): each document with the least of those that share its first or last three range hashes; hot groups have one for each part."""
+    three = lambda at: F.when(F.exists(F.slice("keys", at, 3), lambda k: k.isNotNull()), F.xxhash64(F.lit(at), F.slice("keys", at, 3)))
+    one = sketches.select("id", F.explode(F.array(three(1), three(4))).alias("key")).where("key IS NOT NULL")
+    sizes = one.groupBy("key").agg(F.ceil(F.count("*") / _STAR).cast("int").alias("parts"), F.min("id").alias("first")).where("parts > 1")
+    parted = one.join(sizes, "key", "left").select("id", "key", "first", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part"))
+    least = parted.groupBy("key", "part").agg(F.min("id").alias("b"), F.first("first").alias("first"))
+    pairs = parted.select("id", "key", "part").join(least.select("key", "part", "b"), ["key", "part"]).select(F.col("id").alias("a"), "b")
+    return pairs.union(least.where("first IS NOT NULL").select(F.col("b").alias("a"), F.col("first").alias("b"))).where("a != b").distinct()
+
+
+def _blocks(sketches: DataFrame, roots: DataFrame, tree: int) -> DataFrame:
+    """The rows of _ASKED: each shard's documents in blocks, once for each pair of blocks that may hold two components.
+
+    The documents of a shard's largest component meet all others but not each other.
+    """
+    placed = sketches.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    one = placed.select("id", "root", "same", F.explode("keys").alias("shard")).where("shard IS NOT NULL")
+    per_root = one.groupBy("shard", "root").agg(F.count("*").alias("n"))
+    shards = per_root.groupBy("shard").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    routed = one.select("id", "same", "root", "shard").join(shards.drop("roots"), "shard")
+    apart = F.col("n") > tree
+    rest = F.when(apart, F.ceil((F.col("n") - F.col("most")) / tree)).otherwise(1).cast("int")
+    mains = F.when(apart, F.ceil(F.col("most") / tree)).otherwise(0).cast("int")
+    routed = routed.withColumns({"rest": rest, "mains": mains}).withColumn("in_main", (F.col("root") == F.col("main")) & (F.col("mains") > 0))
+    block = F.when(F.col("in_main"), F.col("rest") + F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
+    routed = routed.withColumn("block", block)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    others = F.when(F.col("in_main"), upto(F.col("rest"))).otherwise(upto(F.col("rest") + F.col("mains")))
+    routed = routed.select("shard", "id", "same", "block", F.explode(others).alias("other"))
+    routed = routed.select("shard", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "same")
+    return routed.join(placed.select("id", "same", "root", "fp", "sign", "keys"), ["id", "same"]).select([c.split()[0] for c in _ASKED.split(", ")])
+
+
 def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """(id, component_id) for each distinct non-null id that shares a group with a lesser id.
 
@@ -295,36 +338,19 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = summed.join(least, "sum").where("least < id").select(F.col("id").alias("a"), F.col("least").alias("b"))
     first = summed.join(least, "sum").where("least = id").select("id").distinct()
     lone = rows.join(first.hint("shuffle_hash"), "id")
-    sketches = cut(lone.mapInArrow(_sketches(shingle), "id long, fp long, sign binary, keys array<bigint>, same binary"))
-    least = sketches.where("same is not null").groupBy("same").agg(F.min("id").alias("least"))
-    sketches = sketches.join(least, "same")
-    copies = copies.union(sketches.where("least < id").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    sketches = cut(sketches.where("least = id").drop("same", "least"))
-    routed = _routed(sketches).join(sketches.drop("keys"), "id").withColumn("trees", F.ceil(F.col("n") / tree).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("trees")).cast("int")
-    spread = routed.select("shard", "id", "fp", "sign", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
-    asked = spread.select("shard", "tree", "id", "fp", "sign", (F.col("own") == F.col("tree")).alias("member"))
-    trees = asked.repartition("shard", "tree").sortWithinPartitions("shard", "tree")
-    likely = cut(trees.mapInArrow(_search(radius, similarity), "a long, b long").distinct())
-    links = cut(_exact(lone, likely, shingle, similarity).union(copies))
-    most = MOST
-    while True:
-        roots = components(links)
-        placed = routed.select("shard", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("shard", "id", F.coalesce("root", "id").alias("root"))
-        apart = placed.groupBy("shard").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("shard")
-        rows = asked.drop("fp").join(placed.join(apart, "shard"), ["shard", "id"])
-        if most > MOST:
-            rows = rows.join(left, "shard")
-        rows = rows.repartition("shard", "tree").sortWithinPartitions("shard", "tree")
-        found = cut(rows.mapInArrow(_compare(similarity, most), "shard long, a long, b long"))
-        likely = cut(found.where("a is not null").select("a", "b").distinct())
-        exact = _exact(lone, likely, shingle, similarity)
-        links = cut(links.union(exact))
-        left = cut(found.where("a is null").select("shard").distinct())
-        if left.isEmpty():
-            break
-        most *= MOST
-    return components(links).where("node != root").select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+    sketches = cut(lone.mapInArrow(_sketches(shingle), "id long, fp long, sign binary, keys array<bigint>, same binary").where("same is not null").distinct())
+    least = sketches.groupBy("same").agg(F.min("id").alias("least"))
+    copies = copies.union(sketches.join(least, "same").where("least < id").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    sketches = sketches.join(least, "same").where("least = id").drop("least")
+    roots = components(_exact(lone, _first_pairs(sketches), shingle, similarity).union(copies))
+    keys = ["shard", "low", "high"]
+    asked = _blocks(sketches, roots, tree).repartition(*keys).sortWithinPartitions(*keys)
+    marked = cut(asked.mapInArrow(_mark(radius, similarity), _ASKED))
+    wanted = marked.select("id").distinct()
+    sets = lone.join(wanted.hint("shuffle_hash"), "id").select("id", "text").mapInArrow(_sets(shingle), "id long, same binary, set binary").distinct()
+    ready = marked.join(sets, ["id", "same"]).repartition(*keys).sortWithinPartitions(*keys)
+    found = ready.mapInArrow(_decide(radius, similarity), "a long, b long")
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)).where("node != root").select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longwatch.llm.common import components, cut, read, texts
+from longwatch.llm.common import components, cut, least_labels, read, texts
 
 SHINGLE = 3
 RADIUS = 2
@@ -96,60 +96,54 @@ class Forest:
     """BK-trees over 64-bit values, one tree for each group, built level by level."""
 
     def __init__(self, values: np.ndarray, group: np.ndarray):
-        """group: ascending numbers from 0 without a gap; values are distinct in a group."""
+        """group: ascending numbers from 0 without a gap; of equal values in a group only one is a node."""
         self.values, self.group, n = values, group, len(values)
         self.root = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
-        self.child = np.full((n, 65), -1, np.int32)
+        slot = np.full(n, -1, np.int64)  # parent and distance
         at = self.root[group]
         open_ = np.flatnonzero(at != np.arange(n))
         while open_.size:
             d = np.bitwise_count(values[open_] ^ values[at[open_]]).astype(np.int64)
-            key = at[open_] * 65 + d
-            slots, first, slot = np.unique(key, return_index=True, return_inverse=True)
+            open_, d = open_[d > 0], d[d > 0]
+            slots, first, of = np.unique(at[open_] * 65 + d, return_index=True, return_inverse=True)
             node = open_[first]
-            self.child.reshape(-1)[slots] = node
-            at[open_] = node[slot]
+            slot[node] = slots
+            at[open_] = node[of]
             open_ = open_[at[open_] != open_]
-
-    def search(self, queries: np.ndarray, group: np.ndarray, radius: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Yields (query index, node index) within the radius, in blocks of bounded size."""
-        i, block = 0, 1 << 14
-        while i < len(queries):
-            q = np.arange(i, min(i + block, len(queries)))
-            node, widest = self.root[group[q]], 0
-            while q.size:
-                widest = max(widest, q.size)
+        kids = np.flatnonzero(slot >= 0)
+        self.order = kids[np.argsort(slot[kids], kind="stable")]
+        self.begin = np.zeros(n * 65 + 1, np.int32)  # a node's children from each distance on, in order
+        np.cumsum(np.bincount(slot[kids], minlength=n * 65), out=self.begin[1:])
+
+    def search(self, queries: np.ndarray, group: np.ndarray, radius: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Yields (query index, node index) within the radius, at most so many pairs at a time.
+
+        What is still to be visited waits as ranges of children on a stack, so
+        that no more than that is held for each level of the trees.
+        """
+        for i in range(0, len(queries), most):
+            q = np.arange(i, min(i + most, len(queries)))
+            node, stack = self.root[group[q]], []
+            while True:
                 d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
                 hit = d <= radius
                 if hit.any():
                     yield q[hit], node[hit]
-                step_q, step_n = [], []
-                for delta in range(-radius, radius + 1):
-                    e = d + delta
-                    ok = (e >= 0) & (e <= 64)
-                    kids = self.child[node[ok], e[ok]]
-                    found = kids >= 0
-                    step_q.append(q[ok][found])
-                    step_n.append(kids[found].astype(np.int64))
-                q, node = np.concatenate(step_q), np.concatenate(step_n)
-            i += block
-            if widest > most:
-                block = max(64, block // 4)
-
-
-def least_labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Labels after links a-b: each item takes the least label that it reaches over them and label's pointers."""
-    while True:
-        la, lb = label[a], label[b]
-        if (la == lb).all():
-            return label
-        low, high = np.minimum(la, lb), np.maximum(la, lb)
-        np.minimum.at(label, high, low)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
+                low = self.begin[node * 65 + np.maximum(d - radius, 0)]
+                count = self.begin[node * 65 + np.minimum(d + radius, 64) + 1] - low
+                more = np.flatnonzero(count)
+                if more.size:
+                    stack.append((q[more], low[more], count[more]))
+                if not stack:
+                    break
+                q, low, count = stack.pop()
+                upto = np.cumsum(count)
+                if upto[-1] > most:
+                    k = max(1, int(np.searchsorted(upto, most, "right")))
+                    stack.append((q[k:], low[k:], count[k:]))
+                    q, low, count, upto = q[:k], low[:k], count[:k], upto[:k]
+                node = self.order[np.repeat(low - (upto - count), count) + np.arange(int(upto[-1]))]
+                q = np.repeat(q, count)
 
 
 def shard_links(values: np.ndarray, group: np.ndarray, in_tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

@@ -38,7 +38,9 @@ def none(spark):
 # ---- components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "LINKS", most)
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(5, 5), (None, 3)]
     parent = list(range(300))
@@ -158,8 +160,7 @@ def test_refuted_pairs_hide_no_link(spark):
     assert [got.get(k, k) for k in range(len(texts))] == label
 
 
-def test_sets_and_not_counts_decide(spark, monkeypatch):
-    monkeypatch.setattr(neartext, "MOST", 2, raising=False)
+def test_sets_and_not_counts_decide(spark):
     rows = []
     for k in range(12):
         w = words(300, 40 + k, 10**6).split()
@@ -176,6 +177,28 @@ def test_sets_and_not_counts_decide(spark, monkeypatch):
         assert {x.doc_id: x.component_id for x in neartext.near_text_groups(docs(spark, [(*x, None) for x in rows]), tree=tree).collect()} == want
 
 
+def test_a_hot_tree_is_searched_in_bounded_pieces():
+    r = np.random.default_rng(12)
+    base = int(r.integers(1, 2**62))
+    noise = np.array([sum(1 << int(b) for b in r.choice(64, r.integers(0, 7), replace=False)) for _ in range(12000)], np.uint64)
+    values = np.uint64(base) ^ noise
+    nodes = np.unique(values[:4000])
+    forest = simhash.Forest(nodes, np.zeros(len(nodes), np.int64))
+    found, widest = 0, 0
+    for q, node in forest.search(values, np.zeros(len(values), np.int64), 8, most=1 << 14):
+        assert (np.bitwise_count(values[q] ^ nodes[node]) <= 8).all()
+        found, widest = found + len(q), max(widest, len(q))
+    assert widest <= 1 << 14
+    assert found == sum(int((np.bitwise_count(v ^ nodes) <= 8).sum()) for v in values)
+
+
+def test_documents_of_one_id_count_as_one(spark):
+    a, b = words(60, 70, 10**6), words(60, 71, 10**6)
+    rows = [(1, a, None), (2, b, None), (3, a + " x", None), (3, b + " y", None), (4, words(60, 72, 10**6), None), (4, words(60, 72, 10**6), None), (5, words(60, 73, 10**6), None)]
+    got = {r.doc_id: r.component_id for r in neartext.near_text_groups(docs(spark, rows)).collect()}
+    assert got == {2: 1, 3: 1}
+
+
 # ---- suffix dedup
 
 
