@@ -261,9 +261,51 @@ def test_removal_keeps_whole_characters(spark):
 def test_chains_rise():
     r = np.random.default_rng(8)
     x, y = np.sort(r.integers(0, 500, 200)), r.integers(0, 500, 200)
-    found = passages.chains(x, y)
-    assert sorted(np.concatenate(found).tolist()) == list(range(200))
-    assert all((np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all() for c in found)
+    for size in (np.ones(200, np.int64), r.integers(1, 9, 200)):
+        found = passages.chains(x, y, size)
+        assert sorted(np.concatenate(found).tolist()) == list(range(200))
+        assert all((np.diff(x[c]) >= size[c[:-1]]).all() and (np.diff(y[c]) >= size[c[:-1]]).all() for c in found)
+        # the first chain is the best of all: by the plain recurrence
+        best = np.zeros(200)
+        for i in np.argsort(x, kind="stable"):
+            ok = np.flatnonzero((x + size <= x[i]) & (y + size <= y[i]))
+            gaps = passages._COST * (x[i] + y[i] - x[ok] - y[ok] - 2 * (size[ok] - 1))
+            best[i] = passages._GAIN * size[i] + max(0.0, *(best[ok] - gaps)) if len(ok) else passages._GAIN * size[i]
+        c = found[0]
+        steps = passages._COST * (np.diff(x[c]) + np.diff(y[c]) - 2 * (size[c[:-1]] - 1))
+        assert abs(passages._GAIN * size[c].sum() - steps.sum() - best.max()) < 1e-6
+
+
+def test_stretches_hold_all_links():
+    r = np.random.default_rng(9)
+    x, y = r.integers(0, 40, 300), r.integers(0, 40, 300)
+    a, b, n = passages.stretches(x, y)
+    assert {(i + k, j + k) for i, j, m in zip(a.tolist(), b.tolist(), n.tolist()) for k in range(m)} == set(zip(x.tolist(), y.tolist()))
+    assert int(n.sum()) == len(set(zip(x.tolist(), y.tolist())))
+
+
+def test_long_templates_do_not_recurse():
+    shared = [f"s{i}" for i in range(24)]
+    a, b = (np.concatenate([passages.word_hashes(" ".join([*shared, *(f"{side}{k}x{i}" for i in range(6))]).encode()) for k in range(1200)]) for side in "ab")
+    ha, ia = passages.seeds(a)
+    at = {}
+    for h, i in zip(passages.seeds(b)[0].tolist(), range(len(b))):
+        at.setdefault(h, i)
+    x = np.array([30 * k + i for k in range(1200) for i in range(20)])
+    found = [p for p in passages._pieces(x, x) if len(p[0])]
+    parts = [q for p in found for q in passages.align(a, b, *p)]
+    assert sum(z - s for s, z, _ in parts) >= 1200 * 24 and all(n >= 0.8 * (z - s) for s, z, n in parts)
+
+
+@pytest.mark.parametrize("holders", [3, 12])
+def test_scattered_holders_hide_no_pair(spark, holders):
+    """Two documents share a passage whose seeds all occur in scattered earlier documents."""
+    p = words(80, 900, 10**6).split()
+    quotes = [" ".join(p[k:k + 6]) for k in range(0, 75, 2)]
+    rows = [(i * 100 + k, f"{words(40, 1000 + i * 100 + k, 10**6)} {q} {words(40, 2000 + i * 100 + k, 10**6)}") for i in range(holders) for k, q in enumerate(quotes)]
+    rows += [(5000, f"{words(60, 901, 10**6)} {' '.join(p)}"), (5001, f"{' '.join(p)} {words(60, 902, 10**6)}")]
+    got = [tuple(r)[:4] for r in passages.shared_passages(docs(spark, [(*x, None) for x in rows])).collect()]
+    assert (5001, 5000, 0, 80) in got
 
 
 def test_common_words():
