@@ -279,7 +279,7 @@ def test_chains_rise():
 def test_stretches_hold_all_links():
     r = np.random.default_rng(9)
     x, y = r.integers(0, 40, 300), r.integers(0, 40, 300)
-    a, b, n = passages.stretches(x, y)
+    a, b, n, _ = passages.stretches(x, y)
     assert {(i + k, j + k) for i, j, m in zip(a.tolist(), b.tolist(), n.tolist()) for k in range(m)} == set(zip(x.tolist(), y.tolist()))
     assert int(n.sum()) == len(set(zip(x.tolist(), y.tolist())))
 
@@ -292,7 +292,8 @@ def test_long_templates_do_not_recurse():
     for h, i in zip(passages.seeds(b)[0].tolist(), range(len(b))):
         at.setdefault(h, i)
     x = np.array([30 * k + i for k in range(1200) for i in range(20)])
-    found = [p for p in passages._pieces(x, x) if len(p[0])]
+    n = passages.stretches(x, x)[:3]
+    found = [[v[c] for v in n] for c in passages.pieces(*n)]
     parts = [q for p in found for q in passages.align(a, b, *p)]
     assert sum(z - s for s, z, _ in parts) >= 1200 * 24 and all(n >= 0.8 * (z - s) for s, z, n in parts)
 
