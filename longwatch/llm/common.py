@@ -26,10 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Lets Spark remove a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows with their lineage cut by a reliable checkpoint; the shuffles behind them go at once."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
