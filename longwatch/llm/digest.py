@@ -3,8 +3,9 @@
 A text is put into a canonical form (compatibility composition, case folding,
 composition again, runs of white space as one space, none at the ends) and
 hashed with two independent 64-bit xxhashes. Inside equal buckets the canonical
-bytes are compared: a bucket that holds different texts gets a SHA-256 of the
-text appended to its fingerprints. All of it is SQL functions.
+bytes are compared, those of every form that gets a fingerprint: in a bucket
+that holds different texts, fingerprints have a SHA-256 of the text appended.
+Only forms whose hash occurs twice are compared. All of it is SQL functions.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from longwatch.llm.common import buckets_by_range, read, shuffle_width
+from longwatch.llm.common import buckets_by_range, cut, read, shuffle_width
 
 _SALT = "longwatch"
 #: Buckets of neighbouring documents for each shuffle partition.
@@ -33,26 +34,32 @@ def wide_hash(form: Column, bits: int = 64) -> Column:
     return F.struct(keep(F.xxhash64(form)).alias("a"), keep(F.xxhash64(F.lit(_SALT), form)).alias("b"))
 
 
-def clashes(forms: DataFrame) -> list[tuple[int, int]]:
-    """Buckets of (form, hash) rows whose forms differ. With 128 bits there are none; the list is collected."""
-    buckets = forms.groupBy("hash").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low != high")
-    return [(r.hash.a, r.hash.b) for r in buckets.select("hash").collect()]
+def clashes(forms: DataFrame) -> DataFrame:
+    """(hash): buckets of (hash, form) rows whose forms differ. With 128 bits there are none."""
+    twice = forms.groupBy("hash").count().where("count > 1").select("hash")
+    buckets = forms.join(twice, "hash", "left_semi").groupBy("hash").agg(F.min("form").alias("low"), F.max("form").alias("high"))
+    return buckets.where("low != high").select("hash")
 
 
-def fingerprint(hash_: Column, form: Column, clashing: list[tuple[int, int]]) -> Column:
+def fingerprint(hash_: Column, digest: Column, met: Column) -> Column:
     """32 hex digits; in a clashing bucket followed by the SHA-256 of the form."""
     short = F.concat(*[F.lpad(F.lower(F.hex(hash_[k])), 16, "0") for k in ("a", "b")])
-    if not clashing:
-        return short
-    met = hash_.isin([F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in clashing])
-    return F.when(met, F.concat(short, F.lit("-"), F.sha2(form, 256))).otherwise(short)
+    return F.when(met, F.concat(short, F.lit("-"), digest)).otherwise(short)
+
+
+def _marked(rows: DataFrame, column: str, clashing: DataFrame, met: str) -> DataFrame:
+    """The rows with whether the hash in a column is of a clashing bucket."""
+    return rows.join(clashing.select(F.col("hash").alias("_hash"), F.lit(True).alias(met)), F.col(column) == F.col("_hash"), "left").drop("_hash").fillna(False, [met])
 
 
 def fingerprint_documents(docs: DataFrame, text_col: str = "text", bits: int = 64) -> DataFrame:
-    """The given rows with fingerprint: equal just for equal canonical texts. Null texts count as empty."""
+    """The given rows with fingerprint: equal just for equal canonical texts. Null texts count as empty; a column named fingerprint is replaced."""
+    other = [c for c in docs.columns if c != "fingerprint"]
     form = canonical(F.col(text_col))
-    clashing = clashes(docs.select(form.alias("form"), wide_hash(form, bits).alias("hash")))
-    return docs.withColumn("fingerprint", fingerprint(wide_hash(form, bits), form, clashing))
+    clashing = clashes(docs.select(wide_hash(form, bits).alias("hash"), form.alias("form")))
+    rows = docs.select(F.struct(*[docs[c] for c in other]).alias("_row"), wide_hash(form, bits).alias("_own"), F.sha2(form, 256).alias("_digest"))
+    rows = _marked(rows, "_own", clashing, "_met")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in other], fingerprint(F.col("_own"), F.col("_digest"), F.col("_met")).alias("fingerprint"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -88,16 +95,24 @@ def with_next(docs: DataFrame) -> DataFrame:
     return dealt.withColumn("next_text", F.lead("text").over(order)).where("late = 0").select("doc_id", "text", "next_text")
 
 
-def op9_canonical_digest(spark, sf_dir) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    form = canonical(F.col("text"))
-    clashing = clashes(docs.select(form.alias("form"), wide_hash(form).alias("hash")))
-    n = F.length("text")
+def edited_text(text: Column, following: Column) -> Column:
+    """The text with its last quarter of code points replaced by the first as many of another."""
+    n = F.length(text)
     tail = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next_text"), F.lit(1), tail))
-    rows = with_next(docs).select("doc_id", "text", "next_text", edited.alias("edited"))
-    forms = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[canonical(F.col(c)).alias(c) for c in ("text", "edited", "next_text")])
-    printed = lambda c: fingerprint(wide_hash(F.col(c)), F.col(c), clashing)
-    made = forms.select("doc_id", "n_chars", "edited_sha256", printed("text").alias("fingerprint"), printed("edited").alias("edited_fingerprint"), printed("next_text").alias("_next"))
-    like = lambda c: (F.col("fingerprint") == F.col(c)).cast("double")
-    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("_next").alias("near_next"))
+    return F.concat(F.substring(text, F.lit(1), n - tail), F.substring(following, F.lit(1), tail))
+
+
+def op9_canonical_digest(spark, sf_dir) -> DataFrame:
+    """Fingerprints of every text of documents and of its edited form, each compared with all others of its bucket."""
+    rows = with_next(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
+    kinds = ("text", "edited", "next_text")
+    forms = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[canonical(F.col(c)).alias(c) for c in kinds])
+    made = cut(forms.select("doc_id", "n_chars", "edited_sha256", *[x for c in kinds for x in (wide_hash(F.col(c)).alias(f"h_{c}"), F.sha2(c, 256).alias(f"d_{c}"))]))
+    both = F.explode(F.array(F.struct(wide_hash(F.col("text")).alias("hash"), F.col("text").alias("form")), F.struct(wide_hash(F.col("edited")).alias("hash"), F.col("edited").alias("form"))))
+    twice = made.select(F.explode(F.array("h_text", "h_edited")).alias("hash")).groupBy("hash").count().where("count > 1").select("hash")
+    clashing = cut(clashes(forms.select(both.alias("_")).select("_.*").join(twice, "hash", "left_semi")))
+    for c in kinds:
+        made = _marked(made, f"h_{c}", clashing, f"m_{c}")
+    printed = lambda c: fingerprint(F.col(f"h_{c}"), F.col(f"d_{c}"), F.col(f"m_{c}"))
+    like = lambda c: (printed("text") == printed(c)).cast("double")
+    return made.select("doc_id", "n_chars", "edited_sha256", printed("text").alias("fingerprint"), printed("edited").alias("edited_fingerprint"), like("edited").alias("near_edited"), like("next_text").alias("near_next"))

@@ -323,4 +323,5 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
 
 def op5_nn_descent(spark, sf_dir) -> DataFrame:
+    """Links, component and whether it is kept for every vector."""
     return near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

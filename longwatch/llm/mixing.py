@@ -105,6 +105,7 @@ def _take(state: DataFrame, left: DataFrame, k: int) -> DataFrame:
 
 
 def op2_water_filling(spark, sf_dir) -> DataFrame:
+    """Words that a mix of 150 % of all words takes of each document."""
     docs = read(spark, sf_dir, "documents")
     mixed = mix(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")))
     rows = mixed.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))

@@ -465,5 +465,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op7_sentencepiece_dropout(spark, sf_dir) -> DataFrame:
+    """Digests of every text's ids under dropout and of the decoded ids."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_documents(docs, ids=False).select("doc_id", "n_chars", "n_tokens", "tokens_sha256", "decoded_sha256", "lossless")

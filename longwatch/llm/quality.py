@@ -177,6 +177,7 @@ def quality_scores(
 
 
 def op10_quality_votes(spark, sf_dir) -> DataFrame:
+    """Quality score of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_scores(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"), with_text=False)
     held_out = F.coalesce(_remainder("doc_id", FOLDS) == 0, F.lit(False))

@@ -227,5 +227,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op4_simhash_bk_trees(spark, sf_dir) -> DataFrame:
+    """Fingerprint and component of every document."""
     rows = simhash_groups(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -400,6 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op8_suffix_array_dedup(spark, sf_dir) -> DataFrame:
+    """What every document loses to earlier ones, in bytes."""
     rows = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -64,6 +64,7 @@ def mine_rules(examples: DataFrame, support: float = SUPPORT, confidence: float
     Support is a share of all examples, LEAST of them at least. Examples without tokens or label are
     passed over. Tokens that are rules by themselves do not enter mining, as no longer rule holds one,
     and tokens of the same examples enter as one. Found rules come one by one, the short ones first.
+    A rule's tokens go from the rarest on.
     """
     rows = examples.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select("tokens", "bad")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -76,6 +77,7 @@ def mine_rules(examples: DataFrame, support: float = SUPPORT, confidence: float
     tokens = rows.select("row", "bad", F.explode(F.array_distinct("tokens")).alias("token"))
     rates = tokens.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("m"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("y"))
     rates = cut(rates.where(F.col("m") >= least).withColumn("c", F.col("m") / F.col("n")))
+    seen: dict[str, int] = {}
     kept: dict[frozenset, float] = {frozenset([r.token]): r.c for r in rates.where(F.col("c") >= confidence).toLocalIterator()}
     alike = cut(rates.where(F.col("c") < confidence).groupBy("n", "m", "x", "y").agg(F.min("token").alias("token"), F.sort_array(F.collect_list("token")).alias("all")))
     sets = tokens.join(alike.select("token"), "token").groupBy("row", "bad").agg(F.collect_list(F.concat(F.lit("t"), "token")).alias("items"))
@@ -92,16 +94,19 @@ def mine_rules(examples: DataFrame, support: float = SUPPORT, confidence: float
                 longer[have] = r.confidence
                 under.setdefault(min(have), []).append(have)
         if longer:
-            same = {r.token: r.all for r in alike.toLocalIterator()}
+            same, seen = {}, {}
+            for r in alike.toLocalIterator():
+                same[r.token] = r.all
+                seen |= dict.fromkeys(r.all, r.n)
             kept |= {frozenset(one): c for rule, c in longer.items() for one in product(*(same[t] for t in rule))}
-    return sorted(((sorted(rule), c) for rule, c in kept.items()), key=lambda r: (len(r[0]), -r[1], r[0]))
+    return sorted(((sorted(rule, key=lambda t: (seen.get(t, 0), t)), c) for rule, c in kept.items()), key=lambda r: (len(r[0]), -r[1], r[0]))
 
 
-def matches(tokens: Column, rules: list[tuple[list[str], float]], rates: dict[str, float] | None = None) -> Column:
-    """Whether a URL with these tokens has all tokens of a rule; rules are looked up by one token each, the rarest where rates tell."""
+def matches(tokens: Column, rules: list[tuple[list[str], float]]) -> Column:
+    """Whether a URL with these tokens has all tokens of a rule; rules are looked up by their first token, the rarest."""
     index: dict[str, list[list[str]]] = {}
     for rule, _ in rules:
-        index.setdefault(min(rule, key=lambda t: ((rates or {}).get(t, 0), t)), []).append(rule)
+        index.setdefault(rule[0], []).append(rule)
     if not index:
         return F.lit(False)
     lists = F.create_map(*[x for t, own in index.items() for x in (F.lit(t), F.array(*[F.array(*map(F.lit, r)) for r in own]))])
@@ -120,14 +125,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...
     known = labels.where(F.col("bad").isNotNull()).groupBy(F.col("page_id").alias("_id")).agg(F.max("bad").alias("bad"))
     examples = pages.select("page_id", tokens.alias("tokens")).join(known, F.col("page_id") == F.col("_id")).select("tokens", "bad")
     mined = mine_rules(examples, **mining)
-    rule = listed_rule(F.col("host"), F.col("path"), rules)
     other = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     method = F.when(matches(tokens, mined), "block").otherwise("allow")
-    judged = pages.select(*other, host.alias("host"), path.alias("path"), method.alias("_method")).withColumn("_rule", rule)
-    return judged.select(*other, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", "_method").alias("verdict"))
+    judged = pages.select(F.struct(*[pages[c] for c in other]).alias("_row"), host.alias("host"), path.alias("path"), method.alias("_method"))
+    judged = judged.withColumn("_rule", listed_rule(F.col("host"), F.col("path"), rules))
+    return judged.select(*[F.col("_row")[c].alias(c) for c in other], "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", "_method").alias("verdict"))
 
 
 def op3_url_rules(spark, sf_dir) -> DataFrame:
+    """Verdicts of every page's url; labels of the page's id tell bad ones: quality 0 or toxic 1."""
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages, labels).select("page_id", "host", "path", "rule", "verdict")
