@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 import numpy as np
@@ -42,6 +44,30 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
+#: Bytes of a batch that goes to a Python worker, unless the session has a size of its own.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
+def lean(work):
+    """A function over batches that gives the memory it has freed back to the system at its end, as Python workers wait on for other tasks.
+
+    Also bounds the session's batches by bytes where that is at Spark's default: texts can be long.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, _BATCH_BYTES)
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -107,11 +133,11 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     width = shuffle_width(spark)
     real = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    links = cut(real.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).coalesce(width).mapInArrow(_stars, "u long, v long"))
+    links = cut(real.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).coalesce(width).mapInArrow(lean(_stars), "u long, v long"))
     state = _digest(links)
     while state[0]:
         tasks = -(-state[0] // LINKS)
-        links = links.coalesce(min(tasks, width)).mapInArrow(_stars, "u long, v long")
+        links = links.coalesce(min(tasks, width)).mapInArrow(lean(_stars), "u long, v long")
         if tasks == 1:
             links = cut(links)
             break

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longwatch.llm.common import components, cut, read
+from longwatch.llm.common import components, cut, lean, read
 
 THRESHOLD = 0.9
 LIST = 8
@@ -181,7 +181,7 @@ def _sign_buckets(vectors: DataFrame, n: int, turn: int) -> DataFrame:
                     bucket = (dim * _TABLES + k) * (1 << 40) + code[:, k]
                     yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), rows.column(0), rows.column(2), rows.column(3)], names=["bucket", "id", "vec", "root"])
 
-    return vectors.select("id", "dim", "vec", "root").mapInArrow(run, "bucket long, id long, vec binary, root long")
+    return vectors.select("id", "dim", "vec", "root").mapInArrow(lean(run), "bucket long, id long, vec binary, root long")
 
 
 def _descend(graph: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
@@ -194,7 +194,7 @@ def _descend(graph: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
     floors = graph.groupBy(F.col("u").alias("id")).agg(last(~F.col("out")).alias("inner"), last(F.col("out")).alias("outer"))
     known = vectors.join(floors, "id", "left").select("id", "dim", "vec", "root", F.coalesce("inner", F.lit(-1.5)).alias("inner"), F.coalesce("outer", F.lit(-1.5)).alias("outer"))
     asked = around.join(known, "id").repartition("w").sortWithinPartitions("w")
-    return asked.select("w", "id", "dim", "vec", "root", "inner", "outer").mapInArrow(_refine, "u long, v long, sim double")
+    return asked.select("w", "id", "dim", "vec", "root", "inner", "outer").mapInArrow(lean(_refine), "u long, v long, sim double")
 
 
 def _audit(vectors: DataFrame, roots: DataFrame, threshold: float, sample: int) -> float:
@@ -218,7 +218,7 @@ def _audit(vectors: DataFrame, roots: DataFrame, threshold: float, sample: int)
                         true[q], found[q] = true.get(q, 0) + t, found.get(q, 0) + f
         yield pa.RecordBatch.from_arrays([pa.array(list(true), pa.int64()), pa.array(list(true.values()), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["q", "t", "f"])
 
-    share = placed.mapInArrow(run, "q long, t long, f long").groupBy("q").agg((F.sum("f") / F.nullif(F.sum("t"), F.lit(0))).alias("share"))
+    share = placed.mapInArrow(lean(run), "q long, t long, f long").groupBy("q").agg((F.sum("f") / F.nullif(F.sum("t"), F.lit(0))).alias("share"))
     found = share.agg(F.avg("share")).first()[0]
     return 1.0 if found is None else found
 
@@ -239,7 +239,7 @@ def _all_links(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
                 keep = spanning(j - i, a, b, np.zeros(len(a)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i + a[keep]]), pa.array(ids[i + b[keep]])], names=["a", "b"])
 
-    return asked.repartition("dim", "low", "high").sortWithinPartitions("dim", "low", "high").mapInArrow(run, "a long, b long")
+    return asked.repartition("dim", "low", "high").sortWithinPartitions("dim", "low", "high").mapInArrow(lean(run), "a long, b long")
 
 
 def _count(threshold: float):
@@ -278,7 +278,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     is not kept. Other columns are ignored.
     """
     given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    flat = cut(given.mapInArrow(_usable, "id long, dim int, vec binary"))
+    flat = cut(given.mapInArrow(lean(_usable), "id long, dim int, vec binary"))
     classes = flat.where(F.col("vec").isNotNull()).groupBy("dim", "vec").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     n = classes.count()
@@ -288,7 +288,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     placed = vectors.withColumn("root", F.col("id"))
     for k in range(2 * rounds):
         buckets = _sign_buckets(placed, n, k).repartition("bucket").sortWithinPartitions("bucket")
-        pairs = buckets.mapInArrow(_start(size), "u long, v long, sim double")
+        pairs = buckets.mapInArrow(lean(_start(size)), "u long, v long, sim double")
         if graph is not None:
             pairs = pairs.union(_descend(graph, placed, size)).union(graph.select("u", "v", "sim"))
         graph = cut(_best(pairs, placed, size))
@@ -312,7 +312,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("low"), F.greatest(b, F.col("block")).alias("high")))
     asked = wide.select("root", "id", "n", "vec", "block", F.explode(other).alias("p")).select("root", "p.low", "p.high", "block", "id", "n", "vec")
     asked = asked.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
-    counts = asked.mapInArrow(_count(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    counts = asked.mapInArrow(lean(_count(threshold)), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     found = classes.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").join(least, "root", "left")
     found = found.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longwatch.llm.common import components, cut, texts
+from longwatch.llm.common import components, cut, lean, texts
 from longwatch.llm.simhash import TREE, Forest, shingle_hashes, simhash
 
 SHINGLE = 5
@@ -283,8 +283,8 @@ def _exact(lone: DataFrame, likely: DataFrame, shingle: int, similarity: float)
     ends = likely.select(F.col("a").alias("id"), "a", "b").union(likely.select(F.col("b").alias("id"), "a", "b"))
     ends = ends.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("ends"))
     shingles, compare = _verify(shingle, similarity)
-    sets = lone.join(ends.hint("shuffle_hash"), "id").select("id", "text", "ends").mapInArrow(shingles, "a long, b long, side boolean, set binary")
-    return sets.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
+    sets = lone.join(ends.hint("shuffle_hash"), "id").select("id", "text", "ends").mapInArrow(lean(shingles), "a long, b long, side boolean, set binary")
+    return sets.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(lean(compare), "a long, b long")
 
 
 def _first_pairs(sketches: DataFrame) -> DataFrame:
@@ -338,18 +338,18 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = summed.join(least, "sum").where("least < id").select(F.col("id").alias("a"), F.col("least").alias("b"))
     first = summed.join(least, "sum").where("least = id").select("id").distinct()
     lone = rows.join(first.hint("shuffle_hash"), "id")
-    sketches = cut(lone.mapInArrow(_sketches(shingle), "id long, fp long, sign binary, keys array<bigint>, same binary").where("same is not null").distinct())
+    sketches = cut(lone.mapInArrow(lean(_sketches(shingle)), "id long, fp long, sign binary, keys array<bigint>, same binary").where("same is not null").distinct())
     least = sketches.groupBy("same").agg(F.min("id").alias("least"))
     copies = copies.union(sketches.join(least, "same").where("least < id").select(F.col("id").alias("a"), F.col("least").alias("b")))
     sketches = sketches.join(least, "same").where("least = id").drop("least")
     roots = components(_exact(lone, _first_pairs(sketches), shingle, similarity).union(copies))
     keys = ["shard", "low", "high"]
     asked = _blocks(sketches, roots, tree).repartition(*keys).sortWithinPartitions(*keys)
-    marked = cut(asked.mapInArrow(_mark(radius, similarity), _ASKED))
+    marked = cut(asked.mapInArrow(lean(_mark(radius, similarity)), _ASKED))
     wanted = marked.select("id").distinct()
-    sets = lone.join(wanted.hint("shuffle_hash"), "id").select("id", "text").mapInArrow(_sets(shingle), "id long, same binary, set binary").distinct()
+    sets = lone.join(wanted.hint("shuffle_hash"), "id").select("id", "text").mapInArrow(lean(_sets(shingle)), "id long, same binary, set binary").distinct()
     ready = marked.join(sets, ["id", "same"]).repartition(*keys).sortWithinPartitions(*keys)
-    found = ready.mapInArrow(_decide(radius, similarity), "a long, b long")
+    found = ready.mapInArrow(lean(_decide(radius, similarity)), "a long, b long")
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)).where("node != root").select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from longwatch.llm.common import read, texts
+from longwatch.llm.common import lean, read, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
@@ -461,7 +461,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         from pyspark.sql import types as T
 
         schema["tokens"].dataType = T.ArrayType(T.IntegerType())
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)
 
 
 def op7_sentencepiece_dropout(spark, sf_dir) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longwatch.llm.common import read, texts
+from longwatch.llm.common import lean, read, texts
 
 #: Labelled rows to fit on at most; those of the least keyed hash.
 SAMPLE = 4096
@@ -85,7 +85,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
                 df += (x > 0).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tolist()], pa.list_(pa.int64()))], names=["n", "df"])
 
-    parts = docs.select(text_col).mapInArrow(run, "n long, df array<bigint>")
+    parts = docs.select(text_col).mapInArrow(lean(run), "n long, df array<bigint>")
     sums = parts.select("n", F.posexplode("df").alias("i", "d")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     df, n = np.zeros(WIDTH), 0
     for r in sums.collect():  # WIDTH rows
@@ -109,7 +109,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
                 rows += [np.concatenate([np.flatnonzero(r), r[r > 0]]).astype(np.float32).tobytes() for r in x]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["label", "bag"])
 
-    got = rows.mapInArrow(run, "label double, bag binary").orderBy("label", "bag").limit(sample).collect()
+    got = rows.mapInArrow(lean(run), "label double, bag binary").orderBy("label", "bag").limit(sample).collect()
     bags = np.zeros((len(got), WIDTH), np.float32)
     for row, r in zip(bags, got, strict=True):
         x = np.frombuffer(r.bag, np.float32)
@@ -173,7 +173,7 @@ def quality_scores(
             score = np.clip(np.concatenate(out), 0, 1)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out_columns), pa.array(score)], names=[*out_columns, "score"])
 
-    return docs.mapInArrow(run, docs.select(*out_columns).schema.add("score", "double"))
+    return docs.mapInArrow(lean(run), docs.select(*out_columns).schema.add("score", "double"))
 
 
 def op10_quality_votes(spark, sf_dir) -> DataFrame:

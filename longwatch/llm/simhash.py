@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longwatch.llm.common import components, cut, least_labels, read, texts
+from longwatch.llm.common import components, cut, lean, least_labels, read, texts
 
 SHINGLE = 3
 RADIUS = 2
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
             fp = np.array([simhash(shingle_hashes(x, shingle)) for x in texts(b.column(at))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, "fp"])
 
-    return docs.drop("fp").mapInArrow(run, schema)
+    return docs.drop("fp").mapInArrow(lean(run), schema)
 
 
 class Forest:
@@ -205,7 +205,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) ->
     own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
     spread = held.select("fp", "shard", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
     rows = spread.select("shard", "tree", "fp", (F.col("own") == F.col("tree")).alias("member"))
-    return rows.repartition("shard", "tree").sortWithinPartitions("shard", "tree").mapInArrow(_search(radius), "a long, b long")
+    return rows.repartition("shard", "tree").sortWithinPartitions("shard", "tree").mapInArrow(lean(_search(radius)), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from longwatch.llm.blocks import BATCH, ROWS, SHARDS, block_rows, by_id, by_shard, by_value, by_value_rows, dealt, first_texts, found_for, grouped_texts, join_blocks, pack, per_document, shard_of, unpack
-from longwatch.llm.common import read, shuffle_width
+from longwatch.llm.common import lean, read, shuffle_width
 
 LENGTH = 50
 _GRAM = 16
@@ -386,16 +386,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other = [c for c in docs.columns if c not in (text_col, "n_bytes", "starts", "ends", "kept")]
     base = first_texts(docs, id_col, text_col, other)
     lone = base.where(~F.col("_state.whole"))
-    named = lone.mapInArrow(_announce(length, shards), ROWS)
-    flags = dealt(named).mapInArrow(by_shard(_shared, shards), ROWS)
+    named = lone.mapInArrow(lean(_announce(length, shards)), ROWS)
+    flags = dealt(named).mapInArrow(lean(by_shard(_shared, shards)), ROWS)
     picked = lone.join(by_id(flags).hint("shuffle_hash"), "_id").select("_id", "_row", "_data", "_state", "_found")
-    sent = picked.mapInArrow(_cut_runs(length, shards), ROWS)
-    found = dealt(sent).mapInArrow(by_shard(_repeats(length), shards), ROWS)
+    sent = picked.mapInArrow(lean(_cut_runs(length, shards)), ROWS)
+    found = dealt(sent).mapInArrow(lean(by_shard(_repeats(length), shards)), ROWS)
     done = base.join(by_id(found).hint("shuffle_hash"), "_id", "left").select("_id", "_row", "_data", "_state", "_found")
     longs = T.ArrayType(T.LongType())
     new = [("n_bytes", T.LongType()), ("starts", longs), ("ends", longs), ("kept", T.BinaryType())]
     schema = T.StructType([done.schema["_row"], *[T.StructField(name, kind) for name, kind in new]])
-    out = done.mapInArrow(_finish(length, characters), schema)
+    out = done.mapInArrow(lean(_finish(length, characters)), schema)
     return out.select(*[F.col("_row")[c].alias(c) for c in other], "n_bytes", "starts", "ends", "kept")
 
 
