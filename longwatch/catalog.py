@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from longwatch.functions import horizon, pricing, text, urls
+from longwatch.functions import horizon, pricing, text, urls, usage
 from longwatch.operators import bench, chunks, corpora, evalmatch, findings, grounding, recovery, report, scope, segment
 from longwatch.plans import scan
 from longwatch.sources import convert
@@ -269,6 +269,21 @@ def scope_counters(spark, sf):
     return scope.scope_counters(_turns(spark, sf), _scoped(spark, sf)).select("doc_id", "eligible_sections", "eligible_chars", "analyzed_sections", "analyzed_chars", "truncated", "coverage_percent")
 
 
+@query("""WITH t AS (SELECT doc_id, length(text) AS n, CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) + 3) // 4 END AS k FROM documents),
+x AS (SELECT doc_id, n, k, least(n, 2000) AS an, CASE WHEN n = 0 THEN 0 ELSE (least(n, 2000) + 3) // 4 END AS ak FROM t)
+SELECT doc_id, 100.0::DOUBLE AS sections_pct, CASE WHEN n = 0 THEN 100.0 ELSE 100.0 * an / n END::DOUBLE AS chars_pct, CASE WHEN k = 0 THEN 100.0 ELSE 100.0 * ak / k END::DOUBLE AS tokens_pct,
+CASE WHEN n = 0 THEN 100.0 ELSE least(100.0, 100.0 * an / (2 * n)) END::DOUBLE AS chars_pct_of_document, CASE WHEN k = 0 THEN 100.0 ELSE least(100.0, 100.0 * ak / (2 * k)) END::DOUBLE AS tokens_pct_of_document FROM x""")
+def plan_coverage(spark, sf):
+    """Shares of documents of which the first 2000 characters are analysed and half is eligible."""
+    n = F.length("text")
+    k, done = text.estimate_tokens(n), F.least(n, F.lit(2000))
+    rows = table(spark, sf, "documents").select(
+        "doc_id", F.lit(1).alias("analyzed_sections"), F.lit(1).alias("eligible_sections"), done.alias("analyzed_chars"), n.alias("eligible_chars"), (2 * n).alias("document_chars"),
+        text.estimate_tokens(done).alias("analyzed_tokens"), k.alias("eligible_tokens"), (2 * k).alias("document_tokens"),
+    )
+    return scope.coverage_shares(rows).select("doc_id", "sections_pct", "chars_pct", "tokens_pct", "chars_pct_of_document", "tokens_pct_of_document")
+
+
 PACK_SQL = """WITH RECURSIVE s AS (
   SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, 's-' || turn AS id,
          length(role) + length(text) + length('--- SECTION ref=S0001 ---') + 1 + length('section_title: ') + 1 + length('text:') + 1 + 1 + length('--- END SECTION ref=S0001 ---') AS size FROM conversations
@@ -297,6 +312,43 @@ def chunk_requests(spark, sf):
     return chunks.requests(_packed(spark, sf)).select("doc_id", "chunk_index", "sections", "est_in", "est_out")
 
 
+VIEWS_SQL = (PACK_SQL + """, q AS (SELECT doc_id, chunk, (6000 + (FRAME + body + 2 * length(body::VARCHAR) + length(sections::VARCHAR) + 3) // 4)::BIGINT AS est_in, lo, hi
+FROM (SELECT doc_id, chunk, count(*) AS sections, (sum(size) + count(*) - 1)::BIGINT AS body, min(n) AS lo, max(n) AS hi FROM f GROUP BY doc_id, chunk))""").replace("FRAME", str(len("UNTRUSTED_DATA kind=section_chunk chars=\ndocument_id: \ntitle: \nsection_summary: \nsection_count: \ntext:\n\nUNTRUSTED_DATA_END chars=")))
+
+
+@query(VIEWS_SQL.replace(", q AS", """, o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS stop, length(text) AS size FROM conversations), q AS""") + """
+SELECT q.doc_id, (chunk + 1)::BIGINT AS number, est_in, (a.stop - a.size)::BIGINT AS start_char, b.stop::BIGINT AS end_char FROM q JOIN o a ON a.conv_id = q.doc_id AND a.n = q.lo JOIN o b ON b.conv_id = q.doc_id AND b.n = q.hi""")
+def request_views(spark, sf):
+    """Numbered requests of conversations with their spans."""
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    stop = F.sum(F.length("text")).over(order)
+    spans = _packed(spark, sf).drop("start_char", "end_char").withColumn("end_char", stop).withColumn("start_char", c("end_char") - F.length("text"))
+    return chunks.request_views(spans).select("doc_id", c("index").cast("long").alias("number"), "est_in", "start_char", "end_char")
+
+
+@query(VIEWS_SQL + """
+SELECT doc_id, count(*) AS requests, min(est_in) AS lowest, max(est_in) AS highest,
+'estimated input/request: ' || CASE WHEN min(est_in) = max(est_in) THEN format('{:,}', min(est_in)) ELSE format('{:,}', min(est_in)) || ' to ' || format('{:,}', max(est_in)) END || ' tokens' AS line FROM q GROUP BY doc_id""")
+def request_range(spark, sf):
+    """The line of a plan that tells its requests' input tokens."""
+    return chunks.input_range(chunks.requests(_packed(spark, sf)))
+
+
+@query(f"""WITH t AS (SELECT lang, doc_id, ({TOKENS_SQL}) * 100 + 6000 AS tokens FROM documents),
+p(provider, model) AS (VALUES ('openai', 'gpt-6-luna'), ('openai', 'gpt-4.1-mini'), ('nobody', 'none')),
+r AS (SELECT *, CASE WHEN model = 'gpt-6-luna' THEN CASE WHEN tokens > 272000 THEN 'GPT-6 Luna long-context rates' ELSE 'GPT-6 Luna short-context rates' END ELSE 'indicative table rates' END AS label FROM t, p),
+n AS (SELECT lang, provider, model, label, count(*) AS n, min(doc_id) AS first FROM r GROUP BY ALL)
+SELECT lang, provider, model, 'pricing: ' || CASE WHEN provider = 'nobody' THEN 'USD estimate unavailable (no table entry for nobody:none)' ELSE string_agg(n || CASE WHEN n = 1 THEN ' request uses ' ELSE ' requests use ' END || label, '; ' ORDER BY first) END AS line FROM n GROUP BY lang, provider, model""")
+def pricing_lines(spark, sf):
+    """One plan for each language and model, a request for each document."""
+    models = pricing.with_prices(spark.createDataFrame([("openai", "gpt-6-luna"), ("openai", "gpt-4.1-mini"), ("nobody", "none")], "provider string, model string"))
+    tokens = pricing.request_input_tokens(text.estimate_tokens(F.length("text")) * 100)
+    rows = table(spark, sf, "documents").select("lang", "doc_id", tokens.alias("tokens")).crossJoin(F.broadcast(models))  # three rows
+    rows = rows.withColumn("tier", pricing.pricing_tier(c("provider"), c("model"), c("tokens"), c("input_rate")))
+    plans = rows.groupBy("lang", "provider", "model").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tier")))["tier"].alias("tiers"))
+    return plans.select("lang", "provider", "model", pricing.pricing_line(c("tiers"), c("provider"), c("model")).alias("line"))
+
+
 ENVELOPE_SQL = r"""WITH b AS (SELECT conv_id AS doc_id, count(*) AS k, string_agg(format('--- SECTION ref=S{:04d} ---', n) || chr(10) || 'section_title: ' || role || chr(10) || 'text:' || chr(10) || text || chr(10) || format('--- END SECTION ref=S{:04d} ---', n), chr(10) ORDER BY n) AS body
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id)
 SELECT doc_id, sha256('UNTRUSTED_DATA kind=section_chunk chars=' || length(body) || chr(10) || 'document_id: ' || doc_id || chr(10) || 'title: ' || chr(10) || 'section_summary: ' || chr(10) || 'section_count: ' || k || chr(10) || 'text:' || chr(10) || body || chr(10) || 'UNTRUSTED_DATA_END chars=' || length(body)) AS envelope_sha256 FROM b"""
@@ -535,10 +587,62 @@ def report_json(spark, sf):
     return made.select("run_id", get("$.doc_id").cast("long").alias("json_doc"), get("$.findings[0].severity").alias("json_severity"))
 
 
-@query(r"""SELECT doc_id, length(regexp_replace(text, '\bsk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g')) AS chars, regexp_matches(text, '\bsk-[A-Za-z0-9_-]{8,}') AS had_key FROM documents""")
+def _replaced(sql: str, rules) -> str:
+    """SQL that applies patterns in order."""
+    for pattern, put in rules:
+        sql = f"regexp_replace({sql}, '{pattern.replace(chr(39), chr(39) * 2)}', '{put.replace('$', chr(92))}', 'g')"
+    return sql
+
+
+@query(f"SELECT doc_id, sha256({_replaced('text', text.SECRETS)}) AS shown_sha256, {_replaced('text', text.SECRETS)} <> text AS had_secret FROM documents")
 def secret_redaction(spark, sf):
-    shown = F.regexp_replace("text", text.SECRETS[-1][0], text.SECRETS[-1][1])
-    return table(spark, sf, "documents").select("doc_id", F.length(shown).cast("long").alias("chars"), (shown != c("text")).alias("had_key"))
+    """Whole texts under all patterns."""
+    shown = text.redact_secrets(c("text"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(shown, 256).alias("shown_sha256"), (shown != c("text")).alias("had_secret"))
+
+
+RUN_SQL = "coalesce(list_max(list_transform(regexp_extract_all({0}, '{1}+'), lambda x: length(x))), 0)"
+CODE_SQL = f"""WITH t AS (SELECT page_id, regexp_replace(html, '[\\n\\x0B\\x0C\\r\\x{{85}}\\x{{2028}}\\x{{2029}}\\t]', ' ', 'g') AS line, html FROM pages),
+u AS (SELECT page_id, line, html, repeat('`', ({RUN_SQL.format('line', '`')} + 1)::BIGINT) AS marks, {RUN_SQL.format('html', '`')} AS ticks, {RUN_SQL.format('html', '~')} AS tildes FROM t),
+v AS (SELECT *, CASE WHEN tildes < ticks THEN repeat('~', greatest(3, tildes + 1)::BIGINT) ELSE repeat('`', greatest(3, ticks + 1)::BIGINT) END AS fence FROM u)
+SELECT page_id, sha256(marks || CASE WHEN line = '' OR line[1] IN ('`', ' ') OR line[-1] IN ('`', ' ') THEN ' ' || line || ' ' ELSE line END || marks) AS code_sha256,
+sha256(fence || chr(10) || CASE WHEN html[-1] = chr(10) THEN html[:-2] ELSE html END || chr(10) || fence) AS fence_sha256 FROM v"""
+
+
+@query(CODE_SQL)
+def markdown_code(spark, sf):
+    """Whole pages as inline code and as fenced blocks."""
+    return table(spark, sf, "pages").select("page_id", F.sha2(text.inline_code(c("html")), 256).alias("code_sha256"), F.sha2(text.markdown_fence(c("html")), 256).alias("fence_sha256"))
+
+
+BODY_SQL = "CASE conv_id % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'gemini' ELSE 'ollama' END"
+
+
+@query(f"""SELECT conv_id, turn, {BODY_SQL} AS provider, CASE WHEN turn % 5 = 3 THEN NULL ELSE length(text) END::BIGINT AS input_tokens, CASE WHEN turn % 5 = 3 THEN NULL WHEN turn % 5 = 4 THEN 0 ELSE turn END::BIGINT AS output_tokens,
+CASE WHEN turn % 5 = 3 OR conv_id % 4 <> 0 OR conv_id % 8 = 0 THEN NULL ELSE conv_id END::BIGINT AS reasoning_tokens, CASE WHEN turn % 5 = 3 THEN 'shape' END AS error,
+CASE WHEN conv_id % 4 <> 0 THEN 'ok' ELSE ['ok', 'truncated', 'rejected', 'unexpected_output', 'shape'][1 + turn % 5] END AS state FROM conversations""")
+def provider_usage(spark, sf):
+    """Counts of tokens and endings of made-up answers, one for each turn."""
+    quoted = F.to_json(F.struct(c("text").alias("x")))
+    text_json = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
+    i = F.length("text").cast("string")
+    o = F.when(c("turn") % 5 == 3, "-1").when(c("turn") % 5 == 4, "null").otherwise(c("turn").cast("string"))
+    end = F.element_at(F.array(*map(F.lit, ("stop", "length", "content_filter", "tool_calls", "other"))), (c("turn") % 5 + 1).cast("int"))
+    why = F.when(c("conv_id") % 8 == 0, "{}").otherwise(F.concat(F.lit('{"reasoning_tokens":'), c("conv_id").cast("string"), F.lit("}")))
+    bodies = {
+        "openai": ('{"choices":[{"finish_reason":"', end, '","message":{"content":', text_json, '}}],"usage":{"prompt_tokens":', i, ',"completion_tokens":', o, ',"completion_tokens_details":', why, "}}"),
+        "anthropic": ('{"content":[{"type":"text","text":', text_json, '}],"usage":{"input_tokens":', i, ',"output_tokens":', o, "}}"),
+        "gemini": ('{"candidates":[{"content":{"parts":[{"text":', text_json, '}]}}],"usageMetadata":{"promptTokenCount":', i, ',"candidatesTokenCount":', o, "}}"),
+        "ollama": ('{"message":{"content":', text_json, '},"prompt_eval_count":', i, ',"eval_count":', o, "}"),
+    }
+    names = list(bodies)
+    provider = F.element_at(F.array(*map(F.lit, names)), (c("conv_id") % 4 + 1).cast("int"))
+    body = F.lit(None).cast("string")
+    for name in names:
+        body = F.when(c("provider") == name, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in bodies[name]])).otherwise(body)
+    rows = table(spark, sf, "conversations").withColumn("provider", provider).withColumn("body", body)
+    rows = rows.withColumn("u", usage.token_usage(c("provider"), c("body"))).withColumn("state", usage.answer_state(c("provider"), c("body")))
+    return rows.select("conv_id", "turn", "provider", "u.input_tokens", "u.output_tokens", "u.reasoning_tokens", "u.error", "state")
 
 
 @query("""SELECT lang, count(*) AS n, count(quality) AS quality_known, sum(quality)::BIGINT AS quality_sum, count(quality) = count(*) AS quality_complete FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")

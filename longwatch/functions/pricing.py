@@ -75,6 +75,19 @@ def pricing_tier(provider: Column, model: Column, tokens: Column, input_rate: Co
     )
 
 
+# How tiers are told.
+TIER_LABELS = {"luna_long": "GPT-6 Luna long-context rates", "luna_short": "GPT-6 Luna short-context rates", "table": "indicative table rates"}
+
+
+def pricing_line(tiers: Column, provider: Column, model: Column) -> Column:
+    """How many requests use which rates, from the tiers of a plan's requests in order; an unknown one tells that alone."""
+    labels = F.create_map(*[F.lit(x) for kv in TIER_LABELS.items() for x in kv])
+    count = lambda t: F.size(F.filter(tiers, lambda x: x == t))
+    part = F.transform(F.array_distinct(tiers), lambda t: F.concat(count(t).cast("string"), F.when(count(t) == 1, " request uses ").otherwise(" requests use "), F.element_at(labels, t)))
+    unknown = F.concat(F.lit("pricing: USD estimate unavailable (no table entry for "), provider, F.lit(":"), model, F.lit(")"))
+    return F.when(F.array_contains(tiers, "unknown"), unknown).when(F.size(tiers) > 0, F.concat(F.lit("pricing: "), F.array_join(part, "; ")))
+
+
 def context_window(provider: Column, model: Column) -> Column:
     """(M21)"""
     out = None

@@ -76,17 +76,19 @@ def redacted(text: Column) -> Column:
     return F.concat(F.lit("<redacted len="), F.length(text).cast("string"), F.lit(">"))
 
 
-#: (pattern, replacement) for secrets in messages, applied in order.
+# Fixed values: (pattern, replacement) for secrets in messages, applied in order, then controls, and URLs without user, query and fragment.
 SECRETS = (
-    (r"(?i)\b(authorization|x-api-key|api-key)(\s*[:=]\s*)(?:bearer\s+)?[^\s,;]+", "$1$2[redacted]"),
-    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]"),
-    (r"(?i)([?&](?:key|api_key|token|access_token)=)[^&\s]+", "$1[redacted]"),
-    (r"\bsk-[A-Za-z0-9_-]{8,}", "[redacted]"),
+    (r"(?i)(Authorization\s*:\s*Bearer\s+)(\S+)", "$1[REDACTED]"),
+    (r"(?i)(Bearer\s+)(\S+)", "$1[REDACTED]"),
+    (r"(?i)((?:api[_-]?key|x-api-key|access[_-]?token)\s*[:=]\s*)([^\s,\"'}]+)", "$1[REDACTED]"),
+    (r"\b(sk-[A-Za-z0-9_-]{8,})\b", "[REDACTED]"),
+    (r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " "),
+    (r"(https?://)(?:[^\s/?#]*@)?([^\s/?#]*[^\s?#]*)[?#]?\S*", "$1$2"),
 )
 
 
 def redact_secrets(text: Column) -> Column:
-    """Without authorization headers, bearer tokens, key parameters and secret keys."""
+    """Without authorization headers, bearer tokens, keys, control characters and the private parts of URLs."""
     for pattern, put in SECRETS:
         text = F.regexp_replace(text, pattern, put)
     return text
@@ -106,10 +108,36 @@ def escape_markdown(text: Column) -> Column:
     return F.regexp_replace(text, r"^([ ]*)([-+=]|\d+[.)])", r"$1\\$2")
 
 
+#: Controls, and marks that turn the direction of text, which are shown by their code points.
+_UNSEEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\u202A-\u202E\u2066-\u2069]"
+_VERTICAL = r"[\n\x0B\x0C\r\x85\u2028\u2029\t]"
+
+
+def visible(text: Column) -> Column:
+    """Unseen characters as \\u and four digits."""
+    shown = F.transform(F.split(text, ""), lambda ch: F.when(ch.rlike(_UNSEEN), F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(ch))), 4, "0"))).otherwise(ch))
+    return F.when(text.rlike(_UNSEEN), F.array_join(shown, "")).otherwise(text)
+
+
+def longest_run(text: Column, mark: str) -> Column:
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"({mark}+)"), 1), F.length)), F.lit(0))
+
+
+def inline_code(text: Column) -> Column:
+    """A text in backticks, more than any run of it has, on one line; with over 32 it is escaped instead."""
+    line = F.regexp_replace(visible(text), _VERTICAL, " ")
+    n = longest_run(line, "`") + 1
+    edge = (line == "") | line.rlike(r"\A[` ]|[` ]\z")
+    marks = F.repeat(F.lit("`"), n)
+    return F.when(n > 32, escape_markdown(text)).otherwise(F.concat(marks, F.when(edge, F.concat(F.lit(" "), line, F.lit(" "))).otherwise(line), marks))
+
+
 def markdown_fence(text: Column) -> Column:
-    """A fenced block; the fence is longer than any run of its character in the text."""
-    runs = F.transform(F.regexp_extract_all(text, F.lit(r"(`+)"), 1), F.length)
-    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
+    """A block between fences longer than any run of their character in the text: of tildes if it has shorter runs of these."""
+    text = F.regexp_replace(visible(text), r"\r\n|[\r\x85\u2028\u2029]", "\n")
+    text = F.regexp_replace(text, r"\n\z", "")
+    ticks, tildes = longest_run(text, "`"), longest_run(text, "~")
+    fence = F.repeat(F.when(tildes < ticks, "~").otherwise("`"), F.greatest(F.lit(3), F.least(ticks, tildes) + 1))
     return F.concat_ws("\n", fence, text, fence)
 
 

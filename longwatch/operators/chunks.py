@@ -84,6 +84,24 @@ def request_text(packed: DataFrame) -> DataFrame:
     return rows.select("doc_id", "chunk_index", F.concat_ws("\n", *head, F.concat(F.lit("section_count: "), F.size("r").cast("string")), F.lit("text:"), body, F.concat(F.lit("UNTRUSTED_DATA_END chars="), count)).alias("text"))
 
 
+def request_views(packed: DataFrame, max_output: int = MAX_OUTPUT_TOKENS) -> DataFrame:
+    """Requests with their number from 1 and the span of the text that they hold.
+
+    packed: sections of pack() with start_char and end_char.
+    """
+    spans = packed.groupBy("doc_id", "chunk_index").agg(F.min_by("start_char", "ord").alias("start_char"), F.max_by("end_char", "ord").alias("end_char"))
+    each = requests(packed, max_output).join(spans, ["doc_id", "chunk_index"])
+    return each.withColumn("index", F.col("chunk_index") + 1)
+
+
+def input_range(views: DataFrame) -> DataFrame:
+    """(doc_id, requests, lowest, highest, line): input tokens of a plan's requests, and the line that tells them."""
+    rows = views.groupBy("doc_id").agg(F.count("*").alias("requests"), F.min("est_in").alias("lowest"), F.max("est_in").alias("highest"))
+    low, high = (F.format_number(k, 0) for k in ("lowest", "highest"))
+    between = F.when(F.col("lowest") == F.col("highest"), low).otherwise(F.concat_ws(" to ", low, high))
+    return rows.withColumn("line", F.concat(F.lit("estimated input/request: "), between, F.lit(" tokens")))
+
+
 def halves(items: Column) -> tuple[Column, Column]:
     """A list cut in two, the first half the shorter."""
     k = F.floor(F.size(items) / 2).cast("int")

@@ -22,20 +22,22 @@ def contains_quote(source: Column, quote: Column) -> Column:
 
 
 def quote_pairs(sources: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of quotes that a source holds; quotes are a small table.
+    """(doc_id, item_id) of quotes that a source holds.
 
     Containment has no equal key of its own: each quote is indexed by its
-    longest word, sources are exploded into distinct words and meet quotes on
-    that, so only pairs that share the word are compared.
+    longest inner word. Distinct words of a source meet quotes on that word
+    without the source, and only for the pairs left do quote and source come
+    together. A quote of two words has no inner one and is tried on all sources.
     """
     q = quotes.select("item_id", quote_form(F.col("text")).alias("form")).where(F.length("form") >= MIN_QUOTE_CHARS)
     # inner words of a quote are whole words of the source; the outer two can be cut
     words = F.slice(F.split("form", " "), F.lit(2), F.greatest(F.size(F.split("form", " ")) - 2, F.lit(0)))
-    key = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    q = q.withColumn("key", key)
+    q = q.withColumn("key", F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     s = sources.select("doc_id", quote_form(F.col("text")).alias("source"))
-    keyed = s.withColumn("key", F.explode(F.array_distinct(F.split("source", " "))))
-    by_key = keyed.join(q.where("key IS NOT NULL"), "key").where(F.instr("source", F.col("form")) > 0).select("doc_id", "item_id")
+    keys = s.select("doc_id", F.explode(F.array_distinct(F.split("source", " "))).alias("key"))
+    met = keys.join(q.where("key IS NOT NULL"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "form")).alias("found"))
+    held = lambda found: F.filter(found, lambda x: F.instr(F.col("source"), x["form"]) > 0)
+    by_key = s.join(met, "doc_id").select("doc_id", F.explode(held(F.col("found"))["item_id"]).alias("item_id"))
     rest = s.join(q.where("key IS NULL"), F.instr("source", F.col("form")) > 0).select("doc_id", "item_id")
     return by_key.union(rest).distinct()
 

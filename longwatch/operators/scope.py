@@ -63,3 +63,14 @@ def coverage(analyzed: Column, eligible: Column) -> Column:
     """Percent of what is eligible, 100 at most; nothing eligible is all of it."""
     share = F.least(F.lit(100.0), F.lit(100.0) * analyzed / F.when(eligible > 0, eligible))
     return F.when(analyzed.isNull() | eligible.isNull(), F.lit(None).cast("double")).when(eligible <= 0, F.when(analyzed <= 0, 100.0).otherwise(0.0)).otherwise(share)
+
+
+def coverage_shares(counters: DataFrame) -> DataFrame:
+    """The counters with five shares in percent: of eligible sections, characters and tokens, and of the document's.
+
+    counters: analyzed_ and eligible_ of sections, chars and tokens, and document_chars and document_tokens.
+    """
+    c = F.col
+    shares = {f"{k}_pct": coverage(c(f"analyzed_{k}"), c(f"eligible_{k}")) for k in ("sections", "chars", "tokens")}
+    shares |= {f"{k}_pct_of_document": coverage(c(f"analyzed_{k}"), c(f"document_{k}")) for k in ("chars", "tokens")}
+    return counters.withColumns(shares)

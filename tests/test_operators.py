@@ -221,7 +221,63 @@ def test_headings_outside_fences(spark):
 
 
 def test_markdown_fence_outgrows_the_text(spark):
-    assert one(spark, text.markdown_fence(F.lit("a ```` b"))).startswith("`````\n")
+    fenced = lambda x: one(spark, text.markdown_fence(F.lit(x)))
+    assert fenced("a ```` b") == "~~~\na ```` b\n~~~"
+    assert fenced("a ```` ~~~~~ b") == "`````\na ```` ~~~~~ b\n`````"
+    assert fenced("a ````` ~~~~ b") == "~~~~~\na ````` ~~~~ b\n~~~~~"
+    assert fenced("plain\r\nlines\n") == "```\nplain\nlines\n```" and fenced("") == "```\n\n```"
+
+
+def test_inline_code(spark):
+    code = lambda x: one(spark, text.inline_code(F.lit(x)))
+    assert [code(x) for x in ("a", "", "`a", "a ``b", " a", "a\nb", "a\u202eb")] == ["`a`", "`  `", "`` `a ``", "```a ``b```", "`  a `", "`a b`", "`a\\u202eb`"]
+    assert "`" * 33 not in code("`" * 33).replace("\\`", "")
+
+
+def test_secrets_and_private_parts_of_urls(spark):
+    shown = lambda x: one(spark, text.redact_secrets(F.lit(x)))
+    assert shown("Authorization: Bearer abc.def") == "Authorization: Bearer [REDACTED]"
+    assert shown("x-api-key=abc, next") == "x-api-key=[REDACTED], next" and shown("a sk-12345678 b\x07") == "a [REDACTED] b "
+    assert shown("see https://me:pw@host.example:8443/a/b?key=1#frag now") == "see https://host.example:8443/a/b now"
+
+
+def test_token_usage(spark):
+    from longwatch.functions import usage
+
+    def got(provider, body):
+        r = spark.createDataFrame([(provider, body)], "p string, b string").select(usage.token_usage(F.col("p"), F.col("b")).alias("u"), usage.answer_state(F.col("p"), F.col("b")).alias("s")).first()
+        return (*r.u, r.s)
+
+    answer = '{"choices":[{"finish_reason":"%s","message":{"content":"x"%s}}],"usage":{"prompt_tokens":5,"completion_tokens":%s}}'
+    assert got("openai", answer % ("stop", "", 7)) == (5, 7, None, None, "ok")
+    assert got("openai", answer % ("stop", ',"refusal":"no"', 7)) == (5, 7, None, None, "shape")
+    assert got("openai", answer % ("length", "", "-7")) == (None, None, None, "shape", "truncated")
+    assert got("openai", answer % ("content_filter", "", "true")) == (None, None, None, "shape", "rejected")
+    assert got("gemini", '{"candidates":[]}') == (0, 0, None, None, "shape") and got("ollama", "{}") == (0, 0, None, None, "ok") and got("openai", "no json") == (0, 0, None, None, "shape")
+
+
+@pytest.mark.parametrize("line, title, clause", [
+    ("4.1 Epoch", "bare", None), ("2038 cannot be reached", None, "title"), ("41 Things", None, "quantity"), ("3 The rest", None, "quantity"), ("2.3 Unless noted,", None, "title"),
+    ("1 presented to the group;", None, "title"), ("Timestamp ..... 16", "contents entry", "no number"), ("1 Scope  12", "contents entry", "contents entry"), ("Scope and terms", None, "no number"),
+    ("5.3", "bare number", "no number"), ("", "empty", "no number"), ("Clause 38 and Annex B define the rest.", "sentence end", "title"),
+])
+def test_flaws_are_named(line, title, clause):
+    facts = segment._Facts(line)
+    if title != "bare" and title is not None:
+        assert segment.flaw(facts, segment.TITLE_FLAWS) == title
+    assert segment.flaw(facts, segment.CLAUSE_FLAWS) == clause
+
+
+def test_a_dotted_heading_with_a_page_ends_the_contents():
+    gap = "some words that are a line of their own\n3. Overview\t12\nmore"
+    assert segment._contents_gap("x" * 10 + " entry\n" + "y" * 40 + "\tt 9\n") and not segment._contents_gap(gap)
+
+
+def test_coverage_shares(spark):
+    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in {"analyzed_sections": 0, "eligible_sections": 0, "analyzed_chars": 3, "eligible_chars": 0, "document_chars": 2, "analyzed_tokens": 1, "eligible_tokens": 4, "document_tokens": 8}.items()])
+    r = scope.coverage_shares(row).first()
+    assert (r.sections_pct, r.chars_pct, r.tokens_pct, r.chars_pct_of_document, r.tokens_pct_of_document) == (100.0, 0.0, 25.0, 100.0, 12.5)
+
 
 
 def test_byte_prefix(spark):
@@ -229,7 +285,7 @@ def test_byte_prefix(spark):
 
 
 def test_secrets(spark):
-    shown = one(spark, text.redact_secrets(F.lit("Authorization: Bearer abc.def sk-12345678abc ?key=zzz&x=1")))
+    shown = one(spark, text.redact_secrets(F.lit("Authorization: Bearer abc.def sk-12345678abc api_key=zzz x=1")))
     assert not any(s in shown for s in ("abc.def", "sk-1234", "zzz")) and "x=1" in shown
 
 
