@@ -5,7 +5,7 @@ composition again, runs of white space as one space, none at the ends) and
 hashed with two independent 64-bit xxhashes. Inside equal buckets the canonical
 bytes are compared, those of every form that gets a fingerprint: in a bucket
 that holds different texts, fingerprints have a SHA-256 of the text appended.
-Only forms whose hash occurs twice are compared. All of it is SQL functions.
+Only forms whose hash may occur twice are sent and compared. All of it is SQL functions.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from longwatch.llm.common import buckets_by_range, cut, read, shuffle_width
 
 _SALT = "longwatch"
+#: Bits of the map of hashes that occur twice: 1 MB.
+_BITS = 1 << 23
 #: Buckets of neighbouring documents for each shuffle partition.
 _BUCKETS = 4
 
@@ -34,10 +36,27 @@ def wide_hash(form: Column, bits: int = 64) -> Column:
     return F.struct(keep(F.xxhash64(form)).alias("a"), keep(F.xxhash64(F.lit(_SALT), form)).alias("b"))
 
 
-def clashes(forms: DataFrame) -> DataFrame:
-    """(hash): buckets of (hash, form) rows whose forms differ. With 128 bits there are none."""
-    twice = forms.groupBy("hash").count().where("count > 1").select("hash")
-    buckets = forms.join(twice, "hash", "left_semi").groupBy("hash").agg(F.min("form").alias("low"), F.max("form").alias("high"))
+def twice(hashes: DataFrame) -> Column:
+    """Whether a column hash may occur twice among (hash) rows: by a bitmap of bounded size, so that most forms need not be sent.
+
+    Where the bitmap is too small for the rows, more forms are sent than need be.
+    """
+    place = F.pmod(F.col("hash.a"), F.lit(_BITS)) + 1
+    again = hashes.groupBy("hash").count().where("count > 1").select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("bit"))
+    maps = {r.k: bytes(r.map) for r in again.groupBy("k").agg(F.bitmap_construct_agg("bit").alias("map")).collect()}  # _BITS bits at most
+    if not maps:
+        return F.lit(False)
+    each = 8 * len(next(iter(maps.values())))
+    all_maps = F.array(*[F.lit(maps.get(k, b"")) for k in range(1, _BITS // each + 1)])
+    at = F.pmod(F.col("hash.a"), F.lit(_BITS))
+    byte = F.substring(F.get(all_maps, F.floor(at / each).cast("int")), F.floor(at % each / 8).cast("int") + 1, F.lit(1))
+    value = F.coalesce(F.conv(F.hex(byte), 16, 10).cast("int"), F.lit(0))
+    return F.floor(value / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
+
+
+def clashes(forms: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """(hash): buckets of (hash, form) rows whose forms differ. With 128 bits there are none. hashes: those of the forms, if they are at hand."""
+    buckets = forms.where(twice(forms.select("hash") if hashes is None else hashes)).groupBy("hash").agg(F.min("form").alias("low"), F.max("form").alias("high"))
     return buckets.where("low != high").select("hash")
 
 
@@ -109,8 +128,7 @@ def op9_canonical_digest(spark, sf_dir) -> DataFrame:
     forms = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[canonical(F.col(c)).alias(c) for c in kinds])
     made = cut(forms.select("doc_id", "n_chars", "edited_sha256", *[x for c in kinds for x in (wide_hash(F.col(c)).alias(f"h_{c}"), F.sha2(c, 256).alias(f"d_{c}"))]))
     both = F.explode(F.array(F.struct(wide_hash(F.col("text")).alias("hash"), F.col("text").alias("form")), F.struct(wide_hash(F.col("edited")).alias("hash"), F.col("edited").alias("form"))))
-    twice = made.select(F.explode(F.array("h_text", "h_edited")).alias("hash")).groupBy("hash").count().where("count > 1").select("hash")
-    clashing = cut(clashes(forms.select(both.alias("_")).select("_.*").join(twice, "hash", "left_semi")))
+    clashing = cut(clashes(forms.select(both.alias("_")).select("_.*"), made.select(F.explode(F.array("h_text", "h_edited")).alias("hash"))))
     for c in kinds:
         made = _marked(made, f"h_{c}", clashing, f"m_{c}")
     printed = lambda c: fingerprint(F.col(f"h_{c}"), F.col(f"d_{c}"), F.col(f"m_{c}"))
