@@ -226,11 +226,18 @@ def quote_span_counts(spark, sf):
     return grounding.quote_spans(pairs, flexible=False).where("n_spans > 0").select("doc_id", "item_id", "n_spans", "span_start")
 
 
-@query(FORMS_SQL + """, e AS (SELECT doc_id, item_id, q FROM documents JOIN b ON doc_id % 40 = item_id % 40)
-SELECT e.doc_id, item_id AS finding_id, contains(s, q) AS source_verified, 'Matched ' || (CASE WHEN contains(s, q) THEN 1 ELSE 0 END) || ' of 1 evidence quote(s) in analyzed document text.' AS detail FROM e JOIN d USING (doc_id)""")
+@query(f"""WITH e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS quote, generate_subscripts(string_split(text, chr(10)), 1) AS finding_id FROM documents
+  UNION ALL SELECT doc_id, b.text, 0 FROM documents JOIN benchmark b ON doc_id = item_id),
+q AS (SELECT doc_id, finding_id, coalesce({FORM_SQL.format('quote')}, '') AS q FROM e), d AS (SELECT doc_id, coalesce({FORM_SQL.format('text')}, '') AS s FROM documents),
+v AS (SELECT doc_id, finding_id, s, q, length(q) >= 16 AND contains(s, q) AS hit FROM q JOIN d USING (doc_id))
+SELECT doc_id, finding_id::INTEGER AS finding_id, hit AS source_verified, CASE WHEN q = '' THEN 'No evidence quotes to verify against source.' WHEN s = '' THEN 'Analyzed document text is empty; cannot verify evidence quotes.'
+  WHEN length(q) < 16 THEN 'Evidence quotes shorter than 16 characters after normalization; skipped source check.' ELSE 'Matched ' || hit::INTEGER || ' of 1 evidence quote(s) in analyzed document text.' END AS detail FROM v""")
 def source_verification(spark, sf):
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark").where(F.length(text.quote_form(c("text"))) >= 16)
-    evidence = docs.join(items.select("item_id", c("text").alias("quote")), c("doc_id") % 40 == c("item_id") % 40).select("doc_id", c("item_id").alias("finding_id"), F.lit("all").alias("section_id"), "quote")
+    """Every line of a document and the benchmark item of its number, as quotes of the document."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "quote")).select("doc_id", (c("n") + 1).alias("finding_id"), "quote")
+    others = items.select(c("item_id").alias("doc_id"), F.lit(0).alias("finding_id"), c("text").alias("quote")).join(docs.select("doc_id"), "doc_id")
+    evidence = lines.unionByName(others).withColumn("section_id", F.lit("all"))
     return grounding.verify_sources(evidence, docs.select("doc_id", F.lit("all").alias("section_id"), "text"))
 
 
@@ -412,9 +419,10 @@ def toc_line_flags(spark, sf):
 # ---- horizons
 
 
-@query("""SELECT w::INTEGER AS width, (-(1::HUGEINT << (w - 1)))::VARCHAR AS smin, ((1::HUGEINT << (w - 1)) - 1)::VARCHAR AS smax, ((1::HUGEINT << w) - 1)::VARCHAR AS umax FROM range(1, 65) t(w)""")
+@query("""WITH x AS (SELECT w::INTEGER AS width, 340282366920938463463374607431768211455::UHUGEINT >> (128 - w)::UHUGEINT AS u FROM range(1, 129) t(w))
+SELECT width, '-' || (u // 2 + 1)::VARCHAR AS smin, (u // 2)::VARCHAR AS smax, u::VARCHAR AS umax FROM x""")
 def integer_bounds(spark, sf):
-    return horizon.bounds_table(spark).where("width <= 64").select("width", "smin", "smax", "umax")
+    return horizon.bounds_table(spark).select("width", "smin", "smax", "umax")
 
 
 WIDTHS, SCALES = (8, 16, 24, 31, 32, 40, 48, 64), {"seconds": 1_000_000, "milliseconds": 1_000, "days": 86_400_000_000}

@@ -96,13 +96,16 @@ def verify_sources(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     section_id, text); a missing section is an empty source.
     """
     c = F.col
-    joined = evidence.join(sources.select("doc_id", "section_id", quote_form(c("text")).alias("_source")), ["doc_id", "section_id"], "left")
-    form = quote_form(c("quote"))
-    rows = joined.select(
-        "doc_id", "finding_id", F.coalesce("_source", F.lit("")).alias("_source"), (F.coalesce(form, F.lit("")) != "").alias("_some"),
-        (F.length(form) >= MIN_QUOTE_CHARS).alias("_long"), ((F.length(form) >= MIN_QUOTE_CHARS) & (F.instr(c("_source"), form) > 0)).alias("_hit"),
-    )
-    sums = rows.groupBy("doc_id", "finding_id").agg(F.count_if("_some").alias("quotes"), F.max(F.length("_source")).alias("chars"), F.count_if(c("_some") & c("_long")).alias("considered"), F.count_if("_hit").alias("matched"))
+    form = F.coalesce(quote_form(c("quote")), F.lit(""))
+    asked = evidence.select("doc_id", "section_id", F.struct("finding_id", form.alias("form")).alias("q")).groupBy("doc_id", "section_id").agg(F.collect_list("q").alias("_asked"))
+    # a section's text is joined and searched once for all that is asked of it
+    joined = asked.join(sources.select("doc_id", "section_id", quote_form(c("text")).alias("_source")), ["doc_id", "section_id"], "left").withColumn("_source", F.coalesce("_source", F.lit("")))
+    told = F.transform("_asked", lambda q: F.struct(
+        q["finding_id"].alias("finding_id"), (q["form"] != "").alias("_some"), (F.length(q["form"]) >= MIN_QUOTE_CHARS).alias("_long"),
+        ((F.length(q["form"]) >= MIN_QUOTE_CHARS) & (F.instr(c("_source"), q["form"]) > 0)).alias("_hit"),
+    ))
+    rows = joined.select("doc_id", F.length("_source").alias("_chars"), F.explode(told).alias("t")).select("doc_id", "_chars", "t.*")
+    sums = rows.groupBy("doc_id", "finding_id").agg(F.count_if("_some").alias("quotes"), F.max("_chars").alias("chars"), F.count_if(c("_some") & c("_long")).alias("considered"), F.count_if("_hit").alias("matched"))
     detail = (
         F.when(c("quotes") == 0, "No evidence quotes to verify against source.")
         .when(c("chars") == 0, "Analyzed document text is empty; cannot verify evidence quotes.")
