@@ -555,25 +555,58 @@ def json_props_strict(spark, sf):
 # ---- reports, bench and recovery
 
 
+RUNS = {
+    "schema_version": "CASE d % 4 WHEN 0 THEN '0.4.0' WHEN 1 THEN '0.5.0' ELSE '0.6.0' END", "request_batching": "CASE d % 9 WHEN 0 THEN 'whole_document' WHEN 1 THEN 'per_section' WHEN 8 THEN NULL ELSE 'section_chunks' END",
+    "analysis_mode": "CASE d % 5 WHEN 0 THEN 'whole_document' WHEN 4 THEN NULL ELSE 'section_aware' END", "analysis_request_count": "d % 4 - CASE WHEN d % 41 = 0 THEN 5 ELSE 0 END", "repair_request_count": "d % 3",
+    "total_provider_request_count": "CASE WHEN d % 13 > 0 THEN d % 4 + d % 3 - CASE WHEN d % 41 = 0 THEN 5 ELSE 0 END + CASE WHEN d % 11 = 0 THEN 1 ELSE 0 END END", "coverage_complete": "d % 2 = 0",
+    "sections_analyzed": "CASE WHEN d % 19 > 0 THEN d % 3 + 1 + CASE WHEN d % 23 = 0 THEN 1 ELSE 0 END END", "analysis_status": "CASE WHEN d % 6 = 0 THEN 'partial' WHEN d % 47 > 0 THEN 'complete' END",
+    "sections_succeeded": "d % 3", "sections_failed": "CASE WHEN d % 6 < 2 THEN 1 ELSE 0 END", "succeeded_chars": "d % 100", "failed_chars": "d % 10", "analyzed_chars": "d % 100 + d % 10 + CASE WHEN d % 37 = 0 THEN 1 ELSE 0 END",
+    "recovery_split_count": "CASE WHEN d % 43 = 0 THEN -1 ELSE 0 END", "recovery_request_count": "d % 5",
+}
+RUNS_SQL = f"""WITH r AS (SELECT d, {', '.join(f'{v} AS {k}' for k, v in RUNS.items())}, CASE WHEN d % 17 > 0 THEN [d % 3, 1] END AS chunk_section_counts,
+  CASE WHEN d % 6 < 2 OR d % 29 = 0 THEN ['a'] ELSE [] END AS failed, CASE WHEN d % 6 < 2 THEN [CASE WHEN d % 31 = 0 THEN 'b' ELSE 'a' END] ELSE [] END AS unanalyzed FROM (SELECT doc_id AS d FROM documents))
+"""
+RULES_SQL = {
+    "schema_version >= '0.5.0'": {
+        "missing request_batching": "request_batching IS NULL", "missing chunk_section_counts": "chunk_section_counts IS NULL", "missing sections_analyzed": "analysis_mode = 'section_aware' AND sections_analyzed IS NULL",
+        "counts are not negative": "analysis_request_count < 0", "repairs within analysis": "repair_request_count > analysis_request_count", "chunks hold sections": "chunk_section_counts[1] = 0",
+        "batching fits mode": "(request_batching = 'whole_document') <> (analysis_mode = 'whole_document')", "per section is one section": "request_batching = 'per_section' AND chunk_section_counts[1] <> 1",
+        "chunks of several sections": "request_batching = 'section_chunks' AND chunk_section_counts[1] < 2", "chunks add up": "analysis_mode = 'section_aware' AND chunk_section_counts[1] + 1 <> sections_analyzed",
+    },
+    "schema_version = '0.5.0'": {"a chunk for each request": "analysis_request_count <> len(chunk_section_counts)"},
+    "schema_version = '0.6.0'": {
+        "missing total_provider_request_count": "total_provider_request_count IS NULL", "missing analysis_status": "analysis_status IS NULL", "total is the sum": "total_provider_request_count <> analysis_request_count + repair_request_count",
+        "failed ids are counted": "len(failed) <> sections_failed", "unanalyzed are counted": "len(unanalyzed) <> sections_failed", "failed ids in order": "failed <> unanalyzed",
+        "partial has failures": "analysis_status = 'partial' AND sections_failed = 0", "complete has none": "analysis_status = 'complete' AND (sections_failed > 0 OR len(failed) > 0)",
+        "covered is complete": "coverage_complete AND (analysis_status = 'partial' OR sections_failed > 0)", "sections add up": "sections_succeeded + sections_failed <> sections_analyzed",
+        "chars add up": "succeeded_chars + failed_chars <> analyzed_chars", "recovery is not negative": "recovery_split_count < 0", "recovery within total": "recovery_request_count > total_provider_request_count",
+    },
+}
+
+
 def _runs(spark, sf):
-    d = c("doc_id")
-    return table(spark, sf, "documents").select(
-        d.alias("run_id"), (d % 7).alias("analysis_request_count"), (d % 3).alias("repair_request_count"), (d % 7 + d % 3 + F.when(d % 11 == 0, 1).otherwise(0)).alias("total_request_count"), (d % 5).alias("recovery_request_count"),
-        F.when(d % 4 == 0, "partial").otherwise("complete").alias("analysis_status"), F.when(d % 6 == 0, F.array(F.lit("a"), F.lit("a"))).when(d % 4 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("failed_section_ids"),
-        (d % 2 == 0).alias("coverage_complete"), (d % 100).alias("analyzed_chars"), (d % 10).alias("failed_chars"), F.lit(100).alias("eligible_chars"),
-        F.when(d % 9 == 0, "whole_document").otherwise("section_aware").alias("analysis_mode"), F.when(d % 9 < 2, "whole_document").otherwise("section_chunks").alias("request_batching"),
+    a = F.lit("a")
+    none, failed = F.array().cast("array<string>"), c("d") % 6 < 2
+    leaf = F.struct(F.when(c("d") % 31 == 0, "b").otherwise("a").alias("section_id"))
+    return table(spark, sf, "documents").select(c("doc_id").alias("d")).select(
+        c("d").alias("run_id"), *[F.expr(v).alias(k) for k, v in RUNS.items()], F.when(c("d") % 17 > 0, F.array(c("d") % 3, F.lit(1).cast("long"))).alias("chunk_section_counts"),
+        F.when(failed | (c("d") % 29 == 0), F.array(a)).otherwise(none).alias("failed_section_ids"), F.when(failed, F.array(leaf)).otherwise(F.array().cast("array<struct<section_id:string>>")).alias("unanalyzed_sections"),
     )
 
 
-@query("""WITH r AS (SELECT doc_id AS d FROM documents)
-SELECT d AS run_id, 'total_is_sum' AS rule FROM r WHERE d % 11 = 0 UNION ALL SELECT d, 'repairs_within_analysis' FROM r WHERE d % 3 > d % 7
-UNION ALL SELECT d, 'recovery_within_total' FROM r WHERE d % 5 > d % 7 + d % 3 + CASE WHEN d % 11 = 0 THEN 1 ELSE 0 END UNION ALL SELECT d, 'partial_has_failures' FROM r WHERE (d % 4 = 0) <> (d % 6 = 0 OR d % 4 = 0)
-UNION ALL SELECT d, 'partial_is_not_complete' FROM r WHERE d % 4 = 0 AND d % 2 = 0 UNION ALL SELECT d, 'failed_ids_are_unique' FROM r WHERE d % 6 = 0
-UNION ALL SELECT d, 'chars_add_up' FROM r WHERE d % 100 + d % 10 > 100 UNION ALL SELECT d, 'whole_document_is_one_request' FROM r WHERE (d % 9 = 0) <> (d % 9 < 2)""")
+@query(RUNS_SQL + " UNION ALL ".join(f"SELECT d AS run_id, '{name}' AS rule FROM r WHERE {gate} AND ({hit})" for gate, rules in RULES_SQL.items() for name, hit in rules.items()))
 def report_invariants(spark, sf):
     return report.violations(_runs(spark, sf))
 
 
+@query(RUNS_SQL + """SELECT d AS run_id, schema_version, CASE WHEN schema_version >= '0.5.0' THEN analysis_request_count END AS analysis_request_count, CASE WHEN schema_version >= '0.5.0' THEN coverage_complete END AS coverage_complete,
+CASE WHEN schema_version = '0.6.0' THEN coalesce(analysis_status, 'complete') END AS analysis_status, CASE WHEN schema_version = '0.6.0' THEN sections_failed END AS sections_failed,
+CASE WHEN schema_version = '0.6.0' THEN coalesce(total_provider_request_count, analysis_request_count + repair_request_count) END AS total_provider_request_count, CASE WHEN schema_version = '0.6.0' THEN len(failed) END AS n_failed FROM r""")
+def report_versions(spark, sf):
+    kept = report.for_version(_runs(spark, sf))
+    return kept.select("run_id", "schema_version", "analysis_request_count", "coverage_complete", "analysis_status", "sections_failed", "total_provider_request_count", F.when(c("failed_section_ids").isNotNull(), F.size("failed_section_ids")).alias("n_failed"))
+
+
 def _reported(spark, sf):
     base = _findings(spark, sf)
     runs = base.select(c("doc_id").alias("run_id"), "doc_id")
@@ -710,6 +743,62 @@ def section_plan(spark, sf):
     return scan.plan_sections(_turns(spark, sf), scan.configs(spark), window=128_000, max_cost_usd=0.05)
 
 
+TITLES_SQL = r"""WITH t AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'TITLE:  ' || text ELSE text END || chr(10) || 'Abstract' || chr(10) || '1 Scope' || chr(10) || text AS x FROM documents),
+a AS (SELECT doc_id, string_split_regex(coalesce(x, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS a FROM t), l AS (SELECT doc_id, unnest(a) AS raw, generate_subscripts(a, 1) AS n FROM a),
+s AS (SELECT doc_id, n, regexp_replace(raw, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g') AS line FROM l WHERE n <= 200),
+r AS (SELECT * FROM (VALUES ('ietf', 120, 200, 7, 80), ('etsi', 80, 120, 9, 0), ('3gpp', 100, 150, 11, 0)) r(corpus, labelled, rows, above, first)),
+p AS (SELECT corpus, doc_id, n, line, labelled, rows, above, first, CASE corpus WHEN 'ietf' THEN lower(line) IN ('abstract', 'status of this memo', 'status of memo') WHEN 'etsi' THEN lower(line) IN ('scope', '1 scope', '1. scope')
+    ELSE regexp_matches(lower(line), '^(1|1\.1)\s+scope\b') END AS mark,
+  CASE corpus WHEN 'ietf' THEN length(line) BETWEEN 12 AND 200 AND regexp_matches(line, '\p{L}') AND NOT regexp_matches(lower(line), '^(rfc |internet-draft|internet engineering task force|request for comments|category:|issn:|updates:|obsoletes:|network working group)')
+    AND NOT (contains(line, ':') AND split_part(line, ':', 1) = upper(split_part(line, ':', 1)) AND split_part(line, ':', 1) <> lower(split_part(line, ':', 1)))
+    WHEN 'etsi' THEN length(line) > 15 AND NOT starts_with(lower(line), 'etsi') ELSE length(line) > 12 AND NOT starts_with(lower(line), '3gpp') END AS ok FROM s, r),
+said AS (SELECT corpus, doc_id, arg_min(line, n) AS line FROM p WHERE n <= labelled AND starts_with(lower(line), 'title:') GROUP BY ALL),
+near AS (SELECT k.corpus, k.doc_id, arg_min(o.line, k.n * 1000 - o.n) AS line FROM p k JOIN p o ON k.corpus = o.corpus AND k.doc_id = o.doc_id AND o.n BETWEEN k.n - k.above AND k.n - 1 WHERE k.mark AND o.ok AND k.n <= k.rows GROUP BY ALL),
+plain AS (SELECT corpus, doc_id, arg_min(line, n) AS line FROM p WHERE ok AND n <= first GROUP BY ALL)
+SELECT r.corpus, t.doc_id, CASE WHEN said.line IS NOT NULL THEN coalesce(nullif(trim(substr(said.line, 7)), ''), CASE WHEN r.corpus <> 'ietf' THEN 'id ' || t.doc_id END)
+  ELSE coalesce(near.line, plain.line, CASE WHEN r.corpus <> 'ietf' THEN 'id ' || t.doc_id END) END AS title
+FROM t CROSS JOIN r LEFT JOIN said USING (corpus, doc_id) LEFT JOIN near USING (corpus, doc_id) LEFT JOIN plain USING (corpus, doc_id)"""
+
+
+@query(TITLES_SQL)
+def document_titles(spark, sf):
+    """Titles of documents with a marker in their middle, under the rules of three corpora."""
+    marked = F.concat(F.when(c("lang") == "de", F.concat(F.lit("TITLE:  "), "text")).otherwise(c("text")), F.lit("\nAbstract\n1 Scope\n"), c("text"))
+    docs = table(spark, sf, "documents").select("doc_id", marked.alias("text"), F.concat(F.lit("id "), c("doc_id").cast("string")).alias("normal"))
+    each = [F.struct(F.lit(k).alias("corpus"), corpora.document_title(k, c("text"), c("normal")).alias("title")) for k in corpora.TITLE_RULES]
+    return docs.select("doc_id", F.explode(F.array(*each)).alias("t")).select("t.corpus", "doc_id", "t.title")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)
+SELECT conv_id AS doc_id, 'Title: ' || conv_id || chr(10) || 'Analyzed sections:' || chr(10) || '- ' || string_agg(role, chr(10) || '- ' ORDER BY turn) FILTER (WHERE n <= 3)
+|| CASE WHEN any_value(total) > 3 THEN chr(10) || '... (' || (any_value(total) - 3) || ' more sections)' ELSE '' END AS summary FROM r GROUP BY conv_id""")
+def scoped_summaries(spark, sf):
+    turns = _turns(spark, sf)
+    return scope.scoped_summary(turns, turns.select("doc_id", F.lit("").alias("title")).distinct(), most=3)
+
+
+@query("""SELECT conv_id AS doc_id, turn::INTEGER AS ord, 's-' || turn AS section_id, CASE WHEN length(text) > 100 THEN 'truncated_output' ELSE 'invalid_model_output' END AS category, length(text)::INTEGER AS char_count
+FROM conversations WHERE role <> 'assistant'""")
+def failure_leaves(spark, sf):
+    turns = _turns(spark, sf).select("doc_id", "ord", c("id").alias("section_id"), c("title").alias("role"), F.length("text").alias("char_count"))
+    leaves = turns.where("char_count > 100").select("doc_id", "section_id", F.lit("truncated_output").alias("category"))
+    return recovery.failure_leaves(turns.drop("role"), turns.where("role = 'assistant'"), leaves)
+
+
+@query("""SELECT doc_id, doc_id + 2147483600 = 2147483647 AS verified, CASE WHEN doc_id = 47 THEN 'Signed 32-bit max seconds 2147483647 is correct.' ELSE 'Claimed max seconds ' || (doc_id + 2147483600) || '; expected 2147483647.' END AS detail FROM documents""")
+def unix_claims(spark, sf):
+    claim = horizon.unix_seconds_claim(c("doc_id") + 2147483600)
+    return table(spark, sf, "documents").select("doc_id", claim["verified"].alias("verified"), claim["detail"].alias("detail"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END || 'Z' AS shown,
+strftime(ts, '%Y-%m-%d') || ' (day precision)' AS day, strftime(ts, '%Y-%m-%dT%H:%M') || ':00Z' AS exact FROM events""")
+def instant_formats(spark, sf):
+    minute = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm"), F.lit("Z"))
+    claim = lambda value, precision: horizon.format_claim(value, F.lit(precision), F.lit("0.6.0"))
+    return table(spark, sf, "events").select("event_id", horizon.format_instant(c("ts").cast("timestamp")).alias("shown"), claim(F.date_format("ts", "yyyy-MM-dd"), "day").alias("day"), claim(minute, "instant").alias("exact"))
+
+
 # ---- extension
 
 

@@ -107,7 +107,8 @@ def claim_valid(value: Column, precision: Column) -> Column:
 def claim_instant(value: Column) -> Column:
     """The instant of an ISO text with an offset, or null."""
     full = F.regexp_replace(F.regexp_replace(value, ",", "."), r"([T ]\d{2})(Z|[+-])", "$1:00$2")
-    return full.try_cast("timestamp")
+    # a cast wants seconds
+    return F.regexp_replace(full, r"([T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2").try_cast("timestamp")
 
 
 def claim_matches(value: Column, precision: Column, last: Column, end: Column) -> Column:
@@ -233,3 +234,35 @@ def duration(seconds: Column) -> Column:
         F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h "))).otherwise(""),
         F.when((hours > 0) | (minutes > 0), F.concat(minutes.cast("string"), F.lit("m "))).otherwise(""), rest,
     )
+
+
+#: The last second of a signed counter of 32 bits.
+LAST_SECOND = (1 << 31) - 1
+
+
+def unix_seconds_claim(seconds: Column) -> Column:
+    """Struct (verified, detail): whether seconds are the last of a signed 32-bit counter."""
+    said = seconds.cast("string")
+    right = F.concat(F.lit("Signed 32-bit max seconds "), said, F.lit(" is correct."))
+    wrong = F.concat(F.lit("Claimed max seconds "), said, F.lit(f"; expected {LAST_SECOND}."))
+    return F.struct((seconds == LAST_SECOND).alias("verified"), F.when(seconds == LAST_SECOND, right).otherwise(wrong).alias("detail"))
+
+
+def format_instant(moment: Column) -> Column:
+    """An instant as ISO text in UTC, fractions only where there are some; n/a for null.
+
+    The session's time zone must be UTC.
+    """
+    fraction = F.when(F.unix_micros(moment) % 1_000_000 != 0, F.date_format(moment, ".SSSSSS")).otherwise("")
+    return F.coalesce(F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z")), F.lit("n/a"))
+
+
+def format_claim(value: Column, precision: Column, version: Column) -> Column:
+    """A claimed horizon as it is shown: instants as such, else the value with its precision; n/a for null.
+
+    Reports of the first two versions show no precision.
+    """
+    moment = claim_instant(value)
+    exact = F.when(moment.isNotNull(), format_instant(moment)).otherwise(value)
+    old = version.isin("0.1.0", "0.2.0")
+    return F.when(value.isNull(), "n/a").when(old | (precision == "instant"), exact).otherwise(F.concat(value, F.lit(" ("), precision, F.lit(" precision)")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from longwatch.functions.text import strip
+
 # Corpora with the tier, whether text can be fetched, and the kind of sections.
 CORPORA = (
     ("3gpp", "3GPP", 1, False, "clauses"), ("ecma", "Ecma International", 2, True, "clauses"), ("etsi", "ETSI", 1, False, "clauses"), ("generic", "Generic", 1, False, "numbered"),
@@ -132,3 +134,64 @@ def first_title(docs: DataFrame, pattern: str, most_lines: int = 80, id_col: str
     lines = F.slice(F.split(text_col, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"), 1, most_lines)
     hits = F.filter(lines, lambda line: line.rlike(pattern))
     return docs.select(id_col, F.trim(F.regexp_extract(F.try_element_at(hits, F.lit(1)), pattern, 1)).alias("title"))
+
+
+#: Where str.splitlines() ends a line.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+# By corpus, lines searched for a title of its own, the line that a title stands above, lines searched for it, how far above, and lines searched else.
+TITLE_RULES = {
+    "ietf": (120, r"(?i)^(abstract|status of this memo|status of memo)$", 200, 7, 80),
+    "etsi": (80, r"(?i)^(scope|1 scope|1\. scope)$", 120, 9, 0),
+    "3gpp": (100, r"(?i)^(1|1\.1)\s+scope\b", 150, 11, 0),
+}
+# How lines begin that are no title of an RFC.
+RFC_HEADER = ("rfc ", "internet-draft", "internet engineering task force", "request for comments", "category:", "issn:", "updates:", "obsoletes:", "network working group")
+
+
+def title_like(corpus: str, line: Column) -> Column:
+    """Whether a stripped line can be a document's title."""
+    low, size = F.lower(line), F.length(line)
+    if corpus != "ietf":
+        return (size > {"etsi": 15, "3gpp": 12}[corpus]) & ~low.startswith(corpus)
+    label = F.substring_index(line, ":", 1)
+    shouted = F.contains(line, F.lit(":")) & (label == F.upper(label)) & (label != F.lower(label))
+    header = F.greatest(F.lit(False), *[low.startswith(p) for p in RFC_HEADER])
+    return size.between(12, 200) & ~header & ~shouted & line.rlike(r"\p{L}")
+
+
+def document_title(corpus: str, text: Column, normal: Column) -> Column:
+    """The title of a document of one of three corpora.
+
+    A line that says so comes first, even an empty one; then the nearest line
+    above a marker that can be a title, markers in order; for RFCs then the
+    first such line. Otherwise its normal id, for RFCs null. Null and empty
+    texts have no lines. Only the lines that a rule looks at are split off.
+    """
+    labelled, marker, rows, above, first = TITLE_RULES[corpus]
+    most = max(labelled, rows, first)
+    lines = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), LINE_END, most + 1), 1, most), strip)
+    missing = F.lit(None).cast("string") if corpus == "ietf" else normal
+    said = F.try_element_at(F.filter(F.slice(lines, 1, labelled), lambda x: F.lower(x).startswith("title:")), F.lit(1))
+
+    def over(line: Column, i: Column) -> Column:
+        seen = F.slice(lines, F.greatest(i - above, F.lit(0)) + 1, F.least(i, F.lit(above)))
+        near = F.filter(F.reverse(seen), lambda x: title_like(corpus, x))
+        return F.when(line.rlike(marker), F.try_element_at(near, F.lit(1)))
+
+    marked = F.try_element_at(F.array_compact(F.transform(F.slice(lines, 1, rows), over)), F.lit(1))
+    plain = F.try_element_at(F.filter(F.slice(lines, 1, first), lambda x: title_like(corpus, x)), F.lit(1)) if first else missing
+    own = strip(F.substring(said, F.lit(len("title:") + 1), F.length(said)))
+    return F.when(said.isNotNull(), F.when(own != "", own).otherwise(missing)).otherwise(F.coalesce(marked, plain, missing))
+
+
+def parsed_documents(docs: DataFrame) -> DataFrame:
+    """Documents of (doc_id, corpus, text) with normal_id, title, source_url, content_sha256 and char_count. (C11)
+
+    Corpora without a rule for titles take the normal id.
+    """
+    c = F.col
+    named = docs.withColumn("normal_id", normal_id(c("corpus"), c("doc_id")))
+    title = c("normal_id")
+    for name in TITLE_RULES:
+        title = F.when(c("corpus") == name, document_title(name, c("text"), c("normal_id"))).otherwise(title)
+    return named.withColumns({"title": title, "source_url": source_url(c("corpus"), c("normal_id")), "content_sha256": F.sha2("text", 256), "char_count": F.length("text").cast("long")})

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_REQUESTS = 64
 LIMIT = 100_000
@@ -70,3 +71,17 @@ def recover(chunks: DataFrame, failures: DataFrame, max_requests: int = MAX_REQU
         return pd.DataFrame(rows, columns=["doc_id", "step", "lo", "hi", "depth", "outcome", "error", "recovery"])
 
     return chunks.groupBy("doc_id").cogroup(failures.groupBy("doc_id")).applyInPandas(run, ATTEMPTS)
+
+
+def failure_leaves(planned: DataFrame, succeeded: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(doc_id, ord, section_id, category, char_count) of planned sections without success.
+
+    planned (doc_id, ord, section_id, char_count), succeeded (doc_id,
+    section_id), leaves (doc_id, section_id, category): where several leaves
+    name a section, the least category stands; where none does, its answer
+    could not be read.
+    """
+    key = ["doc_id", "section_id"]
+    known = leaves.groupBy(*key).agg(F.min("category").alias("category"))
+    failed = planned.join(succeeded.select(*key), key, "left_anti").join(known, key, "left")
+    return failed.select("doc_id", "ord", "section_id", F.coalesce("category", F.lit(RECOVERABLE[0])).alias("category"), "char_count")

@@ -10,34 +10,76 @@ from longwatch.operators.findings import assurance_label, assurance_status, repo
 
 # Versions of the stored form, and fields that older ones lack.
 VERSIONS = ("0.1.0", "0.2.0", "0.3.0", "0.4.0", "0.5.0", "0.6.0")
-BATCHING = ("request_batching", "analysis_request_count", "repair_request_count", "total_request_count", "sections_per_request")
-RECOVERY = ("analysis_status", "failed_section_ids", "failed_chars", "recovery_request_count", "analyzed_chars", "eligible_chars", "coverage_complete")
+BATCHING = ("request_batching", "analysis_request_count", "repair_request_count", "chunk_section_counts", "coverage_complete")
+RECOVERY = (
+    "analysis_status", "sections_succeeded", "succeeded_chars", "sections_failed", "failed_chars", "failed_section_ids", "unanalyzed_sections", "recovery_split_count",
+    "recovery_request_count", "total_provider_request_count",
+)
 
 
 def violations(runs: DataFrame) -> DataFrame:
-    """One row for each rule that a run breaks: (run_id, rule). (V1, V2)"""
+    """One row for each rule that a run breaks: (run_id, rule). (V1 to V3)
+
+    Batching rules hold from version 0.5.0, recovery rules from 0.6.0, and none
+    before. A missing field breaks the rule "missing <field>" and no other: a
+    comparison with it decides nothing.
+    """
     c = F.col
-    partial = c("analysis_status") == "partial"
-    rules = {
-        "total_is_sum": c("total_request_count") != c("analysis_request_count") + c("repair_request_count"),
-        "repairs_within_analysis": c("repair_request_count") > c("analysis_request_count"),
-        "recovery_within_total": c("recovery_request_count") > c("total_request_count"),
-        "partial_has_failures": partial != (F.size("failed_section_ids") > 0),
-        "partial_is_not_complete": partial & c("coverage_complete"),
-        "failed_ids_are_unique": F.size(F.array_distinct("failed_section_ids")) != F.size("failed_section_ids"),
-        "chars_add_up": c("analyzed_chars") + c("failed_chars") > c("eligible_chars"),
-        "whole_document_is_one_request": (c("analysis_mode") == "whole_document") != (c("request_batching") == "whole_document"),
+    rank = F.array_position(F.array(*map(F.lit, VERSIONS)), c("schema_version"))
+    counts, partial = c("chunk_section_counts"), c("analysis_status") == "partial"
+    aware = c("analysis_mode") == "section_aware"
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    ones, some = F.forall(counts, lambda x: x == 1), F.exists(counts, lambda x: x > 1)
+    batching = {f"missing {k}": c(k).isNull() for k in BATCHING} | {
+        "missing sections_analyzed": aware & c("sections_analyzed").isNull(),
+        "counts are not negative": (c("analysis_request_count") < 0) | (c("repair_request_count") < 0),
+        "repairs within analysis": c("repair_request_count") > c("analysis_request_count"),
+        "chunks hold sections": F.exists(counts, lambda x: x.isNull() | (x < 1)),
+        "batching fits mode": c("request_batching").isNotNull() & (c("analysis_mode") != F.when(c("request_batching") == "whole_document", "whole_document").otherwise("section_aware")),
+        "per section is one section": (c("request_batching") == "per_section") & ~ones,
+        "chunks of several sections": (c("request_batching") == "section_chunks") & ~some,
+        "chunks add up": aware & (total != c("sections_analyzed")),
+    }
+    first = {"a chunk for each request": c("analysis_request_count") != F.size(counts)}
+    failed = c("sections_failed")
+    recovery = {f"missing {k}": c(k).isNull() for k in RECOVERY} | {
+        "total is the sum": c("total_provider_request_count") != c("analysis_request_count") + c("repair_request_count"),
+        "failed ids are counted": failed != F.size("failed_section_ids"),
+        "unanalyzed are counted": failed != F.size("unanalyzed_sections"),
+        "failed ids in order": c("failed_section_ids") != c("unanalyzed_sections")["section_id"],
+        "partial has failures": partial & (failed < 1),
+        "complete has none": ~partial & ((failed != 0) | (F.size("failed_section_ids") > 0)),
+        "covered is complete": c("coverage_complete") & (partial | (failed != 0)),
+        "sections add up": c("sections_succeeded") + failed != c("sections_analyzed"),
+        "chars add up": c("succeeded_chars") + c("failed_chars") != c("analyzed_chars"),
+        "recovery is not negative": (c("recovery_split_count") < 0) | (c("recovery_request_count") < 0),
+        "recovery within total": c("recovery_request_count") > c("total_provider_request_count"),
     }
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.lit(name)) for name, hit in rules.items()]))
+    gates = [(batching, rank >= 5), (first, rank == 5), (recovery, rank >= 6)]
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(gate & hit, F.lit(False)), F.lit(name)) for rules, gate in gates for name, hit in rules.items()]))
     return runs.select("run_id", F.explode(broken).alias("rule"))
 
 
 def for_version(runs: DataFrame) -> DataFrame:
-    """Runs without the fields that their version does not have. (V3)"""
-    rank = F.array_position(F.array(*map(F.lit, VERSIONS)), F.col("schema_version"))
+    """Runs without the fields that their version does not have; those of the current version get what they leave out. (V3)
+
+    No version is the current one. A total left out is the sum; a run without a
+    status is complete, and what else it leaves out about recovery is nothing.
+    """
+    c = F.col
+    runs = runs.withColumn("schema_version", F.coalesce("schema_version", F.lit(VERSIONS[-1])))
+    rank = F.array_position(F.array(*map(F.lit, VERSIONS)), c("schema_version"))
     for names, since in ((BATCHING, 5), (RECOVERY, 6)):
-        runs = runs.withColumns({n: F.when(rank >= since, F.col(n)) for n in names if n in runs.columns})
-    return runs
+        runs = runs.withColumns({n: F.when(rank >= since, c(n)) for n in names if n in runs.columns})
+    kinds = dict(runs.dtypes)
+    silent = (rank == 6) & c("analysis_status").isNull()
+    whole = {
+        "sections_succeeded": F.coalesce("sections_analyzed", F.lit(0)), "succeeded_chars": F.coalesce("analyzed_chars", F.lit(0)), "analysis_status": F.lit("complete"),
+        **dict.fromkeys(("sections_failed", "failed_chars", "recovery_split_count", "recovery_request_count"), F.lit(0)), **dict.fromkeys(("failed_section_ids", "unanalyzed_sections"), F.array()),
+    }
+    filled = {n: F.coalesce(n, F.when(silent, v.cast(kinds[n]))) for n, v in whole.items()}
+    total = F.when(rank == 6, c("analysis_request_count") + c("repair_request_count"))
+    return runs.withColumns(filled | {"total_provider_request_count": F.coalesce("total_provider_request_count", total)})
 
 
 def report_json(runs: DataFrame, findings: DataFrame) -> DataFrame:

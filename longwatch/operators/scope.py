@@ -74,3 +74,19 @@ def coverage_shares(counters: DataFrame) -> DataFrame:
     shares = {f"{k}_pct": coverage(c(f"analyzed_{k}"), c(f"eligible_{k}")) for k in ("sections", "chars", "tokens")}
     shares |= {f"{k}_pct_of_document": coverage(c(f"analyzed_{k}"), c(f"document_{k}")) for k in ("chars", "tokens")}
     return counters.withColumns(shares)
+
+
+def scoped_summary(sections: DataFrame, titles: DataFrame, most: int = 40) -> DataFrame:
+    """(doc_id, summary): a document's title and those of its first sections in scope.
+
+    sections (doc_id, ord, title), titles (doc_id, title); a document without a
+    title goes by its id, one without sections has no summary.
+    """
+    c = F.col
+    lists = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.coalesce("title", F.lit("")).alias("title"))))["title"].alias("_t"))
+    named = lists.join(titles.select("doc_id", c("title").alias("_name")), "doc_id", "left")
+    more = F.size("_t") - most
+    tail = F.when(more > 0, F.concat(F.lit("\n... ("), more.cast("string"), F.lit(" more sections)"))).otherwise("")
+    shown = F.array_join(F.slice("_t", 1, most), "\n- ")
+    name = F.coalesce(F.nullif("_name", F.lit("")), c("doc_id").cast("string"))
+    return named.select("doc_id", F.concat(F.lit("Title: "), name, F.lit("\nAnalyzed sections:\n- "), shown, tail).alias("summary"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from longwatch.functions import horizon, pricing, text, urls
 from longwatch.operators import chunks, corpora, findings, grounding, recovery, report, scope, segment
-from longwatch.sources import convert
+from longwatch.sources import convert, stored
 from longwatch.streaming import arrivals
 
 c = F.col
@@ -302,3 +302,90 @@ def test_windows_of_a_stream(spark, tmp_path):
 def test_corpus_names(spark):
     assert one(spark, corpora.corpus_name(F.lit(" GPP"))) == "3gpp" and one(spark, corpora.corpus_name(F.lit("x"))) is None
     assert one(spark, corpora.source_url(F.lit("ietf"), F.lit("RFC868"))).endswith("/rfc868.txt")
+
+
+@pytest.mark.parametrize("corpus, lines, title", [
+    ("ietf", ["Network Working Group", "Clock Rollover in Practice", "", "Abstract"], "Clock Rollover in Practice"),
+    ("ietf", ["  TITLE:  Exact  ", "Abstract"], "Exact"), ("ietf", ["Title:", "A long enough line"], None), ("ietf", ["Category: Standards Track", "short"], None),
+    ("ietf", ["The first line", "a fitting title", *["x"] * 7, "Abstract"], "The first line"), ("ietf", ["STATUS: a shouted label", "Plain enough line"], "Plain enough line"), ("ietf", [], None),
+    ("etsi", ["ETSI TS 102 221 and more", "Smart cards; interface", "1 Scope"], "Smart cards; interface"), ("etsi", ["no marker in here at all"], "N"), ("etsi", ["Title:"], "N"),
+    ("3gpp", ["3GPP TS 23.501 something", "System architecture", "1  Scope of this"], "System architecture"), ("3gpp", [None], "N"),
+])
+def test_titles(spark, corpus, lines, title):
+    text = None if lines == [None] else "\r\n".join(lines)
+    assert one(spark, corpora.document_title(corpus, F.lit(text).cast("string"), F.lit("N"))) == title
+
+
+def test_parsed_documents(spark):
+    docs = spark.createDataFrame([("rfc 05905", "ietf", "Network Time Protocol\n\nAbstract\n"), ("x", "generic", None)], "doc_id string, corpus string, text string")
+    got = {r.doc_id: r for r in corpora.parsed_documents(docs).collect()}
+    assert (got["rfc 05905"].normal_id, got["rfc 05905"].title, got["rfc 05905"].char_count) == ("RFC5905", "Network Time Protocol", 32)
+    assert (got["x"].title, got["x"].content_sha256) == ("x", None)
+
+
+def test_leaves_and_summaries(spark):
+    planned = spark.createDataFrame([("d", k, f"s{k}", 10 * k) for k in range(4)], "doc_id string, ord int, section_id string, char_count int")
+    leaves = spark.createDataFrame([("d", "s2", "truncated_output"), ("d", "s1", "truncated_output")], "doc_id string, section_id string, category string")
+    got = recovery.failure_leaves(planned, planned.where("ord < 2"), leaves).collect()
+    assert sorted((r.section_id, r.category, r.char_count) for r in got) == [("s2", "truncated_output", 20), ("s3", "invalid_model_output", 30)]
+    turns = spark.createDataFrame([("d", 2, "b"), ("d", 1, None), ("d", 3, "c"), ("e", 1, "only")], "doc_id string, ord int, title string")
+    sums = {r.doc_id: r.summary for r in scope.scoped_summary(turns, spark.createDataFrame([("d", "T")], "doc_id string, title string"), most=2).collect()}
+    assert sums == {"d": "Title: T\nAnalyzed sections:\n- \n- b\n... (1 more sections)", "e": "Title: e\nAnalyzed sections:\n- only"}
+
+
+@pytest.mark.parametrize("value, precision, version, shown", [
+    ("2038-01-19T03:14Z", "instant", "0.6.0", "2038-01-19T03:14:00Z"), ("2038-01-19T03Z", "instant", "0.6.0", "2038-01-19T03:00:00Z"), ("2038-01-19T05:14:07.5+02:00", "instant", "0.6.0", "2038-01-19T03:14:07.500000Z"),
+    ("2038", "year", "0.6.0", "2038 (year precision)"), ("2038-01-19T03:14:07Z", "day", "0.1.0", "2038-01-19T03:14:07Z"), ("no date", "instant", "0.6.0", "no date"), (None, None, "0.6.0", "n/a"),
+])
+def test_shown_claims(spark, value, precision, version, shown):
+    assert one(spark, horizon.format_claim(F.lit(value).cast("string"), F.lit(precision).cast("string"), F.lit(version))) == shown
+
+
+RUN = {
+    "run_id": 1, "schema_version": "0.6.0", "request_batching": "section_chunks", "analysis_mode": "section_aware", "analysis_request_count": 1, "repair_request_count": 0, "total_provider_request_count": 1,
+    "chunk_section_counts": [2], "coverage_complete": True, "sections_analyzed": 2, "analysis_status": "complete", "sections_succeeded": 2, "sections_failed": 0, "succeeded_chars": 9, "failed_chars": 0,
+    "analyzed_chars": 9, "recovery_split_count": 0, "recovery_request_count": 0, "failed_section_ids": [], "unanalyzed_sections": [],
+}
+RUN_TYPES = "run_id int, " + ", ".join(
+    f"{k} {'string' if isinstance(v, str) else 'boolean' if isinstance(v, bool) else 'int' if isinstance(v, int) else {'chunk_section_counts': 'array<int>', 'failed_section_ids': 'array<string>'}.get(k, 'array<struct<section_id:string>>')}"
+    for k, v in RUN.items() if k != "run_id"
+)
+
+
+@pytest.mark.parametrize("change, rules", [
+    ({}, set()), ({"total_provider_request_count": 2}, {"total is the sum"}), ({"chunk_section_counts": [1, 1]}, {"chunks of several sections"}), ({"chunk_section_counts": None}, {"missing chunk_section_counts"}),
+    ({"analysis_status": "partial", "coverage_complete": False}, {"partial has failures"}), ({"failed_section_ids": ["a"]}, {"failed ids are counted", "failed ids in order", "complete has none"}),
+    ({"schema_version": "0.5.0", "total_provider_request_count": 9, "analysis_request_count": 2}, {"a chunk for each request"}), ({"schema_version": "0.4.0", "analysis_request_count": -4}, set()),
+    ({"request_batching": None, "analysis_mode": "whole_document", "chunk_section_counts": [1]}, {"missing request_batching"}), ({"recovery_request_count": 2}, {"recovery within total"}),
+])
+def test_run_rules(spark, change, rules):
+    runs = spark.createDataFrame([tuple((RUN | change).values())], RUN_TYPES)
+    assert {r.rule for r in report.violations(runs).collect()} == rules
+
+
+def test_silent_runs_are_complete(spark):
+    silent = RUN | dict.fromkeys(("analysis_status", "sections_succeeded", "sections_failed", "failed_section_ids", "total_provider_request_count", "schema_version"))
+    run = report.for_version(spark.createDataFrame([tuple(silent.values())], RUN_TYPES)).first()
+    assert (run.schema_version, run.analysis_status, run.sections_succeeded, run.sections_failed, run.failed_section_ids, run.total_provider_request_count) == ("0.6.0", "complete", 2, 0, [], 1)
+
+
+def test_stored_json(spark, tmp_path):
+    for name, body in {"a": '{"findings": [{"id": "x", "finding_type": "explicit_defect"}, {"id": "y", "finding_type": "no such"}]}', "b": "[1]", "c": '{"findings": []}', "d": '{"a": 1, "a": 2}'}.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    got = sorted((r.path[-6], r.id or "", r.error or "") for r in stored.read_labels(spark, str(tmp_path)).collect())
+    assert got == [("a", "x", ""), ("a", "y", "invalid_field"), ("b", "", "invalid_json"), ("d", "", "invalid_json")]
+    errors = {r.path[-6]: r.error for r in stored.read_reports(spark, str(tmp_path)).collect()}
+    assert errors == {"a": "missing document", "b": "invalid_json", "c": "missing document", "d": "invalid_json"}
+    assert {r.error for r in stored.read_manifests(spark, str(tmp_path / "c.json"), "jobs array<string>").collect()} == {"missing manifest_format_version"}
+
+
+def test_sinks(spark, tmp_path):
+    docs = spark.createDataFrame([("a/b", "one\ntwo"), ("c", None)], "doc_id string, text string")
+    stored.write_texts(docs, str(tmp_path / "t"))
+    assert sorted(r.value.strip() for r in spark.read.text(str(tmp_path / "t"), wholetext=True).collect()) in ([["", "one\ntwo"], ["one\ntwo"]])
+    stored.write_table(docs, str(tmp_path / "c"), "csv")
+    assert spark.read.csv(str(tmp_path / "c"), header=True, multiLine=True, escape='"').count() == 2
+    with pytest.raises(Exception):
+        stored.write_table(docs, str(tmp_path / "c"), "csv")
+    raw = stored.raw_answers(spark.createDataFrame([("é" * 4, True), ("ok", False)], "content string, failed boolean"), F.col("failed"), most=5).first()
+    assert (raw.content, raw.bytes, raw.cut) == ("éé", 8, True)
