@@ -657,3 +657,25 @@ def test_next_documents(spark, edge, none):
     assert [x.next_text for x in digest.with_next(docs(spark, [(1, "only", None)])).collect()] == ["only"]
 
 
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Unset:
+        """A session on a cluster without a checkpoint folder."""
+
+        master = "spark://host:7077"
+
+        def __getattr__(self, _):
+            return self
+
+        def __call__(self, *_):
+            return self
+
+        def get(self, *_):
+            return None
+
+        def isDefined(self):  # noqa: N802
+            return False
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Unset())
