@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from longwatch.functions import horizon, pricing, text, urls, usage
 from longwatch.operators import bench, chunks, corpora, evalmatch, findings, grounding, recovery, report, scope, segment
-from longwatch.plans import scan
+from longwatch.plans import review, scan
 from longwatch.sources import convert
 from longwatch.streaming import arrivals
 
@@ -799,6 +799,46 @@ def instant_formats(spark, sf):
     return table(spark, sf, "events").select("event_id", horizon.format_instant(c("ts").cast("timestamp")).alias("shown"), claim(F.date_format("ts", "yyyy-MM-dd"), "day").alias("day"), claim(minute, "instant").alias("exact"))
 
 
+REVIEW_SQL = PACK_SQL + """, t AS (SELECT f.doc_id, f.n, f.id, f.chunk, x.text FROM f JOIN (SELECT conv_id, 's-' || turn AS id, text FROM conversations) x ON x.conv_id = f.doc_id AND x.id = f.id),
+a AS (SELECT doc_id, chunk, min(n) AS n, arg_min(id, n) AS id, arg_min(text, n) AS text FROM t GROUP BY doc_id, chunk),
+o AS (SELECT *, length(text) <= 100 AND length(text) % 7 > 0 AS ok FROM a)
+"""
+
+
+def _answered(spark, sf):
+    """Packed turns and an answer to each request, of which some are no JSON and some name a section that it does not have."""
+    packed = _packed(spark, sf)
+    first = packed.groupBy("doc_id", "chunk_index").agg(F.min_by(F.struct("ref", "text"), "ord").alias("f")).select("doc_id", c("chunk_index").alias("request"), "f.*")
+    size = F.length("text")
+    token = {"finding_type": "implied_assumption", "severity": "low", "confidence": "medium", "scope_relevance": "core"}
+    item = F.struct(
+        *[F.lit(v).alias(k) for k, v in token.items()], *[F.lit("x").alias(k) for k in ("title", "description", "machine_interpretation", "scope_rationale")], F.array(F.lit("epoch")).alias("domains"),
+        F.array(F.struct(F.concat(F.lit("q "), F.substring("text", 1, 40)).alias("quote")), F.struct(F.concat(F.lit("q"), "text").alias("quote"))).alias("evidence"),
+        F.when(size % 7 == 0, "S9999").otherwise(c("ref")).alias("section_id"),
+    )
+    plain = F.struct(*[F.array(F.struct(F.substring("text", 1, 40).alias("quote"))).alias(k) if k == "evidence" else item[k].alias(k) for k in (*token, "title", "description", "machine_interpretation", "scope_rationale", "domains", "evidence", "section_id")])
+    body = F.to_json(F.struct(F.array(item, plain).alias("findings")))
+    return packed, first.select("doc_id", "request", F.when(size > 100, "no JSON").otherwise(body).alias("content"))
+
+
+@query(REVIEW_SQL + f""", k AS (SELECT doc_id, id AS section_id, n, text, unnest([1, 2]) AS part FROM o WHERE ok)
+SELECT doc_id, format('F-{{:03d}}', row_number() OVER (PARTITION BY doc_id ORDER BY n, part)) AS id, section_id, part = 2 AND length({FORM_SQL.format('substr(text, 1, 40)')}) >= 16 AS source_verified FROM k""")
+def review_findings(spark, sf):
+    return review.reviewed_findings(*_answered(spark, sf))[0].select("doc_id", "id", "section_id", "source_verified")
+
+
+@query(REVIEW_SQL + """SELECT t.doc_id AS run_id, count(DISTINCT t.chunk)::INTEGER AS analysis_request_count, CASE WHEN bool_and(ok) THEN 'complete' ELSE 'partial' END AS analysis_status, count(*)::INTEGER AS sections_analyzed,
+count(*) FILTER (WHERE NOT ok)::INTEGER AS sections_failed, coalesce(sum(length(t.text)) FILTER (WHERE NOT ok), 0)::BIGINT AS failed_chars, coalesce(string_agg(t.id, ' ' ORDER BY t.n) FILTER (WHERE NOT ok), '') AS failed, 0 AS broken
+FROM t JOIN o ON t.doc_id = o.doc_id AND t.chunk = o.chunk GROUP BY t.doc_id""")
+def review_runs(spark, sf):
+    """Runs of answered requests, and how many rules they break."""
+    packed, answers = _answered(spark, sf)
+    runs = review.reviewed_runs(packed, review.reviewed_findings(packed, answers)[1])
+    broken = report.violations(runs).groupBy("run_id").agg(F.count("*").cast("int").alias("broken"))
+    out = runs.join(broken, "run_id", "left").withColumn("broken", F.coalesce("broken", F.lit(0)))
+    return out.select("run_id", "analysis_request_count", "analysis_status", "sections_analyzed", "sections_failed", "failed_chars", F.array_join("failed_section_ids", " ").alias("failed"), "broken")
+
+
 # ---- extension
 
 

@@ -17,9 +17,20 @@ def config_id(provider: Column, model: Column, effort: Column) -> Column:
     return F.when(safe == raw, safe).otherwise(F.concat_ws("-", safe, F.substring(F.sha2(raw, 256), 1, 12)))
 
 
+#: Configurations that a matrix may have: they are sent to every task.
+MOST_CONFIGS = 1000
+
+
+def short_list(configs: DataFrame) -> DataFrame:
+    """The caller's configurations for a broadcast; more than MOST_CONFIGS are an error."""
+    if configs.limit(MOST_CONFIGS + 1).count() > MOST_CONFIGS:
+        raise ValueError(f"a matrix has {MOST_CONFIGS} configurations at most")
+    return F.broadcast(configs)
+
+
 def jobs(documents: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every document under every configuration; configurations are a short list from the caller."""
-    return documents.crossJoin(F.broadcast(configs))
+    """Every document under every configuration, which are a short list."""
+    return documents.crossJoin(short_list(configs))
 
 
 def merge_manifest(planned: DataFrame, prior: DataFrame, carried: tuple[str, ...] = ("status", "attempts", "runtime_seconds")) -> DataFrame:

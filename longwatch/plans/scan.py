@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from longwatch.functions.pricing import WHOLE_DOCUMENT_OUTPUT, context_window, rates, raw_cost, request_input_tokens, round6, with_prices
 from longwatch.functions.text import REQUEST_OVERHEAD_TOKENS, estimate_tokens
+from longwatch.operators.bench import short_list
 from longwatch.operators.chunks import MAX_OUTPUT_TOKENS, SECTIONS_PER_REQUEST, pack, requests
 from longwatch.operators.scope import apply_scope
 from longwatch.operators.segment import parse_health
@@ -27,7 +28,7 @@ def document_modes(docs: DataFrame, models: DataFrame, text_col: str = "text") -
     sized = docs.select("doc_id", estimate_tokens(F.length(text_col)).alias("tokens"))
     room = F.col("window") - F.col("max_output") - REQUEST_OVERHEAD_TOKENS
     whole = (room > 0) & (F.col("tokens") <= room)
-    return sized.crossJoin(F.broadcast(models)).withColumn("mode", F.when(whole, "whole_document").otherwise("section_aware"))
+    return sized.crossJoin(short_list(models)).withColumn("mode", F.when(whole, "whole_document").otherwise("section_aware"))
 
 
 def request_costs(modes: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def plan_sections(
     unhealthy split or a section that fits no request is an error of the row.
     """
     packed = pack(apply_scope(sections, **scope), window, max_output, cap)
-    each = requests(packed, max_output).crossJoin(F.broadcast(models))
+    each = requests(packed, max_output).crossJoin(short_list(models))
     rate_in, rate_out = rates(F.col("provider"), F.col("model"), F.col("est_in"), F.col("input_rate"), F.col("output_rate"))
     each = each.withColumn("usd", round6(raw_cost(F.col("est_in"), F.col("est_out"), rate_in, rate_out)))
     sums = each.groupBy("doc_id", "config_id").agg(

@@ -1,6 +1,7 @@
 """Literal vectors for functions and operators."""
 
 import io
+import json
 import tarfile
 import zipfile
 from datetime import datetime
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from longwatch.functions import horizon, pricing, text, urls
-from longwatch.operators import chunks, corpora, findings, grounding, recovery, report, scope, segment
+from longwatch.operators import bench, chunks, corpora, findings, grounding, recovery, report, scope, segment
+from longwatch.plans import review, scan
 from longwatch.sources import convert, stored
 from longwatch.streaming import arrivals
 
@@ -389,3 +391,33 @@ def test_sinks(spark, tmp_path):
         stored.write_table(docs, str(tmp_path / "c"), "csv")
     raw = stored.raw_answers(spark.createDataFrame([("é" * 4, True), ("ok", False)], "content string, failed boolean"), F.col("failed"), most=5).first()
     assert (raw.content, raw.bytes, raw.cut) == ("éé", 8, True)
+
+
+def test_matrices_are_bounded(spark):
+    docs = spark.range(2).withColumnRenamed("id", "doc_id")
+    assert bench.jobs(docs, spark.range(3)).count() == 6
+    with pytest.raises(ValueError, match="configurations at most"):
+        bench.jobs(docs, spark.range(bench.MOST_CONFIGS + 1))
+    with pytest.raises(ValueError, match="configurations at most"):
+        scan.document_modes(docs.withColumn("text", F.lit("x")), spark.range(bench.MOST_CONFIGS + 1))
+
+
+def test_review(spark):
+    sections = spark.createDataFrame([("d", k, f"s{k}", f"Title {k}", f"The counter {k} wraps around in 2038.") for k in range(3)], "doc_id string, ord int, id string, title string, text string")
+    packed = chunks.pack(sections, window=200_000, cap=1)
+    item = {
+        "finding_type": "implied_assumption", "title": "t", "description": "d", "severity": "low", "confidence": "low", "domains": ["epoch"], "evidence": [{"quote": "counter 0 wraps around"}],
+        "machine_interpretation": "m", "scope_relevance": "core", "scope_rationale": "r",
+    }
+    told = lambda **change: json.dumps({"findings": [item | change]})
+    answers = spark.createDataFrame([("d", 0, told()), ("d", 1, told(section_id="S0001")), ("d", 7, told()), ("d", 0, "no JSON")], "doc_id string, request long, content string")
+    findings, outcomes = review.reviewed_findings(packed, answers)
+    got = findings.collect()
+    assert [(r.id, r.request, r.section_id, r.source_verified) for r in got] == [("F-001", 0, None, True)]
+    assert sorted((r.request, r.succeeded) for r in outcomes.collect()) == [(0, True), (1, False), (2, False)]
+    runs = review.reviewed_runs(packed, outcomes)
+    run = runs.first()
+    assert (run.analysis_status, run.failed_section_ids, run.sections_succeeded, run.request_batching) == ("partial", ["s1", "s2"], 1, "per_section")
+    assert report.violations(runs).count() == 0
+    empty, none = review.reviewed_findings(packed.limit(0), answers)
+    assert (empty.count(), none.count(), review.reviewed_runs(packed.limit(0), none).count()) == (0, 0, 0)
