@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with DuckDB SQL where SQL can express them."""
 
-from longwatch.llm import chat, digest, embeddings, mixing, passages, pieces, quality, simhash, suffix, urls
+from longwatch.llm import chat, digest, embeddings, lines, mixing, passages, phrases, pieces, quality, simhash, suffix, trie, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -13,5 +13,14 @@ QUERIES = {
     "op8_suffix_array_dedup": suffix.op8_suffix_array_dedup,
     "op9_canonical_digest": digest.op9_canonical_digest,
     "op10_quality_votes": quality.op10_quality_votes,
+    "op11_phrase_collocations": phrases.op11_phrase_collocations,
+    "op12_line_dedup": lines.op12_line_dedup,
+    "op13_heavy_path_trie": trie.op13_heavy_path_trie,
+}
+ORACLE = {
+    "op1_chat_formatting": chat.OP1_SQL,
+    "op2_water_filling": mixing.OP2_SQL,
+    "op11_phrase_collocations": phrases.OP11_SQL,
+    "op12_line_dedup": lines.OP12_SQL,
+    "op13_heavy_path_trie": trie.OP13_SQL,
 }
-ORACLE = {"op1_chat_formatting": chat.OP1_SQL, "op2_water_filling": mixing.OP2_SQL}
