@@ -195,26 +195,51 @@ FINDING = (
 )
 
 
-def parse_responses(responses: DataFrame) -> DataFrame:
-    """(doc_id, request, findings, error, field, repairable) for (doc_id, request, content); one bad item refuses all.
+#: Classes of an answer that is no findings object at all; every other class is that of an item.
+ENVELOPE_ERRORS = ("json", "root", "findings", "number", "duplicate_key")
 
-    findings hold ids F-001 and so on, as an array of JSON texts in item order.
+
+def read_answers(answers: DataFrame, content: str = "content") -> DataFrame:
+    """The rows with items, bad_item, error, field and repairable instead of their content.
+
+    items: the checked findings before the first bad one, as JSON texts with ids
+    F-001 and so on; bad_item: that one's place from 0, null if the answer as a
+    whole cannot be read or all is well. Each content is read once.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for content in pdf.content:
+    def one(text) -> tuple:
+        items: list[str] = []
+        try:
+            for item in findings_object(text or "")["findings"]:
                 try:
-                    items = [checked_item(i) for i in findings_object(content or "")["findings"]]
-                    out.append(([json.dumps({"id": f"F-{k:03d}", **i}) for k, i in enumerate(items, 1)], None, None, None))
+                    items.append(json.dumps({"id": f"F-{len(items) + 1:03d}", **checked_item(item)}))
                 except Rejected as e:
-                    out.append(([], e.kind, e.field or None, e.repairable))
-            cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-            yield pdf[["doc_id", "request"]].assign(findings=list(cols[0]), error=list(cols[1]), field=list(cols[2]), repairable=pd.array(list(cols[3]), "boolean"))
+                    return items, len(items), e.kind, e.field or None, e.repairable
+        except Rejected as e:
+            return [], None, e.kind, e.field or None, e.repairable
+        return items, None, None, None, None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [one(t) for t in pdf[content]]
+            cols = list(zip(*found, strict=True)) if found else [()] * 5
+            yield pdf.drop(columns=content).assign(items=list(cols[0]), bad_item=pd.array(list(cols[1]), "Int32"), error=list(cols[2]), field=list(cols[3]), repairable=pd.array(list(cols[4]), "boolean"))
+
+    rows = answers.select(*[c for c in answers.columns if c != content], content)
+    schema = T.StructType(rows.drop(content).schema.fields)
+    for name, kind in (("items", T.ArrayType(T.StringType())), ("bad_item", T.IntegerType()), ("error", T.StringType()), ("field", T.StringType()), ("repairable", T.BooleanType())):
+        schema = schema.add(name, kind)
+    return rows.mapInPandas(run, schema)
 
-    kinds = dict(responses.dtypes)
-    return responses.select("doc_id", "request", "content").mapInPandas(run, f"doc_id {kinds['doc_id']}, request {kinds['request']}, findings array<string>, error string, field string, repairable boolean")
+
+def parse_responses(responses: DataFrame) -> DataFrame:
+    """(doc_id, request, findings, error, field, repairable) for (doc_id, request, content); one bad item refuses all.
+
+    findings hold ids F-001 and so on, as an array of JSON texts in item order.
+    """
+    read = read_answers(responses.select("doc_id", "request", "content"))
+    none = F.array().cast("array<string>")
+    return read.select("doc_id", "request", F.when(F.col("error").isNull(), F.col("items")).otherwise(none).alias("findings"), "error", "field", "repairable")
 
 
 def finding_rows(parsed: DataFrame) -> DataFrame:

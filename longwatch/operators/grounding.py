@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longwatch.functions.text import MIN_QUOTE_CHARS, quote_form
+from longwatch.functions.text import MIN_QUOTE_CHARS, SPACE, quote_form, strip
 
 _CLOSERS = ",;:?!.)]}"
 _APOSTROPHES = "'\u2018\u2019"
@@ -42,6 +42,27 @@ def quote_pairs(sources: DataFrame, quotes: DataFrame) -> DataFrame:
     return by_key.union(rest).distinct()
 
 
+def loose_pattern(quote: Column) -> Column:
+    """flexible_pattern() as a column: a pattern of the JVM for each quote, null for an empty one."""
+    text = F.regexp_replace(strip(quote), rf"{SPACE}+", " ")
+    word = r"[\p{L}\p{N}]"
+    text = F.regexp_replace(text, r" (?=[,;:?!.)\]}])", "")
+    text = F.regexp_replace(text, rf"(?<={word}) (?=['\u2018\u2019]{word})", "")
+    text = F.regexp_replace(text, r"([\\^$|*+(\[{])", r"\\$1")
+    text = F.regexp_replace(text, r"([,;:?!.)\]}])", rf"\\s*\\$1")
+    text = F.regexp_replace(text, rf"(?<={word})(['\u2018\u2019])(?={word})", r"\\s*$1")
+    # spaces of any kind stand for \s, which in the JVM knows few of them
+    any_space = SPACE.replace("\\", "\\\\")
+    text = F.regexp_replace(F.regexp_replace(text, " ", r"\\s+"), r"\\s([*+])", rf"{any_space}$1")
+    return F.when(text != "", F.concat(F.lit("(?iu)"), text))
+
+
+def quote_in(source: Column, quote: Column) -> Column:
+    """Whether a source has the quote as it is or by its loose pattern."""
+    needle = strip(quote)
+    return F.coalesce((needle != "") & ((F.instr(source, needle) > 0) | F.rlike(source, loose_pattern(quote))), F.lit(False))
+
+
 def flexible_pattern(quote: str) -> str | None:
     """A pattern for a quote whose white space may be any, also before closing marks and an apostrophe inside a word."""
     def token(i: int) -> str:

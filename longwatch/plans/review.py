@@ -9,6 +9,7 @@ from longwatch.operators.findings import bind_sections, finding_rows, parse_resp
 from longwatch.operators.grounding import verify_sources
 from longwatch.operators.recovery import RECOVERABLE, failure_leaves
 from longwatch.operators.report import VERSIONS
+from longwatch.storage import computed_once
 
 
 def reviewed_findings(packed: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -27,8 +28,7 @@ def reviewed_findings(packed: DataFrame, responses: DataFrame) -> tuple[DataFram
     bindings = packed.select("doc_id", c("chunk_index").alias("request"), "ord", "ref", "id", "text")
     planned = bindings.select(*keys).distinct()
     answers = responses.join(planned, keys, "left_semi")
-    # the answers are read once for findings and once for outcomes: no copy of them is kept
-    parsed = parse_responses(answers)
+    parsed = computed_once(parse_responses(answers))  # findings, refusals and outcomes all come from it
     rows = finding_rows(parsed)
     bound = bind_sections(rows, bindings)
     refused = rows.select(*keys).distinct().join(bound.select(*keys).distinct(), keys, "left_anti").withColumn("refused", F.lit(True))
@@ -36,21 +36,29 @@ def reviewed_findings(packed: DataFrame, responses: DataFrame) -> tuple[DataFram
     succeeded = F.coalesce("read", F.lit(False)) & c("refused").isNull()
     outcomes = planned.join(read, keys, "left").join(refused, keys, "left").select(*keys, succeeded.alias("succeeded"), F.when(~succeeded, RECOVERABLE[0]).alias("category"))
 
+    return numbered_findings(bound, packed), outcomes
+
+
+def numbered_findings(bound: DataFrame, packed: DataFrame) -> DataFrame:
+    """Findings (doc_id, request, item, canonical_id and the rest) checked against their sources, with ids in the order of sections."""
+    c = F.col
+    keys = ["doc_id", "request"]
     at = F.struct("request", "item")
     own = bound.select("doc_id", at.alias("finding_id"), "request", c("canonical_id").alias("named"), F.explode("evidence.quote").alias("quote"))
-    every = own.join(bindings.select(*keys, "id"), keys).where(F.coalesce(c("named") == c("id"), F.lit(True)))
+    every = own.join(packed.select("doc_id", c("chunk_index").alias("request"), "id"), keys).where(F.coalesce(c("named") == c("id"), F.lit(True)))
     evidence = every.select("doc_id", "finding_id", c("id").alias("section_id"), "quote")
     checked = verify_sources(evidence, packed.select("doc_id", c("id").alias("section_id"), "text")).select("doc_id", "finding_id", "source_verified")
     named = bound.withColumn("finding_id", at).drop("section_id").withColumnRenamed("canonical_id", "section_id")
     full = named.join(checked, ["doc_id", "finding_id"], "left").withColumn("source_verified", F.coalesce("source_verified", F.lit(False)))
     numbered = renumber(full.withColumn("position", c("finding_id")), packed.select("doc_id", "id", "ord"))
-    return numbered.drop("finding_id", "position"), outcomes
+    return numbered.drop("finding_id", "position")
 
 
 def reviewed_runs(packed: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One run of the current version for each document, under which no rule of violations() is broken.
 
     run_id is the document's id. A run is partial if one of its requests failed.
+    Second requests count as repairs where outcomes have repair_requests.
     """
     c = F.col
     sized = packed.select("doc_id", "ord", c("id").alias("section_id"), F.length("text").alias("char_count"), c("chunk_index").alias("request"))
@@ -68,10 +76,13 @@ def reviewed_runs(packed: DataFrame, outcomes: DataFrame) -> DataFrame:
     rows = sums.join(failed, "doc_id", "left").withColumns({"unanalyzed_sections": lost, "failed_chars": F.coalesce("failed_chars", F.lit(0).cast("long"))})
     n_failed = F.size("unanalyzed_sections")
     zero = F.lit(0)
+    if "repair_requests" in outcomes.columns:
+        rows = rows.join(outcomes.groupBy("doc_id").agg(F.sum("repair_requests").cast("int").alias("repairs")), "doc_id", "left")
+    repairs = F.coalesce("repairs", zero) if "repairs" in rows.columns else zero
     return rows.select(
         c("doc_id").alias("run_id"), F.lit(VERSIONS[-1]).alias("schema_version"), F.lit("section_aware").alias("analysis_mode"),
-        F.when(F.array_max("chunk_section_counts") > 1, "section_chunks").otherwise("per_section").alias("request_batching"), "analysis_request_count", zero.alias("repair_request_count"),
-        c("analysis_request_count").alias("total_provider_request_count"), "chunk_section_counts", (n_failed == 0).alias("coverage_complete"), "sections_analyzed", "analyzed_chars",
+        F.when(F.array_max("chunk_section_counts") > 1, "section_chunks").otherwise("per_section").alias("request_batching"), "analysis_request_count", repairs.alias("repair_request_count"),
+        (c("analysis_request_count") + repairs).alias("total_provider_request_count"), "chunk_section_counts", (n_failed == 0).alias("coverage_complete"), "sections_analyzed", "analyzed_chars",
         F.when(n_failed == 0, "complete").otherwise("partial").alias("analysis_status"), (c("sections_analyzed") - n_failed).alias("sections_succeeded"), n_failed.alias("sections_failed"),
         (c("analyzed_chars") - c("failed_chars")).alias("succeeded_chars"), "failed_chars", zero.alias("recovery_split_count"), zero.alias("recovery_request_count"),
         c("unanalyzed_sections.section_id").alias("failed_section_ids"), "unanalyzed_sections",

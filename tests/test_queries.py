@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from longwatch.catalog import ORACLE, QUERIES
+from longwatch.registry import ORACLE, QUERIES
 from tests.oracle import DATA, rows, views
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
