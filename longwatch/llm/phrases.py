@@ -3,17 +3,18 @@
 Texts are put into blocks of one language and a bounded size; a block holds,
 for each of its words, the ascending list of the word's positions, numbered so
 that the words of a piece follow each other and those of two pieces do not. A
-list's length is the exact frequency in the block; the sum over all blocks, in
-a shuffle of one row for each word (or phrase) and block, is the exact
-frequency. Frequent phrases of k words become phrases of k + 1 by a merge of
-two lists: the positions of a phrase with those of what is adjacent one place
-further, which is a word where k is 1 and else a frequent phrase, as a phrase
-whose last k words are not frequent is not frequent either. Each round sends a
-phrase once for each block, never an occurrence, and only lists of phrases that
-are frequent so far are kept.
-
-Phrases have numbers, not hashes: that of the first block that holds them and
-of their place in it. So nothing is counted under another phrase's name.
+list's length is the exact frequency in the block. To sum them, a block sends
+each shard the names and lengths of its lists, in one packed row; the shard
+answers which of them are frequent over all blocks, again in one row. Frequent
+phrases of k words become phrases of k + 1 by a merge of two lists: the
+positions of a phrase with those of what is adjacent one place further, which
+is a word where k is 1 and else a frequent phrase, as a phrase whose last k
+words are not frequent is not frequent either. Each round sends a phrase once
+for each block, never an occurrence, and only lists of phrases that are
+frequent so far are kept.
+
+Phrases have numbers, not hashes: a shard counts its own. So nothing is counted
+under another phrase's name.
 """
 
 from __future__ import annotations
@@ -22,22 +23,25 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longwatch.llm.blocks import by_value
-from longwatch.llm.common import cut, lean, read
+from longwatch.llm.common import cut, lean, read, shuffle_width
 
 #: Fixed values of the registered query.
 LEAST, LONGEST, FIRST, SCALE, SHARE = 100, 5, 2000, 1000, 100
 #: Bytes of text in a block; one piece of a text is not divided.
-BLOCK = 1 << 24
-#: Bytes of all blocks that a task fills at a time, of however many languages.
-_HELD = 1 << 25
-#: Bits of a number for the place in a block and for the block in its task: 27, 16 and 20 for the task.
-_PLACE, _NTH = 27, 16
+BLOCK = 1 << 23
+#: A block's number is that of its task and, in so many bits, its own in the task.
+_NTH = 24
+#: Words for each shard, where that gives no fewer shards than shuffle partitions and not over so many times as many.
+_SHARD_WORDS, _MOST_SHARDS = 1 << 20, 8
+#: A phrase's number is that of its shard and, in so many bits, its own in the shard.
+_RANK = 32
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Every byte as it is in a key: ends of pieces are newlines, tabs are spaces, A to Z are in lower case.
 _TABLE = bytes.maketrans(_ENDS + b"\t", b"\n" * len(_ENDS) + b" ").translate(bytes(range(256)).lower())
@@ -58,24 +62,20 @@ def words_of(data: bytes) -> tuple[pa.Array, np.ndarray]:
     return words, np.arange(len(start)) + np.searchsorted(breaks, start)
 
 
-def word_lists(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, lengths of their lists, all lists behind each other)."""
-    words, at = words_of(data)
-    found = words.dictionary_encode()
-    number = found.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(number, kind="stable")
-    return found.dictionary, np.bincount(number, minlength=len(found.dictionary)), at[order]
+def _lists(number: np.ndarray, at: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths of the lists, all lists behind each other) from the number of each position's list."""
+    return np.bincount(number, minlength=lists), at[np.argsort(number, kind="stable")]
 
 
-def merged(first: np.ndarray, number: np.ndarray, k: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def merged(first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Adjacent pairs of lists, all at once: (numbers of the first, of the second, lengths, lists behind each other).
 
     first: ascending positions of all lists together, number: the list that
-    each is of. Position p of a list meets p + k of another.
+    each is of. Position p of a list meets p + 1 of another.
     """
-    at = np.searchsorted(first, first + k)
+    at = np.searchsorted(first, first + 1)
     at[at == len(first)] = 0
-    meets = first[at] == first + k if len(first) else np.zeros(0, bool)
+    meets = first[at] == first + 1 if len(first) else np.zeros(0, bool)
     a, b, p = number[meets].astype(np.int64), number[at[meets]].astype(np.int64), first[meets]
     width = int(number.max()) + 1 if len(number) else 1
     order, begin = by_value(a * width + b)
@@ -106,27 +106,67 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _row(names, kinds, values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+#: Rows of blocks: the block's own state has shard -1, what it sends to a shard that shard's number.
+_ROWS = "block long, shard int, lang string, n long, data binary, lists binary"
+_NAMES = ["block", "shard", "lang", "n", "data", "lists"]
+_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+#: Answers of shards; those for block -1 are the shard's frequent phrases.
+_ANSWERS = "block long, shard int, data binary"
 
 
-def blocks_of(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFrame:
-    """(block, lang, n, words, counts, lists): blocks of word lists. Blocks have numbers of their own and hold one language each."""
-    names, kinds = ["block", "lang", "n", "words", "counts", "lists"], [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+def _batch(rows: list[tuple], names=_NAMES, kinds=_KINDS) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _texts(words: pa.Array) -> bytes:
+    """Binary words as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("w", words.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([words], names=["w"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _read_texts(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
+
+
+def _both(first: bytes, second: bytes) -> bytes:
+    return len(first).to_bytes(8, "little") + first + second
+
+
+def _parts(data: bytes) -> tuple[bytes, bytes]:
+    n = 8 + int.from_bytes(data[:8], "little")
+    return data[8:n], data[n:]
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that puts lists of a shard together, each list's new place, lists of each shard)."""
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return order, place, np.bincount(shard, minlength=shards)
+
+
+def blocks_of(docs: DataFrame, text_col: str, lang_col: str, size: int, shards: int) -> DataFrame:
+    """Blocks of word lists. Blocks have numbers of their own and hold one language each; they send shards their words."""
 
     def run(batches):
         task, made, held = TaskContext.get().partitionId(), 0, {}
 
         def done(lang):
             nonlocal made
-            words, n, lists = word_lists(b"\n".join(held.pop(lang)[0]))
+            words, at = words_of(b"\n".join(held.pop(lang)[0]))
+            found = words.dictionary_encode()
+            names = found.dictionary.cast(pa.binary())
+            shard = np.array([xxhash.xxh64_intdigest(w) % shards for w in names.to_pylist()], np.int64)
+            order, place, sizes = _by_shard(shard, shards)
+            n, lists = _lists(place[found.indices.to_numpy(zero_copy_only=False)], at, len(names))
+            names = names.take(pa.array(order))
             block, made = task << _NTH | made, made + 1
-            if made >> _NTH or len(words) >> _PLACE:
-                raise ValueError("too many blocks in a task or words in a block")
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("w", pa.large_binary())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(pa.RecordBatch.from_arrays([words], names=["w"]))
-            return _row(names, kinds, (block, lang, len(lists), sink.getvalue().to_pybytes(), _packed(n), _packed(lists)))
+            rows = [(block, -1, lang, len(at), _packed(n, sizes), _packed(lists))]
+            for k, lo in zip(np.flatnonzero(sizes), np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0], strict=True):
+                rows.append((block, int(k), lang, None, _both(_texts(names.slice(lo, sizes[k])), _packed(n[lo:lo + sizes[k]])), None))
+            return _batch(rows)
 
         for batch in batches:
             for lang, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -149,81 +189,132 @@ def blocks_of(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataF
             yield done(lang)
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col).cast("binary"))
-    return rows.mapInArrow(lean(run), "block long, lang string, n long, words binary, counts binary, lists binary")
+    return rows.mapInArrow(lean(run), _ROWS)
+
 
+def frequent(a: np.ndarray, b: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n by (a, b): (rows of pairs with a sum of at least `least`, the number of each one's pair, a row of each pair, its sum)."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    starts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(order) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(n[order], starts) if len(order) else np.zeros(0, np.int64)
+    good = sums >= least
+    number = np.repeat(np.where(good, np.cumsum(good) - 1, -1), np.diff(np.r_[starts, len(order)]))
+    rows = order[number >= 0]
+    back = np.argsort(rows)
+    return rows[back], number[number >= 0][back], order[starts[good]], sums[good]
 
-def _places(blocks: DataFrame) -> DataFrame:
-    """(lang, word, at, n): one row for each word of each block, at its number."""
+
+def _answered(blocks: DataFrame, least: int, words: bool) -> DataFrame:
+    """What shards answer: to each block the places of its frequent lists and their phrases' numbers; and the phrases themselves."""
 
     def run(batches):
+        now, held = None, []
+
+        def done():
+            ids = [h[0] for h in held]
+            if words:
+                parts = [_parts(h[2]) for h in held]
+                texts = [_read_texts(x) for x, _ in parts]
+                names = pa.concat_arrays(texts)
+                b = names.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                langs = pa.array([h[1] for h in held], pa.string()).dictionary_encode()
+                a = np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), [len(t) for t in texts])
+                n = [_unpacked(y)[0] for _, y in parts]
+            else:
+                a, b, n = zip(*(_unpacked(h[2]) for h in held), strict=True)
+                a, b = np.concatenate(a), np.concatenate(b)
+            edges = np.r_[0, np.cumsum([len(x) for x in n])]
+            rows, number, one, f = frequent(a, b, np.concatenate(n), least)
+            if not len(rows):
+                return None
+            number = number + (now << _RANK)
+            cuts = np.searchsorted(rows, edges)
+            out = [(ids[k], now, _packed(rows[lo:hi] - edges[k], number[lo:hi])) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+            mine = np.arange(len(one)) + (now << _RANK)
+            told = _both(_both(_texts(names.take(pa.array(one))), _texts(langs.dictionary.take(pa.array(a[one])).cast(pa.binary()))), _packed(mine, f)) if words else _packed(mine, f, a[one], b[one])
+            return _batch([*out, (-1, now, told)], ["block", "shard", "data"], [pa.int64(), pa.int32(), pa.binary()])
+
         for batch in batches:
-            for block, lang, words, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                w = pa.ipc.open_stream(words).read_all().column(0).combine_chunks().cast(pa.binary())
-                at = (block << _PLACE) + np.arange(len(w))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w), pa.string()), w, pa.array(at, pa.int64()), pa.array(_unpacked(n)[0], pa.int64())], names=["lang", "word", "at", "n"])
+            for shard, block, lang, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now and held:
+                    if (found := done()) is not None:
+                        yield found
+                    held = []
+                now = shard
+                held.append((block, lang, data))
+        if held and (found := done()) is not None:
+            yield found
 
-    return blocks.select("block", "lang", "words", "counts").mapInArrow(lean(run), "lang string, word binary, at long, n long")
+    rows = blocks.where("shard >= 0").select("shard", "block", "lang", "data").repartition("shard").sortWithinPartitions("shard", "block")
+    return cut(rows.mapInArrow(lean(run), _ANSWERS))
 
 
-def _pairs(blocks: DataFrame) -> DataFrame:
-    """(a, b, at, n): one row for each candidate of each block: numbers of its first and of its last words."""
+def _phrases(answers: DataFrame, words: bool) -> DataFrame:
+    """(id, f, lang, word) or (id, f, a, b): the phrases that shards found frequent."""
 
     def run(batches):
         for batch in batches:
-            for block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, a, b, n = _unpacked(data)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids[a], ids[b], (block << _PLACE) + np.arange(len(a)), n)], names=["a", "b", "at", "n"])
-
-    return blocks.select("block", "pairs").mapInArrow(lean(run), "a long, b long, at long, n long")
-
+            for x in batch.column(0):
+                data = x.as_py()
+                if words:
+                    texts, rest = _parts(data)
+                    names, langs = map(_read_texts, _parts(texts))
+                    ids, f = _unpacked(rest)
+                    cols, keys = (ids, f, langs.cast(pa.string()), names), ("lang", "word")
+                else:
+                    cols, keys = _unpacked(data), ("a", "b")
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names=["id", "f", *keys])
 
-def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    """The rows of keys with a sum of n of at least `least`, with that sum f and a number id for each key: the least of at."""
-    of = Window.partitionBy(*key)
-    return rows.select(*key, "at", F.sum("n").over(of).alias("f"), F.min("at").over(of).alias("id")).where(F.col("f") >= least)
+    return answers.where("block < 0").select("data").mapInArrow(lean(run), "id long, f long, " + ("lang string, word binary" if words else "a long, b long"))
 
 
-def _next(blocks: DataFrame, kept: DataFrame) -> DataFrame:
-    """(block, pairs, lists): each block's lists of frequent phrases merged with each other."""
-    names, kinds = ["block", "pairs", "lists"], [pa.int64(), pa.binary(), pa.binary()]
+def _next(blocks: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+    """Blocks of the next round: each one's lists of frequent phrases merged with each other."""
 
     def run(batches):
-        now, state, place, ids = None, None, [], []
+        now, state, told = None, None, []
 
         def done():
-            here, number = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (place, ids))
-            n, lists = (_unpacked(x)[-1] for x in state)
+            lists, (n, sizes) = _unpacked(state[1])[0], _unpacked(state[0])
+            first = np.cumsum(sizes) - sizes
             of = np.full(len(n), -1, np.int64)
-            of[here] = np.arange(len(here))
+            ids, at = [], 0
+            for shard, data in told:
+                place, number = _unpacked(data)
+                of[first[shard] + place] = at + np.arange(len(place))
+                ids.append(number)
+                at += len(place)
+            ids = np.concatenate(ids)
             which = np.repeat(of, n)
-            stays = which >= 0
-            order = np.argsort(lists[stays])
-            a, b, n, lists = merged(lists[stays][order], which[stays][order])
-            return _row(names, kinds, (now, _packed(number, a, b, n), _packed(lists)))
+            lists, which = lists[which >= 0], which[which >= 0]
+            order = np.argsort(lists)
+            a, b, n, lists = merged(lists[order], which[order])
+            with np.errstate(over="ignore"):
+                key = (ids[a].view(np.uint64) * _A) ^ (ids[b].view(np.uint64) * _B)
+                shard = ((key ^ (key >> np.uint64(29))) * _B >> np.uint64(33)).astype(np.int64) % shards
+            order, place, sizes = _by_shard(shard, shards)
+            n, lists = _lists(np.repeat(place, n), lists, len(n))
+            a, b = ids[a[order]], ids[b[order]]
+            rows = [(now, -1, None, None, _packed(n, sizes), _packed(lists))]
+            for k, lo in zip(np.flatnonzero(sizes), np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0], strict=True):
+                hi = lo + sizes[k]
+                rows.append((now, int(k), None, None, _packed(a[lo:hi], b[lo:hi], n[lo:hi]), None))
+            return _batch(rows)
 
         for batch in batches:
-            block = batch.column(0).to_numpy(zero_copy_only=False)
-            edges = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                part = batch.slice(lo, hi - lo)
-                if block[lo] != now:
-                    if place:
+            for block, shard, data, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    if told:
                         yield done()
-                    now, place, ids = int(block[lo]), [], []
-                    state = part.column(3)[0].as_py(), part.column(4)[0].as_py()
-                    part = part.slice(1)
-                if part.num_rows:
-                    place.append(part.column(1).to_numpy(zero_copy_only=False))
-                    ids.append(part.column(2).to_numpy(zero_copy_only=False))
-        if place:
+                    now, state, told = block, (data, lists), []
+                else:
+                    told.append((shard, data))
+        if told:
             yield done()
 
-    none, no_data = F.lit(None).cast("long"), F.lit(None).cast("binary")
-    counts = "counts" if "counts" in blocks.columns else "pairs"
-    heads = blocks.select("block", F.lit(-1).cast("long").alias("place"), none.alias("id"), F.col(counts).alias("counts"), "lists")
-    marks = kept.select(F.shiftright("at", _PLACE).alias("block"), F.col("at").bitwiseAND((1 << _PLACE) - 1).alias("place"), "id", no_data.alias("counts"), no_data.alias("lists"))
-    rows = heads.union(marks).repartition("block").sortWithinPartitions("block", "place")
-    return cut(rows.mapInArrow(lean(run), "block long, pairs binary, lists binary"))
+    rows = blocks.where("shard < 0").select("block", "shard", "data", "lists").union(answers.where("block >= 0").select("block", "shard", "data", F.lit(None).cast("binary")))
+    return cut(rows.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(lean(run), _ROWS))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -234,18 +325,21 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     and of its last k - 1, ... 1 words; first and rest are the ids of the phrases
     without its last and without its first word (null for one word).
     """
-    blocks = cut(blocks_of(docs, text_col, lang_col, block))
-    totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
-    kept = cut(_frequent(_places(blocks), ["lang", "word"], least))
+    width = shuffle_width(docs.sparkSession)
+    blocks = cut(blocks_of(docs, text_col, lang_col, block, width))
+    totals = blocks.where("shard < 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    words = blocks.where("shard < 0").agg(F.sum("n")).first()[0] or 0
+    shards = min(max(width, -(-words // _SHARD_WORDS)), _MOST_SHARDS * width)
+    answers = _answered(blocks, least, True)
     none = F.array().cast("array<long>")
-    level = kept.where("at = id").select("id", "lang", F.lit(1).alias("k"), F.array(F.col("word").cast("string")).alias("words"), "f", none.alias("heads"), none.alias("tails"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("rest"))
+    level = _phrases(answers, True).select("id", "lang", F.lit(1).alias("k"), F.array(F.col("word").cast("string")).alias("words"), "f", none.alias("heads"), none.alias("tails"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("rest"))
     found = level
     for k in range(2, longest + 1):
-        blocks = _next(blocks, kept)
-        kept = cut(_frequent(_pairs(blocks), ["a", "b"], least))
+        blocks = _next(blocks, answers, shards)
+        answers = _answered(blocks, least, False)
         first = level.select(F.col("id").alias("a"), "lang", F.col("words").alias("w"), F.col("f").alias("fa"), "heads")
         rest = level.select(F.col("id").alias("b"), F.element_at("words", -1).alias("end"), F.col("f").alias("fb"), "tails")
-        joined = kept.where("at = id").select("id", "a", "b", "f").join(first, "a").join(rest, "b")
+        joined = _phrases(answers, False).join(first, "a").join(rest, "b")
         level = cut(
             joined.select(
                 "id", "lang", F.lit(k).alias("k"), F.concat("w", F.array("end")).alias("words"), "f", F.concat("heads", F.array("fa")).alias("heads"),

@@ -210,9 +210,10 @@ def plain_phrases(rows, least, longest, first, share=100):
     return set(ranked)
 
 
-@pytest.mark.parametrize("block", [phrases.BLOCK, 90])
+@pytest.mark.parametrize(("block", "shard"), [(phrases.BLOCK, phrases._SHARD_WORDS), (90, 100)])
 @pytest.mark.parametrize(("least", "longest", "first", "share"), [(3, 5, 2000, 100), (2, 4, 10, 60), (4, 2, 2000, 100)])
-def test_collocations_against_brute_force(spark, block, least, longest, first, share):
+def test_collocations_against_brute_force(spark, monkeypatch, block, shard, least, longest, first, share):
+    monkeypatch.setattr(phrases, "_SHARD_WORDS", shard)
     r = random.Random(5)
     vocabulary = ["a", "B", "b", "É", "é", "the", "of", "x y", "\x00", "\x1c", "w-1"]
     rows = [(r.choice(["en", "de", None]), "".join(r.choice(vocabulary) + r.choice([" ", " ", " ", "  ", "\t", ". ", "\n", "\r\n", ",", "\x0b"]) for _ in range(r.randrange(0, 60)))) for _ in range(80)]
@@ -236,9 +237,9 @@ def test_score_is_exact_beyond_64_bits(spark):
 
 def test_lists_are_exact():
     data = ("Ab ab, aB ab\tab\n" * 50).encode()
-    found, n, at = phrases.word_lists(data)
-    assert found.to_pylist() == [b"ab"] and n.tolist() == [250] and len(set(at.tolist())) == 250
-    a, b, count, lists = phrases.merged(np.sort(at), np.zeros(250, np.int64))
+    found, at = phrases.words_of(data)
+    assert set(found.to_pylist()) == {b"ab"} and len(set(at.tolist())) == len(found) == 250
+    a, b, count, lists = phrases.merged(at, np.zeros(250, np.int64))
     assert (a.tolist(), b.tolist(), count.tolist()) == ([0], [0], [150]) and len(lists) == 150
     x = [np.array([5, -3, 2**40, 0]), np.zeros(0, np.int64), np.arange(100000) % 7]
     assert all((p == q).all() and len(p) == len(q) for p, q in zip(x, phrases._unpacked(phrases._packed(*x)), strict=True))
