@@ -11,6 +11,7 @@ from longwatch.catalog import FORM_SQL, PACK_SQL, REVIEW_SQL, _packed, c, query,
 from longwatch.functions import prompts, text
 from longwatch.operators import compare, report
 from longwatch.plans import attempts, jobs, providers, review, scan, transport
+from longwatch.sources import archives
 from longwatch.storage import shared_folder
 
 # ---- two rounds of answers
@@ -151,3 +152,27 @@ def report_differences(spark, sf):
     tried = attempts.attempts(packed, attempts.recorded(answers))
     one, two = (review.reviewed_runs(packed, attempts.outcomes(t)) for t in (tried.where("attempt = 1"), tried))
     return compare.differences(one, two, ["run_id"], (*compare.FIELDS, "analysis_status", "total_input_tokens"))
+
+
+# ---- archives
+
+
+@query("""SELECT doc_id, strlen(text)::BIGINT AS size, CASE WHEN strlen(text) <= 20000 THEN sha256(text) END AS content_sha256, CASE WHEN strlen(text) > 20000 THEN 'member too large' END AS error
+FROM documents WHERE doc_id % 5 <> 0""")
+def archive_members(spark, sf):
+    """Documents packed into archives by Spark, and read again as their members, of which a filter on names keeps four of five."""
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+
+    def write(key, pdf):
+        number = int(key[0])
+        kind = "zip" if number % 2 else "tar"
+        members = [(f"{'drop' if i % 5 == 0 else 'keep'}/doc-{i}.txt", (t or "").encode()) for i, t in sorted(zip(pdf.doc_id, pdf.text, strict=True))]
+        archives.put(f"{folder}/{number}.{kind}", archives.packed(kind, members))
+        return pdf[[]].assign(n=[]) if not len(pdf) else pdf[["doc_id"]].head(1).assign(n=len(members))[["n"]]
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.floor(c("doc_id") / 40).alias("archive"))
+    docs.groupBy("archive").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    archives.register(spark)
+    read = spark.read.format("archives").option("maxMemberBytes", 20000).option("maxRatio", 1e9).load(folder).where(c("name").startswith("keep/"))
+    doc_id = F.regexp_extract("name", r"doc-(-?\d+)\.txt", 1).cast("long")
+    return read.select(doc_id.alias("doc_id"), "size", F.when(c("content").isNotNull(), F.sha2("content", 256)).alias("content_sha256"), "error")

@@ -37,14 +37,19 @@ class ConversionError(ValueError):
 def read_documents(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """Documents from Parquet, from text files (one each), or from any files with their bytes.
 
-    Files above the size limit are left out before their bytes are read.
+    Files above the size limit come without their bytes, which are not read,
+    and with an error. (S11)
     """
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "text":
         return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     if kind == "binary":
-        return spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_FILE_BYTES)
+        files = spark.read.format("binaryFile").load(path)
+        none = F.lit(None)
+        fits = files.where(F.col("length") <= MAX_FILE_BYTES).withColumn("error", none.cast("string"))
+        large = files.where(F.col("length") > MAX_FILE_BYTES).select("path", "modificationTime", "length", none.cast("binary").alias("content"), F.lit("file too large").alias("error"))
+        return fits.union(large)
     raise ValueError(f"unknown kind {kind!r}")
 
 
@@ -131,24 +136,37 @@ def chosen_members(members: DataFrame, wanted: str | None = None) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(*order))).where("_n = 1").select("path", "name")
 
 
-def _best_member(names: list[str]) -> str:
+def shown_member(name: str) -> bool:
+    """(S8)"""
+    return not name.rsplit("/", 1)[-1].startswith(("~$", ".")) and "__MACOSX/" not in name and not name.startswith("__MACOSX")
+
+
+def best_member(names: list[str], wanted: str | None = None) -> str:
+    """The member to convert: the wanted one by its end or base name, else the best kind that is there."""
+
     def kind(name: str) -> str:
         return "." + name.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()
 
-    shown = [n for n in names if not n.rsplit("/", 1)[-1].startswith(("~$", ".")) and "__MACOSX/" not in n]
+    shown = [n for n in names if shown_member(n)]
+    if wanted is not None:
+        base = wanted.lower().rsplit("/", 1)[-1]
+        found = [n for n in shown if n.endswith(wanted)] or [n for n in shown if n.lower().rsplit("/", 1)[-1] == base]
+        if not found:
+            raise ConversionError("no such member")
+        return found[0]
     ranked = sorted((PREFERRED.index(kind(n)), n.count("/"), len(n), n.lower(), n) for n in shown if kind(n) in PREFERRED)
     if not ranked:
         raise ConversionError("no member to convert")
     return ranked[0][-1]
 
 
-def archive_member(data: bytes, kind: str) -> tuple[str, bytes]:
+def archive_member(data: bytes, kind: str, wanted: str | None = None) -> tuple[str, bytes]:
     """Name and bytes of the member of an archive to convert; archives inside are refused."""
     try:
         if kind == "zip":
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 _check_sizes([m for m in z.infolist() if not m.is_dir()])
-                name = _best_member([m.filename for m in z.infolist() if not m.is_dir()])
+                name = best_member([m.filename for m in z.infolist() if not m.is_dir()], wanted)
                 return name, z.read(name)
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             files = []
@@ -156,16 +174,16 @@ def archive_member(data: bytes, kind: str) -> tuple[str, bytes]:
                 files += [m] if m.isfile() else []
                 if len(files) > MAX_MEMBERS or sum(f.size for f in files) > MAX_FILE_BYTES:
                     raise ConversionError("archive too large")
-            name = _best_member([m.name for m in files])
+            name = best_member([m.name for m in files], wanted)
             return name, t.extractfile(next(m for m in files if m.name == name)).read()
     except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError) as e:
         raise ConversionError("unreadable archive") from e
 
 
-def to_text(data: bytes, kind: str) -> str:
-    """Text of a file of a media type."""
+def to_text(data: bytes, kind: str, wanted: str | None = None) -> str:
+    """Text of a file of a media type, of an archive the wanted member."""
     if kind in ("zip", "tar"):
-        name, data = archive_member(data, kind)
+        name, data = archive_member(data, kind, wanted)
         suffix = name.rsplit(".", 1)[-1].lower()
         kind = {"docx": "docx", "pdf": "pdf"}.get(suffix, "text")
     if kind == "pdf":
@@ -180,21 +198,25 @@ def to_text(data: bytes, kind: str) -> str:
     return text
 
 
-def converted(files: DataFrame) -> DataFrame:
-    """(path, media_type, text, error) of files (path, content)."""
+def converted(files: DataFrame, member: str | None = None) -> DataFrame:
+    """(path, media_type, text, error) of files (path, content) with error or not: one that has an error keeps it.
+
+    member: the member of archives to convert.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for data, kind in zip(pdf.content, pdf.media_type, strict=True):
+            for data, kind, error in zip(pdf.content, pdf.media_type, pdf.error, strict=True):
                 try:
-                    out.append((to_text(data or b"", kind), None))
+                    out.append((None, error) if error else (to_text(data or b"", kind, member), None))
                 except ConversionError as e:
                     out.append((None, str(e)))
             yield pdf[["path", "media_type"]].assign(text=[o[0] for o in out], error=[o[1] for o in out])
 
     kind = media_type(F.col("path"), F.lit(None).cast("string"), F.col("content"))
-    return files.select("path", "content", kind.alias("media_type")).mapInPandas(run, "path string, media_type string, text string, error string")
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string").alias("error")
+    return files.select("path", "content", error, kind.alias("media_type")).mapInPandas(run, "path string, media_type string, text string, error string")
 
 
 def html_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
