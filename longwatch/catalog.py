@@ -491,6 +491,7 @@ def _findings(spark, sf):
 
 
 LISTS = {k: "[" + ", ".join(f"'{v}'" for v in findings.VOCABULARIES[k]) + "]" for k in ("severity", "disposition", "validation_status", "scope_relevance", "assurance_status")}
+TYPE_LIST = "[" + ", ".join(f"'{v}'" for v in findings.VOCABULARIES["finding_type"]) + "]"
 STATUS_SQL = f"""SELECT CASE WHEN d = 'rejected' THEN 'rejected' WHEN d = 'accepted' THEN 'human_confirmed' WHEN d = 'needs_review' THEN 'deferred' WHEN v = 'verified' THEN 'deterministically_validated'
 WHEN s THEN 'source_verified' ELSE 'candidate' END AS value FROM (SELECT {LISTS['disposition']}[doc_id % 5 + 1] AS d, {LISTS['validation_status']}[doc_id % 4 + 1] AS v, doc_id % 3 = 0 AS s FROM documents)"""
 
@@ -615,7 +616,16 @@ def _reported(spark, sf):
     return runs, own
 
 
-@query()
+FINDING_SQL = """'### F-001 Counter \\*wraps\\*' || chr(10) || chr(10) || '- Type: ' || t || chr(10) || '- Severity: ' || s || chr(10) || '- Confidence: high' || chr(10) || '- Status: ' || label || chr(10) || chr(10)
+  || 'It wraps.' || chr(10) || chr(10) || '~~~' || chr(10) || 'a `quote`' || chr(10) || '~~~'"""
+
+
+@query(f"""WITH f AS (SELECT doc_id, {TYPE_LIST}[doc_id % 6 + 1] AS t, {LISTS['severity']}[doc_id % 5 + 1] AS s, {LISTS['scope_relevance']}[doc_id % 4 + 1] AS scope, {LISTS['disposition']}[doc_id % 5 + 1] AS d,
+  {LISTS['validation_status']}[doc_id % 4 + 1] AS v, doc_id % 3 = 0 AS sv FROM documents),
+g AS (SELECT *, CASE WHEN d = 'rejected' THEN 'rejected' WHEN d = 'accepted' THEN 'validated finding (human-confirmed)' WHEN d = 'needs_review' THEN 'deferred' WHEN v = 'verified' THEN 'deterministically checked candidate'
+  WHEN sv THEN 'source-verified candidate' ELSE 'candidate for review' END AS label, CASE WHEN scope IN ('core', 'supporting') THEN 1 WHEN scope = 'incidental' THEN 2 ELSE 0 END AS part FROM f)
+SELECT doc_id AS run_id, '# Review of ' || doc_id || chr(10) || chr(10) || 'Findings: ' || (part = 1)::INTEGER || ' primary, ' || (part = 2)::INTEGER || ' incidental.'
+  || CASE part WHEN 1 THEN chr(10) || chr(10) || '## Findings' || chr(10) || chr(10) || {FINDING_SQL} WHEN 2 THEN chr(10) || chr(10) || '## Incidental' || chr(10) || chr(10) || {FINDING_SQL} ELSE '' END || chr(10) AS markdown FROM g""")
 def report_markdown(spark, sf):
     return report.report_markdown(*_reported(spark, sf))
 
@@ -737,7 +747,18 @@ def recovery_attempts(spark, sf):
     return recovery.recover(ranges, bad).select("step", "lo", "hi", "outcome")
 
 
-@query()
+PLAN_SQL = PACK_SQL.replace("f.k >= 3", "f.k >= 8").replace("> 22684", "> 128000") + """, q AS (
+  SELECT doc_id, chunk, k, (6000 + (FRAME + body + 2 * length(body::VARCHAR) + length(k::VARCHAR) + 3) // 4)::BIGINT AS est_in, least(16384, 1500 * k)::BIGINT AS est_out
+  FROM (SELECT doc_id, chunk, count(*) AS k, (sum(size) + count(*) - 1)::BIGINT AS body FROM f GROUP BY doc_id, chunk)
+), m(config_id, i, o, li, lo) AS (VALUES ('openai-mini', 0.4::DOUBLE, 1.6::DOUBLE, 0.4::DOUBLE, 1.6::DOUBLE), ('openai-luna', 0.1, 0.5, 0.2, 0.75), ('anthropic-sonnet', 3, 15, 3, 15), ('gemini-flash', 1.5, 7.5, 1.5, 7.5)),
+r AS (SELECT doc_id, config_id, est_in, est_out, printf('%.6f', est_in / 1000000.0::DOUBLE * CASE WHEN est_in > 272000 THEN li ELSE i END + est_out / 1000000.0::DOUBLE * CASE WHEN est_in > 272000 THEN lo ELSE o END)::DECIMAL(18, 6) AS usd FROM q CROSS JOIN m),
+h AS (SELECT conv_id AS doc_id, CASE WHEN (count(*) >= 40 AND count(*) FILTER (WHERE length(trim(text)) < 40) >= count(*) * 0.25 AND sum(length(text)) / count(*) < 300)
+  OR (sum(length(text)) >= 5000 AND count(*) >= 80 AND sum(length(text)) / count(*) < 180) THEN 'unreliable_sections' END AS error FROM conversations GROUP BY conv_id)
+SELECT doc_id, config_id, count(*) AS requests, sum(est_in)::BIGINT AS input_tokens, sum(est_out)::BIGINT AS output_tokens, sum(usd)::DOUBLE AS usd, any_value(error) AS error, sum(usd) <= 0.05 AS within_budget
+FROM r JOIN h USING (doc_id) GROUP BY doc_id, config_id""".replace("FRAME", str(len("UNTRUSTED_DATA kind=section_chunk chars=\ndocument_id: \ntitle: \nsection_summary: \nsection_count: \ntext:\n\nUNTRUSTED_DATA_END chars=")))
+
+
+@query(PLAN_SQL)
 def section_plan(spark, sf):
     """Section-aware plans of conversations with prices and a budget."""
     return scan.plan_sections(_turns(spark, sf), scan.configs(spark), window=128_000, max_cost_usd=0.05)

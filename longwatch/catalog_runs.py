@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from longwatch.catalog import FORM_SQL, PACK_SQL, REVIEW_SQL, _packed, c, query, table
-from longwatch.functions import prompts, text
-from longwatch.operators import compare, report
+from longwatch.catalog import FORM_SQL, PACK_SQL, REVIEW_SQL, SCOPED_SQL, TOKENS_SQL, _packed, _scoped, _turns, c, query, table
+from longwatch.functions import errors, moments, prompts, text
+from longwatch.operators import compare, progress, report, scope
 from longwatch.plans import attempts, jobs, providers, review, scan, transport
 from longwatch.sources import archives
 from longwatch.storage import shared_folder
@@ -176,3 +176,109 @@ def archive_members(spark, sf):
     read = spark.read.format("archives").option("maxMemberBytes", 20000).option("maxRatio", 1e9).load(folder).where(c("name").startswith("keep/"))
     doc_id = F.regexp_extract("name", r"doc-(-?\d+)\.txt", 1).cast("long")
     return read.select(doc_id.alias("doc_id"), "size", F.when(c("content").isNotNull(), F.sha2("content", 256)).alias("content_sha256"), "error")
+
+
+# ---- moments, errors and counters
+
+MOMENTS_SQL = """WITH e AS (SELECT event_id, ts, event_id % 12 AS k, date_trunc('day', ts) AS d FROM events),
+m AS (SELECT event_id, k, CASE k WHEN 2 THEN d WHEN 3 THEN d WHEN 4 THEN date_trunc('second', ts) WHEN 5 THEN date_trunc('minute', ts) WHEN 6 THEN date_trunc('second', ts) WHEN 7 THEN ts - INTERVAL 330 MINUTE
+  WHEN 8 THEN date_trunc('hour', ts) + INTERVAL 8 HOUR END AS moment, d FROM e)
+"""
+
+
+@query(MOMENTS_SQL + """SELECT event_id, CASE WHEN k IN (0, 1, 9) THEN strftime(d, '%Y-%m-%d') WHEN k < 9 THEN strftime(moment, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(moment) % 1000000 <> 0 THEN strftime(moment, '.%f') ELSE '' END || 'Z' END AS value,
+CASE WHEN k IN (0, 1, 9) THEN 'day' WHEN k < 9 THEN 'instant' END AS precision FROM m""")
+def legacy_claims(spark, sf):
+    """Horizons that old reports claim as texts, in all forms of a moment."""
+    at = lambda form: F.date_format("ts", form)
+    day = at("yyyy-MM-dd")
+    week = F.format_string("%04d-W%02d-%d", F.expr("extract(YEAROFWEEK FROM ts)").cast("int"), F.weekofyear("ts"), F.weekday("ts") + 1)
+    forms = [
+        day, F.concat(day, F.lit("Z")), at("yyyyMMdd"), week, at("yyyy-MM-dd'T'HH:mm:ss'Z'"), at("yyyy-MM-dd HH:mm"), at("yyyyMMdd'T'HHmmss"), F.concat(at("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+05:30")),
+        at("yyyy-MM-dd'T'HH'-0800'"), F.concat(day, F.lit("T at noon")), F.concat(F.lit("around "), at("yyyy")), F.lit(""),
+    ]
+    rows = table(spark, sf, "events").select("event_id", F.get(F.array(*forms), (c("event_id") % 12).cast("int")).alias("text"))
+    return rows.select("event_id", moments.legacy_claim(c("text")).alias("m")).select("event_id", "m.value", "m.precision")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, length(text) % 9 AS k, replace(replace(substr(text, 1, 40), chr(10), ' '), '"', '') AS x FROM conversations)
+SELECT conv_id, turn, family, CASE WHEN family = 'openai' THEN k IN (0, 2) ELSE k = 1 END AS unsupported, CASE k WHEN 0 THEN 37 WHEN 1 THEN 54 WHEN 2 THEN length(x) + 38 WHEN 3 THEN length(x) + 9 WHEN 4 THEN 22 WHEN 5 THEN 28 ELSE 0 END::INTEGER AS message_chars
+FROM t, (VALUES ('openai'), ('gemini')) f(family)""")
+def provider_errors(spark, sf):
+    """Classes of error bodies made around turns, broken JSON and other shapes included."""
+    start = F.replace(F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit(""))
+    body = lambda message, **more: F.to_json(F.struct(F.struct(F.lit(message).alias("message") if isinstance(message, str) else message.alias("message"), *[F.lit(v).alias(k) for k, v in more.items()]).alias("error")))
+    name = F.lit("Unknown name \"responseSchema\" at 'generation_config': ")
+    bodies = [
+        body("Unknown parameter: 'response_format'.", param="response_format", code="unknown_parameter"), F.to_json(F.struct(F.array(F.struct(name.alias("message"), F.lit(400).alias("code"))).alias("error"))),
+        body(F.concat(start, F.lit(": it does not support json_schema yet."))), body(F.concat(F.lit("see here "), start), code="invalid_json_schema"), body("Unknown field: 'user'."), body("json_schema is not supported", param="messages"),
+        F.substring(body(start), 1, 20), F.to_json(F.struct(F.struct(F.lit(True).alias("message"), F.lit(400).alias("code")).alias("error"))), F.concat(F.lit("no JSON: response_format is not supported "), start),
+    ]
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.get(F.array(*bodies), (F.length("text") % 9).cast("int")).alias("body"), F.explode(F.array(F.lit("openai"), F.lit("gemini"))).alias("family"))
+    rows = rows.withColumn("fields", errors.error_fields(c("body")))
+    return rows.select("conv_id", "turn", "family", errors.unsupported_feature(c("family"), c("fields")).alias("unsupported"), F.length("fields.message").alias("message_chars"))
+
+
+@query(f"""SELECT unnest(['sections', 'chars', 'tokens', 'longest', 'empty', 'without_document']) AS counter, unnest([count(*), sum(length(text)), sum({TOKENS_SQL}), max(length(text)), count(*) FILTER (WHERE length(text) = 0), count(*) FILTER (WHERE conv_id IS NULL)])::BIGINT AS value
+FROM conversations""")
+def observed_counters(spark, sf):
+    """Counters of all turns, taken while another action reads them."""
+    rows, seen = progress.watched(_turns(spark, sf), "turns")
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(list(seen.get.items()), "counter string, value long")
+
+
+# ---- reports
+
+
+@query(ROUNDS_SQL + """, done AS (SELECT one.doc_id, one.chunk, one.outcome = 'ok' OR coalesce(two.outcome = 'ok', false) AS ok, CASE WHEN coalesce(two.outcome, one.outcome) = 'truncated' THEN 'truncated\\_output' ELSE 'invalid\\_model\\_output' END AS category
+  FROM one LEFT JOIN two ON one.doc_id = two.doc_id AND one.chunk = two.chunk),
+x AS (SELECT t.doc_id, count(*) FILTER (WHERE ok) AS good, count(*) FILTER (WHERE NOT ok) AS bad, coalesce(sum(length(t.text)) FILTER (WHERE ok), 0) AS good_chars, coalesce(sum(length(t.text)) FILTER (WHERE NOT ok), 0) AS bad_chars,
+  string_agg('`' || t.id || '`', ', ' ORDER BY t.n) FILTER (WHERE NOT ok) AS ids, string_agg('`' || t.id || '` (' || category || ')', '; ' ORDER BY t.n) FILTER (WHERE NOT ok) AS lost
+  FROM t JOIN done d ON t.doc_id = d.doc_id AND t.chunk = d.chunk GROUP BY t.doc_id)
+SELECT doc_id AS run_id, '**Analysis status:** ' || CASE WHEN bad > 0 THEN 'PARTIAL  ' || chr(10) || 'INCOMPLETE' ELSE 'COMPLETE  ' END || chr(10)
+  || '**Execution coverage:** successfully analyzed ' || good || ' sections, ' || format('{:,}', good_chars::BIGINT) || ' chars; unanalyzed/failed ' || bad || ' sections, ' || format('{:,}', bad_chars::BIGINT) || ' chars  '
+  || CASE WHEN bad > 0 THEN chr(10) || '**Failed section ids:** ' || ids || '  ' || chr(10) || '**Unanalyzed sections:** ' || lost || '  ' || chr(10) || '**Adaptive recovery:** 0 splits, 0 extra model requests  ' ELSE '' END AS lines FROM x""".replace("INCOMPLETE", report.INCOMPLETE))
+def report_status_lines(spark, sf):
+    """Heads of reports of runs with two rounds of answers."""
+    packed, answers = _two_rounds(spark, sf)
+    runs = review.reviewed_runs(packed, attempts.outcomes(attempts.attempts(packed, attempts.recorded(answers))))
+    return runs.select("run_id", F.array_join(report.status_lines(), "\n").alias("lines"))
+
+
+@query(SCOPED_SQL + f""", x AS (SELECT doc_id, eligible_sections, eligible_chars, count(*) FILTER (WHERE inside) AS n, (sum(chars) FILTER (WHERE inside)) AS ac, bool_or(NOT inside OR chars < full_chars) AS cut FROM k JOIN e USING (doc_id) GROUP BY ALL)
+SELECT doc_id AS run_id, '**Analysis scope:** ' || CASE WHEN cut THEN 'PARTIAL' ELSE 'COMPLETE' END || '  ' || chr(10) || '**Coverage:** ' || printf('%.1f', least(100.0, 100.0 * ac / eligible_chars)) || '% of eligible text analyzed  ' || chr(10)
+  || '**Scope detail:** sections ' || n || '/' || eligible_sections || ' eligible; chars ' || format('{{:,}}', ac::BIGINT) || '/' || format('{{:,}}', eligible_chars::BIGINT) || ' eligible  ' || chr(10) || '{report.RELATIVE}'
+  || CASE WHEN cut THEN chr(10) || '**Scope note:** Capped after ' || n || ' sections\\_.  ' ELSE '' END AS lines FROM x""")
+def report_coverage_lines(spark, sf):
+    """Heads of reports about conversations whose scope is capped."""
+    sums = scope.scope_counters(_turns(spark, sf), _scoped(spark, sf))
+    notes = F.array(F.lit("Front matter was left out."), F.concat(F.lit("Capped after "), c("analyzed_sections").cast("string"), F.lit(" sections_.")))
+    runs = sums.select(c("doc_id").alias("run_id"), c("truncated").alias("scope_truncated"), c("analyzed_sections").alias("sections_analyzed"), "eligible_sections", F.lit(None).cast("int").alias("sections_total"), "analyzed_chars", "eligible_chars", notes.alias("scope_notes"), "coverage_percent")
+    return runs.select("run_id", F.array_join(report.coverage_lines(c("coverage_percent")), "\n").alias("lines"))
+
+
+VERSION_LIST = "['" + "', '".join(report.VERSIONS) + "']"
+
+
+@query(f"""WITH p AS (SELECT page_id, {VERSION_LIST}[page_id % 6 + 1] AS v, page_id % 6 + 1 AS rank, page_id % 3 AS k, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*)', 1) AS plain FROM pages WHERE regexp_matches(url, '^https?://[a-z0-9.-]+(/[^?#]*)?([?#].*)?$'))
+SELECT page_id AS run_id, v AS version, plain AS source, CASE WHEN k = 2 THEN plain || '/copy' END AS retrieved, rank >= 5 AS has_batching, rank >= 6 AS has_recovery, rank <= 2 AS plain_claim, k <> 2 AS hidden, 'https://x.org/a' AS deep FROM p""")
+def report_json_forms(spark, sf):
+    """Reports about pages in the forms of all versions: redacted addresses at any depth, fields by version, claims. (K1, V3)"""
+    pages = table(spark, sf, "pages").where(c("url").rlike(r"^https?://[a-z0-9.-]+(/[^?#]*)?([?#].*)?$")).select("page_id", "url")
+    k = c("page_id") % 3
+    bare = F.regexp_replace("url", r"[?#].*$", "")
+    retrieved = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.concat(bare, F.lit("?other=1"))).otherwise(F.concat(bare, F.lit("/copy#f")))
+    runs = pages.select(
+        c("page_id").alias("run_id"), F.get(F.array(*map(F.lit, report.VERSIONS)), (c("page_id") % 6).cast("int")).alias("schema_version"),
+        F.struct(F.concat(F.regexp_replace("url", "://", "://user:pw@")).alias("source_uri"), retrieved.alias("retrieved_uri")).alias("document"), F.lit("section_chunks").alias("request_batching"), F.lit("complete").alias("analysis_status"),
+    )
+    claim = F.struct(F.lit("2038").alias("value"), F.lit("year").alias("precision"))
+    own = pages.select(c("page_id").alias("run_id"), F.lit(0).alias("ord"), F.struct(claim.alias("claimed_horizon")).alias("time_representation"), F.array(F.struct(F.lit("https://me@x.org/a?q#f").alias("url"))).alias("links"))
+    made = report.report_json(runs, own)
+    get = lambda path: F.get_json_object("json", path)
+    has = lambda name: F.contains(c("json"), F.lit(f'"{name}":'))
+    return made.select(
+        "run_id", get("$.schema_version").alias("version"), get("$.document.source_uri").alias("source"), get("$.document.retrieved_uri").alias("retrieved"), has("request_batching").alias("has_batching"), has("analysis_status").alias("has_recovery"),
+        (get("$.findings[0].time_representation.claimed_horizon") == "2038").alias("plain_claim"), (~has("retrieved_uri")).alias("hidden"), get("$.findings[0].links[0].url").alias("deep"),
+    )

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from longwatch.functions.text import REQUEST_OVERHEAD_TOKENS
 
@@ -61,10 +59,20 @@ def raw_cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: C
     return tokens_in / F.lit(1_000_000) * rate_in + tokens_out / F.lit(1_000_000) * rate_out
 
 
-@F.pandas_udf(T.DoubleType())
-def round6(x: pd.Series) -> pd.Series:
-    """Six places as the exact binary value rounds; the built-in rounds the decimal text. (H3)"""
-    return x.map(lambda v: None if v is None or v != v else round(v, 6))
+def round6(x: Column) -> Column:
+    """Six places as the exact binary value rounds, halves to even; the built-in rounds the decimal text. (H3)
+
+    A product with a million is taken with its error, which a fused multiply-add
+    gives exactly, so that it is known on which side of a half it is. Values
+    from 2**52 millionths (4.5 billion) on stay as they are.
+    """
+    million = F.lit(1e6)
+    scaled = x * million
+    error = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), x, million, -scaled).cast("double")
+    near = F.rint(scaled)
+    rest = scaled - near
+    whole = F.when((rest == 0.5) & (error > 0), near + 1).when((rest == -0.5) & (error < 0), near - 1).otherwise(near)
+    return F.when(x.isNull() | F.isnan(x), None).when(F.abs(scaled) >= 2.0**52, x).otherwise(whole / million)
 
 
 def pricing_tier(provider: Column, model: Column, tokens: Column, input_rate: Column) -> Column:

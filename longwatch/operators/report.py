@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from longwatch.functions.text import escape_markdown, markdown_fence
+from longwatch.functions.nested import DROP, rewritten
+from longwatch.functions.text import escape_markdown, inline_code, markdown_fence
+from longwatch.functions.urls import redact_url
 from longwatch.operators.findings import assurance_label, assurance_status, report_scope
 
 # Versions of the stored form, and fields that older ones lack.
@@ -82,12 +85,115 @@ def for_version(runs: DataFrame) -> DataFrame:
     return runs.withColumns(filled | {"total_provider_request_count": F.coalesce("total_provider_request_count", total)})
 
 
+#: Fields that hold addresses, wherever they are.
+ADDRESSES = ("source_uri", "retrieved_uri", "uri", "url")
+
+
+def _address(url: Column) -> Column:
+    return F.when(url.isNotNull(), redact_url(url))
+
+
+def _stored_form(path, value, kind, siblings, without: tuple[str, ...], plain_claims: bool, hide_retrieved: bool):
+    """The rule that gives a report the form of its version. (K1)"""
+    name = path[-1]
+    if name in without and path[:-1] in ((), ("run",)) or (hide_retrieved and name == "retrieved_uri"):
+        return DROP
+    if name in ADDRESSES and isinstance(kind, T.StringType):
+        return _address(value)
+    if plain_claims and name == "claimed_horizon" and isinstance(kind, T.StructType):
+        return value["value"]
+    return None
+
+
+def _has_field(kind: T.DataType, name: str) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(f.name == name or _has_field(f.dataType, name) for f in kind.fields)
+    return _has_field(kind.elementType, name) if isinstance(kind, T.ArrayType) else False
+
+
 def report_json(runs: DataFrame, findings: DataFrame) -> DataFrame:
-    """(run_id, json): each run with its findings in order. (K1)"""
+    """(run_id, json): each run with its findings in order, nulls included. (K1)
+
+    Addresses at any depth lose user, query and fragment; document.retrieved_uri
+    is left out where it is null or, so redacted, the source's own. A run of an
+    older schema_version has no fields of later ones, and the first two write
+    claimed horizons as plain texts.
+    """
     own = findings.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.struct(*[c for c in findings.columns if c not in ("run_id", "ord")]).alias("f")))).alias("_f"))
     rows = runs.join(own, "run_id", "left")
     every = F.struct(*runs.columns, F.coalesce(F.col("_f.f"), F.array().cast(own.select("_f.f").schema[0].dataType)).alias("findings"))
-    return rows.select("run_id", F.to_json(every).alias("json"))
+    rows = rows.select("run_id", every.alias("report"))
+    kind = rows.schema["report"].dataType
+    version = F.col("report.schema_version") if "schema_version" in runs.columns else F.lit(None).cast("string")
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, VERSIONS)), F.coalesce(version, F.lit(VERSIONS[-1]))), F.lit(len(VERSIONS)))
+    if _has_field(kind, "document") and _has_field(kind["document"].dataType, "retrieved_uri"):
+        there = _address(F.col("report.document.retrieved_uri"))
+        same = F.coalesce(there == _address(F.col("report.document.source_uri")), there.isNull(), F.lit(False))
+        hides = ((same, True), (~same, False))
+    else:
+        hides = ((F.lit(True), False),)
+    forms = (((rank <= 2), (*BATCHING, *RECOVERY), True), (rank <= 4, (*BATCHING, *RECOVERY), False), (rank == 5, RECOVERY, False), (rank >= 6, (), False))
+    text = None
+    for of_version, without, plain in forms:
+        for of_address, hide in hides:
+            shape = rewritten(F.col("report"), kind, lambda *x, w=without, p=plain, h=hide: _stored_form(*x, w, p, h))
+            made = F.to_json(shape, {"ignoreNullFields": "false"})
+            text = F.when(of_version & of_address, made) if text is None else text.when(of_version & of_address, made)
+    return rows.select("run_id", text.alias("json"))
+
+
+# Lines of a report's head; two spaces break a line.
+INCOMPLETE = (
+    "**This report is incomplete.** One or more planned sections could not be analyzed. Failed sections contribute no findings "
+    "and must not be treated as evidence of absence. Human review is required.  "
+)
+RELATIVE = "_Coverage is relative to eligible text after front-matter/Index skips and any caps — not a claim that every semantic aspect was assessed._  "
+CAP_WORDS = ("capped", "trimmed", "stopped at", "max_")
+
+
+def _comma(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def _lines(*lines: Column) -> Column:
+    return F.filter(F.array(*lines), lambda x: x.isNotNull())
+
+
+def status_lines() -> Column:
+    """Lines that tell whether a run is complete, from its columns; a field that it lacks gives no line."""
+    c = F.col
+    partial = F.coalesce(c("analysis_status") == "partial", F.lit(False))
+    part = lambda n, chars, words: F.when(n.isNotNull(), F.concat(F.lit(words), F.lit(" "), n.cast("string"), F.lit(" sections"), F.when(chars.isNotNull(), F.concat(F.lit(", "), _comma(chars), F.lit(" chars"))).otherwise("")))
+    bits = F.concat_ws("; ", part(c("sections_succeeded"), c("succeeded_chars"), "successfully analyzed"), part(c("sections_failed"), c("failed_chars"), "unanalyzed/failed"))
+    name = lambda x: inline_code(escape_markdown(x))
+    ids = F.array_join(F.transform("failed_section_ids", name), ", ")
+    lost = F.array_join(F.transform("unanalyzed_sections", lambda u: F.concat(name(u["section_id"]), F.lit(" ("), escape_markdown(u["category"]), F.lit(")"))), "; ")
+    splits, extra = (F.coalesce(x, F.lit(0)) for x in ("recovery_split_count", "recovery_request_count"))
+    return _lines(
+        F.when(partial, "**Analysis status:** PARTIAL  ").when(c("analysis_status") == "complete", "**Analysis status:** COMPLETE  "), F.when(partial, INCOMPLETE),
+        F.when(bits != "", F.concat(F.lit("**Execution coverage:** "), bits, F.lit("  "))), F.when(F.size("failed_section_ids") > 0, F.concat(F.lit("**Failed section ids:** "), ids, F.lit("  "))),
+        F.when(F.size("unanalyzed_sections") > 0, F.concat(F.lit("**Unanalyzed sections:** "), lost, F.lit("  "))),
+        F.when((splits > 0) | (extra > 0) | partial, F.concat(F.lit("**Adaptive recovery:** "), splits.cast("string"), F.lit(" splits, "), extra.cast("string"), F.lit(" extra model requests  "))),
+    )
+
+
+def coverage_lines(coverage_percent: Column) -> Column:
+    """Lines that tell how much of a document was in scope, from a run's columns."""
+    c = F.col
+    cut = F.coalesce(c("scope_truncated"), F.lit(False))
+    share = F.concat(F.lit("**Coverage:** "), F.format_string("%.1f", coverage_percent), F.lit("% of eligible text analyzed  "))
+    of_sections = F.when(c("sections_analyzed").isNotNull() & (c("eligible_sections") > 0), F.concat(F.lit("sections "), c("sections_analyzed").cast("string"), F.lit("/"), c("eligible_sections").cast("string"), F.lit(" eligible"))).when(
+        c("sections_analyzed").isNotNull() & c("sections_total").isNotNull(), F.concat(F.lit("sections analyzed "), c("sections_analyzed").cast("string"), F.lit(" (parsed total "), c("sections_total").cast("string"), F.lit(")"))
+    )
+    of_chars = F.when(c("analyzed_chars").isNotNull() & c("eligible_chars").isNotNull(), F.concat(F.lit("chars "), _comma(c("analyzed_chars")), F.lit("/"), _comma(c("eligible_chars")), F.lit(" eligible")))
+    bits = F.concat_ws("; ", of_sections, of_chars)
+    caps = lambda note: F.lower(note).rlike("|".join(CAP_WORDS))
+    note = F.get(F.filter("scope_notes", caps), 0)
+    return _lines(
+        F.when(cut, "**Analysis scope:** PARTIAL  ").otherwise("**Analysis scope:** COMPLETE  "),
+        F.when(coverage_percent.isNotNull(), share).when(cut, "**Coverage:** truncated (eligible/analyzed char totals unavailable)  ").otherwise("**Coverage:** eligible text under current scope filters (char totals unavailable in this report)  "),
+        F.when(bits != "", F.concat(F.lit("**Scope detail:** "), bits, F.lit("  "))), F.lit(RELATIVE), F.when(cut & note.isNotNull(), F.concat(F.lit("**Scope note:** "), escape_markdown(note), F.lit("  "))),
+    )
 
 
 def _finding_lines(c: Column) -> Column:

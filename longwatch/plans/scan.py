@@ -54,7 +54,7 @@ def plan_sections(
     sums = each.groupBy("doc_id", "config_id").agg(
         F.count("*").alias("requests"), F.sum("est_in").alias("input_tokens"), F.sum("est_out").alias("output_tokens"),
         F.when(F.count("usd") == F.count("*"), F.sum("usd")).alias("usd"),
-    ).withColumn("usd", round6("usd"))
+    ).withColumn("usd", round6(F.col("usd")))
     errors = packed.groupBy("doc_id").agg(F.max("error").alias("oversized")).join(parse_health(sections).select("doc_id", "ok"), "doc_id", "left")
     error = F.coalesce(F.when(~F.col("ok"), "unreliable_sections"), F.col("oversized"))
     out = sums.join(errors, "doc_id", "left").withColumn("error", error).drop("oversized", "ok")
