@@ -380,7 +380,25 @@ def _numbered(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(made, "").alias("text"))
 
 
-@query()
+ENDS = r"\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}"
+BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+NUMBERED_SQL = rf"""WITH d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: i || '. ' || substr(x, 1, 60) || chr(10) || substr(x, 61) || chr(10)) AS parts FROM documents),
+t AS (SELECT doc_id, array_to_string(parts, '') AS text FROM d), a AS (SELECT doc_id, regexp_extract_all(text, '[^{ENDS}]*(?:\r\n|[{ENDS}]|$)') AS a FROM t),
+l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS n FROM a),
+s AS (SELECT doc_id, n, line, (sum(length(line)) OVER (PARTITION BY doc_id ORDER BY n) - length(line))::INTEGER AS start, regexp_replace(line, '^{BLANK}|{BLANK}$', '', 'g') AS x FROM l WHERE line <> ''),
+p AS (SELECT *, regexp_extract(x, '^(\d+(?:\.\d+)*)\.?\s+(\S.*)$', 1) AS number, regexp_replace(regexp_extract(x, '^(\d+(?:\.\d+)*)\.?\s+(\S.*)$', 2), '^{BLANK}|{BLANK}$', '', 'g') AS title FROM s),
+h AS (SELECT doc_id, start, number, title, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM p
+  WHERE number <> '' AND NOT contains(x, '..') AND NOT contains(x, ' . ') AND length(x) <= 120 AND regexp_matches(regexp_replace(title, '^[. ]+', ''), '\p{{L}}')
+  AND NOT (regexp_matches(x, '\t\d{{1,4}}\s*$') OR regexp_matches(x, '\.{{2,}}\s*\d{{1,4}}\s*$')
+    OR (regexp_matches(x, '(?i)^(?:(?:Clause|Section)\s+)?\d+(?:\.\d+)*\.?\s+\S.*\s{{2,}}\d{{1,4}}\s*$') AND NOT starts_with(lower(x), 'annex')))),
+f AS (SELECT t.doc_id, length(text)::INTEGER AS size, text, min(h.start) AS first FROM t LEFT JOIN h ON h.doc_id = t.doc_id GROUP BY ALL),
+q AS (SELECT *, first > 0 AND regexp_replace(substr(text, 1, first), '^{BLANK}|{BLANK}$', '', 'g') <> '' AS front FROM f)
+SELECT doc_id::VARCHAR AS doc_id, 0 AS ord, 'body' AS id, 'Document body' AS title, 1 AS level, 0 AS start_char, size AS end_char FROM q WHERE first IS NULL
+UNION ALL SELECT doc_id::VARCHAR, 0, 'preamble', 'Preamble', 1, 0, first FROM q WHERE front
+UNION ALL SELECT h.doc_id::VARCHAR, (k - 1 + front::INTEGER)::INTEGER, 's-' || number, number || '. ' || title, len(string_split(number, '.'))::INTEGER, start, coalesce(next, size) FROM h JOIN q USING (doc_id)"""
+
+
+@query(NUMBERED_SQL)
 def numbered_sections(spark, sf):
     return segment.numbered_sections(_numbered(spark, sf)).select("doc_id", "ord", "id", "title", "level", "start_char", "end_char")
 

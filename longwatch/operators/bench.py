@@ -22,10 +22,18 @@ MOST_CONFIGS = 1000
 
 
 def short_list(configs: DataFrame) -> DataFrame:
-    """The caller's configurations for a broadcast; more than MOST_CONFIGS are an error."""
-    if configs.limit(MOST_CONFIGS + 1).count() > MOST_CONFIGS:
+    """The caller's configurations for a broadcast; more than MOST_CONFIGS are an error: at once where the plan knows its rows, else when it runs.
+
+    No job is spent on counting them.
+    """
+    known = configs._jdf.queryExecution().optimizedPlan().stats().rowCount()
+    if known.isDefined() and int(str(known.get())) > MOST_CONFIGS:
         raise ValueError(f"a matrix has {MOST_CONFIGS} configurations at most")
-    return F.broadcast(configs)
+    few = configs.limit(MOST_CONFIGS + 1)
+    error = F.raise_error(F.lit(f"a matrix has {MOST_CONFIGS} configurations at most")).cast("boolean")
+    # all of them are in one row for a moment, so that they are counted on the way
+    listed = few.agg(F.collect_list(F.struct(*configs.columns)).alias("_all")).where(F.when(F.size("_all") > MOST_CONFIGS, error).otherwise(True))
+    return F.broadcast(listed.select(F.inline("_all")))
 
 
 def jobs(documents: DataFrame, configs: DataFrame) -> DataFrame:

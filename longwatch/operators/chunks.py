@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from longwatch.functions.folds import gathered
 from longwatch.functions.text import REQUEST_OVERHEAD_TOKENS, estimate_tokens, section_ref
 
 SECTIONS_PER_REQUEST = 8
@@ -46,16 +47,16 @@ def pack(sections: DataFrame, window: int, max_output: int = MAX_OUTPUT_TOKENS,
     rows = sections.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).withColumn("ref", section_ref(c("n")))
     rows = rows.withColumn("size", (body_chars(F.length("title"), F.length("text")) + longer).cast("long"))
     sizes = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "size"))).alias("s"), F.max(head).alias("head"))
-    start = F.struct(F.lit(-1).cast("long").alias("chunk"), F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("body"), F.array().cast("array<bigint>").alias("of"))
+    start = {"chunk": F.lit(-1).cast("long"), "count": F.lit(0).cast("long"), "body": F.lit(0).cast("long")}
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column) -> tuple[dict[str, Column], Column, Column]:
         joined = a["body"] + 1 + x["size"]
         full = (a["count"] >= (cap if chunking else 1)) | (envelope_tokens(joined, a["count"] + 1, c("head")) + max_output > window)
         new = (a["count"] == 0) | full
         chunk = F.when(new, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, F.lit(1)).otherwise(a["count"] + 1).cast("long").alias("count"), F.when(new, x["size"]).otherwise(joined).alias("body"), F.concat(a["of"], F.array(chunk)).alias("of"))
+        return {"chunk": chunk, "count": F.when(new, F.lit(1)).otherwise(a["count"] + 1).cast("long"), "body": F.when(new, x["size"]).otherwise(joined)}, F.lit(True), chunk
 
-    folded = sizes.select("doc_id", F.posexplode(F.aggregate("s", start, step)["of"]).alias("k", "chunk_index")).withColumn("n", c("k") + 1)
+    folded = sizes.select("doc_id", F.posexplode(gathered(c("s"), start, step, "bigint")).alias("k", "chunk_index")).withColumn("n", c("k") + 1)
     alone = envelope_tokens(c("size"), F.lit(1), head) + max_output > window
     out = rows.join(folded.select("doc_id", "n", "chunk_index"), ["doc_id", "n"])
     return out.withColumn("error", F.when(alone, "oversized_section")).drop("n", "size")

@@ -21,25 +21,54 @@ def contains_quote(source: Column, quote: Column) -> Column:
     return (F.length(form) >= MIN_QUOTE_CHARS) & (F.instr(quote_form(source), form) > 0)
 
 
+#: Characters of a word's end or start, and of a part of a long word, by which quotes without a whole word are found.
+_EDGE = 8
+
+
+def _source_keys(form: Column) -> Column:
+    """What a source can be found by: its words, their ends and starts, and all parts of long words."""
+    words = F.array_distinct(F.split(form, " "))
+    tagged = lambda tag, x: F.struct(F.lit(tag).alias("tag"), x.alias("key"))
+    some = F.filter(words, lambda w: F.length(w) >= _EDGE)
+    long = F.filter(words, lambda w: F.length(w) >= MIN_QUOTE_CHARS)
+    parts = F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (MIN_QUOTE_CHARS - 1)), lambda i: F.substring(w, i, F.lit(MIN_QUOTE_CHARS)))))
+    return F.concat(
+        F.transform(words, lambda w: tagged("word", w)), F.transform(F.array_distinct(F.transform(some, lambda w: F.right(w, F.lit(_EDGE)))), lambda w: tagged("end", w)),
+        F.transform(F.array_distinct(F.transform(some, lambda w: F.left(w, F.lit(_EDGE)))), lambda w: tagged("start", w)), F.transform(F.array_distinct(parts), lambda w: tagged("part", w)),
+    )
+
+
+def _quote_key(form: Column) -> Column:
+    """The one thing that a quote is looked up by.
+
+    Its longest inner word, as inner words are whole words of the source and the
+    outer two can be cut; of two words the end of the first or the start of the
+    second, whichever is longer; of one word its first 16 characters.
+    """
+    words = F.split(form, " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    best = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    first, last = F.get(words, 0), F.get(words, 1)
+    tagged = lambda tag, x: F.struct(F.lit(tag).alias("tag"), x.alias("key"))
+    edge = F.when(F.length(first) >= F.length(last), tagged("end", F.right(first, F.lit(_EDGE)))).otherwise(tagged("start", F.left(last, F.lit(_EDGE))))
+    return F.when(F.size(words) > 2, tagged("word", best)).when(F.size(words) == 2, edge).otherwise(tagged("part", F.left(form, F.lit(MIN_QUOTE_CHARS))))
+
+
 def quote_pairs(sources: DataFrame, quotes: DataFrame) -> DataFrame:
     """(doc_id, item_id) of quotes that a source holds.
 
-    Containment has no equal key of its own: each quote is indexed by its
-    longest inner word. Distinct words of a source meet quotes on that word
-    without the source, and only for the pairs left do quote and source come
-    together. A quote of two words has no inner one and is tried on all sources.
+    Containment has no equal key of its own: each quote is indexed by one whole
+    word, or by a piece of one where it has none. Distinct keys of a source meet
+    quotes without the source, and only for the pairs left do quote and source
+    come together. So every join is on equal keys.
     """
     q = quotes.select("item_id", quote_form(F.col("text")).alias("form")).where(F.length("form") >= MIN_QUOTE_CHARS)
-    # inner words of a quote are whole words of the source; the outer two can be cut
-    words = F.slice(F.split("form", " "), F.lit(2), F.greatest(F.size(F.split("form", " ")) - 2, F.lit(0)))
-    q = q.withColumn("key", F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    q = q.withColumn("k", _quote_key(F.col("form"))).select("item_id", "form", "k.tag", "k.key")
     s = sources.select("doc_id", quote_form(F.col("text")).alias("source"))
-    keys = s.select("doc_id", F.explode(F.array_distinct(F.split("source", " "))).alias("key"))
-    met = keys.join(q.where("key IS NOT NULL"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "form")).alias("found"))
+    keys = s.select("doc_id", F.explode(_source_keys(F.col("source"))).alias("k")).select("doc_id", "k.tag", "k.key")
+    met = keys.join(q, ["tag", "key"]).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "form")).alias("found"))
     held = lambda found: F.filter(found, lambda x: F.instr(F.col("source"), x["form"]) > 0)
-    by_key = s.join(met, "doc_id").select("doc_id", F.explode(held(F.col("found"))["item_id"]).alias("item_id"))
-    rest = s.join(q.where("key IS NULL"), F.instr("source", F.col("form")) > 0).select("doc_id", "item_id")
-    return by_key.union(rest).distinct()
+    return s.join(met, "doc_id").select("doc_id", F.explode(held(F.col("found"))["item_id"]).alias("item_id")).distinct()
 
 
 def loose_pattern(quote: Column) -> Column:

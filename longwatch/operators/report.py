@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from longwatch.functions.folds import gathered
 from longwatch.functions.nested import DROP, rewritten
 from longwatch.functions.text import escape_markdown, inline_code, markdown_fence
 from longwatch.functions.urls import redact_url
@@ -221,14 +222,12 @@ def report_markdown(runs: DataFrame, findings: DataFrame) -> DataFrame:
 
 def headings(markdown: DataFrame) -> DataFrame:
     """(run_id, n, line): headings outside fenced blocks. (X11)"""
-    lines = F.split("markdown", "\n")
-    state = F.struct(F.lit("").alias("fence"), F.array().cast("array<string>").alias("found"))
-
-    def step(a: Column, line: Column) -> Column:
+    def step(a: Column, line: Column) -> tuple[dict[str, Column], Column, Column]:
         mark = F.regexp_extract(line, r"^ {0,3}(`{3,}|~{3,})", 1)
         closes = (a["fence"] != "") & (mark != "") & mark.startswith(F.substring(a["fence"], 1, 1)) & (F.length(mark) >= F.length(a["fence"])) & line.rlike(r"^ {0,3}[`~]+\s*$")
         fence = F.when(closes, "").when((a["fence"] == "") & (mark != ""), mark).otherwise(a["fence"])
         head = (a["fence"] == "") & (mark == "") & line.rlike(r"^ {0,3}#{1,6}(\s|$)")
-        return F.struct(fence.alias("fence"), F.when(head, F.array_append(a["found"], line)).otherwise(a["found"]).alias("found"))
+        return {"fence": fence}, head, line
 
-    return markdown.select("run_id", F.posexplode(F.aggregate(lines, state, step)["found"]).alias("n", "line"))
+    found = gathered(F.split("markdown", "\n"), {"fence": F.lit("")}, step, "string")
+    return markdown.select("run_id", F.posexplode(found).alias("n", "line"))

@@ -421,3 +421,160 @@ def test_review(spark):
     assert report.violations(runs).count() == 0
     empty, none = review.reviewed_findings(packed.limit(0), answers)
     assert (empty.count(), none.count(), review.reviewed_runs(packed.limit(0), none).count()) == (0, 0, 0)
+
+
+# ---- folds, sections of rows without a key, quotes without a whole word
+
+
+def test_gathered_values_keep_their_order(spark):
+    from longwatch.functions.folds import gathered
+
+    step = lambda a, x: ({"n": a["n"] + x}, x % 3 > 0, a["n"] * 10 + x)
+    for n in (0, 1, 63, 64, 65, 1000):
+        items = list(range(1, n + 1))
+        got = spark.createDataFrame([(items,)], "a array<long>").select(gathered(F.col("a"), {"n": F.lit(0).cast("long")}, step, "long")).first()[0]
+        assert got == [10 * (x * (x - 1) // 2) + x for x in items if x % 3]
+    assert spark.createDataFrame([(None,)], "a array<long>").select(gathered(F.col("a"), {"n": F.lit(0).cast("long")}, step, "long")).first()[0] is None
+
+
+def test_sections_of_rows_that_share_an_id(spark):
+    rows = [("d", "1 One\nfirst\n"), ("d", "intro\n2 Two\nsecond"), (None, "3 Three\nthird"), (None, "plain"), ("e", None), ("f", "")]
+    got = segment.numbered_sections(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted((r.doc_id or "", r.id, r.text or "") for r in got.collect()) == [
+        ("", "body", "plain"), ("", "s-3", "3 Three\nthird"), ("d", "preamble", "intro\n"), ("d", "s-1", "1 One\nfirst\n"), ("d", "s-2", "2 Two\nsecond"), ("e", "body", ""), ("f", "body", ""),
+    ]
+    assert not [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    spans = segment.lines(spark.createDataFrame(rows, "doc_id string, text string")).where("doc_id = 'd'").collect()
+    assert sorted((r.n, r.start, r.line) for r in spans) == [(0, 0, "1 One\n"), (0, 0, "intro\n"), (1, 6, "2 Two\n"), (1, 6, "first\n"), (2, 12, "second")]
+
+
+def test_quotes_meet_sources_on_equal_keys_only(spark):
+    sources = [(0, "the internationalisation standard applies"), (1, "internationalisation"), (2, "a b c"), (3, None)]
+    quotes = [(0, "nationalisation stand"), (1, "ternationalisatio"), (2, "the internationalisation standard"), (3, "short"), (4, "nationalisation  STAND"), (5, None)]
+    df = grounding.quote_pairs(spark.createDataFrame(sources, "doc_id int, text string"), spark.createDataFrame(quotes, "item_id int, text string"))
+    assert {(r.doc_id, r.item_id) for r in df.collect()} == {(0, 0), (0, 1), (1, 1), (0, 2), (0, 4)}
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matrix_bound_holds_when_the_plan_runs(spark):
+    many = spark.range(5000).where("id % 2 = 0").select(F.col("id").cast("string").alias("config_id"))
+    with pytest.raises(Exception, match="configurations at most"):
+        bench.jobs(spark.range(2).toDF("doc_id"), many).collect()
+    assert bench.jobs(spark.range(2).toDF("doc_id"), many.limit(3)).count() == 6
+
+
+# ---- moments, rounding, errors, nested values, counters
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("2038-01-19", ("2038-01-19", "day")), ("2038-01-19Z", ("2038-01-19", "day")), ("20380119", ("2038-01-19T00:00:00Z", "instant")), ("2038-W03-2", ("2038-01-19T00:00:00Z", "instant")),
+    ("2038-01-19T03:14:07Z", ("2038-01-19T03:14:07Z", "instant")), ("2038W032T0314+0100", ("2038-01-19T02:14:00Z", "instant")), (" 2038-01-19 03 ", ("2038-01-19T03:00:00Z", "instant")),
+    ("2038-01-19T03:14:07.1234567-00:30", ("2038-01-19T03:44:07.123456Z", "instant")), ("2038-02-30", None), ("2038-W53-1", None), ("2038-01-19T25:00", ("2038-01-19", "day")), ("soon", None), ("", None), (None, None), ("0000-01-01", None),
+])
+def test_legacy_claims(spark, text, want):
+    from longwatch.functions import moments
+
+    got = spark.createDataFrame([(text,)], "t string").select(moments.legacy_claim(F.col("t")).alias("c")).first().c
+    assert (tuple(got) if got else None) == want
+
+
+def test_moments_equal_pythons(spark):
+    import random
+    from datetime import date, datetime, timedelta, timezone
+
+    from longwatch.functions import moments
+
+    def plain(text):
+        def day(t):
+            try:
+                return date.fromisoformat(t).isoformat(), "day"
+            except ValueError:
+                return None
+
+        if len(text) >= 10 and text[4] == "-" and text[7] == "-" and text[10:].upper() in ("", "Z"):
+            return day(text[:10])
+        try:
+            at = datetime.fromisoformat(text[:-1] + "+00:00" if text.endswith("Z") else text)
+        except ValueError:
+            return day(text[:10])
+        at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+        return at.astimezone(timezone.utc).isoformat()[:-6] + "Z", "instant"
+
+    r = random.Random(9)
+    rows = []
+    for i in range(3000):
+        d = date(r.randrange(2, 9998), 1, 1) + timedelta(days=r.randrange(365))
+        y, w, k = d.isocalendar()
+        h, m, s = r.randrange(25), r.randrange(61), r.randrange(61)
+        when = r.choice([d.isoformat(), d.isoformat().replace("-", ""), f"{y:04d}-W{w:02d}-{k}", f"{y:04d}W{w:02d}{k}", f"{y:04d}-W{w:02d}", f"{y:04d}-W53-1", f"{y:04d}-{r.randrange(14):02d}-31"])
+        clock = r.choice(["", f"{h:02d}", f"{h:02d}:{m:02d}", f"{h:02d}{m:02d}{s:02d}", f"{h:02d}:{m:02d}:{s:02d}", f"{h:02d}:{m:02d}:{s:02d}.{r.randrange(10**7)}", f"{h:02d}:{m:02d}{s:02d}"])
+        rows.append((i, when + r.choice(["", "T", " ", "t", "-"]) + clock + r.choice(["", "Z", "z", "+05:30", "-0800", "+05", "+24:00", "+01:02:03", "+", "Z1"])))
+    got = {x.i: (tuple(x.c) if x.c else None) for x in spark.createDataFrame(rows, "i int, t string").select("i", moments.legacy_claim(F.col("t")).alias("c")).collect()}
+    assert {t: got[i] for i, t in rows} == {t: plain(t) for _, t in rows}
+
+
+def test_six_places_as_python_rounds(spark):
+    import random
+
+    from longwatch.functions.pricing import round6
+
+    r = random.Random(4)
+    values = [r.random() for _ in range(4000)] + [(r.randrange(10**9) + 0.5) / 1e6 for _ in range(8000)] + [r.randrange(2**40) / 2.0 ** r.randrange(12, 45) for _ in range(4000)] + [0.0, -2.5e-6, 0.5e-6, 1.5e-6, 7.0e12]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").select("v", round6(F.col("v")).alias("r"))
+    got = [x.r for x in df.collect()]
+    assert got[:-2] == [round(v, 6) for v in values] and got[-2:] == [None, None]
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("family", "body", "want"), [
+    ("openai", '{"error": {"message": "Unknown parameter: \'response_format\'."}}', True), ("openai", '{"error": {"message": "Unknown parameter: \'user\'."}}', False),
+    ("openai", '{"error": {"message": "x not supported", "param": "response_format.json_schema"}}', True), ("openai", '{"error": {"message": "not supported: structured outputs", "param": "user"}}', False),
+    ("openai", '{"error": {"message": "structured outputs are not supported", "code": "invalid_json_schema"}}', False), ("openai", '{"error": {"message": "json_schema not supported: maxItems"}}', False),
+    ("openai", '{"error": {"message": "This model does not support json_schema"}}', True), ("openai", '{"error": "not supported json_schema"}', False), ("openai", "not JSON", False), ("openai", None, False),
+    ("gemini", '{"error": [{"message": "Unknown name \\"responseSchema\\" at \'generation_config\': gone"}]}', True), ("gemini", '{"error": {"message": "Unknown name \\"responseSchema\\" at \'generation_config\'.x"}}', False),
+    ("gemini", '{"error": {"message": "response_mime_type is not supported"}}', True), ("gemini", '{"error": {"message": "generation_config.response_schema is not supported"}}', False), ("other", '{"error": {"message": "json_schema not supported"}}', False),
+])
+def test_unsupported_features(spark, family, body, want):
+    from longwatch.functions import errors
+
+    got = spark.createDataFrame([(family, body)], "f string, b string").select(errors.unsupported_feature(F.col("f"), errors.error_fields(F.col("b")))).first()[0]
+    assert bool(got) is want
+
+
+def test_failure_texts(spark):
+    from longwatch.functions import errors
+
+    c = F.lit
+    url = "HTTPS://user:pw@Api.Example.org:8443/v1/chat?key=1#f"
+    got = spark.range(1).select(
+        errors.http_failure(c("openai"), c(503), c(url), c(True), c(3)), errors.http_failure(c(None).cast("string"), c(401), c("nonsense"), c(False), c(None).cast("int")),
+        errors.request_failure(c("x"), c("read timeout"), c(url), c(True), c(2)), errors.shown_failure(c("ingest"), c("bad key sk-abcdefgh12")), errors.shown_failure(c("weird"), c("secret")),
+    ).first()
+    assert list(got) == [
+        "openai HTTP 503 for https://api.example.org:8443/v1/chat (retryable) after 3 attempt(s)", "LLM HTTP 401 for <unparseable-url> (non-retryable)",
+        "x request failed after 2 attempt(s) to https://api.example.org:8443/v1/chat: read timeout (retryable)", "bad key [REDACTED]", "internal error",
+    ]
+
+
+def test_nested_values_are_rewritten_at_any_depth(spark):
+    from longwatch.functions.nested import DROP, rewritten
+
+    schema = "s struct<url:string,gone:int,list:array<struct<url:string,k:int>>,map:map<string,struct<url:string>>>"
+    df = spark.createDataFrame([((("a", 1, [("b", 2), None], {"x": ("c",)})),), (None,)], schema)
+    rule = lambda path, value, kind, of: DROP if path[-1] == "gone" else F.upper(value) if path[-1] == "url" else None
+    got = [r.s for r in df.select(rewritten(F.col("s"), df.schema["s"].dataType, rule).alias("s")).collect()]
+    assert got[0].asDict(True) == {"url": "A", "list": [{"url": "B", "k": 2}, None], "map": {"x": {"url": "C"}}} and got[1] is None
+
+
+def test_counters_and_shown_lines(spark):
+    from datetime import datetime
+
+    from longwatch.operators import progress
+
+    rows = spark.createDataFrame([("d", "abcde"), (None, ""), ("e", "x" * 9)], "doc_id string, text string")
+    kept, seen = progress.watched(rows, "t", big=F.count_if(F.length("text") > 8))
+    assert kept.count() == 3 and seen.get == {"sections": 3, "chars": 14, "tokens": 5, "longest": 9, "empty": 1, "without_document": 1, "big": 1}
+    at = lambda s: datetime(2026, 1, 1, 0, 0, s)
+    lines = [("u", at(0), 1, "working"), ("u", at(3), 1, "working"), ("u", at(12), 1, "working"), ("u", at(13), 1, "\x1b[31mdone"), ("u", at(14), 3, "detail"), ("u", at(15), 1, "working"), ("v", at(3), 1, "working"), ("u", at(16), 1, "\x00")]
+    got = progress.shown_lines(spark.createDataFrame(lines, "unit string, at timestamp, level int, text string"))
+    assert sorted((r.unit, r.at.second, r.text) for r in got.collect()) == [("u", 0, "working"), ("u", 12, "working"), ("u", 13, "done"), ("u", 15, "working"), ("v", 3, "working")]
