@@ -5,8 +5,11 @@ prefixes of a conversation, and what a prefix adds to the one before is its
 last turn's span. Where the output of a shorter prefix is not the start of a
 longer one's, the template rewrites history, and the spans up to there do not
 hold. Prefixes are whole unless a window is given: then they start anew every
-few turns, with the last turn before as context, in bounded memory and linear
-time, which is right only for a template that looks no further back.
+few turns, with the last turn before as context, in time that grows with the
+turns, which is right only for a template that looks no further back. That is
+proved for each conversation: after 1, 2, 4, 8, ... turns, and at its end, the
+whole prefix is rendered once and must be just the spans found so far. Where it
+is not, all prefixes of that conversation are rendered whole.
 """
 
 from __future__ import annotations
@@ -70,6 +73,24 @@ class Spans:
         return now[same:], lost
 
 
+def conversation_spans(render: Callable[[list[Turn]], str], turns: list[Turn], window: int | None = None) -> list[tuple[str, int]]:
+    """What each turn adds and rewrites; with a window only if whole prefixes prove it, else by whole prefixes."""
+    if window is not None and len(turns) > window + 1:
+        spans, found, size = Spans(render, window), [], 0
+        digest = hashlib.sha256(render([]).encode("utf-8", "surrogatepass"))
+        for k, turn in enumerate(turns, 1):
+            added, lost = spans.add(turn)
+            digest.update(added.encode("utf-8", "surrogatepass"))
+            found.append((added, lost))
+            size += lost
+            if size or ((k & (k - 1) == 0 or k == len(turns)) and hashlib.sha256(render(turns[:k]).encode("utf-8", "surrogatepass")).digest() != digest.digest()):
+                break
+        else:
+            return found
+    spans = Spans(render, None)
+    return [spans.add(t) for t in turns]
+
+
 def format_conversations(
     conversations: DataFrame, template: Callable[[list[Turn]], str] = turn_template, reader: Callable[[str], tuple[str, int, int] | None] = read_turn,
     window: int | None = None, loss_role: str = "assistant",
@@ -80,7 +101,8 @@ def format_conversations(
     what the turn adds to the output and start its place in it; the loss mask
     holds the characters of the turn's text if the role that is read back from
     the span is loss_role, else it is null; rewritten counts the characters of
-    earlier output that the turn changed (0 for a template that only appends).
+    earlier output that the turn changed (0 for a template that only appends). A
+    conversation's turns are held together while it is rendered.
     Turns go by turn, nulls last, then role and text; null roles and texts are
     empty; rows with a null conv_id are one conversation. Other columns are
     ignored.
@@ -91,20 +113,30 @@ def format_conversations(
     kinds = [None, pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        now, spans, nth, at = object(), None, 0, 0
-        for b in batches:
+        now, turns, there, kind = None, [], False, None
+
+        def done() -> pa.RecordBatch:
             out: list[list] = [[] for _ in names]
-            for conv, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if conv != now or spans is None:
-                    now, spans, nth, at = conv, Spans(template, window), 0, 0
-                span, lost = spans.add((role, text))
+            at = 0
+            for nth, ((role, _), (span, lost)) in enumerate(zip(turns, conversation_spans(template, turns, window), strict=True)):
                 at -= lost
                 got = reader(span)
                 mask = (at + got[1], at + got[2]) if got and got[0] == loss_role else (None, None)
-                for column, x in zip(out, (conv, nth, got[0] if got else None, span, at, *mask, lost), strict=True):
+                for column, x in zip(out, (now, nth, got[0] if got else None, span, at, *mask, lost), strict=True):
                     column.append(x)
-                nth, at = nth + 1, at + len(span)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k or b.schema.types[0]) for c, k in zip(out, kinds, strict=True)], names=names)
+                at += len(span)
+            return pa.RecordBatch.from_arrays([pa.array(c, k or kind) for c, k in zip(out, kinds, strict=True)], names=names)
+
+        for b in batches:
+            kind = b.schema.types[0]
+            for conv, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if there and conv != now:
+                    yield done()
+                    turns = []
+                now, there = conv, True
+                turns.append((role, text))
+        if there:
+            yield done()
 
     kind = conversations.schema["conv_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"conv_id {kind}, nth long, role string, span string, start long, loss_start long, loss_end long, rewritten long")
@@ -151,7 +183,8 @@ def op1_chat_formatting(spark, sf_dir) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     turns = format_conversations(read(spark, sf_dir, "conversations").select(own.columns).union(own), window=WINDOW)
-    return digest_conversations(turns).drop("rewritten")
+    broken = F.raise_error(F.lit("the template rewrites earlier turns")).cast("boolean")
+    return digest_conversations(turns).where(F.when(F.col("rewritten") > 0, broken).otherwise(True)).drop("rewritten")
 
 
 OP1_SQL = r"""

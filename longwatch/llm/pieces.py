@@ -48,7 +48,7 @@ _OTHER = 1 << 17
 _GONE = 0xFFFFFFFF
 _LAST = np.iinfo(np.int32).max
 _NEVER = float("inf")
-_A, _B, _M, _64 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 2**64 - 1
+_A, _B, _C, _M, _64 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 2**64 - 1
 _SPACE = "\u2581"
 #: Stands for a U+2581 of the text itself; no piece holds it.
 _LITERAL = "\ufffe\ufffe"
@@ -179,7 +179,7 @@ class Pieces:
             here = at + i
             piece = f_into[here]
             if record is not None or keys is not None:
-                candidate = i.astype(np.uint64) * np.uint64(_A) + piece.astype(np.uint64) * np.uint64(_B)
+                candidate = i.astype(np.uint64) * np.uint64(_A) + piece.astype(np.uint64) * np.uint64(_B) + f_after[here].astype(np.uint64) * np.uint64(_C)
                 if record is not None:
                     record.append((row, candidate))
             if keys is not None:
@@ -234,8 +234,10 @@ class Pieces:
     def segment(self, word: str, key: int = 0, below: int = 0) -> bytes:
         """Ids of one word (its leading spaces included) as 16-bit numbers.
 
-        A candidate that comes off the agenda is dropped if its hash under the
-        key is below the bound; it comes back only if one of its sides changes.
+        A candidate is two neighbours: it is named by where they begin and by
+        what they make. One that comes off the agenda is dropped if its hash
+        under the key is below the bound; it comes back only if one of its sides
+        changes, as another candidate.
         """
         return self._segment(word, (lambda x: _mixed(key ^ x) < below) if below else None)
 
@@ -255,7 +257,7 @@ class Pieces:
                 break
             i = agenda.index(best)
             joined = symbols[i] + symbols[i + 1]
-            if skip and skip(start[i] * _A + id_[joined] * _B & _64):
+            if skip and skip(start[i] * _A + id_[joined] * _B + start[i + 1] * _C & _64):
                 agenda[i] = _NEVER
                 continue
             symbols[i] = joined
@@ -277,7 +279,7 @@ class Pieces:
             k = after[i]
             if symbols[i] is None or k >= n or symbols[i] + symbols[k] != joined:
                 continue
-            if skip and skip(i * _A + self.id[joined] * _B & _64):
+            if skip and skip(i * _A + self.id[joined] * _B + k * _C & _64):
                 continue
             symbols[i], symbols[k] = joined, None
             after[i] = j = after[k]

@@ -58,10 +58,10 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda t: F.length(t) > 2))
 
 
-def mine_rules(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[list[str], float]]:
+def mine_rules(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, fewest: int = LEAST) -> list[tuple[list[str], float]]:
     """All rules (tokens, confidence) from (tokens, bad) rows that no rule of fewer tokens covers.
 
-    Support is a share of all examples, LEAST of them at least. Examples without tokens or label are
+    Support is a share of all examples, `fewest` of them at least. Examples without tokens or label are
     passed over. Tokens that are rules by themselves do not enter mining, as no longer rule holds one,
     and tokens of the same examples enter as one. Found rules come one by one, the short ones first.
     A rule's tokens go from the rarest on.
@@ -71,7 +71,7 @@ def mine_rules(examples: DataFrame, support: float = SUPPORT, confidence: float
     n, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
     if not bad:
         return []
-    least = math.ceil(max(support * n, LEAST))
+    least = math.ceil(max(support * n, fewest))
     if bad < least:
         return []
     tokens = rows.select("row", "bad", F.explode(F.array_distinct("tokens")).alias("token"))
