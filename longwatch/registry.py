@@ -1,6 +1,6 @@
 """All queries and their SQL."""
 
-from longwatch import catalog_runs  # noqa: F401  adds its queries to the catalog
+from longwatch import catalog_runs, catalog_tables  # noqa: F401  they add their queries to the catalog
 from longwatch.catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
