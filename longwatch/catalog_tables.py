@@ -84,6 +84,24 @@ def normalize_ids(spark, sf):
     return rows.select("doc_id", corpora.normal_id(c("corpus"), c("raw")).alias("id"))
 
 
+HEADS = ["", "https://example.org/a/long/address\n", "Title:  Own \n", "title:\n", "<html>\n# Heading of it \n", "W3C Recommendation of it\n", "12345678901234567890\n"]
+
+
+@query(r"""WITH d AS (SELECT doc_id, ['', 'https://example.org/a/long/address' || chr(10), 'Title:  Own ' || chr(10), 'title:' || chr(10), '<html>' || chr(10) || '# Heading of it ' || chr(10), 'W3C Recommendation of it' || chr(10), '12345678901234567890' || chr(10)][doc_id % 7 + 1] || text AS x FROM documents),
+a AS (SELECT doc_id, string_split_regex(x, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS a FROM d), l AS (SELECT doc_id, unnest(a) AS raw, generate_subscripts(a, 1) AS n FROM a),
+s AS (SELECT doc_id, n, regexp_replace(raw, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g') AS line FROM l WHERE n <= 80),
+r(corpus, said, rows, least, no) AS (VALUES ('w3c', 80, 40, 12, '^(http://|https://|copyright|w3c)'), ('nist', 60, 40, 12, '^(http://|https://|copyright|©)'), ('iso', 60, 40, 20, '^(http://|https://|copyright)')),
+t AS (SELECT corpus, doc_id, arg_min(line, n) FILTER (WHERE n <= said AND starts_with(lower(line), 'title:')) AS own, arg_min(line, n) FILTER (WHERE n <= rows AND length(line) BETWEEN least AND 160 AND regexp_matches(line, '\p{L}') AND NOT regexp_matches(lower(line), no)) AS plain,
+  arg_min(substr(line, 1, 160), n) FILTER (WHERE corpus = 'w3c' AND n <= 30 AND line <> '' AND NOT starts_with(line, '<')) AS other FROM s, r GROUP BY ALL)
+SELECT corpus, doc_id, CASE WHEN own IS NOT NULL THEN coalesce(nullif(trim(substr(own, 7)), ''), 'id ' || doc_id) ELSE coalesce(plain, other, 'id ' || doc_id) END AS title FROM t
+UNION ALL SELECT 'generic', d.doc_id, g.title FROM d LEFT JOIN (SELECT doc_id, nullif(trim(regexp_replace(arg_min(line, n), '(?i)^title:|^#', '')), '') AS title FROM s WHERE regexp_matches(line, '(?i)^title:\s*.|^#\s+\S') GROUP BY doc_id) g USING (doc_id)""")
+def corpus_titles(spark, sf):
+    """Titles of documents with several first lines under the rules of the other corpora."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(_pick(HEADS, c("doc_id")), "text").alias("text"), F.concat(s("id "), c("doc_id").cast("string")).alias("normal"))
+    each = [F.struct(s(k).alias("corpus"), corpora.first_line_title(k, c("text"), c("normal")).alias("title")) for k in ("w3c", "nist", "iso")] + [F.struct(s("generic").alias("corpus"), corpora.generic_title(c("text")).alias("title"))]
+    return docs.select("doc_id", F.explode(F.array(*each)).alias("t")).select("t.corpus", "doc_id", "t.title")
+
+
 @query(r"""WITH p AS (SELECT page_id, page_id % 6 AS k, (page_id + 1)::VARCHAR AS n, regexp_extract(coalesce(url, ''), '[?#].*$') AS tail, url FROM pages WHERE regexp_matches(url, '^https?://[a-z0-9.-]+(/[^?#]*)?([?#].*)?$')),
 u AS (SELECT *, CASE k WHEN 0 THEN 'https://tools.ietf.org/html/rfc' || lpad(n, 8, '0') || tail WHEN 1 THEN 'http://Datatracker.ietf.org/doc/rfc' || n || '/' || tail WHEN 2 THEN 'https://www.rfc-editor.org/rfc/pdfrfc/rfc' || n || '.txt.pdf'
   WHEN 3 THEN 'https://www.rfc-editor.org/rfc/rfc' || n || '.txt' || tail ELSE url END AS x FROM p)

@@ -48,7 +48,7 @@ SPELLINGS = {
 
 
 def corpora(spark: SparkSession) -> DataFrame:
-    """(C2, C10)"""
+    """Name, tier, whether texts can be fetched and what their sections are. (C2, the common part of C10)"""
     return spark.createDataFrame(list(CORPORA), "corpus string, display_name string, tier int, fetchable boolean, sections string")
 
 
@@ -184,14 +184,54 @@ def document_title(corpus: str, text: Column, normal: Column) -> Column:
     return F.when(said.isNotNull(), F.when(own != "", own).otherwise(missing)).otherwise(F.coalesce(marked, plain, missing))
 
 
+# By corpus, lines searched for a title of its own, lines searched else, the least length of such a title, and how lines begin that are none.
+FIRST_LINE_RULES = {
+    "w3c": (80, 40, 12, ("http://", "https://", "copyright", "w3c")), **dict.fromkeys(("ecma", "oasis", "nist"), (60, 40, 12, ("http://", "https://", "copyright", "©"))),
+    **dict.fromkeys(("itu-t", "ieee", "iso"), (60, 40, 20, ("http://", "https://", "copyright"))),
+}
+MOST_TITLE = 160
+
+
+def _head_lines(text: Column, most: int) -> Column:
+    return F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), LINE_END, most + 1), 1, most), strip)
+
+
+def first_line_title(corpus: str, text: Column, normal: Column) -> Column:
+    """The title of a document of a corpus whose titles stand in its first lines, else its normal id.
+
+    A line that says so comes first, even an empty one; then the first line of a
+    title's length with a letter; for W3C then the first line that is no tag.
+    """
+    labelled, rows, least, no_title = FIRST_LINE_RULES[corpus]
+    lines = _head_lines(text, max(labelled, rows))
+    said = F.get(F.filter(F.slice(lines, 1, labelled), lambda x: F.lower(x).startswith("title:")), 0)
+    own = strip(F.substring(said, F.lit(len("title:") + 1), F.length(said)))
+    starts = lambda x: F.greatest(F.lit(False), *[F.lower(x).startswith(p) for p in no_title])
+    plain = F.get(F.filter(F.slice(lines, 1, rows), lambda x: F.length(x).between(least, MOST_TITLE) & x.rlike(r"\p{L}") & ~starts(x)), 0)
+    if corpus == "w3c":
+        plain = F.coalesce(plain, F.substring(F.get(F.filter(F.slice(lines, 1, 30), lambda x: (x != "") & ~x.startswith("<")), 0), 1, MOST_TITLE))
+    return F.when(said.isNotNull(), F.when(own != "", own).otherwise(normal)).otherwise(F.coalesce(plain, normal))
+
+
+def generic_title(text: Column) -> Column:
+    """The title that a field Title: or a Markdown heading of the first level says in the first 80 lines, or null."""
+    found = F.get(F.filter(_head_lines(text, 80), lambda x: x.rlike(r"(?i)\Atitle:\s*.|\A#\s+\S")), 0)
+    value = strip(F.regexp_replace(found, r"(?i)\Atitle:|\A#", ""))
+    return F.when(value != "", value)
+
+
 def parsed_documents(docs: DataFrame) -> DataFrame:
     """Documents of (doc_id, corpus, text) with normal_id, title, source_url, content_sha256 and char_count. (C11)
 
-    Corpora without a rule for titles take the normal id.
+    Corpora without a rule for titles take the normal id; a generic document can
+    be without a title.
     """
     c = F.col
     named = docs.withColumn("normal_id", normal_id(c("corpus"), c("doc_id")))
     title = c("normal_id")
     for name in TITLE_RULES:
         title = F.when(c("corpus") == name, document_title(name, c("text"), c("normal_id"))).otherwise(title)
+    for name in FIRST_LINE_RULES:
+        title = F.when(c("corpus") == name, first_line_title(name, c("text"), c("normal_id"))).otherwise(title)
+    title = F.when(c("corpus") == "generic", generic_title(c("text"))).otherwise(title)
     return named.withColumns({"title": title, "source_url": source_url(c("corpus"), c("normal_id")), "content_sha256": F.sha2("text", 256), "char_count": F.length("text").cast("long")})
