@@ -119,6 +119,18 @@ def url_rewrite(spark, sf):
     return rows.select("page_id", urls.rewrite_url(c("x")).alias("rewritten"), urls.text_twin(c("x")).alias("twin"), urls.redact_url(c("x")).alias("redacted"))
 
 
+@query(r"""WITH p AS (SELECT page_id, url, page_id % 4 AS k, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^?#]*') AS plain FROM pages WHERE regexp_matches(url, '^https?://[a-z0-9.-]+(/[^?#]*)?([?#].*)?$')),
+d AS (SELECT *, regexp_matches(url, '^https?://[^/?#]*/+[^/?#]+/+[^/?#]') OR regexp_matches(plain, '[.]html?$') AS document FROM p)
+SELECT page_id, CASE k WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN host = 'api.openai.com' ELSE false END AS official,
+  CASE WHEN NOT document THEN 'Resolved URI looks like a portal/search page, not a document: ' || plain || '.' END AS error, k = 3 OR contains(lower(url), '/tr/') OR regexp_matches(regexp_replace(lower(url), '/+$', ''), '[.]html?$') AS html FROM d""")
+def document_targets(spark, sf):
+    """Whether pages are documents or portals, may be HTML, and are a provider's own base."""
+    pages = table(spark, sf, "pages").where(c("url").rlike(r"^https?://[a-z0-9.-]+(/[^?#]*)?([?#].*)?$"))
+    base = _pick([" ", F.concat(s("user@API.openai.com:443/v1?"), c("page_id").cast("string")), c("url"), F.concat(s("https://api.openai.com.example/"), c("url"))], c("page_id"))
+    kind = F.when(c("page_id") % 4 == 3, "Application/XHTML+xml").otherwise("text/plain")
+    return pages.select("page_id", urls.official_chat_base(base).alias("official"), urls.portal_error(c("url")).alias("error"), urls.allows_html(kind, c("url")).alias("html"))
+
+
 @query("""SELECT page_id, ['text', 'tar', 'docx', 'html', 'pdf', 'docx', 'zip', 'text', 'unknown', 'html'][page_id % 10 + 1] AS kind FROM pages""")
 def media_type_detect(spark, sf):
     """Kinds of the pages' bytes under ten names, content types and first bytes."""

@@ -110,3 +110,26 @@ def media_type(name: Column, content_type: Column, data: Column) -> Column:
 
 def _plain(pair: Column) -> Column:
     return pair.between("20", "7E") | pair.isin("09", "0A", "0D")
+
+
+#: Fixed value: the host of the chat provider that knows structured output.
+OFFICIAL_CHAT_HOST = "api.openai.com"
+
+
+def official_chat_base(base: Column) -> Column:
+    """Whether a base address is the provider's own: none, or one of just its host, with a scheme or not."""
+    given = F.trim(F.coalesce(base, F.lit("")))
+    host = F.lower(F.regexp_extract(F.when(F.contains(given, F.lit("://")), given).otherwise(F.concat(F.lit("https://"), given)), r"\A[^:/?#]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    return (given == "") | (host == OFFICIAL_CHAT_HOST)
+
+
+def portal_error(url: Column) -> Column:
+    """Why an address is not fetched: it looks like a page to search on and not like a document; null for a document's."""
+    told = F.concat(F.lit("Resolved URI looks like a portal/search page, not a document: "), redact_url(url), F.lit("."))
+    return F.when(~F.coalesce(is_document_url(url), F.lit(False)), told)
+
+
+def allows_html(kind: Column, url: Column) -> Column:
+    """Whether a reference may be a web page: by its media type, or by its address."""
+    path = F.lower(F.coalesce(url, F.lit("")))
+    return F.contains(F.lower(F.coalesce(kind, F.lit(""))), F.lit("html")) | F.contains(path, F.lit("/tr/")) | F.regexp_replace(path, r"/+\z", "").rlike(r"\.html?\z")
