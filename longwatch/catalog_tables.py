@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from longwatch.catalog import _turns, c, query, table
 from longwatch.functions import horizon, pricing, text, urls
-from longwatch.operators import bench, corpora, evalmatch, findings, recovery, segment
+from longwatch.operators import bench, corpora, evalmatch, findings, recovery, report, segment
 
 s = F.lit
 
@@ -225,6 +225,20 @@ def horizon_claims(spark, sf):
     return made.select("event_id", c("horizon.status").alias("status"), c("horizon.claim_consistent").alias("consistent"))
 
 
+SHOWN_SQL = "CASE WHEN {0} BETWEEN -62135596800000000 AND 253402300799999999 THEN strftime(make_timestamp({0}::BIGINT), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {0} % 1000000 <> 0 THEN strftime(make_timestamp({0}::BIGINT), '.%f') ELSE '' END || 'Z' END"
+
+
+@query(COUNTERS_SQL + f""", z AS (SELECT *, CASE WHEN signed THEN -(1::HUGEINT << (w - 1)) ELSE 0 END AS lo, (CASE WHEN signed THEN 1::HUGEINT << (w - 1) ELSE 1::HUGEINT << w END) - 1 AS hi, event_id % 3 AS k FROM y),
+q AS (SELECT *, base + lo * m AS first, {SHOWN_SQL.format('base')} AS epoch FROM z)
+SELECT event_id, concat_ws(chr(10), '#### Deterministic validation', '', 'Status: **Verified** (`verified`)', '', '{report.ARITHMETIC_ONLY}', '', '- **Width:** ' || w || ' bits', '- **Signedness:** ' || CASE WHEN signed THEN 'Signed' ELSE 'Unsigned' END,
+  '- **Epoch kind:** `other`', '- **Epoch:** ' || epoch, '- **Unit:** `' || ['seconds', 'milliseconds', 'days'][k + 1] || '`', '- **Rollover behavior (stated):** wraps \\*once\\*', '- **Minimum value:** ' || format('{{:,}}', lo), '- **Maximum value:** ' || format('{{:,}}', hi),
+  '- **Earliest representable instant:** ' || {SHOWN_SQL.format('first')}, '- **Last representable instant:** ' || {SHOWN_SQL.format('last')}, '- **First wrapped/out-of-range instant:** ' || {SHOWN_SQL.format('past')}, '- **Note:** counted') AS lines FROM q""")
+def horizon_report_lines(spark, sf):
+    """Blocks of reports about a counter that starts at each event. (K2)"""
+    made = horizon.validate(_counters(spark, sf))
+    return made.select("event_id", F.array_join(report.horizon_lines(s("0.6.0"), s("wraps *once*"), F.array(s("counted"))), "\n").alias("lines"))
+
+
 DAYS_SQL = "e AS (SELECT event_id, ['y2036', 'y2038', 'y2106'][event_id % 3 + 1] AS label, [DATE '2036-02-07', DATE '2038-01-19', DATE '2106-02-07'][event_id % 3 + 1] AS known, SPREAD AS off FROM events)"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from longwatch.functions.folds import gathered
+from longwatch.functions.horizon import format_claim, format_instant
 from longwatch.functions.nested import DROP, rewritten
 from longwatch.functions.text import escape_markdown, inline_code, markdown_fence
 from longwatch.functions.urls import redact_url
@@ -197,6 +198,70 @@ def coverage_lines(coverage_percent: Column) -> Column:
     )
 
 
+# How a horizon's state is told, and the lines around it.
+HORIZON_STATES = {
+    "verified": "Verified", "contradicted": "Contradicted", "insufficient_parameters": "Insufficient parameters", "not_applicable": "Not applicable", "unsupported": "Unsupported",
+    "ambiguous_signedness": "Ambiguous signedness", "error": "Error",
+}
+ARITHMETIC_ONLY = "Arithmetic verification only — does **not** confirm a standards defect or change human disposition."
+UNFINISHED = ("insufficient_parameters", "unsupported", "not_applicable", "ambiguous_signedness")
+
+
+def _item(label: str, value: Column) -> Column:
+    return F.when(value.isNotNull(), F.concat(F.lit(f"- **{label}:** "), value))
+
+
+def _thousands(number: Column) -> Column:
+    """A whole number of any length, as text, with commas."""
+    return F.regexp_replace(number, r"(?<=\d)(?=(?:\d{3})+$)", ",")
+
+
+def _moment(at: Column) -> Column:
+    return F.when(at.isNotNull(), escape_markdown(format_instant(at)))
+
+
+def horizon_lines(version: Column, rollover: Column, notes: Column) -> Column:
+    """Lines of a finding's deterministic validation, from the columns that validate() gives.
+
+    rollover is the stated behaviour, notes an array of which the first three
+    are shown; a value that is not known gives no line.
+    """
+    c = F.col
+    h, status = c("horizon"), c("horizon.status")
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in HORIZON_STATES.items() for x in kv]), status)
+    unsure = status == "ambiguous_signedness"
+    signedness = F.when(c("signed").isNotNull(), F.when(c("signed"), "Signed").otherwise("Unsigned")).when(unsure, "unresolved (both interpretations below)")
+    rate = F.when(c("ticks_per_second") == F.floor("ticks_per_second"), F.floor("ticks_per_second").cast("string")).otherwise(c("ticks_per_second").cast("string"))
+    unit = F.concat(inline_code(c("unit")), F.when(c("ticks_per_second").isNotNull(), F.concat(F.lit(" ("), rate, F.lit(" ticks/second)"))).otherwise(""))
+    head = [
+        F.lit("#### Deterministic validation"), F.lit(""), F.concat(F.lit("Status: "), F.coalesce(F.concat(F.lit("**"), known, F.lit("**")), escape_markdown(status)), F.lit(" ("), inline_code(status), F.lit(")")), F.lit(""), F.lit(ARITHMETIC_ONLY), F.lit(""),
+        _item("Width", F.when(c("width_bits").isNotNull(), F.concat(c("width_bits").cast("string"), F.lit(" bits")))), _item("Signedness", signedness), _item("Epoch kind", F.when(c("epoch_kind").isNotNull(), inline_code(c("epoch_kind")))),
+        _item("Epoch", _moment(c("epoch"))), _item("Unit", F.when(c("unit").isNotNull(), unit)), _item("Rollover behavior (stated)", F.when(rollover != "", escape_markdown(rollover))),
+    ]
+    branches = []
+    for label, branch in (("Signed interpretation", c("signed_branch")), ("Unsigned interpretation", c("unsigned_branch"))):
+        there = unsure & branch.isNotNull()
+        spread = F.concat(F.lit("  - Range: "), _thousands(branch["minimum_value"]), F.lit(" … "), _thousands(branch["maximum_value"]))
+        branches += [F.when(there, f"- **{label}:**"), F.when(there, spread), F.when(there, F.concat(F.lit("  - Last representable: "), _moment(branch["last"]))), F.when(there, F.concat(F.lit("  - First out-of-range: "), _moment(branch["first_out_of_range"])))]
+    own = [
+        F.when(~unsure, x) for x in (
+            _item("Minimum value", _thousands(h["minimum_value"])), _item("Maximum value", _thousands(h["maximum_value"])), _item("Earliest representable instant", _moment(h["earliest"])), _item("Last representable instant", _moment(h["last"])),
+            _item("First wrapped/out-of-range instant", _moment(h["first_out_of_range"])),
+        )
+    ]
+    old = F.coalesce(version.isin("0.1.0", "0.2.0"), F.lit(False))
+    claim = format_claim(c("claim_value"), c("claim_precision"), version)
+    stated = F.when(c("claim_value").isNotNull(), F.concat(F.when(old, "- **Model-stated horizon:** ").otherwise("- **Source-stated horizon:** "), claim))
+    reason = F.coalesce(escape_markdown(F.get(notes, 0)), F.lit("required parameters unavailable"))
+    result = (
+        F.when(h["claim_consistent"], "- Result: **Consistent** with deterministic calculation").when(~h["claim_consistent"], "- Result: **Inconsistent** with deterministic calculation")
+        .when((status != "insufficient_parameters") & ~old & c("claim_precision").isin("year", "month") & c("claim_value").isNotNull(), "- Result: not compared as an exact instant (partial source precision)")
+        .when(status.isin(*UNFINISHED), F.concat(F.lit("- **Result:** validation not completed ("), reason, F.lit(")")))
+    )
+    told = F.transform(F.slice(F.coalesce(notes, F.array().cast("array<string>")), 1, 3), lambda n: F.concat(F.lit("- **Note:** "), escape_markdown(n)))
+    return F.concat(_lines(*head, *branches, *own, stated, result), told)
+
+
 def _finding_lines(c: Column) -> Column:
     status = assurance_status(F.col("disposition"), F.col("validation_status"), F.col("source_verified"))
     quotes = F.array_join(F.transform("evidence", lambda e: markdown_fence(e["quote"])), "\n\n")

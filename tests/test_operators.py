@@ -578,3 +578,36 @@ def test_counters_and_shown_lines(spark):
     lines = [("u", at(0), 1, "working"), ("u", at(3), 1, "working"), ("u", at(12), 1, "working"), ("u", at(13), 1, "\x1b[31mdone"), ("u", at(14), 3, "detail"), ("u", at(15), 1, "working"), ("v", at(3), 1, "working"), ("u", at(16), 1, "\x00")]
     got = progress.shown_lines(spark.createDataFrame(lines, "unit string, at timestamp, level int, text string"))
     assert sorted((r.unit, r.at.second, r.text) for r in got.collect()) == [("u", 0, "working"), ("u", 12, "working"), ("u", 13, "done"), ("u", 15, "working"), ("v", 3, "working")]
+
+
+def test_horizon_blocks(spark):
+    names = "k int, width_bits int, signed boolean, epoch_kind string, epoch timestamp, unit string, ticks_per_second double, claim_value string, claim_precision string"
+    rows = [
+        (0, 32, None, "unix", None, "seconds", None, "2038-01-19", "day"), (1, 32, True, "unix", None, "seconds", None, "2038-01-20", "day"), (2, 32, True, "unix", None, "seconds", None, "2038", "year"),
+        (3, None, None, None, None, None, None, None, None), (4, 16, False, "unix", None, "ticks", 1000.0, None, None),
+    ]
+    made = horizon.validate(spark.createDataFrame(rows, names))
+    got = {r.k: r.x for r in made.select("k", report.horizon_lines(F.lit("0.6.0"), F.lit(""), F.when(F.col("k") == 3, F.array(F.lit("no *width*"), *[F.lit(str(i)) for i in range(4)]))).alias("x")).collect()}
+    assert got[0][6:] == [
+        "- **Width:** 32 bits", "- **Signedness:** unresolved (both interpretations below)", "- **Epoch kind:** `unix`", "- **Unit:** `seconds`", "- **Signed interpretation:**", "  - Range: -2,147,483,648 … 2,147,483,647",
+        "  - Last representable: 2038-01-19T03:14:07Z", "  - First out-of-range: 2038-01-19T03:14:08Z", "- **Unsigned interpretation:**", "  - Range: 0 … 4,294,967,295", "  - Last representable: 2106-02-07T06:28:15Z",
+        "  - First out-of-range: 2106-02-07T06:28:16Z", "- **Source-stated horizon:** 2038-01-19 (day precision)", "- Result: **Consistent** with deterministic calculation",
+    ]
+    assert got[1][2] == "Status: **Contradicted** (`contradicted`)" and got[1][-1] == "- Result: **Inconsistent** with deterministic calculation"
+    assert got[2][-2:] == ["- **Source-stated horizon:** 2038 (year precision)", "- Result: not compared as an exact instant (partial source precision)"]
+    assert got[3][-4:] == ["- **Result:** validation not completed (no \\*width\\*)", "- **Note:** no \\*width\\*", "- **Note:** 0", "- **Note:** 1"]
+    assert "- **Unit:** `ticks` (1000 ticks/second)" in got[4]
+    old = made.where("k = 2").select(report.horizon_lines(F.lit("0.2.0"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")).alias("x")).first().x
+    assert old[-1].startswith("- **Model-stated horizon:** 2038")
+
+
+def test_first_line_titles(spark):
+    cases = [
+        ("w3c", "W3C\n<a>\nhttp://x.org/aaaaaaaa\nshort\n", "W3C"), ("w3c", "<html>\n\nA long enough title\n", "A long enough title"), ("ecma", "Copyright of all\n12345678901234\nAn ECMA Standard", "An ECMA Standard"),
+        ("iso", "Only short one\nTITLE: \nA title that is long enough", "ID"), ("iso", "Only short one", "ID"), ("nist", "title: Given\n", "Given"), ("oasis", None, "ID"),
+    ]
+    for corpus, source, want in cases:
+        got = spark.createDataFrame([(source,)], "t string").select(corpora.first_line_title(corpus, F.col("t"), F.lit("ID"))).first()[0]
+        assert got == want, (corpus, source, got)
+    for source, want in (("x\n# Head one #\n", "Head one #"), ("Title:  T\n# H", "T"), ("## no\nTitle:\n", None), ("#no", None), (None, None), ("\n" * 90 + "# late", None)):
+        assert spark.createDataFrame([(source,)], "t string").select(corpora.generic_title(F.col("t"))).first()[0] == want
