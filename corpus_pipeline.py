@@ -62,6 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's rows written to the shared folder and read again.
+
+    Null texts are empty, null ids come first, repeated rows are documents of
+    their own until one of a group of near copies stays, extra columns are
+    dropped; without documents there are no rows. Stage folders stay, as the
+    last one's rows are read from its own.
+    """
     docs = read(spark, sf_dir, "documents")
     at = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
