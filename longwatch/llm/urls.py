@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from longwatch.llm.common import cut, read
 
-LISTED = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block"))
+LISTED = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 SUPPORT = 0.002
 #: Examples that a rule must rest on, however few there are in all.
 LEAST = 25
