@@ -59,20 +59,25 @@ def raw_cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: C
     return tokens_in / F.lit(1_000_000) * rate_in + tokens_out / F.lit(1_000_000) * rate_out
 
 
-def round6(x: Column) -> Column:
-    """Six places as the exact binary value rounds, halves to even; the built-in rounds the decimal text. (H3)
+def round_places(x: Column, places: int) -> Column:
+    """So many places as the exact binary value rounds, halves to even; the built-in rounds the decimal text. (H3)
 
-    A product with a million is taken with its error, which a fused multiply-add
-    gives exactly, so that it is known on which side of a half it is. Values
-    from 2**52 millionths (4.5 billion) on stay as they are.
+    A product with a power of ten is taken with its error, which a fused
+    multiply-add gives exactly, so that it is known on which side of a half it
+    is. Values from 2**52 units of the last place on stay as they are.
     """
-    million = F.lit(1e6)
-    scaled = x * million
-    error = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), x, million, -scaled).cast("double")
+    unit = F.lit(10.0**places)
+    scaled = x * unit
+    error = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), x, unit, -scaled).cast("double")
     near = F.rint(scaled)
     rest = scaled - near
     whole = F.when((rest == 0.5) & (error > 0), near + 1).when((rest == -0.5) & (error < 0), near - 1).otherwise(near)
-    return F.when(x.isNull() | F.isnan(x), None).when(F.abs(scaled) >= 2.0**52, x).otherwise(whole / million)
+    return F.when(x.isNull() | F.isnan(x), None).when(F.abs(scaled) >= 2.0**52, x).otherwise(whole / unit)
+
+
+def round6(x: Column) -> Column:
+    """Six places, as round_places rounds. (H3)"""
+    return round_places(x, 6)
 
 
 def pricing_tier(provider: Column, model: Column, tokens: Column, input_rate: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from longwatch.functions.folds import gathered
 from longwatch.functions.horizon import format_claim, format_instant
 from longwatch.functions.nested import DROP, rewritten
+from longwatch.functions.pricing import round_places
 from longwatch.functions.text import escape_markdown, inline_code, markdown_fence
 from longwatch.functions.urls import redact_url
 from longwatch.operators.findings import assurance_label, assurance_status, report_scope
@@ -183,7 +184,7 @@ def coverage_lines(coverage_percent: Column) -> Column:
     """Lines that tell how much of a document was in scope, from a run's columns."""
     c = F.col
     cut = F.coalesce(c("scope_truncated"), F.lit(False))
-    share = F.concat(F.lit("**Coverage:** "), F.format_string("%.1f", coverage_percent), F.lit("% of eligible text analyzed  "))
+    share = F.concat(F.lit("**Coverage:** "), F.format_string("%.1f", round_places(coverage_percent, 1)), F.lit("% of eligible text analyzed  "))
     of_sections = F.when(c("sections_analyzed").isNotNull() & (c("eligible_sections") > 0), F.concat(F.lit("sections "), c("sections_analyzed").cast("string"), F.lit("/"), c("eligible_sections").cast("string"), F.lit(" eligible"))).when(
         c("sections_analyzed").isNotNull() & c("sections_total").isNotNull(), F.concat(F.lit("sections analyzed "), c("sections_analyzed").cast("string"), F.lit(" (parsed total "), c("sections_total").cast("string"), F.lit(")"))
     )

@@ -618,3 +618,15 @@ def test_names_that_no_corpus_claims_stay(spark, tmp_path):
     spark.createDataFrame([(9, "1 2 3"), (21, "two"), (0, "x")], "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.id for r in QUERIES["normalize_ids"](spark, str(tmp_path)).collect()}
     assert got == {9: "Zz ", 21: "Zz two", 0: "RFC1"}
+
+
+@pytest.mark.parametrize("x, want", [(31.25, "31.2"), (31.75, "31.8"), (24.25, "24.2"), (0.05, "0.1"), (0.15, "0.1"), (0.25, "0.2"), (0.35, "0.3"), (100.0, "100.0"), (0.0, "0.0"), (99.95, "100.0")])
+def test_tenths_round_as_the_binary_value(spark, x, want):
+    assert f"{x:.1f}" == want
+    assert one(spark, F.format_string("%.1f", pricing.round_places(F.lit(x), 1))) == want
+
+
+def test_coverage_of_a_half(spark):
+    run = spark.createDataFrame([(275, 880)], "analyzed_chars long, eligible_chars long").select(
+        "*", F.lit(True).alias("scope_truncated"), F.lit(1).alias("sections_analyzed"), F.lit(3).alias("eligible_sections"), F.lit(None).cast("int").alias("sections_total"), F.array().cast("array<string>").alias("scope_notes"), F.lit(31.25).alias("p"))
+    assert "31.2%" in run.select(F.array_join(report.coverage_lines(F.col("p")), "\n").alias("x")).first().x
