@@ -1,15 +1,16 @@
 """Recovery of failed requests by halving their ranges, under a shared budget.
 
-A budget is spent depth first, so a document's chunks are worked through in one
-grouped call and documents run in parallel. The model is a function of a range
-and an attempt, as a scripted table or a provider.
+A budget is spent depth first, so a document's chunks come as one row, which is
+worked through alone, and documents run in parallel, many to a batch. The model
+is a function of a range and an attempt, as a scripted table or a provider.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ MAX_REQUESTS = 64
 LIMIT = 100_000
 RECOVERABLE = ("invalid_model_output", "truncated_output")
 ATTEMPTS = "doc_id string, step int, lo int, hi int, depth int, outcome string, error string, recovery boolean"
+NAMES = ["doc_id", "step", "lo", "hi", "depth", "outcome", "error", "recovery"]
+KINDS = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
 
 
 def checked_limit(value: int) -> int:
@@ -62,15 +65,27 @@ def recover(chunks: DataFrame, failures: DataFrame, max_requests: int = MAX_REQU
     A request fails with the class of the first failing section in its range.
     """
     limit = checked_limit(max_requests)
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        bad = dict(zip(right.section.tolist(), right.error.tolist(), strict=True))
-        answer = lambda lo, hi: next((bad[s] for s in range(lo, hi + 1) if s in bad), None)
-        ranges = sorted(zip(left.lo.tolist(), left.hi.tolist(), strict=True))
-        rows = [(key[0], k, *r) for k, r in enumerate(work_through(ranges, answer, limit))]
-        return pd.DataFrame(rows, columns=["doc_id", "step", "lo", "hi", "depth", "outcome", "error", "recovery"])
-
-    return chunks.groupBy("doc_id").cogroup(failures.groupBy("doc_id")).applyInPandas(run, ATTEMPTS)
+    c = F.col
+    ranges, failed = F.struct("lo", "hi"), F.struct("section", "error")
+    rows = chunks.select("doc_id", ranges.alias("range"), F.lit(None).alias("failure")).unionByName(failures.select("doc_id", F.lit(None).alias("range"), failed.alias("failure")))
+    rows = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("range")).alias("ranges"), F.sort_array(F.collect_list("failure")).alias("failures")).where(F.size("ranges") > 0)
+    rows = rows.select(c("doc_id").cast("string").alias("doc_id"), c("ranges.lo").alias("lo"), c("ranges.hi").alias("hi"), c("failures.section").alias("section"), c("failures.error").alias("error"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc_id, lo, hi, section, error in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                bad = dict(zip(section, error, strict=True))
+                places = sorted(bad)
+
+                def answer(a: int, b: int) -> str | None:
+                    k = bisect_left(places, a)  # noqa: B023
+                    return bad[places[k]] if k < len(places) and places[k] <= b else None  # noqa: B023
+
+                out += [(doc_id, k, *r) for k, r in enumerate(work_through(list(zip(lo, hi, strict=True)), answer, limit))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(KINDS)], NAMES)
+
+    return rows.mapInArrow(run, ATTEMPTS)
 
 
 def failure_leaves(planned: DataFrame, succeeded: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -630,3 +630,18 @@ def test_coverage_of_a_half(spark):
     run = spark.createDataFrame([(275, 880)], "analyzed_chars long, eligible_chars long").select(
         "*", F.lit(True).alias("scope_truncated"), F.lit(1).alias("sections_analyzed"), F.lit(3).alias("eligible_sections"), F.lit(None).cast("int").alias("sections_total"), F.array().cast("array<string>").alias("scope_notes"), F.lit(31.25).alias("p"))
     assert "31.2%" in run.select(F.array_join(report.coverage_lines(F.col("p")), "\n").alias("x")).first().x
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_recovery_without_a_call_for_each_document(spark):
+    ranges = spark.createDataFrame([("a", 4, 5), ("a", 0, 3), (None, 0, 0), ("b", 0, 1)], "doc_id string, lo int, hi int")
+    bad = spark.createDataFrame([("a", 5, "network"), ("a", 2, "truncated_output"), (None, 0, "invalid_model_output"), ("c", 0, "network")], "doc_id string, section int, error string")
+    got = recovery.recover(ranges, bad)
+    assert "FlatMapCoGroups" not in plan_of(got)
+    rows = {(r.doc_id, r.step): (r.lo, r.hi, r.outcome) for r in got.collect()}
+    assert rows == {
+        ("a", 0): (0, 3, "split"), ("a", 1): (0, 1, "succeeded"), ("a", 2): (2, 3, "split"), ("a", 3): (2, 2, "failed"), ("a", 4): (3, 3, "succeeded"), ("a", 5): (4, 5, "aborted"), (None, 0): (0, 0, "failed"), ("b", 0): (0, 1, "succeeded"),
+    }
