@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from longwatch.functions import horizon, pricing, text, urls, usage
+from longwatch.functions.folds import bound
 from longwatch.operators import bench, chunks, corpora, findings, grounding, recovery, report, scope, segment
 from longwatch.plans import review, scan
 from longwatch.sources import convert
@@ -597,8 +598,8 @@ def document_titles(spark, sf):
     """Titles of documents with a marker in their middle, under the rules of three corpora."""
     marked = F.concat(F.when(c("lang") == "de", F.concat(F.lit("TITLE:  "), "text")).otherwise(c("text")), F.lit("\nAbstract\n1 Scope\n"), c("text"))
     docs = table(spark, sf, "documents").select("doc_id", marked.alias("text"), F.concat(F.lit("id "), c("doc_id").cast("string")).alias("normal"))
-    each = [F.struct(F.lit(k).alias("corpus"), corpora.document_title(k, c("text"), c("normal")).alias("title")) for k in corpora.TITLE_RULES]
-    return docs.select("doc_id", F.explode(F.array(*each)).alias("t")).select("t.corpus", "doc_id", "t.title")
+    each = lambda lines: F.array(*[F.struct(F.lit(k).alias("corpus"), corpora.title_in(k, lines, c("normal")).alias("title")) for k in corpora.TITLE_RULES])
+    return docs.select("doc_id", F.explode(bound(corpora.head_lines(c("text")), each)).alias("t")).select("t.corpus", "doc_id", "t.title")
 
 
 @query("""WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)

@@ -1,4 +1,4 @@
-"""Folds over an array that gather values on the way, without copying what was gathered at each step."""
+"""Folds over an array that gather values on the way, without copying what was gathered at each step, and values that are worked out once."""
 
 from __future__ import annotations
 
@@ -31,3 +31,8 @@ def gathered(items: Column, state: dict[str, Column], step: Callable[[Column, Co
         return F.struct(*[new[k].alias(k) for k in state], some.alias("_some"), done.alias("_done"))
 
     return F.aggregate(items, first, run, lambda a: F.concat(F.flatten(a["_done"]), a["_some"]))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is worked out once, however often it is used; a column named twice is worked out twice."""
+    return F.get(F.transform(F.array(value), use), 0)

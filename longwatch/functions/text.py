@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from longwatch.functions.folds import bound
+
 CHARS_PER_TOKEN = 4
 REQUEST_OVERHEAD_TOKENS = 6000
 MIN_QUOTE_CHARS = 16
 
 #: White space as Python's str methods see it, for regular expressions of the JVM.
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+SOLID = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 
 def estimate_tokens(chars: Column) -> Column:
@@ -19,7 +22,7 @@ def estimate_tokens(chars: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_extract(text, rf"(?s)\A{SPACE}*+(.*{SOLID})", 1)
 
 
 def quote_form(text: Column) -> Column:
@@ -41,9 +44,13 @@ ACK_TAILS = ("acknowledgement", "acknowledgements", "acknowledgment", "acknowled
 
 def is_toc_line(line: Column) -> Column:
     """Whether a line is an entry of a table of contents."""
-    line = strip(line)
+    return bound(strip(line), is_stripped_toc_line)
+
+
+def is_stripped_toc_line(line: Column) -> Column:
+    """Entries end with a digit, which is asked first."""
     spaced = line.rlike(TOC_SPACED) & ~F.lower(line).startswith("annex")
-    return (F.length(line) > 0) & (line.rlike(TOC_TAB) | line.rlike(TOC_DOTS) | spaced)
+    return line.rlike(r"\d\s*$") & (line.rlike(TOC_TAB) | line.rlike(TOC_DOTS) | spaced)
 
 
 def is_front_matter(id_: Column, title: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from longwatch.functions.folds import bound
 from longwatch.functions.text import strip
 
 # Corpora with the tier, whether text can be fetched, and the kind of sections.
@@ -167,9 +168,13 @@ def document_title(corpus: str, text: Column, normal: Column) -> Column:
     first such line. Otherwise its normal id, for RFCs null. Null and empty
     texts have no lines. Only the lines that a rule looks at are split off.
     """
+    labelled, _, rows, _, first = TITLE_RULES[corpus]
+    return bound(head_lines(text, max(labelled, rows, first)), lambda lines: title_in(corpus, lines, normal))
+
+
+def title_in(corpus: str, lines: Column, normal: Column) -> Column:
+    """The same from a text's stripped lines, which several rules can share."""
     labelled, marker, rows, above, first = TITLE_RULES[corpus]
-    most = max(labelled, rows, first)
-    lines = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), LINE_END, most + 1), 1, most), strip)
     missing = F.lit(None).cast("string") if corpus == "ietf" else normal
     said = F.try_element_at(F.filter(F.slice(lines, 1, labelled), lambda x: F.lower(x).startswith("title:")), F.lit(1))
 
@@ -180,8 +185,12 @@ def document_title(corpus: str, text: Column, normal: Column) -> Column:
 
     marked = F.try_element_at(F.array_compact(F.transform(F.slice(lines, 1, rows), over)), F.lit(1))
     plain = F.try_element_at(F.filter(F.slice(lines, 1, first), lambda x: title_like(corpus, x)), F.lit(1)) if first else missing
-    own = strip(F.substring(said, F.lit(len("title:") + 1), F.length(said)))
-    return F.when(said.isNotNull(), F.when(own != "", own).otherwise(missing)).otherwise(F.coalesce(marked, plain, missing))
+    return bound(said, lambda x: F.when(x.isNotNull(), F.coalesce(own_title(x), missing)).otherwise(F.coalesce(marked, plain, missing)))
+
+
+def own_title(line: Column) -> Column:
+    """What stands behind a line's Title:, or null if that is nothing."""
+    return F.nullif(strip(F.substring(line, F.lit(len("title:") + 1), F.length(line))), F.lit(""))
 
 
 # By corpus, lines searched for a title of its own, lines searched else, the least length of such a title, and how lines begin that are none.
@@ -192,7 +201,12 @@ FIRST_LINE_RULES = {
 MOST_TITLE = 160
 
 
-def _head_lines(text: Column, most: int) -> Column:
+#: Lines that any rule looks at, at most.
+MOST_LINES = max(*[max(a, b, c) for a, _, b, _, c in TITLE_RULES.values()], *[max(a, b) for a, b, _, _ in FIRST_LINE_RULES.values()], 80)
+
+
+def head_lines(text: Column, most: int = MOST_LINES) -> Column:
+    """So many first lines of a text, stripped."""
     return F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), LINE_END, most + 1), 1, most), strip)
 
 
@@ -202,22 +216,30 @@ def first_line_title(corpus: str, text: Column, normal: Column) -> Column:
     A line that says so comes first, even an empty one; then the first line of a
     title's length with a letter; for W3C then the first line that is no tag.
     """
+    labelled, rows, _, _ = FIRST_LINE_RULES[corpus]
+    return bound(head_lines(text, max(labelled, rows)), lambda lines: first_line_title_in(corpus, lines, normal))
+
+
+def first_line_title_in(corpus: str, lines: Column, normal: Column) -> Column:
+    """The same from a text's stripped lines, which several rules can share."""
     labelled, rows, least, no_title = FIRST_LINE_RULES[corpus]
-    lines = _head_lines(text, max(labelled, rows))
     said = F.get(F.filter(F.slice(lines, 1, labelled), lambda x: F.lower(x).startswith("title:")), 0)
-    own = strip(F.substring(said, F.lit(len("title:") + 1), F.length(said)))
     starts = lambda x: F.greatest(F.lit(False), *[F.lower(x).startswith(p) for p in no_title])
     plain = F.get(F.filter(F.slice(lines, 1, rows), lambda x: F.length(x).between(least, MOST_TITLE) & x.rlike(r"\p{L}") & ~starts(x)), 0)
     if corpus == "w3c":
         plain = F.coalesce(plain, F.substring(F.get(F.filter(F.slice(lines, 1, 30), lambda x: (x != "") & ~x.startswith("<")), 0), 1, MOST_TITLE))
-    return F.when(said.isNotNull(), F.when(own != "", own).otherwise(normal)).otherwise(F.coalesce(plain, normal))
+    return bound(said, lambda x: F.when(x.isNotNull(), F.coalesce(own_title(x), normal)).otherwise(F.coalesce(plain, normal)))
 
 
 def generic_title(text: Column) -> Column:
     """The title that a field Title: or a Markdown heading of the first level says in the first 80 lines, or null."""
-    found = F.get(F.filter(_head_lines(text, 80), lambda x: x.rlike(r"(?i)\Atitle:\s*.|\A#\s+\S")), 0)
-    value = strip(F.regexp_replace(found, r"(?i)\Atitle:|\A#", ""))
-    return F.when(value != "", value)
+    return generic_title_in(head_lines(text, 80))
+
+
+def generic_title_in(lines: Column) -> Column:
+    """The same from a text's stripped lines."""
+    found = F.get(F.filter(F.slice(lines, 1, 80), lambda x: x.rlike(r"(?i)\Atitle:\s*.|\A#\s+\S")), 0)
+    return F.nullif(strip(F.regexp_replace(found, r"(?i)\Atitle:|\A#", "")), F.lit(""))
 
 
 def parsed_documents(docs: DataFrame) -> DataFrame:

@@ -645,3 +645,9 @@ def test_recovery_without_a_call_for_each_document(spark):
     assert rows == {
         ("a", 0): (0, 3, "split"), ("a", 1): (0, 1, "succeeded"), ("a", 2): (2, 3, "split"), ("a", 3): (2, 2, "failed"), ("a", 4): (3, 3, "succeeded"), ("a", 5): (4, 5, "aborted"), (None, 0): (0, 0, "failed"), ("b", 0): (0, 1, "succeeded"),
     }
+
+
+@pytest.mark.parametrize("make", [lambda t: corpora.document_title("ietf", t, F.lit("N")), lambda t: corpora.first_line_title("w3c", t, F.lit("N"))])
+def test_a_title_splits_its_text_once(spark, make):
+    rows = spark.createDataFrame([("Title: T\nx",)], "t string").select(make(c("t")).alias("title"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1 and rows.first().title == "T"
