@@ -1,7 +1,8 @@
 """Members of ZIP and TAR archives as a data source: spark.read.format("archives").load(path).
 
-Each archive is a partition, read where it lies and never whole: a ZIP file by
-its directory and then by member, a TAR file as a stream. Filters on the
+An archive is read where it lies and never whole: a ZIP file by its directory
+and then by member, a TAR file as a stream. A partition is one archive, or
+several small ones, so that tasks grow with the bytes. Filters on the
 member's name reach the reader, so other members are not unpacked. What cannot
 be read, or is larger than the limits allow, is a row with an error and never
 a missing row.
@@ -29,11 +30,14 @@ _CHUNK = 1 << 16
 _UNREADABLE = (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, zlib.error, NotImplementedError, RuntimeError, pa.ArrowInvalid)
 
 
+#: Archives of a partition, and their bytes unless it is a single one, at most.
+_TOGETHER, _TOGETHER_BYTES = 64, 4 << 20
+
+
 @dataclass
-class Archive(InputPartition):
-    path: str
+class Archives(InputPartition):
     uri: str
-    size: int
+    files: list[tuple[str, int]]  #: paths and sizes
 
 
 def _at(path: str) -> tuple[pafs.FileSystem, str]:
@@ -122,7 +126,7 @@ class ArchiveReader(DataSourceReader):
             else:
                 self.filters.append(f)
 
-    def partitions(self) -> list[Archive]:
+    def partitions(self) -> list[Archives]:
         source, path = _at(self.path)
         info = source.get_file_info(path)
         if info.type == pafs.FileType.NotFound:
@@ -130,26 +134,38 @@ class ArchiveReader(DataSourceReader):
         found = [info] if info.is_file else [f for f in source.get_file_info(pafs.FileSelector(path, recursive=True)) if f.is_file]
         # hidden files and those of unfinished writes are no archives
         real = [f for f in found if not f.base_name.startswith(("_", "."))]
-        return [Archive(f.path, self.path, f.size) for f in sorted(real, key=lambda f: f.path)]
+        out: list[Archives] = []
+        bytes_ = 0
+        for f in sorted(real, key=lambda f: f.path):
+            if not out or len(out[-1].files) >= _TOGETHER or bytes_ + f.size > _TOGETHER_BYTES:
+                out.append(Archives(self.path, []))
+                bytes_ = 0
+            out[-1].files.append((f.path, f.size))
+            bytes_ += f.size
+        return out
 
     def _asked(self, name: str | None) -> bool:
         return all(_accepts(f, name) for f in self.filters)
 
-    def read(self, partition: Archive):
+    def read(self, partition: Archives):
         source = _at(partition.uri)[0]
+        for path, size in partition.files:
+            yield from self._archive(source, path, size)
+
+    def _archive(self, source: pafs.FileSystem, path: str, size: int):
         try:
-            if partition.size > self.most_file:
+            if size > self.most_file:
                 raise ConversionError("archive too large")
-            with source.open_input_file(partition.path) as f:
+            with source.open_input_file(path) as f:
                 zipped = f.read(4)[:2] == b"PK"
                 f.seek(0)
-                yield from self._zip(partition.path, f) if zipped else self._tar(partition.path, source)
+                yield from self._zip(path, f) if zipped else self._tar(path, source)
         except ConversionError as e:
             if self._asked(None):
-                yield partition.path, None, None, None, None, str(e)
+                yield path, None, None, None, None, str(e)
         except _UNREADABLE:
             if self._asked(None):
-                yield partition.path, None, None, None, None, "unreadable archive"
+                yield path, None, None, None, None, "unreadable archive"
 
     def _names(self, names: list[str]) -> set[int]:
         """Places of the members to read."""

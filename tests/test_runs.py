@@ -396,3 +396,13 @@ def test_wanted_member_of_a_conversion(spark):
     files = spark.createDataFrame([("z.zip", data)], "path string, content binary")
     assert convert.converted(files, member="b.txt").first().text == "wanted text"
     assert convert.converted(files, member="c.txt").first().error == "no such member"
+
+
+def test_small_archives_share_a_partition(spark, tmp_path):
+    for k in range(70):
+        archives.put(f"{tmp_path}/a/{k:03}.zip", archives.packed("zip", [("x.txt", b"%d" % k)]))
+    archives.put(f"{tmp_path}/a/large.zip", archives.packed("zip", [("y.txt", os.urandom(5 << 20))]))
+    archives.register(spark)
+    rows = spark.read.format("archives").load(f"{tmp_path}/a")
+    assert rows.rdd.getNumPartitions() == 3  # 64, 6, and the large one by itself
+    assert sorted(r.name for r in rows.select("name").collect()) == ["x.txt"] * 70 + ["y.txt"]
