@@ -97,21 +97,18 @@ def media_type(name: Column, content_type: Column, data: Column) -> Column:
     out = None
     for value, names in (*((v, ext.isin(*e)) for v, e in BY_EXTENSION.items()), *((v, kind.isin(*c)) for v, c in BY_CONTENT.items())):
         out = F.when(names, value) if out is None else out.when(names, value)
-    head = F.hex(F.substring(data, F.lit(1), F.lit(8192)))
-    sample = F.substring(head, 1, 4096)
+    head = F.decode(F.substring(data, F.lit(1), F.lit(8192)), "ISO-8859-1")  # a character for each byte
+    sample = F.substring(head, 1, 2048)
+    plain = F.length(F.regexp_replace(sample, r"[^\x20-\x7E\x09\x0A\x0D]+", ""))
     return (
-        out.when(head.startswith("25504446"), "pdf")
-        .when(head.startswith("504B") & F.contains(head, F.lit("776F72642F")), "docx").when(head.startswith("504B"), "zip")
-        .when(head.startswith("1F8B"), "tar")
-        .when((F.length(sample) > 0) & (F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(sample), F.lit(1)), F.lit(2)), lambda i: _plain(F.substring(sample, i, F.lit(2))))) * 2 > 0.85 * F.length(sample)), "text")
+        out.when(head.startswith("%PDF"), "pdf")
+        .when(head.startswith("PK") & F.contains(head, F.lit("word/")), "docx").when(head.startswith("PK"), "zip")
+        .when(head.startswith("\x1f\x8b"), "tar")
+        .when((F.length(sample) > 0) & (plain > 0.85 * F.length(sample)), "text")
         .otherwise("unknown")
     )
 
 
-def _plain(pair: Column) -> Column:
-    return pair.between("20", "7E") | pair.isin("09", "0A", "0D")
-
-
 #: Fixed value: the host of the chat provider that knows structured output.
 OFFICIAL_CHAT_HOST = "api.openai.com"
 

@@ -651,3 +651,9 @@ def test_recovery_without_a_call_for_each_document(spark):
 def test_a_title_splits_its_text_once(spark, make):
     rows = spark.createDataFrame([("Title: T\nx",)], "t string").select(make(c("t")).alias("title"))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1 and rows.first().title == "T"
+
+
+def test_media_type_of_bytes(spark):
+    kinds = {b"": "unknown", b"a" * 86 + b"\x00" * 14: "text", b"a" * 85 + b"\x00" * 15: "unknown", b"\xe9" * 9: "unknown", b"PK" + bytes.fromhex("0776f72642f0"): "zip", b"PK word/": "docx", b"\x1f\x8b": "tar", b"%PDF": "pdf", b"a" * 2048 + b"\x00" * 9000: "text"}
+    rows = spark.createDataFrame([(bytearray(k), v) for k, v in kinds.items()], "data binary, want string").select("want", urls.media_type(F.lit("x"), F.lit(None).cast("string"), c("data")).alias("kind"))
+    assert all(r.kind == r.want for r in rows.collect())
